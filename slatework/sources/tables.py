@@ -49,14 +49,18 @@ def load_snapshot(spark: SparkSession, primary: str, fallback: str | None = None
     return df if clean is None else df.withColumn(clean, F.trim(F.regexp_replace(clean, pattern, " ")))
 
 
-HOURLY = "struct<time:array<string>,temperature_2m:array<double>,relative_humidity_2m:array<double>,precipitation:array<double>,wind_speed_10m:array<double>,wind_direction_10m:array<double>,pressure_msl:array<double>,weather_code:array<int>>"
+HOURLY = {
+    "time": "string", "temperature_2m": "double", "relative_humidity_2m": "double", "precipitation": "double",
+    "wind_speed_10m": "double", "wind_direction_10m": "double", "pressure_msl": "double", "weather_code": "int",
+}
 
 
 def weather_hours(landed: DataFrame, *, payload: str, keys: Sequence[str]) -> DataFrame:
     """One JSON document per location and day -> one typed row per hour."""
-    hourly = F.from_json(F.get_json_object(payload, "$.hourly"), HOURLY)
+    shape = ",".join(f"{name}:array<{kind}>" for name, kind in HOURLY.items())
+    hourly = F.from_json(F.get_json_object(payload, "$.hourly"), f"struct<{shape}>")
     rows = landed.select(*keys, hourly.alias("h")).select(
-        *keys, F.inline(F.arrays_zip(*[f"h.{c.split(':')[0]}" for c in HOURLY[7:-1].split(",")]))
+        *keys, F.inline(F.arrays_zip(*[f"h.{name}" for name in HOURLY]))
     )
     return rows.withColumn("time", F.col("time").try_cast("timestamp_ntz"))
 
