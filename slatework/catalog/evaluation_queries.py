@@ -264,12 +264,12 @@ def scenario_family(spark, folder):
 
 @query(
     "a32_overall_result",
-    f"""WITH {_SCORED_SQL}, x AS (SELECT l_linestatus, label, CASE WHEN l_suppkey % 2 = 0 THEN odds END AS odds FROM s)
+    f"""WITH {_SCORED_SQL}, x AS (SELECT l_linestatus, label, CASE WHEN l_linestatus = 'F' THEN odds END AS odds FROM s)
     SELECT count(*) AS total_picks, CAST(sum(label) AS BIGINT) AS total_hits, round(avg(label) * 100, 6) AS hit_rate,
       round(sum(CASE WHEN label = 1 THEN CASE WHEN odds > 1 THEN odds - 1 ELSE 0 END ELSE -1 END) / count(*) * 100, 6) AS roi FROM x""",
 )
 def overall(spark, folder):
-    x = _scored(spark, folder).withColumn("odds", F.when(F.col("l_suppkey") % 2 == 0, F.col("odds")))
+    x = _scored(spark, folder).withColumn("odds", F.when(F.col("l_linestatus") == "F", F.col("odds")))
     return rounded(backtest.overall_result(x, label="label", odds="odds"))
 
 

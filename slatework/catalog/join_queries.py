@@ -9,6 +9,11 @@ from slatework.operators import joins
 from slatework.operators.ordering import with_positions
 
 
+def _lead_suppliers(spark, folder, name):
+    """Each order's lowest supplier key, as the away side of the game."""
+    return table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias(name))
+
+
 def _order_dates(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("game_date"), "o_totalprice", "o_orderstatus")
 
@@ -49,7 +54,7 @@ def lookup_defaults(spark, folder):
 @query(
     "j8_either_order",
     """WITH g AS (SELECT o.o_orderkey, c.c_nationkey AS home, s.s_nationkey AS away, CAST(o_orderdate AS DATE) AS game_date
-        FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = o.o_orderkey % 100),
+        FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN (SELECT l_orderkey, min(l_suppkey) AS lead FROM lineitem GROUP BY 1) m ON m.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = m.lead),
     p AS (SELECT DISTINCT a.n_name || ' @ ' || b.n_name AS label, a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey)
     SELECT p.label, count(g.o_orderkey) AS games, min(g.game_date) AS first_date FROM p LEFT JOIN g ON (g.home = p.x AND g.away = p.y) OR (g.home = p.y AND g.away = p.x) GROUP BY 1""",
 )
@@ -60,7 +65,7 @@ def either_order(spark, folder):
     home_names = names.select(F.col("n_nationkey").alias("home_key"), F.col("n_name").alias("home"))
     away_names = names.select(F.col("n_nationkey").alias("away_key"), F.col("n_name").alias("away"))
     games = (
-        _order_dates(spark, folder).withColumn("venue", F.col("o_orderkey") % 100)
+        _order_dates(spark, folder).join(_lead_suppliers(spark, folder, "venue"), "o_orderkey")
         .join(home, "o_custkey").join(away, "venue").join(home_names, "home_key").join(away_names, "away_key")
         .select("o_orderkey", "home", "away", "game_date")
     )
@@ -74,14 +79,14 @@ def either_order(spark, folder):
 @query(
     "j9_either_side",
     """WITH g AS (SELECT o.o_orderkey, c.c_nationkey AS home, s.s_nationkey AS away, CAST(o_orderdate AS DATE) AS d
-        FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = o.o_orderkey % 100),
+        FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN (SELECT l_orderkey, min(l_suppkey) AS lead FROM lineitem GROUP BY 1) m ON m.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = m.lead),
     p AS (SELECT DISTINCT s.s_nationkey AS team, CAST(l_shipdate AS DATE) AS d FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey)
     SELECT p.team, p.d AS game_date, count(g.o_orderkey) AS games, min(g.o_orderkey) AS first_game FROM p LEFT JOIN g ON (p.team = g.home OR p.team = g.away) AND p.d = g.d GROUP BY 1, 2""",
 )
 def either_side(spark, folder):
     home = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("home"))
     away = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("away"))
-    games = _order_dates(spark, folder).withColumn("l_suppkey", F.col("o_orderkey") % 100).join(home, "o_custkey").join(away, "l_suppkey").select("o_orderkey", "home", "away", "game_date")
+    games = _order_dates(spark, folder).join(_lead_suppliers(spark, folder, "l_suppkey"), "o_orderkey").join(home, "o_custkey").join(away, "l_suppkey").select("o_orderkey", "home", "away", "game_date")
     picks = table(spark, folder, "lineitem").join(away, "l_suppkey").select(F.col("away").alias("team"), F.to_date("l_shipdate").alias("game_date")).distinct()
     joined = joins.either_side_join(picks, games, team="team", home="home", away="away", on=["game_date"])
     return joined.groupBy("team", "game_date").agg(F.count("o_orderkey").alias("games"), F.min("o_orderkey").alias("first_game"))
@@ -118,8 +123,8 @@ def priority_fallback(spark, folder):
 
 @query(
     "j12_cascading_keys",
-    """WITH c AS (SELECT c_custkey, c_nationkey AS team, c_name AS k1, CAST(c_custkey % 500 AS VARCHAR) AS k2, CAST(c_custkey % 37 AS VARCHAR) AS k3 FROM customer),
-    s AS (SELECT s_suppkey, s_nationkey AS team, 'Customer#' || substr(s_name, 10) AS k1, CAST((s_suppkey * 7) % 500 AS VARCHAR) AS k2, CAST(s_suppkey % 37 AS VARCHAR) AS k3, s_acctbal FROM supplier),
+    """WITH c AS (SELECT c_custkey, c_nationkey AS team, c_name AS k1, right(c_name, 3) AS k2, right(c_name, 1) AS k3 FROM customer),
+    s AS (SELECT s_suppkey, s_nationkey AS team, 'Customer#' || substr(s_name, 10) AS k1, reverse(right(s_name, 3)) AS k2, right(s_name, 1) AS k3, s_acctbal FROM supplier),
     a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY team, k1 ORDER BY s_suppkey) = 1),
     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY team, k2 ORDER BY s_suppkey) = 1),
     d AS (SELECT * FROM s QUALIFY count(*) OVER (PARTITION BY team, k3) = 1)
@@ -129,11 +134,11 @@ def priority_fallback(spark, folder):
 def cascading_keys(spark, folder):
     customers = table(spark, folder, "customer").select(
         "c_custkey", F.col("c_nationkey").alias("team"), F.col("c_name").alias("k1"),
-        (F.col("c_custkey") % 500).cast("string").alias("k2"), (F.col("c_custkey") % 37).cast("string").alias("k3"),
+        F.right("c_name", F.lit(3)).alias("k2"), F.right("c_name", F.lit(1)).alias("k3"),
     )
     suppliers = table(spark, folder, "supplier").select(
         "s_suppkey", F.col("s_nationkey").alias("team"), F.concat(F.lit("Customer#"), F.substr("s_name", F.lit(10))).alias("k1"),
-        (F.col("s_suppkey") * 7 % 500).cast("string").alias("k2"), (F.col("s_suppkey") % 37).cast("string").alias("k3"), "s_acctbal",
+        F.reverse(F.right("s_name", F.lit(3))).alias("k2"), F.right("s_name", F.lit(1)).alias("k3"), "s_acctbal",
     )
     out = joins.cascade_join(
         customers, suppliers, group=["team"], keys=[("k1", False), ("k2", False), ("k3", True)], order=[F.col("s_suppkey")], values=["s_suppkey", "s_acctbal"]
@@ -206,12 +211,15 @@ def union_fallback(spark, folder):
 
 @query(
     "j20_side_unpivot",
-    """WITH g AS (SELECT o.o_orderkey, c.c_nationkey AS home, CAST(o.o_orderkey % 25 AS INT) AS away FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey)
+    """WITH g AS (SELECT o.o_orderkey, c.c_nationkey AS home, s.s_nationkey AS away FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+      JOIN (SELECT l_orderkey, min(l_suppkey) AS lead FROM lineitem GROUP BY 1) m ON m.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = m.lead)
     SELECT o_orderkey, home AS team, away AS opponent, true AS is_home FROM g UNION ALL SELECT o_orderkey, away, home, false FROM g""",
 )
 def side_unpivot(spark, folder):
     home = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("home"))
-    games = table(spark, folder, "orders").join(home, "o_custkey").select("o_orderkey", "home", (F.col("o_orderkey") % 25).cast("int").alias("away"))
+    away = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("lead"), F.col("s_nationkey").alias("away"))
+    games = table(spark, folder, "orders").join(home, "o_custkey").join(_lead_suppliers(spark, folder, "lead"), "o_orderkey").join(away, "lead")
+    games = games.select("o_orderkey", "home", "away")
     return joins.sides(games, home="home", away="away").select("o_orderkey", "team", "opponent", "is_home")
 
 

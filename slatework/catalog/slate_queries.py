@@ -297,7 +297,7 @@ def matchup_list(spark, folder):
 @query(
     "m19_starter_override",
     """WITH top AS (SELECT l_orderkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_suppkey) = 1),
-    new AS (SELECT s_nationkey AS opp, min(s_suppkey) AS sup, avg(s_acctbal) AS era FROM supplier GROUP BY 1 HAVING min(s_suppkey) % 2 = 0)
+    new AS (SELECT s_nationkey AS opp, min(s_suppkey) AS sup, avg(s_acctbal) AS era FROM supplier GROUP BY 1 HAVING avg(s_acctbal) > 4500)
     SELECT o.o_orderkey, CASE WHEN n.sup IS NOT NULL THEN n.sup ELSE t.l_suppkey END AS pitcher,
       round(CASE WHEN n.sup IS NOT NULL THEN n.era ELSE o.o_totalprice END, 4) AS era, n.sup IS NOT NULL AS starter_override_applied
     FROM orders o JOIN top t ON t.l_orderkey = o.o_orderkey JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN new n ON n.opp = c.c_nationkey""",
@@ -313,7 +313,7 @@ def starter_override(spark, folder):
     rows = _orders(spark, folder).join(teams, "o_custkey").join(top, "o_orderkey").select("o_orderkey", "opponent", "pitcher", F.col("o_totalprice").alias("era"))
     overrides = table(spark, folder, "supplier").groupBy(F.col("s_nationkey").alias("opponent")).agg(
         F.min("s_suppkey").alias("pitcher"), F.avg("s_acctbal").alias("era")
-    ).where("pitcher % 2 = 0")
+    ).where("era > 4500")
     out = slate.override_starters(rows, overrides, opponent="opponent", pitcher="pitcher", features={"era": 4.5})
     return out.select("o_orderkey", "pitcher", F.round("era", 4).alias("era"), "starter_override_applied")
 
@@ -321,13 +321,13 @@ def starter_override(spark, folder):
 @query(
     "m19_starter_options",
     """WITH names AS (SELECT s_nationkey AS team, list_sort(list(DISTINCT s_name)) AS names FROM supplier GROUP BY 1),
-    now AS (SELECT n_nationkey AS team, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END AS pitcher FROM nation)
+    now AS (SELECT n_nationkey AS team, CASE WHEN n_regionkey <= 2 THEN n_name ELSE '' END AS pitcher FROM nation)
     SELECT now.team, now.pitcher, array_to_string(CASE WHEN pitcher <> '' THEN list_prepend(pitcher, coalesce(names, [])) ELSE coalesce(names, []) END, '|') AS candidates
     FROM now LEFT JOIN names USING (team)""",
 )
 def starter_options(spark, folder):
     current = table(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("team"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("").alias("pitcher")
+        F.col("n_nationkey").alias("team"), F.when(F.col("n_regionkey") <= 2, F.col("n_name")).otherwise("").alias("pitcher")
     )
     roster = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("team"), F.col("s_name").alias("pitcher"))
     return slate.starter_options(current, roster, team="team", pitcher="pitcher").withColumn("candidates", F.array_join("candidates", "|"))
