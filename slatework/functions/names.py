@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import cache
@@ -40,18 +41,16 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 def ascii_fold(value: Column | str) -> Column:
     """Compatibility-decompose to ASCII and drop what has no ASCII form, without leaving the JVM.
 
-    Almost all accented letters map one to one (``translate``).  The ligatures and symbols that expand
-    to several characters take a slower branch that only rows containing one evaluate.
+    Almost all accented letters map one to one (``translate``).  Only texts that still hold other
+    characters take the branch that spells out ligatures and symbols one character at a time.
     """
-    value = col(value)
     source, target, several = _folding()
-    singles = F.translate(value, source, target)
-    expansions = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    spelled = F.array_join(
-        F.transform(F.split(singles, ""), lambda c: F.coalesce(F.try_element_at(expansions, c), c)), ""
+    singles = F.translate(col(value), source, target)
+    spelling = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    spelled = F.transform(
+        F.split(singles, ""), lambda c: F.when(c < F.lit("\x80"), c).otherwise(F.coalesce(F.try_element_at(spelling, c), F.lit("")))
     )
-    has_several = singles.rlike("[" + "".join(several) + "]")
-    return F.regexp_replace(F.when(has_several, spelled).otherwise(singles), r"[^\x00-\x7F]", "")
+    return F.when(singles.rlike(r"[^\x00-\x7F]"), F.array_join(spelled, "")).otherwise(singles)
 
 
 def normalize_name(value: Column | str) -> Column:
@@ -60,11 +59,7 @@ def normalize_name(value: Column | str) -> Column:
     The suffix is stripped before and after the comma flip, so 'Soto Jr., Juan' and 'Juan Soto Jr.' agree.
     """
     name = F.regexp_replace(F.trim(ascii_fold(value)), SUFFIX, "")
-    comma = F.instr(name, ",")
-    flipped = F.concat_ws(
-        " ", F.trim(F.substr(name, comma + 1)), F.trim(F.substr(name, F.lit(1), comma - 1))
-    )
-    name = F.when(comma > 0, flipped).otherwise(name)
+    name = F.regexp_replace(name, r"(?s)^\s*([^,]*?)\s*,\s*(.*)$", "$2 $1")
     name = F.regexp_replace(F.trim(name), SUFFIX, "")
     name = F.regexp_replace(F.replace(name, F.lit("."), F.lit(" ")), r"\s+", " ")
     return F.coalesce(F.lower(F.trim(name)), F.lit(""))
@@ -73,7 +68,7 @@ def normalize_name(value: Column | str) -> Column:
 def first_last(value: Column | str) -> Column:
     """'Last, First' -> 'First Last'; text without two comma parts is only trimmed; NULL -> ''."""
     text = F.trim(F.coalesce(col(value), F.lit("")))
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda p: p != "")
     flipped = F.concat_ws(" ", F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))
     return F.when(text.contains(",") & (F.size(parts) >= 2), flipped).otherwise(text)
 

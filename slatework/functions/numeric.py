@@ -42,10 +42,16 @@ def clip(value: Column | str, low: float, high: float) -> Column:
 
 
 def half_even(value: Column | str, places: int) -> Column:
-    """Banker's rounding, as numpy and Python round."""
+    """Rounding of the decimal value, ties to even."""
     return F.bround(col(value), places)
 
 
+def scaled_round(value: Column | str, places: int) -> Column:
+    """Rounding by scaling to an integer and back, ties to even (array libraries round this way)."""
+    scale = num(10.0**places)
+    return F.rint(col(value) * scale) / scale
+
+
 def to_double(value: Column | str, default: float | None = None) -> Column:
     parsed = col(value).try_cast("double")
     return parsed if default is None else F.coalesce(parsed, num(default))

@@ -152,7 +152,7 @@ def transaction_teams(transactions: DataFrame, registry: DataFrame, *, text: str
 
 def _team_set(value: Column | str) -> Column:
     value = F.col(value) if isinstance(value, str) else value
-    teams = F.transform(F.split(F.coalesce(value, F.lit("")), r"\|"), F.trim)
+    teams = F.transform(F.split(F.coalesce(value, F.lit("")), r"\|"), lambda x: F.trim(x))
     return F.filter(teams, lambda t: t != "")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from slatework.operators.ordering import top_rows
 
@@ -23,7 +24,7 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """100 x 2 x LCS / (len + len); 100 for two empty strings."""
     return pd.Series(
