@@ -1,12 +1,15 @@
-"""Composed jobs."""
+"""Composed jobs (B1-B15) on the driver tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slatework.catalog.base import GAMES_SQL, form_games, query
+from slatework.catalog.base import GAMES_SQL, form_games, query, table
+from slatework.catalog.domain import DOMAIN_SQL, hitter_sources, prepared_sources, starter_sources
 from slatework.catalog.history_queries import FORM
+from slatework.functions.numeric import num
 from slatework.operators import history, slate
+from slatework.plans import hitters, metric_store, picks, starters
 
 
 @query(
@@ -30,3 +33,235 @@ def form_signal(spark, folder):
     )
     ranked = slate.rank_signal(scored, slate=["slate"], score="proba", tie=["l_orderkey"])
     return ranked.drop("slate_position", "slate_rows")
+
+
+def _spine(s):
+    """The spine with the batter's canonical name; every driver name is its own registry entry."""
+    return hitters.load_spine(s).withColumn("batter_canonical", F.initcap("player_name"))
+
+
+@query("b1_spine", f"WITH {DOMAIN_SQL} SELECT * FROM sided")
+def spine(spark, folder):
+    return hitters.load_spine(hitter_sources(spark, folder))
+
+
+@query(
+    "b2_season_quality",
+    f"""WITH {DOMAIN_SQL} SELECT game_id, player_name, nullif(CASE WHEN c_acctbal >= 0 THEN c_acctbal END, 0) AS avg_ev, CAST(c_nationkey + 1 AS DOUBLE) AS barrel_rate, round(c_acctbal / 10000, 8) AS xwoba FROM sided JOIN customer ON c_name = player_name""",
+)
+def season_quality(spark, folder):
+    s = prepared_sources(spark, folder)
+    out = hitters.attach_season_quality(_spine(s), s)
+    return out.select("game_id", "player_name", "avg_ev", "barrel_rate", F.round("xwoba", 8).alias("xwoba"))
+
+
+@query(
+    "b3_handedness",
+    f"""WITH {DOMAIN_SQL}, x AS (SELECT game_id, player_name, CASE WHEN c_nationkey < 9 THEN 'R' WHEN c_nationkey < 18 THEN 'L' ELSE 'S' END AS b, CASE WHEN s_nationkey < 9 THEN 'R' WHEN s_nationkey < 18 THEN 'L' END AS t FROM sided JOIN customer ON c_name = player_name JOIN supplier ON s_name = pitcher_name)
+    SELECT game_id, player_name, CAST(b = 'R' AS DOUBLE) AS batter_bats_right, CASE WHEN b <> 'S' AND t IS NOT NULL THEN CAST(b <> t AS DOUBLE) WHEN b = 'S' THEN 1e0 END AS platoon_advantage FROM x""",
+)
+def hands(spark, folder):
+    s = prepared_sources(spark, folder)
+    return hitters.attach_hands(_spine(s), s).select("game_id", "player_name", "batter_bats_right", "platoon_advantage")
+
+
+@query(
+    "b4_lineup_context",
+    f"""WITH {DOMAIN_SQL}, e AS (SELECT game_date, CAST(o_orderkey AS VARCHAR) AS g, home_team AS team, c_name AS name, 1 AS slot, CAST(o_totalprice > 200000 AS DOUBLE) AS conf FROM go
+      UNION ALL SELECT game_date, CAST(o_orderkey AS VARCHAR), away_team, n, i, 0e0 FROM (SELECT go.*, unnest([f, l, c_name]) AS n, unnest([1, 2, 3]) AS i FROM go JOIN (SELECT l_orderkey, arg_min(s_name, l_suppkey) AS f, arg_max(s_name, l_suppkey) AS l FROM li GROUP BY 1) ON l_orderkey = o_orderkey)),
+    one AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY game_date, team, name ORDER BY g, slot) = 1)
+    SELECT sided.game_id, sided.player_name, conf AS lineup_confirmed, CAST(slot AS DOUBLE) AS lineup_slot, ([4.8e0, 4.7e0, 4.6e0])[slot] AS projected_pa FROM sided LEFT JOIN one ON one.game_date = sided.game_date AND one.team = sided.team AND one.name = sided.player_name""",
+)
+def lineup(spark, folder):
+    s = prepared_sources(spark, folder)
+    return hitters.attach_lineup(_spine(s), s).select("game_id", "player_name", "lineup_confirmed", "lineup_slot", "projected_pa")
+
+
+@query(
+    "b5_recent_form",
+    f"""WITH {DOMAIN_SQL}, g AS (SELECT player_name, game_date, game_id, max(CAST(play_result = 'Home Run' AS INT)) AS hr FROM pl JOIN go ON o_orderkey = game_id GROUP BY ALL),
+    past AS (SELECT s.game_id, s.player_name, g.hr, row_number() OVER (PARTITION BY s.game_id, s.player_name ORDER BY g.game_date DESC, g.game_id DESC) AS rn FROM sided s JOIN g ON g.player_name = s.player_name AND g.game_date < s.game_date),
+    a AS (SELECT game_id, player_name, round(avg(hr) FILTER (rn <= 10), 9) AS recent_hr_rate_g10, count(*) AS season_games_prior FROM past GROUP BY ALL)
+    SELECT s.game_id, s.player_name, recent_hr_rate_g10, season_games_prior FROM sided s LEFT JOIN a USING (game_id, player_name)""",
+)
+def form(spark, folder):
+    s = prepared_sources(spark, folder)
+    out = hitters.attach_form(_spine(s), s)
+    return out.select("game_id", "player_name", F.round("recent_hr_rate_g10", 9).alias("recent_hr_rate_g10"), "season_games_prior")
+
+
+@query(
+    "b6_opposing_pitching",
+    f"""WITH {DOMAIN_SQL}, h AS (SELECT b.team, g.game_date, b.* EXCLUDE (team) FROM bx b JOIN go g ON g.o_orderkey = b.game_id WHERE innings_pitched > 0)
+    SELECT s.game_id, s.player_name, round(avg(h.earned_runs / h.innings_pitched * 9), 7) AS pitcher_era_30d, round(avg((h.hits + h.walks) / h.innings_pitched), 8) AS pitcher_whip_30d
+    FROM sided s LEFT JOIN h ON h.team = s.opp_team AND h.game_date >= s.game_date - INTERVAL 30 DAY AND h.game_date < s.game_date GROUP BY s.game_id, s.player_name""",
+)
+def opposing(spark, folder):
+    s = hitter_sources(spark, folder)
+    out = hitters.attach_opposing_pitching(_spine(s), s)
+    return out.select("game_id", "player_name", F.round("pitcher_era_30d", 7).alias("pitcher_era_30d"), F.round("pitcher_whip_30d", 8).alias("pitcher_whip_30d"))
+
+
+@query(
+    "b7_pitch_matchup",
+    f"""WITH {DOMAIN_SQL}, ev AS (SELECT s_name AS p, CASE WHEN pl.inning_half LIKE 'Top%' THEN home_team ELSE away_team END AS team, CASE WHEN l_tax > 0.05 THEN 'SL' WHEN l_tax > 0.02 THEN 'SI' ELSE 'CU' END AS k, pl.pitcher, l_discount, pl.play_result,
+        rank() OVER (PARTITION BY pl.id ORDER BY l_partkey DESC, l_suppkey DESC) AS r FROM li JOIN pl ON pl.id = l_orderkey * 10 + l_linenumber JOIN go ON o_orderkey = l_orderkey),
+    cn AS (SELECT pitcher AS p, team, k, CAST(count(*) AS DOUBLE) AS n, avg(CASE WHEN l_discount > 0.05 THEN 1e0 ELSE 0 END) AS w, 2 AS src FROM ev GROUP BY ALL),
+    pb AS (SELECT s_name AS p, n_name AS team, CASE WHEN s_nationkey < 12 THEN 'SL' ELSE 'SI' END AS k, s_acctbal / 100 AS n, 0.3e0 AS w, 1 AS src FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+    sh AS (SELECT p, team, k, w, src, n / nullif(sum(n) OVER (PARTITION BY p, team, src), 0) AS u FROM (SELECT * FROM pb UNION ALL SELECT * FROM cn)),
+    mx AS (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY p, team, k ORDER BY src) = 1),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY p, team ORDER BY u DESC, k) AS rn FROM mx WHERE u IS NOT NULL),
+    pf AS (SELECT p, team, max(k) FILTER (rn = 1) AS k1, max(u) FILTER (rn = 1) AS u1, max(k) FILTER (rn = 2) AS k2, max(u) FILTER (rn = 2) AS u2, sum(w * u) / nullif(sum(u), 0) AS ow FROM rk GROUP BY ALL),
+    gf AS (SELECT * FROM pf QUALIFY row_number() OVER (PARTITION BY p ORDER BY team) = 1),
+    m AS (SELECT s.game_id, s.player_name, CASE WHEN a.p IS NOT NULL THEN a.k1 ELSE b.k1 END AS k1, CASE WHEN a.p IS NOT NULL THEN a.u1 ELSE b.u1 END AS u1, CASE WHEN a.p IS NOT NULL THEN a.k2 ELSE b.k2 END AS k2, CASE WHEN a.p IS NOT NULL THEN a.u2 ELSE b.u2 END AS u2, CASE WHEN a.p IS NOT NULL THEN a.ow ELSE b.ow END AS ow
+      FROM sided s LEFT JOIN pf a ON a.p = s.pitcher_name AND a.team = s.opp_team LEFT JOIN gf b ON b.p = s.pitcher_name),
+    ht AS (SELECT c_name AS player_name, CASE c_mktsegment WHEN 'BUILDING' THEN 'SL' WHEN 'MACHINERY' THEN 'CU' ELSE 'SI' END AS k, CASE WHEN c_nationkey > 0 THEN c_acctbal / 25000 END AS woba FROM customer)
+    SELECT m.game_id, m.player_name, k1 AS primary_pitch_type, k2 AS secondary_pitch_type, round(u1, 8) AS primary_pitch_usage, round(ow, 8) AS overall_whiff_percent, round(h1.woba, 8) AS batter_woba_vs_primary_pitch,
+      round((coalesce(CASE WHEN u1 > 0 THEN h1.woba * u1 END, 0) + coalesce(CASE WHEN u2 > 0 THEN h2.woba * u2 END, 0)) / nullif(CASE WHEN h1.woba IS NOT NULL AND u1 > 0 THEN u1 ELSE 0 END + CASE WHEN h2.woba IS NOT NULL AND u2 > 0 THEN u2 ELSE 0 END, 0), 8) AS batter_woba_vs_pitcher_arsenal
+    FROM m LEFT JOIN ht h1 ON h1.player_name = m.player_name AND h1.k = k1 LEFT JOIN ht h2 ON h2.player_name = m.player_name AND h2.k = k2""",
+)
+def pitch_matchup(spark, folder):
+    s = prepared_sources(spark, folder)
+    out = hitters.attach_pitch_matchup(_spine(s), s)
+    numbers = ["primary_pitch_usage", "overall_whiff_percent", "batter_woba_vs_primary_pitch", "batter_woba_vs_pitcher_arsenal"]
+    return out.select("game_id", "player_name", "primary_pitch_type", "secondary_pitch_type", *[F.round(c, 8).alias(c) for c in numbers])
+
+
+@query(
+    "b8_pitcher_history",
+    f"""WITH {DOMAIN_SQL} SELECT s.game_id, s.player_name, count(h.game_id) AS prior_games_vs_pitcher, round(sum(h.hr_count) / sum(h.pa_count), 9) AS prior_hr_rate_vs_pitcher, arg_max(h.hit_count, (h.game_date, h.game_id)) AS last_hit_vs_pitcher
+    FROM sided s LEFT JOIN sided h ON h.player_name = s.player_name AND h.pitcher_name = s.pitcher_name AND h.game_date < s.game_date GROUP BY s.game_id, s.player_name""",
+)
+def pitcher_history(spark, folder):
+    s = hitter_sources(spark, folder)
+    out = hitters.attach_pitcher_history(_spine(s))
+    return out.select("game_id", "player_name", "prior_games_vs_pitcher", F.round("prior_hr_rate_vs_pitcher", 9).alias("prior_hr_rate_vs_pitcher"), "last_hit_vs_pitcher")
+
+
+@query(
+    "b9_park_travel",
+    f"""WITH {DOMAIN_SQL}, st AS (SELECT home_team AS team, game_date, home_team AS loc FROM go UNION ALL SELECT away_team, game_date, home_team FROM go),
+    mv AS (SELECT *, coalesce(lag(loc) OVER w, team) AS prev, row_number() OVER w AS i FROM st WINDOW w AS (PARTITION BY team ORDER BY game_date, loc)), lt AS (SELECT * FROM mv QUALIFY row_number() OVER (PARTITION BY team, game_date ORDER BY i DESC) = 1),
+    pk AS (SELECT n_name, n_nationkey, radians(n_nationkey * 1.5e0 + 20) AS lat, radians(n_nationkey * 2.5e0 - 120) AS lon, CASE WHEN n_nationkey < 10 THEN -8 ELSE -5 END AS tz FROM nation),
+    d AS (SELECT lt.team, lt.game_date, pow(sin((b.lat - a.lat) / 2), 2) + cos(a.lat) * cos(b.lat) * pow(sin((b.lon - a.lon) / 2), 2) AS h, abs(a.tz - b.tz) AS zones FROM lt JOIN pk a ON a.n_name = prev JOIN pk b ON b.n_name = loc),
+    m AS (SELECT *, 3959e0 * 2 * atan2(sqrt(h), sqrt(1 - h)) AS miles FROM d)
+    SELECT s.game_id, s.player_name, round(0.9e0 + pk.n_nationkey / 100, 8) AS park_factor, round(miles, 5) AS travel_distance_miles, CAST(zones AS INT) AS timezone_changes, round(least(greatest(miles / 3000 * 25 + zones * 10, 0), 100), 7) AS travel_fatigue_score
+    FROM sided s JOIN pk ON pk.n_name = s.home_team LEFT JOIN m ON m.team = s.team AND m.game_date = s.game_date""",
+)
+def park_travel(spark, folder):
+    s = hitter_sources(spark, folder)
+    out = hitters.attach_travel(hitters.attach_park(_spine(s), s, hitters.PARK_FACTORS), s)
+    return out.select(
+        "game_id", "player_name", F.round("park_factor", 8).alias("park_factor"), F.round("travel_distance_miles", 5).alias("travel_distance_miles"), "timezone_changes", F.round("travel_fatigue_score", 7).alias("travel_fatigue_score")
+    )
+
+
+@query(
+    "b10_weather",
+    f"""WITH {DOMAIN_SQL}, x AS (SELECT game_id, player_name, o_totalprice / 20000 AS ws, o_totalprice / 40000 AS lf, o_totalprice / 60000 AS rf, CAST(o_totalprice > 300000 AS INT) AS roof, CASE WHEN c_nationkey < 9 THEN 'R' WHEN c_nationkey < 18 THEN 'L' ELSE 'S' END AS b FROM sided JOIN go ON o_orderkey = game_id JOIN customer ON customer.c_name = player_name),
+    y AS (SELECT *, round_even(CASE b WHEN 'L' THEN rf WHEN 'R' THEN lf ELSE (lf + rf) / 2 END * CASE WHEN b = 'S' THEN 0.9e0 ELSE 1e0 END, 3) AS pull FROM x)
+    SELECT game_id, player_name, round(ws, 7) AS wind_speed_mph, CAST(roof AS DOUBLE) AS roof_closed_estimated, pull AS batter_pull_wind_mph, round_even(round_even(pull * 1.01e0, 3) * (1 - roof * 0.75e0), 3) AS batter_pull_weather_boost FROM y""",
+)
+def weather(spark, folder):
+    s = prepared_sources(spark, folder)
+    out = hitters.attach_weather(hitters.attach_hands(_spine(s), s), s)
+    return out.select("game_id", "player_name", F.round("wind_speed_mph", 7).alias("wind_speed_mph"), "roof_closed_estimated", "batter_pull_wind_mph", "batter_pull_weather_boost")
+
+
+@query("b_hitter_features")
+def hitter_features(spark, folder):
+    return hitters.build_hitter_features(prepared_sources(spark, folder))
+
+
+@query(
+    "b11_starter_spine",
+    f"""WITH {DOMAIN_SQL}, st AS (SELECT l_orderkey, arg_min(s_name, l_suppkey) AS f, arg_max(s_name, l_suppkey) AS l FROM li GROUP BY 1),
+    lu AS (SELECT go.*, f, l, row_number() OVER (PARTITION BY game_date, home_team, away_team ORDER BY CAST(o_orderkey AS VARCHAR)) AS seq FROM go JOIN st ON l_orderkey = o_orderkey),
+    gm AS (SELECT o_orderkey AS gid, game_date, home_team, away_team, row_number() OVER (PARTITION BY game_date, home_team, away_team ORDER BY o_orderkey) AS seq FROM go),
+    j AS (SELECT lu.*, gid FROM lu JOIN gm USING (game_date, home_team, away_team, seq))
+    SELECT gid AS game_id, CAST(o_orderkey AS VARCHAR) AS lineup_game_id, game_date, home_team AS team, away_team AS opponent_team, f AS starter_name, true AS is_home, 1 AS opponent_lineup_size FROM j UNION ALL
+    SELECT gid, CAST(o_orderkey AS VARCHAR), game_date, away_team, home_team, l, false, 3 FROM j""",
+)
+def starter_spine(spark, folder):
+    out = starters.starter_spine(starter_sources(spark, folder))
+    return out.select("game_id", "lineup_game_id", "game_date", "team", "opponent_team", "starter_name", "is_home", "opponent_lineup_size")
+
+
+@query("b11_starter_features")
+def starter_features(spark, folder):
+    return starters.build_starter_features(starter_sources(spark, folder, prepared_sources(spark, folder)))
+
+
+@query("b12_serving_features")
+def serving(spark, folder):
+    s = prepared_sources(spark, folder)
+    scheduled = hitters.load_spine(s).select("game_id", "game_date", "player_name", "team", "opp_team", "home_team", "pitcher_name")
+    return hitters.enrich_for_serving(scheduled, s)
+
+
+def _picks(spark, folder):
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("pick_id"), "o_custkey", F.to_date("o_orderdate").alias("analysis_date"))
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("player_name"), F.col("c_nationkey").alias("n_nationkey"))
+    teams = table(spark, folder, "nation").select("n_nationkey", F.col("n_name").alias("team"))
+    return orders.join(customers, "o_custkey").join(teams, "n_nationkey").select("pick_id", "analysis_date", F.upper("player_name").alias("player_name"), "team")
+
+
+@query(
+    "b13_pick_labels",
+    f"""WITH {DOMAIN_SQL}, pk AS (SELECT o_orderkey AS pick_id, game_date AS analysis_date, c_name, home_team AS team FROM go),
+    j AS (SELECT pk.*, g.o_orderkey AS game_id, CASE WHEN pk.team = g.home_team THEN g.away_team ELSE g.home_team END AS opp FROM pk LEFT JOIN go g ON g.game_date = pk.analysis_date AND (g.home_team = pk.team OR g.away_team = pk.team) QUALIFY row_number() OVER (PARTITION BY pick_id ORDER BY g.o_orderkey) = 1),
+    hr AS (SELECT game_id, player_name, count(*) AS n FROM (SELECT pl.*, go.c_name AS bat FROM pl JOIN go ON o_orderkey = game_id) WHERE play_result = 'Home Run' GROUP BY ALL),
+    ld AS (SELECT * FROM bx QUALIFY row_number() OVER (PARTITION BY game_id, team ORDER BY innings_pitched DESC, player_name) = 1)
+    SELECT j.pick_id, j.game_id, CAST(coalesce(hr.n, 0) > 0 AS INT) AS label, ld.player_name AS leading_pitcher, round(ld.earned_runs / nullif(ld.innings_pitched, 0) * 9, 8) AS pitcher_era FROM j LEFT JOIN hr ON hr.game_id = j.game_id AND hr.player_name = j.c_name LEFT JOIN ld ON ld.game_id = j.game_id AND ld.team = j.opp""",
+)
+def pick_labels(spark, folder):
+    s = hitter_sources(spark, folder)
+    plays = s.plays.withColumn("batter", F.regexp_replace("batter", " homered to left", ""))
+    out = picks.label_picks(_picks(spark, folder), s.games, plays, s.pitching_box)
+    return out.select("pick_id", "game_id", "label", "leading_pitcher", F.round("pitcher_era", 8).alias("pitcher_era"))
+
+
+@query("b14_pick_features")
+def pick_features(spark, folder):
+    s = hitter_sources(spark, folder)
+    suppliers = table(spark, folder, "supplier")
+    rows = _picks(spark, folder).withColumn("player_name", F.initcap("player_name")).join(
+        s.lineups.select(F.col("game_id").cast("long").alias("pick_id"), F.get_json_object("home_pitcher", "$.name").alias("pitcher_name")), "pick_id"
+    )
+    season = suppliers.select(F.col("s_name").alias("last_name_first_name"), (F.col("s_acctbal") / num(400)).alias("k_percent"), F.col("s_acctbal").alias("fastball_spin"), (F.col("s_nationkey") * num(90)).alias("breaking_spin"))
+    trends = table(spark, folder, "customer").select(
+        F.col("c_name").alias("player_name"), F.when(F.col("c_nationkey") < 12, "vs_lhp").otherwise("vs_rhp").alias("matchup_type"), *[(F.col("c_acctbal") / num(d)).alias(r) for r, d in zip(picks.TREND_RATES, (100, 200, 300, 400, 500))], (F.col("c_nationkey") * 2).alias("batted_ball_events")
+    )
+    return picks.attach_pick_features(rows, pitcher_season=season, exit_velocity=s.exit_velocity, batter_season=s.batter_season, trends=trends)
+
+
+@query(
+    "b15_metric_store",
+    """WITH m AS (SELECT l_suppkey AS pid, CAST(date_trunc('month', l_shipdate) AS DATE) AS d, avg(l_quantity) AS barrel, max(l_linenumber) AS ab FROM lineitem GROUP BY ALL),
+    g AS (SELECT l_orderkey AS game_id, CAST(o_orderdate AS DATE) AS d, min(l_suppkey) AS pitcher, list_distinct(list(l_suppkey)) AS lineup, list(l_suppkey) FILTER (l_returnflag = 'R') AS hr FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+    x AS (SELECT game_id, d, pitcher, unnest(lineup) AS pid, hr FROM g),
+    a AS (SELECT x.*, h.d AS hd, h.barrel AS hb, p.d AS pd, p.barrel AS pb FROM x ASOF LEFT JOIN m h ON h.pid = x.pid AND h.d < x.d ASOF LEFT JOIN m p ON p.pid = x.pitcher AND p.d < x.d)
+    SELECT game_id, pid AS player_id, hd AS stat_date, round(hb * 0.4, 7) AS power_score, round(pb * 0.4, 7) AS hr_vulnerability, CAST(coalesce(list_contains(hr, pid), false) AS INT) AS label FROM a WHERE hd IS NOT NULL AND pd IS NOT NULL""",
+)
+def metrics(spark, folder):
+    lines = table(spark, folder, "lineitem")
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("game_date"))
+    monthly = lines.groupBy(F.col("l_suppkey").alias("player_id"), F.date_trunc("month", "l_shipdate").cast("date").alias("stat_date")).agg(F.avg("l_quantity").alias("rate"))
+    nothing = {c: F.lit(None).cast("double") for c in {*metric_store.HITTER_METRICS, *metric_store.PITCHER_METRICS}}
+    stats = monthly.withColumns(nothing | {"barrel_rate": F.col("rate"), "hr_per_9": F.col("rate")}).drop("rate")
+    both = stats.withColumn("is_pitcher", F.lit(True)).unionByName(stats.withColumn("is_pitcher", F.lit(False)))
+    games = lines.join(orders, "l_orderkey").groupBy(F.col("l_orderkey").alias("game_id"), "game_date").agg(
+        F.min("l_suppkey").alias("pitcher_id"), F.collect_set("l_suppkey").alias("lineup"), F.collect_list(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey"))).alias("home_hr_hitters")
+    ).withColumns({"home_team": F.lit("X"), "pitcher_name": F.lit("Ace"), "weather_temp": F.lit(None).cast("double"), "weather_wind": F.lit(None).cast("double")})
+    out = metric_store.build_metric_features(games, both)
+    return out.select("game_id", "player_id", "stat_date", F.round("power_score", 7).alias("power_score"), F.round("hr_vulnerability", 7).alias("hr_vulnerability"), "label")
+
+
+@query(
+    "m20_results_lookup",
+    f"""WITH {DOMAIN_SQL} SELECT game_date, CASE WHEN inning_half ILIKE 'Bottom%' THEN home_team ELSE away_team END AS team, lower(replace(player_name, '#', '')) AS surname, count(*) AS hr_count FROM pl JOIN go ON o_orderkey = game_id WHERE play_result = 'Home Run' GROUP BY ALL""",
+)
+def results_lookup(spark, folder):
+    s = hitter_sources(spark, folder)
+    plays = s.plays.withColumn("batter", F.regexp_replace("batter", " homered to left", ""))
+    return picks.results_lookup(plays, s.games, ["Home Run"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,6 +12,7 @@ from slatework.operators.aggregates import joined_values
 from slatework.operators.joins import mentions
 from slatework.operators.ordering import top_rows
 from slatework.operators.similarity import similar_pairs
+from slatework.session import settle
 
 REVIEW_TYPES = ("fuzzy_same_last_name", "first_initial_last", "unique_last_name")
 
@@ -129,10 +131,21 @@ def resolve_names(names: DataFrame, registry: DataFrame, *, raw: str, fuzzy: boo
     )
 
 
-def with_canonical(df: DataFrame, registry: DataFrame, *, raw: str, name: str, fuzzy: bool = True) -> DataFrame:
-    """Attach the canonical name, resolving each distinct raw name once."""
-    resolved = resolve_names(df.where(F.col(raw).isNotNull()), registry, raw=raw, fuzzy=fuzzy)
-    return df.join(resolved.select(raw, F.col("canonical_name").alias(name)), raw, "left")
+def canonical_names(sources: Sequence[tuple[DataFrame, str]], registry: DataFrame, *, fuzzy: bool = True) -> DataFrame:
+    """(raw_name, canonical_name) for the distinct names of several (table, column) sources, resolved once.
+
+    The distinct names and their resolution are written out: every table that needs canonical names then
+    joins this map instead of running the ladder again.
+    """
+    distinct = reduce(
+        DataFrame.unionByName, [df.select(F.col(column).alias("raw_name")).where("raw_name is not null").distinct() for df, column in sources]
+    ).distinct()
+    return settle(resolve_names(settle(distinct), registry, raw="raw_name", fuzzy=fuzzy).select("raw_name", "canonical_name"))
+
+
+def with_canonical(df: DataFrame, canonical: DataFrame, *, raw: str, name: str) -> DataFrame:
+    """Attach the canonical name from a ``canonical_names`` map."""
+    return df.join(canonical.select(F.col("raw_name").alias(raw), F.col("canonical_name").alias(name)), raw, "left")
 
 
 def observed_teams(events: DataFrame, *, raw: str, half: str, home: str, away: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,6 +11,7 @@ from slatework.functions import codes, geo, names, numeric, text, weather
 from slatework.functions.numeric import num, ratio
 from slatework.operators import aggregates, history, joins, registry
 from slatework.operators.ordering import join_on, top_rows
+from slatework.session import settle
 
 # Play results that count as hits.
 HITS = ("Single", "Double", "Triple", "Home Run")
@@ -52,6 +53,19 @@ class HitterSources:
     hitter_arsenal: DataFrame
     game_weather: DataFrame
     parks: DataFrame
+    canonical: DataFrame | None = None
+
+
+def prepared(s: HitterSources, *, fuzzy: bool = True) -> HitterSources:
+    """The sources with the canonical name of every name they contain, resolved in one pass."""
+    flipped = [t.select(names.first_last("last_name_first_name").alias("n")) for t in (s.exit_velocity, s.batter_season, s.pitcher_arsenal, s.hitter_arsenal)]
+    listed = [s.lineups.select(F.explode(text.batting_order(f"{side}_lineup")["name"]).alias("n")) for side in ("home", "away")]
+    starting = [s.lineups.select(text.json_name(f"{side}_pitcher").alias("n")) for side in ("home", "away")]
+    seen = [
+        s.plays.select(names.strip_action("batter").alias("n")), s.plays.select(F.col("pitcher").alias("n")), s.players.select(F.coalesce("full_name", "display_name").alias("n")),
+        *flipped, *listed, *starting,
+    ]
+    return replace(s, canonical=registry.canonical_names([(df, "n") for df in seen], s.name_registry, fuzzy=fuzzy))
 
 
 def batting_side(pitcher_team: Column, bottom_half: Column, home: Column, away: Column) -> tuple[Column, Column]:
@@ -106,10 +120,10 @@ def attach_season_quality(df: DataFrame, s: HitterSources) -> DataFrame:
     """Exit velocity (latest year) and expected stats by canonical name."""
     numbers = {"avg_ev": "avg_hit_speed", "barrel_rate": "brl_percent", "sweet_spot_percent": "anglesweetspotpercent", "ev95_percent": "ev95percent"}
     speed = registry.with_canonical(
-        s.exit_velocity.withColumn("__raw", names.first_last("last_name_first_name")), s.name_registry, raw="__raw", name="batter_canonical"
+        s.exit_velocity.withColumn("__raw", names.first_last("last_name_first_name")), s.canonical, raw="__raw", name="batter_canonical"
     ).select("batter_canonical", "year", "__raw", *[numeric.percent_text(c).alias(n) for n, c in numbers.items()])
     expected = registry.with_canonical(
-        s.batter_season.withColumn("__raw", names.first_last("last_name_first_name")), s.name_registry, raw="__raw", name="batter_canonical"
+        s.batter_season.withColumn("__raw", names.first_last("last_name_first_name")), s.canonical, raw="__raw", name="batter_canonical"
     ).select("batter_canonical", "data_date", "__raw", "xwoba", "xba", "xslg")
     df = joins.lookup_first(df, speed, on=["batter_canonical"], order=[F.col("year").desc(), F.col("__raw")]).drop("year", "__raw")
     return joins.lookup_first(df, expected, on=["batter_canonical"], order=[F.col("data_date").desc_nulls_last(), F.col("__raw")]).drop("data_date", "__raw")
@@ -117,7 +131,7 @@ def attach_season_quality(df: DataFrame, s: HitterSources) -> DataFrame:
 
 def attach_hands(df: DataFrame, s: HitterSources) -> DataFrame:
     people = s.players.withColumn("__full", F.coalesce("full_name", "display_name")).where("__full is not null")
-    bats = registry.with_canonical(people, s.name_registry, raw="__full", name="batter_canonical").select("batter_canonical", F.upper(F.trim("bats")).alias("__bats"), "player_id")
+    bats = registry.with_canonical(people, s.canonical, raw="__full", name="batter_canonical").select("batter_canonical", F.upper(F.trim("bats")).alias("__bats"), "player_id")
     throws = people.select(names.normalize_name("__full").alias("__pitcher_key"), F.upper(F.trim("throws")).alias("__throws"), "player_id").where(F.col("__throws").isin("L", "R"))
     df = joins.lookup_first(df, bats, on=["batter_canonical"], order=[F.col("player_id")]).drop("player_id")
     df = df.withColumn("__pitcher_key", names.normalize_name("pitcher_name"))
@@ -130,7 +144,7 @@ def lineup_slots(s: HitterSources) -> DataFrame:
     both = F.array(*[F.struct(F.col(f"{side}_team").alias("team"), F.col(f"{side}_lineup").alias("lineup")) for side in ("home", "away")])
     teams = s.lineups.select("game_date", "game_id", F.inline(both))
     rows = teams.select("game_date", "game_id", codes.team_code("team").alias("team"), text.lineup_confirmed("lineup").cast("double").alias("lineup_confirmed"), F.inline(text.batting_order("lineup")))
-    rows = registry.with_canonical(rows, s.name_registry, raw="name", name="batter_canonical")
+    rows = registry.with_canonical(rows, s.canonical, raw="name", name="batter_canonical")
     one = top_rows(rows, ["game_date", "team", "batter_canonical"], [F.col("game_id"), F.col("slot")])
     return one.select("game_date", "team", "batter_canonical", "lineup_confirmed", F.col("slot").cast("double").alias("lineup_slot"), *[c.alias(n) for n, c in codes.slot_flags("slot").items()])
 
@@ -144,7 +158,7 @@ def form_games(s: HitterSources) -> DataFrame:
     """Every batter's games with 0/1 outcomes and appearances, by canonical name."""
     result = F.col("play_result")
     rows = s.plays.where(F.col("batter").isNotNull()).withColumn("player_name", names.strip_action("batter")).where("player_name <> ''").join(s.games.select("game_id", "game_date"), "game_id")
-    rows = registry.with_canonical(rows, s.name_registry, raw="player_name", name="batter_canonical")
+    rows = registry.with_canonical(rows, s.canonical, raw="player_name", name="batter_canonical")
     return rows.groupBy("batter_canonical", "game_date", "game_id").agg(
         F.max(numeric.flag(result == "Home Run")).alias("hr_game"),
         F.max(numeric.flag(result.isin(*HITS))).alias("hit_game"),
@@ -188,7 +202,7 @@ def pitch_mix(s: HitterSources) -> DataFrame:
     listed = s.pitcher_arsenal.where("last_name_first_name is not null and pitch_type is not null").select(
         names.first_last("last_name_first_name").alias("pitcher"), "team", "pitch_type", *fields, F.lit(1).alias("__source")
     )
-    both = registry.with_canonical(listed.unionByName(counted), s.name_registry, raw="pitcher", name="pitcher_canonical").withColumn("team", codes.team_code("team"))
+    both = registry.with_canonical(listed.unionByName(counted), s.canonical, raw="pitcher", name="pitcher_canonical").withColumn("team", codes.team_code("team"))
     shares = aggregates.usage_share(both, entity=["pitcher_canonical", "team", "__source"], usage="pitch_usage", name="__share")
     # Where a published row exists for a pitch it replaces the counted one.
     best = top_rows(shares, ["pitcher_canonical", "team", "pitch_type"], [F.col("__source"), F.col("pitcher")])
@@ -202,13 +216,13 @@ def attach_pitch_matchup(df: DataFrame, s: HitterSources) -> DataFrame:
     fields = [c for c in profile.columns if c not in ("pitcher_canonical", "team")]
     specific = profile.withColumnRenamed("team", "opp_team")
     general = top_rows(profile, ["pitcher_canonical"], [F.col("team").asc_nulls_last()])
-    df = registry.with_canonical(df, s.name_registry, raw="pitcher_name", name="pitcher_canonical").withColumn("opp_team", codes.team_code("opp_team"))
+    df = registry.with_canonical(df, s.canonical, raw="pitcher_name", name="pitcher_canonical").withColumn("opp_team", codes.team_code("opp_team"))
     df = joins.priority_join(df, specific, general, on=["pitcher_canonical", "opp_team"], fallback_on=["pitcher_canonical"], values=fields)
 
     record = ["whiff_percent", "k_percent", "ba", "slg", "woba"]
     batters = registry.with_canonical(
         s.hitter_arsenal.where("last_name_first_name is not null and pitch_type is not null").withColumn("__raw", names.first_last("last_name_first_name")),
-        s.name_registry, raw="__raw", name="batter_canonical",
+        s.canonical, raw="__raw", name="batter_canonical",
     )
     versus = aggregates.weighted_profile(batters, keys=["batter_canonical", "pitch_type"], weight="pa", metrics=record)
     for side in ("primary", "secondary"):
@@ -289,20 +303,35 @@ def composite_features(df: DataFrame) -> DataFrame:
     )
 
 
-def build_hitter_features(s: HitterSources, *, lookback: int = 20, park_constants: Mapping[str, float] = PARK_FACTORS, steps: Sequence[str] = ()) -> DataFrame:
-    """Training table: one row per (game, batter).  ``steps`` limits the attached groups (ablation)."""
-    spine = registry.with_canonical(load_spine(s), s.name_registry, raw="player_name", name="batter_canonical")
-    groups = {
-        "season": lambda d: attach_season_quality(d, s), "hands": lambda d: attach_hands(d, s), "lineup": lambda d: attach_lineup(d, s),
-        "form": lambda d: attach_form(d, s, lookback), "pitching": lambda d: attach_opposing_pitching(d, s), "mix": lambda d: attach_pitch_matchup(d, s),
-        "history": attach_pitcher_history, "park": lambda d: attach_park(d, s, park_constants), "travel": lambda d: attach_travel(d, s), "weather": lambda d: attach_weather(d, s),
-    }
-    for name, step in groups.items():
-        if not steps or name in steps:
-            spine = step(spine)
-    if not steps:
-        spine = composite_features(attach_interactions(spine))
-    return spine
+KEY = ("game_id", "player_name")
+
+
+def _joined(base: DataFrame, parts: Sequence[DataFrame]) -> DataFrame:
+    """Base rows with the new columns of each part, all keyed by game and player.
+
+    Each part reads the written base, not the frame built so far, so the plan grows with the number of
+    parts rather than doubling at every step that looks its own rows up again.
+    """
+    out = base
+    for part in parts:
+        new = [c for c in part.columns if c not in out.columns]
+        out = out.join(part.select(*KEY, *new), list(KEY))
+    return out
+
+
+def build_hitter_features(s: HitterSources, *, lookback: int = 20, park_constants: Mapping[str, float] = PARK_FACTORS) -> DataFrame:
+    """Training table: one row per (game, batter)."""
+    s = s if s.canonical is not None else prepared(s)
+    base = settle(registry.with_canonical(load_spine(s), s.canonical, raw="player_name", name="batter_canonical"))
+    parts = [attach_form(base, s, lookback), attach_opposing_pitching(base, s), attach_pitch_matchup(base, s), attach_pitcher_history(base)]
+    return _with_context(_joined(base, parts), s, park_constants)
+
+
+def _with_context(df: DataFrame, s: HitterSources, park_constants: Mapping[str, float]) -> DataFrame:
+    """Steps that only join dimension-like tables onto the rows."""
+    df = attach_lineup(attach_hands(attach_season_quality(df, s), s), s)
+    df = attach_weather(attach_travel(attach_park(df, s, park_constants), s), s)
+    return composite_features(attach_interactions(df))
 
 
 def enrich_for_serving(rows: DataFrame, s: HitterSources, *, lookback: int = 20, park_constants: Mapping[str, float] = PARK_FACTORS) -> DataFrame:
@@ -311,16 +340,12 @@ def enrich_for_serving(rows: DataFrame, s: HitterSources, *, lookback: int = 20,
     ``rows`` needs game_id, game_date, player_name, team, opp_team, home_team, pitcher_name.  Form and pair
     history read completed games only, so the rows' own outcomes are not needed.
     """
-    played = registry.with_canonical(load_spine(s), s.name_registry, raw="player_name", name="batter_canonical")
-    df = registry.with_canonical(rows, s.name_registry, raw="player_name", name="batter_canonical")
-    for step in (attach_season_quality, attach_hands, attach_lineup):
-        df = step(df, s)
-    df = attach_form(df, s, lookback)
-    df = attach_opposing_pitching(df, s, by="pitcher")
-    df = attach_pitch_matchup(df, s)
-    df = history.pair_history(
-        df, played, pair=["batter_canonical", "pitcher_name"], date="game_date", game="game_id", weight="pa_count",
+    s = s if s.canonical is not None else prepared(s)
+    played = registry.with_canonical(load_spine(s), s.canonical, raw="player_name", name="batter_canonical")
+    base = settle(registry.with_canonical(rows, s.canonical, raw="player_name", name="batter_canonical"))
+    met = history.pair_history(
+        base, played, pair=["batter_canonical", "pitcher_name"], date="game_date", game="game_id", weight="pa_count",
         counts={"hit": "hit_count", "hr": "hr_count", "so": "so_count"}, suffix="vs_pitcher",
     )
-    df = attach_weather(attach_travel(attach_park(df, s, park_constants), s), s)
-    return composite_features(attach_interactions(df))
+    parts = [attach_form(base, s, lookback), attach_opposing_pitching(base, s, by="pitcher"), attach_pitch_matchup(base, s), met]
+    return _with_context(_joined(base, parts), s, park_constants)

@@ -32,14 +32,11 @@ def local_session(app: str = "slatework", cores: str = "*", partitions: int = 8)
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the written copy.
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Used where two branches of a plan must see the very same partitioning (global positions, running
-    totals).  The copy outlives lost executors.  The folder is the one the cluster names; a scratch
-    folder is made only in local mode with none set.
+    A scratch folder is made only in local mode with none set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,4 +45,14 @@ def settle(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and continue from the written copy.
+
+    Used where two branches of a plan must see the very same partitioning (global positions, running
+    totals) or where a frame is read many times (training).  The copy outlives lost executors.
+    """
+    scratch_folder(df.sparkSession)
     return df.checkpoint()

@@ -10,8 +10,13 @@ from slatework.operators.ordering import top_rows
 
 
 def write_snapshot(df: DataFrame, path: str, partition: str = "game_date") -> None:
-    """Replace a snapshot, one folder per date."""
-    df.write.mode("overwrite").partitionBy(partition).parquet(path)
+    """Replace a snapshot, one folder per date.
+
+    Rows are range-partitioned by date first, which keeps a date's files few; the extra hash column splits
+    a date that holds much of the data over several tasks.
+    """
+    spread = F.xxhash64(*[c for c in df.columns if c != partition])
+    df.repartitionByRange(F.col(partition), spread).write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
 def upsert(target: DataFrame, updates: DataFrame, *, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:

@@ -59,9 +59,10 @@ def weather_hours(landed: DataFrame, *, payload: str, keys: Sequence[str]) -> Da
     """One JSON document per location and day -> one typed row per hour."""
     shape = ",".join(f"{name}:array<{kind}>" for name, kind in HOURLY.items())
     hourly = F.from_json(F.get_json_object(payload, "$.hourly"), f"struct<{shape}>")
-    rows = landed.select(*keys, hourly.alias("h")).select(
-        *keys, F.inline(F.arrays_zip(*[f"h.{name}" for name in HOURLY]))
-    )
+    read = landed.select(*keys, hourly.alias("h"))
+    # A document may lack a series; an empty one is padded with NULLs where a missing one would drop the document.
+    series = [F.coalesce(f"h.{name}", F.array().cast(f"array<{kind}>")).alias(name) for name, kind in HOURLY.items()]
+    rows = read.select(*keys, *series).select(*keys, F.inline(F.arrays_zip(*HOURLY))).where("time is not null")
     return rows.withColumn("time", F.col("time").try_cast("timestamp_ntz"))
 
 
