@@ -170,7 +170,7 @@ def weather(spark, folder):
 
 @query("b_hitter_features")
 def hitter_features(spark, folder):
-    return hitters.build_hitter_features(prepared_sources(spark, folder))
+    return hitters.build_hitter_features(prepared_sources(spark, folder, fuzzy=True))
 
 
 @query(
@@ -208,7 +208,7 @@ def _picks(spark, folder):
 
 @query(
     "b13_pick_labels",
-    f"""WITH {DOMAIN_SQL}, pk AS (SELECT o_orderkey AS pick_id, game_date AS analysis_date, c_name, home_team AS team FROM go),
+    f"""WITH {DOMAIN_SQL}, pk AS (SELECT o_orderkey AS pick_id, CAST(o_orderdate AS DATE) AS analysis_date, c_name, n_name AS team FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
     j AS (SELECT pk.*, g.o_orderkey AS game_id, CASE WHEN pk.team = g.home_team THEN g.away_team ELSE g.home_team END AS opp FROM pk LEFT JOIN go g ON g.game_date = pk.analysis_date AND (g.home_team = pk.team OR g.away_team = pk.team) QUALIFY row_number() OVER (PARTITION BY pick_id ORDER BY g.o_orderkey) = 1),
     hr AS (SELECT game_id, player_name, count(*) AS n FROM (SELECT pl.*, go.c_name AS bat FROM pl JOIN go ON o_orderkey = game_id) WHERE play_result = 'Home Run' GROUP BY ALL),
     ld AS (SELECT * FROM bx QUALIFY row_number() OVER (PARTITION BY game_id, team ORDER BY innings_pitched DESC, player_name) = 1)
