@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from slatework.catalog.base import PLAYS_SQL, plays, query, rounded
 from slatework.functions.numeric import edge, implied_probability, num, tier
 from slatework.operators import backtest, metrics
+from slatework.session import settle
 
 CUTS_SQL = "[" + ", ".join(f"{i} * 0.01e0" for i in range(1, 50)) + "]"
 
@@ -258,7 +259,8 @@ def scenario_family(spark, folder):
     tagged = backtest.scenarios(
         bets, day="game_date", confidence="confidence_score", edge="confidence_edge", tie=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "odds"]
     ).drop("confidence_edge")
-    staked = backtest.with_stakes(tagged, confidence="confidence_score", odds="odds", groups=["scenario"])
+    # The tagged bets are read for the counts and for the settlement.
+    staked = backtest.with_stakes(settle(tagged), confidence="confidence_score", odds="odds", groups=["scenario"])
     return _settled(backtest.settle_schemes(staked, label="label", odds="odds", groups=["scenario"]))
 
 

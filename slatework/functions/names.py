@@ -23,8 +23,12 @@ SOURCE_ACTION_VERBS = (*ACTION_VERBS, "fouled", "safe", "out")
 
 @cache
 def _folding() -> tuple[str, str, dict[str, str]]:
-    """Characters whose compatibility decomposition leaves one ASCII character, and those that leave several."""
-    single_from, single_to, several = [], [], {}
+    """(from, to) for ``translate`` and the characters that decompose to several ASCII ones.
+
+    ``from`` first lists the characters that leave one ASCII character, then common ones that leave none:
+    past the end of ``to``, translate deletes.
+    """
+    single_from, single_to, dropped, several = [], [], [], {}
     for point in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= point <= 0xDFFF:
             continue
@@ -35,22 +39,23 @@ def _folding() -> tuple[str, str, dict[str, str]]:
             single_to.append(plain)
         elif plain:
             several[char] = plain
-    return "".join(single_from), "".join(single_to), several
+        elif point < 0x2600:
+            dropped.append(char)
+    return "".join(single_from + dropped), "".join(single_to), several
 
 
 def ascii_fold(value: Column | str) -> Column:
     """Compatibility-decompose to ASCII and drop what has no ASCII form, without leaving the JVM.
 
-    Almost all accented letters map one to one (``translate``).  Only texts that still hold other
-    characters take the branch that spells out ligatures and symbols one character at a time.
+    Almost all accented letters map one to one (``translate``); the few ligatures and symbols that expand
+    are looked up one by one.
     """
     source, target, several = _folding()
-    singles = F.translate(col(value), source, target)
     spelling = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
-    spelled = F.transform(
-        F.split(singles, ""), lambda c: F.when(c < F.lit("\x80"), c).otherwise(F.coalesce(F.try_element_at(spelling, c), F.lit("")))
-    )
-    return F.when(singles.rlike(r"[^\x00-\x7F]"), F.array_join(spelled, "")).otherwise(singles)
+    # What translate leaves is cut around each remaining foreign character; plain text stays one piece.
+    pieces = F.split(F.translate(col(value), source, target), r"(?<=[^\x00-\x7F])|(?=[^\x00-\x7F])")
+    plain = F.transform(pieces, lambda c: F.when(c < F.lit("\x80"), c).otherwise(F.coalesce(F.try_element_at(spelling, c), F.lit(""))))
+    return F.array_join(plain, "")
 
 
 def normalize_name(value: Column | str) -> Column:
@@ -61,7 +66,8 @@ def normalize_name(value: Column | str) -> Column:
     name = F.regexp_replace(F.trim(ascii_fold(value)), SUFFIX, "")
     name = F.regexp_replace(name, r"(?s)^\s*([^,]*?)\s*,\s*(.*)$", "$2 $1")
     name = F.regexp_replace(F.trim(name), SUFFIX, "")
-    name = F.regexp_replace(F.replace(name, F.lit("."), F.lit(" ")), r"\s+", " ")
+    # Only white space that is not already a single blank is replaced.
+    name = F.regexp_replace(F.replace(name, F.lit("."), F.lit(" ")), r"\s{2,}|[\t\n\x0B\f\r]", " ")
     return F.coalesce(F.lower(F.trim(name)), F.lit(""))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slatework.functions.numeric import num, ratio, share
-from slatework.operators.ordering import fractional_rank, join_on, top_rows
+from slatework.operators.ordering import join_on, running_totals, top_rows
 
 STAKES = ("flat_unit", "confidence_linear", "confidence_tiered")
 
@@ -55,24 +55,30 @@ def recommendations(df: DataFrame, *, probability: str, odds: str, minimum_edge:
 
 
 def with_stakes(df: DataFrame, *, confidence: str, odds: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Flat, confidence-linear (0.5-2.0) and confidence-tiered stakes, each with mean 1 within its group."""
+    """Flat, confidence-linear (0.5-2.0) and confidence-tiered stakes, each with mean 1 within its group.
+
+    A stake depends on the confidence alone, so ranks, scales and means come from the counts of distinct
+    confidences; the bets are only counted once and joined once.
+    """
     c = F.col(confidence).cast("double")
-    ranked = fractional_rank(df, groups, confidence, "__rank")
-    r = F.col("__rank")
-    tiered = F.when(r >= 0.9, num(1.75)).when(r >= 0.75, num(1.25)).when(r >= 0.5, num(1.0)).otherwise(num(0.5))
-    low_high = df.groupBy(*groups).agg(F.min(c).alias("__lo"), F.max(c).alias("__hi"))
-    scaled = _with_row(ranked, low_high, groups).withColumns(
-        {
-            "__linear": num(0.5) + num(1.5) * ((c - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), num(1e-9))),
-            "__tiered": tiered,
-        }
+    counts = df.where(F.col(confidence).isNotNull()).groupBy(*groups, confidence).agg(F.count(F.lit(1)).alias("__n"))
+    placed = running_totals(counts, groups, [F.col(confidence)], {"n": "__n"}, "__below_", "__of_")
+    rank = (F.col("__below_n") + (F.col("__n") + 1) / num(2)) / F.col("__of_n")
+    tiered = F.when(rank >= 0.9, num(1.75)).when(rank >= 0.75, num(1.25)).when(rank >= 0.5, num(1.0)).otherwise(num(0.5))
+    low_high = placed.groupBy(*groups).agg(F.min(c).alias("__lo"), F.max(c).alias("__hi"))
+    scaled = _with_row(placed, low_high, groups).withColumns(
+        {"__linear": num(0.5) + num(1.5) * ((c - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), num(1e-9))), "__tiered": tiered}
     )
-    means = scaled.groupBy(*groups).agg(F.avg("__linear").alias("__linear_mean"), F.avg("__tiered").alias("__tiered_mean"))
-    return _with_row(scaled, means, groups).select(
+    mean = lambda stake: F.sum(F.col(stake) * F.col("__n")) / F.sum("__n")
+    means = scaled.groupBy(*groups).agg(mean("__linear").alias("__linear_mean"), mean("__tiered").alias("__tiered_mean"))
+    stakes = _with_row(scaled, means, groups).select(
+        *groups, confidence, (F.col("__linear") / F.col("__linear_mean")).alias("__l"), (F.col("__tiered") / F.col("__tiered_mean")).alias("__t")
+    )
+    return join_on(df, stakes, [*groups, confidence], "left").select(
         *df.columns,
         num(1).alias("flat_unit"),
-        (F.col("__linear") / F.col("__linear_mean")).alias("confidence_linear"),
-        (F.col("__tiered") / F.col("__tiered_mean")).alias("confidence_tiered"),
+        F.col("__l").alias("confidence_linear"),
+        F.col("__t").alias("confidence_tiered"),
         (num(1) / F.col(odds)).alias("implied_probability"),
         (c / num(100)).alias("confidence_probability"),
         (c / num(100) - num(1) / F.col(odds)).alias("confidence_edge"),
@@ -93,8 +99,22 @@ def settle_bets(df: DataFrame, *, stake: str, label: str, odds: str, groups: Seq
     sums = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("bets"), F.sum(stake).alias("stake"), F.sum(profit).alias("profit"), F.sum(F.col(label).cast("long")).alias("__hits")
     )
+    return _settled(sums, groups)
+
+
+def settle_schemes(df: DataFrame, *, label: str, odds: str, groups: Sequence[str] = (), schemes: Sequence[str] = STAKES) -> DataFrame:
+    """Settlement of several stake columns in one pass over the bets, one row per group and scheme."""
+    won = F.col(label) == 1
+    aggs = [F.count(F.lit(1)).alias("bets"), F.sum(F.col(label).cast("long")).alias("__hits")]
+    for s in schemes:
+        aggs += [F.sum(s).alias(f"__{s}_stake"), F.sum(F.when(won, F.col(s) * (F.col(odds) - num(1))).otherwise(-F.col(s))).alias(f"__{s}_profit")]
+    rows = F.inline(F.array(*[F.struct(F.lit(s).alias("scheme"), F.col(f"__{s}_stake").alias("stake"), F.col(f"__{s}_profit").alias("profit")) for s in schemes]))
+    return _settled(df.groupBy(*groups).agg(*aggs).select(*groups, "bets", "__hits", rows), [*groups, "scheme"])
+
+
+def _settled(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sums.select(
-        *groups,
+        *keys,
         "bets",
         "stake",
         "profit",
@@ -104,13 +124,6 @@ def settle_bets(df: DataFrame, *, stake: str, label: str, odds: str, groups: Seq
     )
 
 
-def settle_schemes(df: DataFrame, *, label: str, odds: str, groups: Sequence[str] = (), schemes: Sequence[str] = STAKES) -> DataFrame:
-    """Settlement of several stake columns at once, one row per group and scheme."""
-    staked = F.explode(F.array(*[F.struct(F.lit(s).alias("scheme"), F.col(s).alias("stake")) for s in schemes]))
-    long = df.select(*groups, label, odds, staked.alias("s")).select(*groups, label, odds, "s.scheme", F.col("s.stake").alias("__stake"))
-    return settle_bets(long, stake="__stake", label=label, odds=odds, groups=[*groups, "scheme"])
-
-
 def profitable_days(daily: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     return daily.groupBy(*groups).agg(
         F.count(F.when(F.round("profit", 4) > 0, 1)).alias("profitable_days"), F.count(F.lit(1)).alias("total_days")

@@ -101,54 +101,51 @@ def recent_form(
 ) -> DataFrame:
     """Form over the last N games and the season, strictly before each spine date.
 
-    ``games`` has one row per entity and game, ``flags`` maps an output stem to a 0/1 column, ``weight`` is
-    the appearances of the game.  Adds, per stem and N, ``recent_<stem>_rate_g<N>``, with games and weight
+    ``games`` has one row per entity and game, ``flags`` maps an output stem to a 0/1 column (never NULL),
+    ``weight`` is the appearances of the game.  Adds, per stem and N, ``recent_<stem>_rate_g<N>``, with games and weight
     used; the same for ``lookback``; season rates and counts; days since the last game; the lookback rate
     shrunk towards the season rate and its difference from it.
     """
-    windows = sorted(set(windows))
-    deepest = max(*windows, lookback)
+    suffixes = {f"g{n}": n for n in sorted(set(windows))} | {"lookback": lookback}
     values = [weight, *flags.values()]
 
     # Days: the season up to a date.  Games: the last N of every day are enough to find the last N overall.
     by_day = games.groupBy(*entity, date).agg(
         F.count(F.lit(1)).alias("__games"), *[F.sum(c).alias(f"__day_{c}") for c in values]
     )
-    last_games = top_rows(games.select(*entity, date, game, *values), [*entity, date], [F.col(game).desc()], deepest)
+    last_games = top_rows(games.select(*entity, date, game, *values), [*entity, date], [F.col(game).desc()], max(suffixes.values()))
+
+    # The last N games as a difference of two running sums, so a game costs the same for every N.
+    order = Window.partitionBy(*entity).orderBy(date, game)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    running = last_games.withColumns({"__k": F.row_number().over(order)} | {f"__upto_{c}": F.sum(c).over(upto) for c in values})
+
+    def over_last(column: str, n: int) -> Column:
+        return (F.col(f"__upto_{column}") - F.coalesce(F.lag(f"__upto_{column}", n).over(order), F.lit(0))).cast("double")
+
+    form: dict[str, Column] = {}
+    for suffix, n in suffixes.items():
+        used = F.least(F.col("__k"), F.lit(n))
+        form |= {f"recent_{stem}_rate_{suffix}": over_last(column, n) / used for stem, column in flags.items()}
+        form |= {f"recent_games_used_{suffix}": used.cast("long"), f"recent_weight_used_{suffix}": over_last(weight, n)}
+    after_game = running.select(*entity, date, game, F.struct(*[c.alias(n) for n, c in form.items()]).alias("__form"))
+
     asked = spine.select(*entity, date).distinct()
     stream = (
         asked.withColumn("__kind", F.lit(0))
         .unionByName(by_day.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
-        .unionByName(last_games.withColumn("__kind", F.lit(2)), allowMissingColumns=True)
+        .unionByName(after_game.withColumn("__kind", F.lit(2)), allowMissingColumns=True)
     )
     # A date's question (kind 0) sorts before that date's own rows, so the frame below holds earlier days only.
     earlier = Window.partitionBy(*entity).orderBy(date, "__kind", game).rowsBetween(Window.unboundedPreceding, -1)
-    is_game = F.col("__kind") == 2
-    stream = stream.withColumns(
+    known = stream.withColumns(
         {
-            "__seen": F.coalesce(F.sum(F.when(is_game, 1)).over(earlier), F.lit(0)),
+            "__known": F.last("__form", ignorenulls=True).over(earlier),
             "__season_games": F.sum("__games").over(earlier),
             "__last_date": F.max(F.when(F.col("__kind") == 1, F.col(date))).over(earlier),
         }
         | {f"__season_{c}": F.sum(f"__day_{c}").over(earlier) for c in values}
-    )
-    # Games take even places, questions the odd place after the games they may see.
-    stream = stream.where("__kind <> 1").withColumn(
-        "__place", F.col("__seen") * 2 + F.when(is_game, 2).otherwise(1)
-    )
-
-    def over_last(n: int):
-        return Window.partitionBy(*entity).orderBy("__place").rangeBetween(1 - 2 * n, -1)
-
-    stems = {f"g{n}": n for n in windows} | {"lookback": lookback}
-    out: dict[str, Column] = {}
-    for suffix, n in stems.items():
-        frame = over_last(n)
-        for stem, column in flags.items():
-            out[f"recent_{stem}_rate_{suffix}"] = F.avg(F.when(is_game, F.col(column).cast("double"))).over(frame)
-        out[f"recent_games_used_{suffix}"] = F.count(F.when(is_game, 1)).over(frame)
-        out[f"recent_weight_used_{suffix}"] = F.sum(F.when(is_game, F.col(weight).cast("double"))).over(frame)
-    known = stream.withColumns(out).where("__kind = 0")
+    ).where("__kind = 0").select("*", "__known.*")
     known = known.withColumns(
         {f"season_{stem}_rate_to_date": ratio(f"__season_{c}", "__season_games") for stem, c in flags.items()}
         | {
@@ -169,10 +166,9 @@ def recent_form(
             for stem in flags
         }
     )
-    features = [c for c in known.columns if c.startswith(("recent_", "season_", "shrunk_", "days_since"))]
     # An entity without an earlier game has no form: NULL, not zero games.
-    kept = [F.when(F.col("__season_games") > 0, F.col(c)).alias(c) for c in features]
-    return join_on(spine, known.select(*entity, date, *kept), [*entity, date], "left")
+    features = [c for c in known.columns if c.startswith(("recent_", "season_", "shrunk_", "days_since"))]
+    return join_on(spine, known.select(*entity, date, *features), [*entity, date], "left")
 
 
 def recent_form_on(games: DataFrame, on: Column, *, entity: Sequence[str], date: str, **options) -> DataFrame:

@@ -63,6 +63,21 @@ def confusion_metrics(df: DataFrame, *, label: str, score: str, cut: float = 0.5
     return counts.withColumns(_confusion(*[F.col(c) for c in ("tp", "fp", "fn", "tn")]))
 
 
+def cuts_passed(score: Column | str, cuts: Sequence[float], inclusive: bool = True) -> Column:
+    """How many of the ascending cut-offs a score reaches (or exceeds): a binary search of plain comparisons."""
+    score = F.col(score) if isinstance(score, str) else score
+    cuts = sorted(cuts)
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        reached = score >= num(cuts[middle]) if inclusive else score > num(cuts[middle])
+        return F.when(reached, search(middle + 1, high)).otherwise(search(low, middle))
+
+    return search(0, len(cuts))
+
+
 def cut_table(df: DataFrame, *, label: str, score: str, cuts: Sequence[float], inclusive: bool) -> DataFrame:
     """Rows and positives at or above (or, not inclusive, strictly above) each cut-off.
 
@@ -71,7 +86,7 @@ def cut_table(df: DataFrame, *, label: str, score: str, cuts: Sequence[float], i
     """
     cuts = sorted(cuts)
     limits = F.array(*[num(c) for c in cuts])
-    passed = F.size(F.filter(limits, lambda c: F.col(score) >= c if inclusive else F.col(score) > c))
+    passed = cuts_passed(score, cuts, inclusive)
     cells = df.withColumn("__passed", passed).groupBy("__passed").agg(
         F.count(F.lit(1)).alias("__n"), F.sum(F.col(label).cast("long")).alias("__pos")
     )
@@ -112,9 +127,7 @@ def compare_scores(df: DataFrame, *, label: str, scores: tuple[str, str], cuts:
 
 def equal_width_bin(score: Column | str, bins: int = 10) -> Column:
     """0-based bin of a probability among equal-width bins, edges at i / bins, the last one closed."""
-    score = F.col(score) if isinstance(score, str) else score
-    edges = F.array(*[num(i * (1.0 / bins)) for i in range(1, bins)])
-    return F.size(F.filter(edges, lambda e: score >= e))
+    return cuts_passed(score, [i * (1.0 / bins) for i in range(1, bins)])
 
 
 def calibration_bins(df: DataFrame, *, label: str, score: str, bins: int = 10, groups: Sequence[str] = ()) -> DataFrame:
