@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from slatework.catalog.base import GAMES_SQL, form_games, query, table
@@ -9,7 +11,9 @@ from slatework.catalog.domain import DOMAIN_SQL, hitter_sources, prepared_source
 from slatework.catalog.history_queries import FORM
 from slatework.functions.numeric import num
 from slatework.operators import history, slate
-from slatework.plans import hitters, metric_store, picks, starters
+from slatework.plans import hitters, metric_store, picks, refresh, starters
+from slatework.session import scratch_folder
+from slatework.sources import sinks
 
 
 @query(
@@ -221,6 +225,39 @@ def pick_labels(spark, folder):
     return out.select("pick_id", "game_id", "label", "leading_pitcher", F.round("pitcher_era", 8).alias("pitcher_era"))
 
 
+@query(
+    "b13_pick_labels_by_text",
+    f"""WITH {DOMAIN_SQL}, pk AS (SELECT o_orderkey AS pick_id, game_date AS analysis_date, c_name, home_team, away_team FROM go),
+    j AS (SELECT pk.pick_id, pk.c_name, g.o_orderkey AS game_id FROM pk JOIN go g ON g.game_date = pk.analysis_date AND ((g.home_team = pk.home_team AND g.away_team = pk.away_team) OR (g.home_team = pk.away_team AND g.away_team = pk.home_team)) QUALIFY row_number() OVER (PARTITION BY pick_id ORDER BY g.o_orderkey) = 1),
+    hit AS (SELECT game_id, player_name, count(*) AS n FROM pl WHERE play_result IN ('Single', 'Home Run') GROUP BY ALL)
+    SELECT pick_id, j.game_id, CAST(coalesce(n, 0) > 0 AS INT) AS label FROM j LEFT JOIN hit ON hit.game_id = j.game_id AND hit.player_name = j.c_name""",
+)
+def pick_labels_by_text(spark, folder):
+    s = hitter_sources(spark, folder)
+    schedule = s.games.select(F.col("game_id").alias("pick_id"), "home_team", "away_team")
+    # Half of the descriptions name the home side first.
+    label = F.when(F.col("home_team") < F.col("away_team"), F.concat_ws(" @ ", "away_team", "home_team")).otherwise(F.concat_ws(" @ ", "home_team", "away_team"))
+    rows = _picks(spark, folder).join(schedule.select("pick_id", label.alias("game_description")), "pick_id")
+    plays = s.plays.withColumn("batter", F.regexp_replace("batter", " homered to left", ""))
+    return picks.label_picks(rows, s.games, plays, s.pitching_box, by_description=True, results=hitters.HITS).select("pick_id", "game_id", "label")
+
+
+@query(
+    "b16_daily_refresh",
+    """WITH u AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS slate, o_orderkey, max(l_extendedprice) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND o_orderstatus = 'P' GROUP BY ALL)
+    SELECT o.o_orderkey, CAST(date_trunc('month', o.o_orderdate) AS DATE) AS slate, coalesce(u.p, o_totalprice) AS p FROM orders o LEFT JOIN u ON u.o_orderkey = o.o_orderkey""",
+)
+def daily_refresh(spark, folder):
+    path = f"{scratch_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    month = F.date_trunc("month", "o_orderdate").cast("date").alias("slate")
+    orders = table(spark, folder, "orders")
+    sinks.write_snapshot(orders.select("o_orderkey", month, F.col("o_totalprice").alias("p")), path, partition="slate")
+    pending = orders.where("o_orderstatus = 'P'").select("o_orderkey", month)
+    prices = table(spark, folder, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("p"))
+    refresh.refresh_table(spark, path, pending.join(prices, "o_orderkey"), keys=["slate", "o_orderkey"], order="p", partition="slate")
+    return spark.read.parquet(path)
+
+
 @query("b14_pick_features")
 def pick_features(spark, folder):
     s = hitter_sources(spark, folder)

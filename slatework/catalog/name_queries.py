@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slatework.catalog.base import PLAYS_SQL, plays, query, rounded, table
 from slatework.functions import names
 from slatework.operators import aggregates, registry, similarity
-from slatework.operators.ordering import top_rows
+from slatework.operators.ordering import top_rows, with_positions
 
 # People: one per customer, '<word> <word> <digits>' from a part's name and the customer's number.  First
 # names repeat, surnames repeat, and the alias is the 'Last, First' spelling of a shortened name.
@@ -249,6 +249,31 @@ def pending(spark, folder):
     return registry.pending_groups(rows.drop("candidate_count", "ambiguous"), rows)
 
 
+@query(
+    "a11_team_gap_report",
+    """WITH a AS (SELECT c_mktsegment AS alias, CASE o_orderstatus WHEN 'F' THEN 'team_mismatch' WHEN 'O' THEN 'no_player_team' ELSE 'no_observed_team' END AS validation, 'raw ' || o_custkey AS raw_name, o_orderpriority AS observed, o_totalprice > 250000 AS ambiguous FROM orders JOIN customer ON c_custkey = o_custkey),
+    g AS (SELECT alias, validation, max(observed) AS observed_teams, max(CAST(ambiguous AS INT)) AS ambiguous_flag, count(*) AS raw_variant_count, string_agg(DISTINCT raw_name, ' || ' ORDER BY raw_name) AS raw_name_samples FROM a GROUP BY ALL)
+    SELECT *, row_number() OVER (ORDER BY CASE validation WHEN 'team_mismatch' THEN 1 WHEN 'no_player_team' THEN 2 WHEN 'no_observed_team' THEN 3 ELSE 4 END, raw_variant_count DESC, alias) - 1 AS place FROM g""",
+)
+def gap_report(spark, folder):
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("alias"))
+    check = F.when(F.col("o_orderstatus") == "F", "team_mismatch").when(F.col("o_orderstatus") == "O", "no_player_team").otherwise("no_observed_team")
+    rows = table(spark, folder, "orders").join(customers, "o_custkey").withColumns({"validation": check, "raw_name": F.concat(F.lit("raw "), F.col("o_custkey").cast("string"))})
+    grouped = rows.groupBy("alias", "validation").agg(
+        F.max("o_orderpriority").alias("observed_teams"), F.max((F.col("o_totalprice") > 250000).cast("int")).alias("ambiguous_flag"), F.count(F.lit(1)).alias("raw_variant_count")
+    )
+    samples = aggregates.joined_values(rows, keys=["alias", "validation"], value="raw_name", separator=" || ", name="raw_name_samples")
+    order = [registry.gap_priority("validation"), F.col("raw_variant_count").desc(), F.col("alias")]
+    return with_positions(grouped.join(samples, ["alias", "validation"]), [], order, position="place").drop("group_rows")
+
+
+@query("f8_token_sort_ratio")
+def token_sort_ratio(spark, folder):
+    people = _people(spark, folder).select("person_id", names.normalize_name("full_name").alias("a"), F.reverse(F.split("full_name", " ")).alias("w"), "team_code")
+    other = F.concat_ws(" ", F.array_join("w", " "), F.lower("team_code"))
+    return people.select("person_id", "a", other.alias("b"), similarity.indel_ratio(similarity.sorted_tokens("a"), similarity.sorted_tokens(other)).alias("ratio"))
+
+
 @query(
     "e11_failed_predictions",
     f"""WITH {PLAYS_SQL}, p AS (SELECT DISTINCT o_custkey, game_date, CASE WHEN l_linestatus = 'F' THEN 'Strikeout (K)' ELSE 'Home Run' END AS predicted FROM plays), r AS (SELECT o_custkey, game_date, l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'R' THEN 'Base Hit' WHEN 'A' THEN 'Home Run' ELSE 'Strikeout' END AS actual FROM plays)
