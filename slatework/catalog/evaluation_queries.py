@@ -98,15 +98,26 @@ def calibration_bins(spark, folder):
     return rounded(metrics.calibration_bins(_scored(spark, folder), label="label", score="proba"), 8)
 
 
+_QUANTILE_SQL = f"""{_SCORED_SQL}, e AS (SELECT unnest(quantile_cont(proba * other, [i / 10e0 for i in range(1, 10)])) AS edge FROM s),
+    b AS (SELECT CAST((SELECT count(*) FROM e WHERE edge < s.proba * s.other) AS INT) AS bin, proba * other AS p, label FROM s),
+    q AS (SELECT bin, count(*) AS "rows", avg(p) AS predicted, avg(label) AS actual, abs(avg(p) - avg(label)) AS gap FROM b GROUP BY 1)"""
+
+
+def _joint(spark, folder):
+    return _scored(spark, folder).withColumn("joint", F.col("proba") * F.col("other"))
+
+
 @query(
     "m10_quantile_calibration",
-    f"""WITH {_SCORED_SQL}, e AS (SELECT list_sort(list(proba)) AS v, count(*) AS n FROM s),
-    edges AS (SELECT i, v[CAST(ceil((n - 1) * i / 10e0) AS BIGINT) + 1] AS edge FROM e, range(1, 10) t(i)),
-    b AS (SELECT CAST((SELECT count(*) FROM edges WHERE edge <= s.proba) AS INT) AS bin, proba, label FROM s)
-    SELECT bin, count(*) AS "rows", round(avg(proba), 8) AS predicted, round(avg(label), 8) AS actual, round(abs(avg(proba) - avg(label)), 8) AS gap FROM b GROUP BY 1""",
+    f"""WITH {_QUANTILE_SQL} SELECT bin, "rows", round(predicted, 8) AS predicted, round(actual, 8) AS actual, round(gap, 8) AS gap FROM q""",
 )
 def quantile_calibration(spark, folder):
-    return rounded(metrics.quantile_calibration(_scored(spark, folder), label="label", score="proba"), 8)
+    return rounded(metrics.quantile_calibration(_joint(spark, folder), label="label", score="joint"), 8)
+
+
+@query("m10_mean_calibration_error", f"WITH {_QUANTILE_SQL} SELECT count(*) AS bins, round(avg(gap), 8) AS mean_calibration_error FROM q")
+def mean_calibration_error(spark, folder):
+    return rounded(metrics.mean_calibration_error(metrics.quantile_calibration(_joint(spark, folder), label="label", score="joint")), 8)
 
 
 @query(

@@ -199,16 +199,19 @@ def tier_summary(df: DataFrame, *, label: str, score: str, thresholds: dict[str,
 
 
 def quantile_calibration(df: DataFrame, *, label: str, score: str, bins: int = 10) -> DataFrame:
-    """Calibration over bins of equal population: edges at the score percentiles, equal scores in one bin."""
-    counts = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(label).cast("long")).alias("__pos"))
-    placed = running_totals(counts, [], [F.col(score)], {"n": "__n"})
-    # A distinct score's bin: how many of the bins - 1 inner edges lie at or below it (edge i: order statistic i (n - 1) / bins).
-    inner = F.array(*[F.lit(i) for i in range(1, bins)])
-    last = F.col("before_n") + F.col("__n") - 1
-    binned = placed.withColumn("bin", F.size(F.filter(inner, lambda i: (F.col("all_n") - 1) * i / F.lit(float(bins)) <= last)))
+    """Calibration over bins cut at the score percentiles; a score on an inner edge belongs to the bin below it.
+
+    The edges are ``bins - 1`` numbers; they are read once and become constants of a single aggregate.
+    """
+    points = [i / bins for i in range(1, bins)]
+    edges = [r["threshold"] for r in percentile_points(df, score, points).collect()]
+    binned = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).withColumn("bin", cuts_passed(score, edges, inclusive=False))
     cells = binned.groupBy("bin").agg(
-        F.sum("__n").alias("rows"),
-        ratio(F.sum(F.col(score) * F.col("__n")), F.sum("__n")).alias("predicted"),
-        ratio(F.sum("__pos"), F.sum("__n")).alias("actual"),
+        F.count(F.lit(1)).alias("rows"), F.avg(score).alias("predicted"), F.avg(F.col(label).cast("double")).alias("actual")
     )
     return cells.withColumn("gap", F.abs(F.col("predicted") - F.col("actual")))
+
+
+def mean_calibration_error(bins: DataFrame) -> DataFrame:
+    """Unweighted mean gap over the bins that hold rows."""
+    return bins.agg(F.count(F.lit(1)).alias("bins"), F.avg("gap").alias("mean_calibration_error"))
