@@ -2,10 +2,10 @@
 
 Documents are encoded where they are read; longer ones are cut into pieces of the sequence length, the first
 piece being the shorter one.  Only the pieces' numbers (not ids or texts) are dealt by row number to packing
-groups of about ``group_docs`` documents.  In a group, every piece goes to the place, among the open sequences
-of each residual gap and a new sequence, after which the sum of squared counts of open sequences per gap is
-smallest; ties go to the tighter gap.  Such a group leaves a handful of sequences open, so the number of groups
-hardly counts.
+groups of about ``group_docs`` documents.  In a group, longest first, every piece goes to the open sequence after
+which the sum of squared counts of open sequences per residual gap is smallest; ties go to the tighter gap, and a
+new sequence is opened only where the piece fits in none.  A group leaves a handful of sequences open, so the
+number of groups hardly counts.
 
 NULL and empty texts are documents with the end id alone.  Repeated rows are packed once each.  NULL ids are
 kept as they are.  An empty table gives an empty result.
@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,12 +36,12 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         gap = capacity
         if size < capacity:
             old = open_at[size:capacity]
-            # Change of the sum of squares, halved and less one, of moving a sequence from gap g to g - size.
+            # Change of the sum of squares, halved and less one, when a sequence of gap g becomes one of gap g - size.
             change = np.where(old > 0, open_at[: capacity - size] - old, never)
             if old[0] > 0:
                 change[0] = -old[0] - 1
             best = int(change.argmin())
-            if change[best] != never and change[best] <= open_at[capacity - size] - 1:
+            if change[best] != never:
                 gap = size + best
         if gap == capacity:
             sequence, fresh = fresh, fresh + 1
@@ -116,7 +115,7 @@ def _packed(capacity):
     return run
 
 
-def pack(docs: DataFrame, *, json_path: str, ranks_path: str | None = None, pattern: str | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, group_docs: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, *, json_path: str, ranks_path: str | None = None, pattern: str | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, group_docs: int = 8192) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     groups = max(1, round(docs.count() / group_docs))
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -124,5 +123,5 @@ def pack(docs: DataFrame, *, json_path: str, ranks_path: str | None = None, patt
     pieces = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         _pieces_of(json_path, ranks_path, pattern, end_id, capacity, groups), f"{columns}, pack_group long, dealt long"
     )
-    dealt = pieces.repartition(groups, "pack_group").sortWithinPartitions("pack_group", F.xxhash64("dealt"), "dealt")
+    dealt = pieces.repartition(groups, "pack_group").sortWithinPartitions("pack_group", F.desc("length"), "dealt")
     return dealt.mapInArrow(_packed(capacity), f"{columns}, sequence_id long, offset long")

@@ -38,3 +38,17 @@ def squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     from slatework.llm.packing_squares import pack
 
     return pack(table(spark, folder, "documents"), **vocabulary())
+
+
+@query("op2_sharding")
+def sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from slatework.llm.sharding import shard, winning_shard
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = F.octet_length(text).cast("long") + 1
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    placed = shard(docs, size=size)
+    return placed.select(
+        "doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
+        "shard", "slot", winning_shard(F.col("doc_id"), 17, 17).alias("grown_shard"),
+    )
