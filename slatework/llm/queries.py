@@ -52,3 +52,25 @@ def sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
         "shard", "slot", winning_shard(F.col("doc_id"), 17, 17).alias("grown_shard"),
     )
+
+
+@query("op10_language")
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    from slatework.llm.common import crc_share
+    from slatework.llm.language import detect, fit
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.where(crc_share("doc_id", 3) != 1))
+    found = detect(docs, model)
+    return found.select("doc_id", (crc_share("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op7_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from slatework.llm.common import crc_share
+    from slatework.llm.toxicity import fit, score
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, folder, "labels").where(crc_share("doc_id", 5) != 0))
+    held_out = (crc_share("doc_id", 5) == 0).alias("held_out")
+    return score(docs, model).select("doc_id", held_out, "score", "predicted", "plain_hits", "misspelt_hits", "quoted_hits")
