@@ -74,3 +74,11 @@ def toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = fit(docs, table(spark, folder, "labels").where(crc_share("doc_id", 5) != 0))
     held_out = (crc_share("doc_id", 5) == 0).alias("held_out")
     return score(docs, model).select("doc_id", held_out, "score", "predicted", "plain_hits", "misspelt_hits", "quoted_hits")
+
+
+@query("op6_quality")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    from slatework.llm.quality_mcd import STATS, judge
+
+    judged = judge(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
+    return judged.select("doc_id", *STATS, "base_failed", "kept", "distance")
