@@ -82,3 +82,35 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
 
     judged = judge(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
     return judged.select("doc_id", *STATS, "base_failed", "kept", "distance")
+
+
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+         lambda x: x <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a
+"""
+
+
+@query("op1_minhash_dedup", NEAR_DUPLICATES_SQL)
+def minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from slatework.llm.minhash import near_duplicates
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_duplicates(docs, shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
