@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slatework.llm.common import table
 
@@ -141,3 +141,41 @@ def vector_forest(spark: SparkSession, folder: str) -> DataFrame:
     from slatework.llm.vector_forest import near_vectors
 
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+#: Shares of the tokens that well-rated and poorly rated text shall have.
+MIXTURE = {"good": 0.95, "poor": 0.05}
+
+
+def rated() -> Column:
+    return F.when(F.col("quality") == 1, F.lit("good")).when(F.col("quality") == 0, F.lit("poor"))
+
+
+@query("op3_mixing")
+def mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from slatework.llm.mixing import mix
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return mix(docs, table(spark, folder, "labels"), MIXTURE, domain=rated())
+
+
+CHAT_SQL = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS said
+  FROM turns GROUP BY conv_id),
+alone AS (SELECT said, n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM whole GROUP BY said, n_turns),
+prefixes AS (SELECT DISTINCT said[1:k] AS said FROM (SELECT said, unnest(range(1, n_turns)) AS k FROM whole))
+SELECT conv_id, CAST(0 AS BIGINT) AS part, n_turns, n_copies,
+       array_to_string(list_transform(said, lambda x:
+         '<|im_start|>' || replace(x.role, '<|', '< |') || chr(10) || replace(x.text, '<|', '< |') || '<|im_end|>' || chr(10)), '') AS text
+FROM alone WHERE said NOT IN (SELECT said FROM prefixes)
+"""
+
+
+@query("op4_chat", CHAT_SQL)
+def chat(spark: SparkSession, folder: str) -> DataFrame:
+    from slatework.llm.chat import render
+
+    return render(table(spark, folder, "conversations"))
