@@ -1,22 +1,55 @@
-"""The corpus pipeline: toxicity, language, near duplicates, mixture, packing."""
+"""The corpus pipeline: toxicity, language, near duplicates, mixture, packing.
+
+Every stage works on all documents its predecessor kept, takes (spark, docs, sf_dir), and all but the last return the
+columns of ``documents``.  Rows with a NULL id are judged by their texts and stay where a decision is tied to an id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slatework.llm.common import table, written
-from slatework.llm.queries import vocabulary
+from slatework.llm import language, minhash, mixing, packing_squares, toxicity
+from slatework.llm.common import crc_share, table, written
+from slatework.llm.queries import MIXTURE, rated, vocabulary
 
+#: Models, sketches and packing groups have no SQL; the stages are tested against brute force and planted cases.
 ORACLE_SQL = None
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from slatework.llm.packing_squares import pack
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(crc_share("doc_id", 5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=docs.columns)
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language.fit(docs.where(crc_share("doc_id", 3) != 1))
+    return language.detect(docs, model, keep=docs.columns).where("NOT rejected").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
+    return docs.join(written(others), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rates are at most one here: the mixture is reached by leaving documents out, none is repeated."""
+    mixed = mixing.mix(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), MIXTURE, domain=rated(), cap=1.0)
+    left_out = written(mixed.where("copies = 0").select("doc_id"))
+    return docs.join(left_out, "doc_id", "left_anti").select(*docs.columns)
+
 
-    return pack(docs, **vocabulary())
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing_squares.pack(docs, **vocabulary())
 
 
-STAGES = [("best-fit packing", packing)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language ID", drop_unknown_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("mixing sources to target weights", mix_to_targets),
+    ("best-fit packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,3 +179,13 @@ def chat(spark: SparkSession, folder: str) -> DataFrame:
     from slatework.llm.chat import render
 
     return render(table(spark, folder, "conversations"))
+
+
+@query("op9_token_matrices")
+def token_matrices(spark: SparkSession, folder: str) -> DataFrame:
+    from slatework.llm.packing_ids import pack_ids
+
+    packed = pack_ids(table(spark, folder, "documents"), **vocabulary())
+    return packed.select(
+        "sequence_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "cu_seqlens", F.crc32("positions").alias("positions_crc32"), "doc_ids", "starts"
+    )
