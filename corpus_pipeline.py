@@ -18,13 +18,13 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(crc_share("doc_id", 5) != 0)
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=docs.columns)
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=docs.columns, prefix="__")
+    return scored.where("__predicted = 0").select(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(crc_share("doc_id", 3) != 1))
-    return language.detect(docs, model, keep=docs.columns).where("NOT rejected").select(*docs.columns)
+    return language.detect(docs, model, keep=docs.columns, prefix="__").where("NOT __rejected").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,6 +29,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_of(columns: Sequence[str], added: Sequence[str]) -> list[str]:
+    """The columns whose names are not among the added ones (letter case aside): added columns take the place of those."""
+    taken = {a.lower() for a in added}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under neutral column names, so that none meets a working column, and the names by original name."""
+    names = {c: f"__in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def crc_share(key: str, modulo: int) -> Column:
     """crc32 of the key as text, modulo ``modulo``: the folds that the contracts fix.  NULL keys read as ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(modulo))

@@ -12,7 +12,7 @@ table of logits per subword, distinct words are looked up once per batch, and a
 
 NULL texts and texts without a letter get ``und`` with score 0 and are rejected.  Rows with NULL labels do not
 train.  With no usable labelled row, every text is ``und``.  Repeated rows are scored alike.  An empty table gives
-an empty result.  Extra columns can be kept; names that clash with the added ones are refused.
+an empty result.  Extra columns can be kept; those named like an added one are replaced by it, unless ``prefix`` renames what is added.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from slatework.llm.common import free_of
 from slatework.llm.encoding import slices
 
 UNKNOWN = "und"
@@ -174,7 +175,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     return train([r["t"] for r in rows], [r["l"] for r in rows]) if rows else None
 
 
-def _predict(model: Model | None, text: str, keep: list[str]):
+def _predict(model: Model | None, text: str, keep: list[str], added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text):
@@ -196,16 +197,15 @@ def _predict(model: Model | None, text: str, keep: list[str]):
                     names = [model.langs[b] if n else UNKNOWN for b, n in zip(best, letters)]
                     out = (letters == 0) | (score < model.threshold)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in keep], pa.array(names, pa.string()), pa.array(score), pa.array(out)], names=[*keep, *ADDED]
+                    [*[batch.column(c) for c in keep], pa.array(names, pa.string()), pa.array(score), pa.array(out)], names=[*keep, *added]
                 )
 
     return run
 
 
-def detect(docs: DataFrame, model: Model | None, *, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def detect(docs: DataFrame, model: Model | None, *, text: str = "text", keep: Sequence[str] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The kept columns with ``lang_pred``, ``score`` and ``rejected``."""
-    keep = list(keep)
-    if set(keep) & set(ADDED):
-        raise ValueError(f"columns {sorted(set(keep) & set(ADDED))} are taken")
+    added = [prefix + a for a in ADDED]
+    keep = free_of(keep, added)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_predict(model, text, keep), f"{schema}, lang_pred string, score double, rejected boolean")
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_predict(model, text, keep, added), f"{schema}, {added[0]} string, {added[1]} double, {added[2]} boolean")

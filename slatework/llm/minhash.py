@@ -50,7 +50,8 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         rolled = words.copy()
         for k in range(1, size):
-            rolled[: len(words) - k] = rolled[: len(words) - k] * _STEP + words[k:]
+            whole = max(0, len(words) - k)
+            rolled[:whole] = rolled[:whole] * _STEP + words[k:]
         rolled = _mixed(rolled)
         out = []
         for begin, end in zip(offsets, offsets[1:]):

@@ -10,7 +10,7 @@ most ``cap``, where given).  The whole number of copies is the rate rounded up o
 NULL and empty texts have no tokens; their posteriors come from the same statistics.  Rows with NULL labels or ids do
 not teach.  A domain without documents keeps its target, which then cannot be met.  With no labelled rows all
 posteriors are equal.  Repeated rows get equal rates.  An empty table gives an empty result.  Extra columns are kept;
-names that clash with the added ones are refused.
+those named like an added one are replaced by it.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from slatework.llm.common import SPACE, words_of, written
+from slatework.llm.common import free_of, masked, words_of, written
 
 _BINS = 12
 _GRID = 1000
@@ -50,15 +50,15 @@ FEATURES = ["size", "word_size", "symbols", "digits", "marks", "distinct", "line
 
 
 def described(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with ``n_tokens`` (words) and the binned statistics f_*."""
+    """``docs`` without the text, with ``n_tokens`` (words) and the binned statistics __f_*."""
     first = docs.withColumn("__words", words_of(F.col(text))).withColumns({"n_tokens": F.size("__words").cast("long"), "__distinct": F.size(F.array_distinct("__words"))})
-    binned = first.withColumns({f"f_{k}": v for k, v in _features(F.col(text)).items()})
+    binned = first.withColumns({f"__f_{k}": v for k, v in _features(F.col(text)).items()})
     return binned.drop("__words", "__distinct", text)
 
 
 def posteriors(rows: DataFrame, labelled: DataFrame, domains: Sequence[str]) -> DataFrame:
-    """``rows`` with p_0, p_1, ... in thousandths that sum to 1000; ``labelled`` holds f_* and ``domain``."""
-    cells = labelled.where(F.col("domain").isin(list(domains))).select("domain", F.posexplode(F.array(*[f"f_{k}" for k in FEATURES])).alias("feature", "bin"))
+    """``rows`` with __p_0, __p_1, ... in thousandths that sum to 1000; ``labelled`` holds __f_* and ``domain``."""
+    cells = labelled.where(F.col("domain").isin(list(domains))).select("domain", F.posexplode(F.array(*[f"__f_{k}" for k in FEATURES])).alias("feature", "bin"))
     # At most domains x features x bins rows come to the driver.
     counts = {(r["domain"], r["feature"], r["bin"]): r["count"] for r in cells.groupBy("domain", "feature", "bin").count().collect()}
     of = {d: sum(v for (x, f, _), v in counts.items() if x == d and f == 0) for d in domains}
@@ -70,16 +70,16 @@ def posteriors(rows: DataFrame, labelled: DataFrame, domains: Sequence[str]) ->
         score = F.lit(math.log((of[d] + 1) / (everyone + len(domains))))
         for i, k in enumerate(FEATURES):
             values = [tempered * math.log((counts.get((d, i, b), 0) + 0.5) / (of[d] + 0.5 * _BINS)) for b in range(_BINS)]
-            score = score + F.element_at(F.array(*map(F.lit, values)), F.col(f"f_{k}") + 1)
+            score = score + F.element_at(F.array(*map(F.lit, values)), F.col(f"__f_{k}") + 1)
         logs.append(score)
     rows = rows.withColumns({f"__l{i}": x for i, x in enumerate(logs)})
     best = F.greatest(*[f"__l{i}" for i in range(len(domains))]) if len(domains) > 1 else F.col("__l0")
     rows = rows.withColumns({f"__e{i}": F.exp(F.col(f"__l{i}") - best) for i in range(len(domains))})
     total = sum((F.col(f"__e{i}") for i in range(len(domains))), F.lit(0.0))
-    rows = rows.withColumns({f"p_{i}": F.round(F.col(f"__e{i}") / total * _GRID).cast("int") for i in range(1, len(domains))})
-    rest = sum((F.col(f"p_{i}") for i in range(1, len(domains))), F.lit(0))
+    rows = rows.withColumns({f"__p_{i}": F.round(F.col(f"__e{i}") / total * _GRID).cast("int") for i in range(1, len(domains))})
+    rest = sum((F.col(f"__p_{i}") for i in range(1, len(domains))), F.lit(0))
     # Rounding is settled in the first domain.
-    return rows.withColumn("p_0", (_GRID - rest).cast("int")).drop(*[f"__{x}{i}" for x in "le" for i in range(len(domains))])
+    return rows.withColumn("__p_0", (_GRID - rest).cast("int")).drop(*[f"__{x}{i}" for x in "le" for i in range(len(domains))])
 
 
 def fit_rates(rows: DataFrame, weights: Sequence[float], *, total: float | None = None, cap: float | None = None, steps: int = 60, pull: float = 1e-3, close: float = 1e-4) -> DataFrame:
@@ -89,7 +89,7 @@ def fit_rates(rows: DataFrame, weights: Sequence[float], *, total: float | None
     domain allows at that rate.
     """
     k, goal = len(weights), [w / sum(weights) for w in weights]
-    names = [f"p_{i}" for i in range(k)]
+    names = [f"__p_{i}" for i in range(k)]
     cells = written(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")).withColumn("rate", F.lit(1.0)))
     expected = lambda rate: [F.coalesce(F.sum(rate * F.col("tokens") * F.col(n) / _GRID), F.lit(0.0)) for n in names]
     plain = list(cells.agg(*expected(F.lit(1.0))).first())
@@ -119,21 +119,20 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], *, dom
 
     ``domain`` is an expression over ``labels``; ``targets`` gives each domain's share of the tokens.
     """
-    domains = list(targets)
-    clash = {*ADDED, *[f"p_{d}" for d in domains]} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are taken")
-    rows = written(described(docs, text))
+    domains, original = list(targets), docs.columns
+    docs, own = masked(docs)
+    rows = written(described(docs, own[text]))
     known = labels.select(F.col(doc_id).alias("__key"), domain.alias("domain")).where(F.col("domain").isNotNull() & F.col("__key").isNotNull())
     # One label per document: the smallest where a document has several.
     known = known.groupBy("__key").agg(F.min("domain").alias("domain"))
-    labelled = rows.join(known, rows[doc_id] == known["__key"]).drop("__key")
+    labelled = rows.join(known, rows[own[doc_id]] == known["__key"]).drop("__key")
     scored = written(posteriors(rows, labelled, domains))
-    names = [f"p_{i}" for i in range(len(domains))]
+    names = [f"__p_{i}" for i in range(len(domains))]
     rates = fit_rates(scored, list(targets.values()), total=total, cap=cap)
     mixed = scored.join(rates, names, "left")
-    draw = F.pmod(F.xxhash64(F.lit("copies"), doc_id), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit("copies"), own[doc_id]), F.lit(1 << 30)) / float(1 << 30)
+    rest = [c for c in free_of(original, [*ADDED, *[f"p_{d}" for d in domains]]) if c != text]
     return mixed.select(
-        *[c for c in docs.columns if c != text], "n_tokens", *[(F.col(n) / _GRID).alias(f"p_{d}") for n, d in zip(names, domains)],
+        *[F.col(own[c]).alias(c) for c in rest], "n_tokens", *[(F.col(n) / _GRID).alias(f"p_{d}") for n, d in zip(names, domains)],
         "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"),
     )

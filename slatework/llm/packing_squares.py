@@ -36,10 +36,10 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         gap = capacity
         if size < capacity:
             old = open_at[size:capacity]
-            # Change of the sum of squares, halved and less one, when a sequence of gap g becomes one of gap g - size.
-            change = np.where(old > 0, open_at[: capacity - size] - old, never)
+            # Change of the sum of squares, less two, when a sequence of gap g becomes one of gap g - size.
+            change = np.where(old > 0, 2 * (open_at[: capacity - size] - old), never)
             if old[0] > 0:
-                change[0] = -old[0] - 1
+                change[0] = -2 * old[0] - 1
             best = int(change.argmin())
             if change[best] != never:
                 gap = size + best

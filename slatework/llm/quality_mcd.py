@@ -11,7 +11,7 @@ language's by ``prior`` documents, and documents farther than the chi-square cut
 
 NULL, empty and blank texts count no words and fail the base rule.  NULL languages and sources are groups of their
 own.  Repeated rows count and are judged like all others.  An empty table gives an empty result.  Extra columns are
-kept; names that clash with the added ones are refused.
+kept; those named like an added one are replaced by it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from slatework.llm.common import SPACE, words_of, written
+from slatework.llm.common import SPACE, free_of, masked, words_of, written
 from slatework.operators.ordering import join_on
 
 SYMBOLS = "#*$%&|<>"
@@ -176,7 +176,7 @@ def _concentrated(rows: DataFrame, shapes: DataFrame, groups: list[str], coverag
     return kept.groupBy(*groups, "start").agg(*[F.sum(c).alias(c) for c in _SUMS])
 
 
-def estimate(rows: DataFrame, groups: Sequence[str], *, broad: Sequence[str], coverage: float = 0.75, steps: int = 4, prior: float = 40.0) -> DataFrame:
+def estimate(rows: DataFrame, groups: Sequence[str], *, broad: Sequence[str], coverage: float = 0.6, steps: int = 4, prior: float = 40.0) -> DataFrame:
     """Per group the minimum-covariance-determinant mean and inverse factor, drawn towards the broad group's."""
     groups, broad = list(groups), list(broad)
     shapes = written(_starts(rows, groups))
@@ -204,16 +204,16 @@ def estimate(rows: DataFrame, groups: Sequence[str], *, broad: Sequence[str], co
     return _factor(both).select(*groups, *_SHAPE)
 
 
-def judge(docs: DataFrame, *, text: str = "text", groups: Sequence[str] = ("lang", "source"), broad: Sequence[str] = ("lang",), tail: float = 1e-7, coverage: float = 0.75, steps: int = 4) -> DataFrame:
+def judge(docs: DataFrame, *, text: str = "text", groups: Sequence[str] = ("lang", "source"), broad: Sequence[str] = ("lang",), tail: float = 1e-7, coverage: float = 0.6, steps: int = 4) -> DataFrame:
     """``docs`` without the text, with STATS, ``base_failed``, ``distance`` (squared; NULL where the base failed), ``kept``."""
-    clash = set(ADDED) & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are taken")
+    original = docs.columns
+    docs, names = masked(docs)
+    text, groups, broad = names[text], [names[g] for g in groups], [names[b] for b in broad]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = written(text_stats(docs, text).withColumn("base_failed", failed).withColumns({f"x{i}": v for i, v in enumerate(vector())}))
     fitted = written(estimate(stats.where(~F.col("base_failed")), groups, broad=broad, coverage=coverage, steps=steps))
-    judged = join_on(stats, fitted, list(groups), "left")
+    judged = join_on(stats, fitted, groups, "left")
     distance = F.when(~F.col("base_failed"), _distance())
     kept = ~F.col("base_failed") & (distance <= chi_square_cut(_P, 1 - tail))
-    rest = [c for c in docs.columns if c != text]
+    rest = [F.col(names[c]).alias(c) for c in free_of(original, ADDED) if names[c] != text]
     return judged.select(*rest, *STATS, "base_failed", distance.alias("distance"), kept.alias("kept"))

@@ -9,7 +9,7 @@ Fisher-Yates permutation with Spark's seeded ``shuffle``.  A record's slot is it
 shard's earlier buckets.
 
 NULL keys are one key of their own.  NULL texts count no bytes.  Repeated rows are kept, each with its own slot.
-Extra columns travel along; names that clash with the added ones are refused.  An empty table gives an empty
+Extra columns travel along; those named like an added one are replaced by it.  An empty table gives an empty
 result.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from slatework.llm.common import written
+from slatework.llm.common import free_of, written
 
 ADDED = ["shard", "slot"]
 
@@ -30,9 +30,7 @@ def winning_shard(key: Column, shards: int, seed: int) -> Column:
 
 def shard(docs: DataFrame, *, key: str = "doc_id", size: Column, shards: int = 16, seed: int = 17, bucket_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard)."""
-    clash = {*ADDED, "__row", "__bucket"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are taken")
+    docs = docs.select(*free_of(docs.columns, [*ADDED, "__row", "__bucket"]))
     total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     buckets = max(1, -(-total // (shards * bucket_bytes)))
     place = F.xxhash64(F.lit(seed + 1), key, "__row")

@@ -11,7 +11,8 @@ weights by its prior, gives the score.
 
 Labels enter only through the rows given to ``fit``.  NULL and empty texts have no hits and get the score of that.
 NULL labels do not train, and of two labels of one document the larger counts.  With no usable labelled row the
-lexicon is empty.  Repeated rows are scored alike.  An empty table gives an empty result.
+lexicon is empty.  Repeated rows are scored alike.  An empty table gives an empty result.  Extra columns can be
+kept; those named like an added one are replaced by it, unless ``prefix`` renames what is added.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from slatework.llm.common import bounded_sample, written
+from slatework.llm.common import bounded_sample, free_of, written
 from slatework.llm.encoding import slices
 
-ADDED = ["score", "predicted"]
+ADDED = ["score", "predicted", "plain_hits", "misspelt_hits", "quoted_hits"]
 STEM = "*"
 _STEMS = (5, 6)
 # Signs that look like letters.
@@ -333,7 +334,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float
     return w
 
 
-def _score(model: Model, text: str, keep: list[str]):
+def _score(model: Model, text: str, keep: list[str], added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text):
@@ -341,19 +342,17 @@ def _score(model: Model, text: str, keep: list[str]):
                 score = model.score(features)
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c) for c in keep], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *[pa.array(features[:, i].astype(np.int64)) for i in range(3)]],
-                    names=[*keep, *ADDED, "plain_hits", "misspelt_hits", "quoted_hits"],
+                    names=[*keep, *added],
                 )
 
     return run
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: Model, *, text: str = "text", keep: Sequence[str] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The kept columns with ``score``, ``predicted`` (score >= 0.5) and the hits by kind."""
-    keep = list(keep)
-    added = [*ADDED, "plain_hits", "misspelt_hits", "quoted_hits"]
-    if set(keep) & set(added):
-        raise ValueError(f"columns {sorted(set(keep) & set(added))} are taken")
+    added = [prefix + a for a in ADDED]
+    keep = free_of(keep, added)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(
-        _score(model, text, keep), f"{schema}, score double, predicted int, plain_hits long, misspelt_hits long, quoted_hits long"
+        _score(model, text, keep, added), ", ".join([schema, *[f"{a} {kind}" for a, kind in zip(added, ["double", "int", "long", "long", "long"])]])
     )

@@ -5,8 +5,8 @@ and again at the median of a random projection, where classes close to the cut g
 small or no longer shrinks.  Levels are split for all trees and leaves at once, by one aggregation each.  Within a
 leaf all classes are compared by exact cosine in double precision; a leaf that stayed large is compared block by
 block, over several tasks.  A pair that meets in several leaves counts in the smallest of them only, which each side
-knows from its own list of leaves, so links are counted without writing pairs.  Leaves send one row per class to the
-union: its smallest partner class there.
+knows from its own list of leaves, so links are counted without writing pairs.  Leaves join their classes first and send
+one row per class to the union of all leaves.
 
 Vectors that are NULL, empty, zero, or hold NULL or non-finite components, and those with a NULL label, are linked
 with nothing.  Vectors of different lengths are not compared.  Repeated rows are linked with each other.  A NULL id
@@ -83,6 +83,21 @@ def leaves_of(classes: DataFrame, *, trees: int, leaf_rows: int, spill: float, s
     return closed.union(open_rows.select("node", "leaf"))
 
 
+def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the sets of each pair; afterwards ``parent`` names the smallest member of every set."""
+    while True:
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            return
+        np.minimum.at(parent, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            further = parent[parent]
+            if (further == parent).all():
+                break
+            parent[:] = further
+
+
 def _compared(least: float):
     def run(key, table):
         table = table.combine_chunks()
@@ -97,7 +112,7 @@ def _compared(least: float):
         for i, own in enumerate(lists):
             own = [v for v in own if v < leaf]
             earlier[i, : len(own)] = own
-        links, partner = np.zeros(len(node), np.int64), node.copy()
+        links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         for begin in range(0, len(left), 512):
             some = left[begin : begin + 512]
@@ -105,8 +120,7 @@ def _compared(least: float):
             a, b = some[a], right[b]
             pick = a < b if low == high else np.ones(len(a), bool)
             a, b = a[pick], b[pick]
-            np.minimum.at(partner, a, node[b])
-            np.minimum.at(partner, b, node[a])
+            _unite(parent, a, b)
             for start in range(0, len(a), 50_000):
                 c, d = a[start : start + 50_000], b[start : start + 50_000]
                 met = np.zeros(len(c), bool)
@@ -116,6 +130,7 @@ def _compared(least: float):
                 c, d = c[~met], d[~met]
                 np.add.at(links, c, rows[d])
                 np.add.at(links, d, rows[c])
+        partner = node[parent]
         keep = (links > 0) | (partner != node)
         return pa.table({"node": node[keep], "links": links[keep], "partner": partner[keep]})
 
