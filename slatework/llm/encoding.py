@@ -9,6 +9,7 @@ vocabulary is given as ranks, ``tiktoken`` encodes the chunks, at several times
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +106,25 @@ def slices(batch: pa.RecordBatch, column: str):
         begin = end
 
 
+def runs(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys, from batches sorted by them."""
+    held, current = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            key = tuple(c[begin] for c in columns)
+            if held and key != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with ``end_id`` after each text."""
     out = np.full(len(ids) + len(sizes), end_id, np.uint32)

@@ -3,9 +3,10 @@
 A document's set holds the 64-bit hashes of its distinct word shingles.  One permutation fills the bins of the
 signature; empty bins borrow from the first filled bin of their own fixed random order (optimal densification).
 Runs of bins are bands, equal bands are buckets.  Documents with equal sets form one class, and only classes go into
-buckets.  A bucket's candidates form a star: its best-connected class is compared with all others, on the full sets.
-Stars whose members end in one component are done; in the rest, further classes take the centre, twice as many each
-round, until every bucket is done, so a bucket of n alike classes costs n comparisons and no pair is given up.
+buckets.  A bucket's candidates form a star: its best-connected class is compared with all others, on the full sets, so
+a bucket of n alike classes costs n pairs.  Buckets whose members end in one component are done.  In the others an
+exact pass looks for links between different components, in blocks of members and without writing pairs: only one
+candidate link per pair of components leaves it, and it is confirmed on the full sets like all others.
 
 A document with fewer words than a shingle has one shingle, its whole sequence.  NULL, empty and blank texts have
 empty sets and are linked with nothing.  Repeated rows fall into one class.  Rows with
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from slatework.llm.common import written
 from slatework.llm.components import components
-from slatework.llm.encoding import slices
+from slatework.llm.encoding import runs, slices
 from slatework.operators.ordering import top_rows
 
+#: Members of a bucket that are compared in one task at most with as many others.
+_BLOCK = 256
 _SPACE = r"[\x20\x09-\x0D]+"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -120,7 +123,12 @@ def _sets_of(size: int):
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = shingle_sets(batch.column("text"), size)
-                yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([
+                        pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                        pa.array([(s >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())),
+                    ],
+                    names=["node", "hashes", "short"],
+                )
 
     return run
 
@@ -137,33 +145,60 @@ def _linked(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
     return joined.where(F.when(bounded, alike).otherwise(False)).select("a", "b")
 
 
-def star_links(members: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verified links and components of the classes in ``members`` (bucket, node, n, degree)."""
-    links, labels, tested, centres = None, None, None, 1
-    members = members.withColumn("label", F.col("node"))
-    while True:
-        chosen = top_rows(members, ["bucket"], [F.desc("degree"), F.col("node")], centres)
-        chosen = written(chosen.select("bucket", F.col("node").alias("centre"), F.col("label").alias("centre_label"), F.col("n").alias("centre_n")))
-        pairs = members.join(chosen, "bucket").where(
-            (F.col("label") != F.col("centre_label"))
-            & (denominator * F.least("n", "centre_n") >= numerator * F.greatest("n", "centre_n"))
-        )
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        found = written(_linked(pairs, sets, numerator, denominator))
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        rest = members.join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti").drop("label")
-        rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rest = written(rest)
-        open_ones = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        members = written(rest.join(open_ones, "bucket", "left_semi"))
-        if members.isEmpty():
-            return links, labels
-        centres *= 2
+def _rest_links(least: float):
+    """Links that join different components of a bucket, one per pair of components, from its members' short sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ["bucket", "low", "high"]):
+            node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
+            short = rows.column("short").combine_chunks()
+            sizes = np.diff(short.offsets.to_numpy())
+            _, code = np.unique(short.flatten().to_numpy(), return_inverse=True)
+            owner = np.repeat(np.arange(len(node)), sizes)
+            order = np.argsort(code, kind="stable")
+            holders, starts = owner[order], np.searchsorted(code[order], np.arange(code.max() + 2))
+            ends = np.cumsum(sizes)
+            _, group = np.unique(label, return_inverse=True)
+            block, low, high = rows.column("block").to_numpy(), rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+            largest = np.bincount(group).argmax()
+            links = []
+            # Each pair of components has a side outside the largest one, and that side asks.
+            for i in np.flatnonzero(group != largest):
+                other = (group != group[i]) & ((block != block[i]) if low != high else True)
+                if not other.any():
+                    continue
+                own = code[ends[i] - sizes[i] : ends[i]]
+                shared = np.bincount(np.concatenate([holders[starts[c] : starts[c + 1]] for c in own]), minlength=len(node))
+                for j in np.flatnonzero(other & (shared >= least * (sizes + sizes[i] - shared))):
+                    if group[i] != group[j]:
+                        links.append((int(node[i]), int(node[j])))
+                        group[group == group[i]] = group[j]
+            if links:
+                left, right = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+
+    return run
+
+
+def star_links(members: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Components (node, label) of the classes in ``members`` (bucket, node, n, degree)."""
+    centres = written(top_rows(members, ["bucket"], [F.desc("degree"), F.col("node")]).select("bucket", F.col("node").alias("centre"), F.col("n").alias("centre_n")))
+    near = denominator * F.least("n", "centre_n") >= numerator * F.greatest("n", "centre_n")
+    pairs = members.join(centres, "bucket").where((F.col("node") != F.col("centre")) & near)
+    pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    links = written(_linked(pairs, sets, numerator, denominator))
+    labels = components(links)
+    rest = written(members.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    wide = rest.groupBy("bucket").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.ceil(F.count(F.lit(1)) / F.lit(_BLOCK)).cast("int").alias("blocks"))
+    rest = written(rest.join(wide.where("first < last").select("bucket", "blocks"), "bucket"))
+    if rest.isEmpty():
+        return labels
+    # Large buckets are compared block by block, over many tasks.
+    placed = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "label", "block")
+    placed = placed.join(sets.select("node", "short"), "node").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
+    found = written(placed.mapInArrow(_rest_links(numerator / denominator), "a long, b long").distinct())
+    return components(links.union(_linked(found, sets, numerator, denominator)))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
@@ -184,9 +219,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     else:
         wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
         # The class is worked out from the text again, so ids that occur with different texts do no harm.
-        by_class = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets_of(shingle), "node long, hashes array<long>")
+        by_class = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets_of(shingle), "node long, hashes array<long>, short array<int>")
         sets = written(by_class.where(F.col("node").isNotNull()).dropDuplicates(["node"]))
-        _, labels = star_links(members, sets, percent, 100)
+        labels = star_links(members, sets, percent, 100)
         labelled = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         labelled = written(labelled)
         smallest = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from slatework.llm.encoding import encoder, slices, with_end
+from slatework.llm.encoding import encoder, runs, slices, with_end
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,8 +105,7 @@ def _pieces_of(json_path, ranks_path, pattern, end_id, capacity, groups, kind):
 
 
 def _matrices(capacity: int, pad_id: int, kind: str):
-    def rows_of(group: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts)
+    def rows_of(group: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         length = table.column("length").to_numpy()
         sequence, total = best_fit(length, capacity)
         order = np.argsort(sequence, kind="stable")
@@ -143,20 +142,8 @@ def _matrices(capacity: int, pad_id: int, kind: str):
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
-        for batch in batches:
-            groups = batch.column("pack_group").to_numpy()
-            cuts = np.flatnonzero(np.diff(groups)) + 1
-            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(groups)]):
-                if begin == end:
-                    continue
-                if groups[begin] != current:
-                    if held:
-                        yield from rows_of(current, held)
-                    current, held = int(groups[begin]), []
-                held.append(batch.slice(begin, end - begin))
-        if held:
-            yield from rows_of(current, held)
+        for table in runs(batches, ["pack_group"]):
+            yield from rows_of(table.column("pack_group")[0].as_py(), table)
 
     return run
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from slatework.llm.encoding import encoder, slices, with_end
+from slatework.llm.encoding import encoder, runs, slices, with_end
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,27 +90,12 @@ def _pieces_of(json_path, ranks_path, pattern, end_id, capacity, groups):
 
 
 def _packed(capacity):
-    def finish(group: int, tables: list[pa.Table]) -> pa.Table:
-        rows = pa.concat_tables(tables)
-        sequence, offset = place(rows.column("length").to_numpy(), capacity)
-        rows = rows.append_column("sequence_id", pa.array((group << 36) + sequence)).append_column("offset", pa.array(offset))
-        return rows.drop_columns(["pack_group", "dealt"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
-        for batch in batches:
-            groups = batch.column("pack_group").to_numpy()
-            cuts = np.flatnonzero(np.diff(groups)) + 1
-            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(groups)]):
-                if begin == end:
-                    continue
-                if groups[begin] != current:
-                    if held:
-                        yield from finish(current, held).to_batches()
-                    current, held = int(groups[begin]), []
-                held.append(pa.Table.from_batches([batch.slice(begin, end - begin)]))
-        if held:
-            yield from finish(current, held).to_batches()
+        for rows in runs(batches, ["pack_group"]):
+            sequence, offset = place(rows.column("length").to_numpy(), capacity)
+            group = rows.column("pack_group")[0].as_py()
+            rows = rows.append_column("sequence_id", pa.array((group << 36) + sequence)).append_column("offset", pa.array(offset))
+            yield from rows.drop_columns(["pack_group", "dealt"]).to_batches()
 
     return run
 
