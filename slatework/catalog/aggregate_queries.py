@@ -381,7 +381,7 @@ def rematch_average(spark, folder):
 
 @query(
     "s9_date_coverage",
-    "SELECT CAST(o_orderdate AS DATE) AS game_date, CAST(count(*) AS BIGINT) AS total_rows, count(DISTINCT o_custkey) AS distinct_entities FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 365",
+    "SELECT CAST(o_orderdate AS DATE) AS game_date, CAST(count(*) AS BIGINT) AS total_rows, count(DISTINCT o_custkey) AS distinct_entities FROM orders GROUP BY 1 ORDER BY 1 DESC",
 )
 def date_coverage(spark, folder):
     orders = table(spark, folder, "orders").select(F.to_date("o_orderdate").alias("game_date"), "o_custkey")

@@ -167,7 +167,7 @@ def anti_count(spark, folder):
 def contains_join(spark, folder):
     listed = table(spark, folder, "benchmark").select(F.explode(joins.words("text")).alias("word")).distinct()
     texts = table(spark, folder, "documents").select("doc_id", "source", "text")
-    found = joins.mentions(texts, listed, text="text", name="word", lengths=[1])
+    found = joins.mentions(texts, listed, text="text", name="word")
     per_source = found.groupBy("word", "source").agg(F.count(F.lit(1)).alias("n"))
     return per_source.groupBy("word").agg(F.sum("n").alias("documents"), F.array_join(F.sort_array(F.collect_list("source")), "|").alias("sources"))
 

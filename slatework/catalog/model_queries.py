@@ -31,12 +31,18 @@ _TRAINING_SQL = """x AS (SELECT l_orderkey AS o_orderkey, count(*) AS lines, avg
     t AS (SELECT o.o_orderkey, CAST(o_orderdate AS DATE) AS game_date, o_totalprice AS price, x.* EXCLUDE (o_orderkey), CAST(returned > 0 AS INT) AS label FROM orders o JOIN x USING (o_orderkey))"""
 
 
-@query("m1_median_imputation")
+@query(
+    "m1_median_imputation",
+    f"""WITH {_TRAINING_SQL}, m AS (SELECT quantile_cont(CAST(tax AS DOUBLE), 0.5) AS tax, quantile_cont(price, 0.5) AS price FROM t)
+    SELECT t.o_orderkey, round(coalesce(t.tax, m.tax), 6) AS tax_filled, round(coalesce(t.price, m.price), 6) AS price_filled, round(m.price, 6) AS price_median FROM t, m""",
+)
 def imputation(spark, folder):
     rows = _training(spark, folder)
-    model = models.fit_linear(rows, FEATURES, "label")
-    filled = model.model.stages[0].transform(rows.withColumns({c: F.col(c).cast("double") for c in FEATURES}))
-    return filled.select(*KEY, "tax", F.col("__f_tax").alias("tax_filled"))
+    medians = models.exact_medians(rows, ["tax", "price"])
+    out = models.filled(rows, medians)
+    return out.select(
+        *KEY, F.round("__f_tax", 6).alias("tax_filled"), F.round("__f_price", 6).alias("price_filled"), F.round(F.lit(medians["price"]), 6).alias("price_median")
+    )
 
 
 @query(

@@ -293,7 +293,7 @@ def failed(spark, folder):
 def factor_lookup(spark, folder):
     factors = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") / 100).alias("f"))
     customers = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"))
-    return rounded(registry.factor_or_default(customers, factors, key="nation", factor="f", constants={}, minimum=2)).select("c_custkey", "park_factor")
+    return rounded(registry.factor_or_default(customers, factors, key="nation", factor="f", constants={})).select("c_custkey", "park_factor")
 
 
 @query("j18_fuzzy_join")

@@ -322,8 +322,9 @@ def average_rematch_rate(rates: DataFrame, minimum: int) -> DataFrame:
     return reliable.agg(F.count(F.lit(1)).alias("pairs"), F.avg("revenge_rate").alias("avg_revenge_rate"))
 
 
-def date_coverage(df: DataFrame, *, date: str, entity: str, limit: int = 365) -> DataFrame:
-    """Dates with row and distinct-entity counts, newest first."""
+def date_coverage(df: DataFrame, *, date: str, entity: str, limit: int | None = None) -> DataFrame:
+    """Dates with row and distinct-entity counts, newest first; ``limit`` dates where given."""
     per_entity = df.where(F.col(date).isNotNull()).groupBy(date, entity).agg(F.count(F.lit(1)).alias("__n"))
     per_date = per_entity.groupBy(date).agg(F.sum("__n").alias("total_rows"), F.count(entity).alias("distinct_entities"))
-    return per_date.orderBy(F.col(date).desc()).limit(limit)
+    newest = per_date.orderBy(F.col(date).desc())
+    return newest if limit is None else newest.limit(limit)

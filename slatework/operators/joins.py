@@ -103,14 +103,19 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def mentions(texts: DataFrame, names: DataFrame, *, text: str, name: str, lengths: Sequence[int]) -> DataFrame:
+def mentions(texts: DataFrame, names: DataFrame, *, text: str, name: str) -> DataFrame:
     """Distinct (text row, name) pairs where the name stands in the text as a run of whole words.
 
     Instead of testing every name against every text, each text is turned into its distinct word runs of
-    the given ``lengths`` (the word counts names can have) and equi-joined.  The runs are de-duplicated
-    within the row before they are shuffled.
+    the word counts that the names have and equi-joined.  The runs are de-duplicated within the row, and
+    those whose first word begins no name go before anything is shuffled, where the first words are few
+    enough for the planner to send them to all tasks.
     """
     listed = names.select(F.array_join(words(name), " ").alias("__run"), name).where("__run <> ''").distinct()
+    # The word counts of names: a handful of numbers.
+    lengths = sorted(r[0] for r in listed.select(F.size(F.split("__run", " "))).distinct().collect())
+    first = F.substring_index("__run", " ", 1)
+    begins = listed.select(first.alias("__first")).distinct()
     tokens = words(text)
 
     def runs(n: int) -> Column:
@@ -118,9 +123,12 @@ def mentions(texts: DataFrame, names: DataFrame, *, text: str, name: str, length
         cut = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
         return tokens if n == 1 else F.when(F.size(tokens) >= n, cut).otherwise(F.array().cast("array<string>"))
 
+    if not lengths:
+        lengths = [1]
     every = F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))
     other = [c for c in texts.columns if c != text]
-    return texts.select(*other, F.explode(every).alias("__run")).join(listed, "__run").select(*other, name)
+    found = texts.select(*other, F.explode(every).alias("__run")).withColumn("__first", first).join(begins, "__first", "left_semi")
+    return found.join(listed, "__run").select(*other, name)
 
 
 def distinct_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -155,11 +155,11 @@ def observed_teams(events: DataFrame, *, raw: str, half: str, home: str, away: s
     return joined_values(seen, keys=[raw], value="__team", name="observed_teams")
 
 
-def transaction_teams(transactions: DataFrame, registry: DataFrame, *, text: str, team: str, lengths: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
+def transaction_teams(transactions: DataFrame, registry: DataFrame, *, text: str, team: str) -> DataFrame:
     """Teams whose transaction texts name a registry entry, as 'A|B' per canonical name."""
     lines = transactions.where(F.col(team).isNotNull() & F.col(text).isNotNull()).select(normalize_name(text).alias("__line"), team)
     people = registry.select("canonical_name", normalize_name("canonical_name").alias("__name")).where("__name <> ''")
-    found = mentions(lines, people, text="__line", name="__name", lengths=lengths).distinct()
+    found = mentions(lines, people, text="__line", name="__name").distinct()
     return joined_values(found.join(people, "__name"), keys=["canonical_name"], value=team, name="transaction_teams")
 
 
@@ -308,12 +308,15 @@ def failed_predictions(results: DataFrame, picks: DataFrame, *, on: Sequence[str
     return joined.where(wrong)
 
 
-def factor_or_default(df: DataFrame, factors: DataFrame, *, key: str, factor: str, constants: dict[str, float], minimum: int = 20, default: float = 1.0, name: str = "park_factor") -> DataFrame:
-    """Per-key factor from a table that counts only with at least ``minimum`` rows, else from constants."""
+def factor_or_default(df: DataFrame, factors: DataFrame, *, key: str, factor: str, constants: dict[str, float], use_table: bool = True, default: float = 1.0, name: str = "park_factor") -> DataFrame:
+    """Per-key factor from a table, for keys it lacks from constants, else the default.
+
+    A caller who distrusts a small table passes ``use_table=False``.
+    """
     usable = factors.where(F.col(key).isNotNull() & F.col(factor).isNotNull())
-    enough = usable.limit(minimum).count() >= minimum
     table = F.create_map(*[F.lit(x) for pair in constants.items() for x in pair])
-    if not enough:
-        return df.withColumn(name, F.coalesce(F.try_element_at(table, F.col(key)), F.lit(float(default))))
+    constant = F.coalesce(F.try_element_at(table, F.col(key)), F.lit(float(default))) if constants else F.lit(float(default))
+    if not use_table:
+        return df.withColumn(name, constant)
     one = top_rows(usable.select(key, F.col(factor).alias("__f")), [key], [F.col("__f")])
-    return df.join(one, key, "left").withColumn(name, F.coalesce("__f", F.lit(float(default)))).drop("__f")
+    return df.join(one, key, "left").withColumn(name, F.coalesce("__f", constant)).drop("__f")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Row, functions as F
 
@@ -90,11 +90,24 @@ def with_weight(df: DataFrame, label: str, name: str = "__weight") -> DataFrame:
     return df.withColumn(name, F.when(F.col(label) == 1, num(weight or 1.0)).otherwise(num(1)))
 
 
-def _prepared(features: Sequence[str]) -> list:
-    filled = [f"__f_{c}" for c in features]
+def exact_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """Median per feature; 0 where a feature has no value.  Values are counted before they are ordered."""
+    found = {c: metrics.percentile_points(df, c, [0.5]).first() for c in features}
+    return {c: float(row["threshold"]) if row else 0.0 for c, row in found.items()}
+
+
+def filled(df: DataFrame, medians: Mapping[str, float], prefix: str = "__f_") -> DataFrame:
+    """NULL and NaN features replaced by the given medians, under prefixed names."""
+    value = lambda c: F.col(c).cast("double")
+    return df.withColumns({f"{prefix}{c}": F.when(value(c).isNull() | F.isnan(value(c)), num(m)).otherwise(value(c)) for c, m in medians.items()})
+
+
+def _prepared(df: DataFrame, features: Sequence[str]) -> list:
+    """Stages that fill with the training rows' medians and assemble the vector."""
+    chosen = ", ".join(f"coalesce(nanvl(cast(`{c}` as double), CAST(NULL AS DOUBLE)), {m!r}D) AS `__f_{c}`" for c, m in exact_medians(df, features).items())
     return [
-        Imputer(strategy="median", inputCols=list(features), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="__vector", handleInvalid="keep"),
+        SQLTransformer(statement=f"SELECT *, {chosen} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"__f_{c}" for c in features], outputCol="__vector", handleInvalid="keep"),
     ]
 
 
@@ -120,7 +133,7 @@ def fit_base(kind: str, train: DataFrame, features: Sequence[str], label: str, s
     else:
         learner = LogisticRegression(featuresCol="__vector", labelCol=label, weightCol="__weight")
     data = with_weight(_typed(train, features), label).withColumn(label, F.col(label).cast("double"))
-    return Scorer(Pipeline(stages=[*_prepared(features), learner]).fit(data))
+    return Scorer(Pipeline(stages=[*_prepared(data, features), learner]).fit(data))
 
 
 def fit_stack(df: DataFrame, *, features: Sequence[str], label: str, date: str, key: Sequence[str], settings: Settings = Settings()) -> tuple[Stack, DataFrame]:
@@ -147,7 +160,7 @@ def fit_stack(df: DataFrame, *, features: Sequence[str], label: str, date: str,
     for kind in BASES:
         fold_rows += metrics.ranking_metrics(out_of_fold, label=label, score=kind, groups=["fold"]).withColumn("model", F.lit(kind)).collect()
     meta = _fit_meta(out_of_fold, label)
-    tail = splits.holdout_split(train, date=date, key=key, share=settings.tail, minimum_dates=4, name="is_tail")
+    tail = splits.holdout_split(train, date=date, key=key, share=settings.tail, name="is_tail")
     tail = settle(tail)
     bases = {kind: fit_base(kind, tail, features, label, settings, validation="is_tail" if kind == "boost" else None) for kind in BASES}
     stack = Stack(list(features), label, bases, meta, fold_rows)
@@ -168,14 +181,12 @@ def holdout_metrics(scored: DataFrame, label: str, scores: Sequence[str] = (*BAS
     return metrics.ranking_metrics(long, label=label, score="score", groups=["model"])
 
 
-def fit_thresholds(df: DataFrame, *, features: Mapping[int, Sequence[str]], date: str, key: Sequence[str], settings: Settings = Settings(), minimum_positives: int = 25, label: str = "label_so_{}_plus") -> dict[int, tuple[Stack, DataFrame]]:
-    """One stack per strikeout threshold that has enough positives."""
-    fitted = {}
-    for threshold, columns in features.items():
-        name = label.format(threshold)
-        if (df.agg(F.sum(F.col(name).cast("long"))).first()[0] or 0) >= minimum_positives:
-            fitted[threshold] = fit_stack(df, features=columns, label=name, date=date, key=key, settings=settings)
-    return fitted
+def fit_thresholds(df: DataFrame, *, features: Mapping[int, Sequence[str]], date: str, key: Sequence[str], settings: Settings = Settings(), label: str = "label_so_{}_plus") -> dict[int, tuple[Stack, DataFrame]]:
+    """One stack per strikeout threshold; a threshold whose training rows are of one class scores that class."""
+    return {
+        threshold: fit_stack(df, features=columns, label=label.format(threshold), date=date, key=key, settings=settings)
+        for threshold, columns in features.items()
+    }
 
 
 def ablation(df: DataFrame, *, scenarios: Mapping[str, Sequence[str]], label: str, date: str, key: Sequence[str], settings: Settings = Settings()) -> DataFrame:

@@ -40,8 +40,8 @@ def load_snapshot(spark: SparkSession, primary: str, fallback: str | None = None
         df = read(primary)
         if fallback is not None and df.isEmpty():
             df = read(fallback)
-    except AnalysisException:
-        if fallback is None:
+    except AnalysisException as error:
+        if fallback is None or error.getCondition() != "PATH_NOT_FOUND":
             raise
         df = read(fallback)
     if date is not None:

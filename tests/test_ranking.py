@@ -133,7 +133,14 @@ def test_splits(spark):
     held = {r["d"] for r in splits.holdout_split(frame, date="d", key=["k"]).where("is_holdout").collect()}
     assert held == set(days[-3:])
     short = spark.createDataFrame([(days[i % 3], i) for i in range(10)], "d date, k long")
-    assert splits.holdout_split(short, date="d", key=["k"]).where("is_holdout").count() == 2
+    assert splits.holdout_split(short, date="d", key=["k"], by="row").where("is_holdout").count() == 2
+    # Few dates are still split by date, and rows without a date train.
+    assert {r["d"] for r in splits.holdout_split(short, date="d", key=["k"]).where("is_holdout").collect()} == {days[2]}
+    undated = spark.createDataFrame([(d, i) for i, d in enumerate([*days, None])], "d date, k long")
+    for split in (splits.holdout_split(undated, date="d", key=["k"]), splits.date_quantile_split(undated, date="d")):
+        assert split.count() == 12 and split.where("d IS NULL AND NOT is_holdout").count() == 1
+    none = undated.where("d IS NULL")
+    assert splits.holdout_split(none, date="d", key=["k"]).where("NOT is_holdout").count() == 1
     folds = {r["fold"]: r["count"] for r in splits.expanding_folds(frame, date="d", key=["k"]).groupBy("fold").count().collect()}
     assert folds == {0: 7, 1: 3, 2: 3, 3: 3, 4: 3, 5: 3}
 
@@ -148,5 +155,5 @@ def test_join_helpers(spark):
     assert sorted((r["team"], r["g"]) for r in sided if r["g"]) == [("A", 1), ("C", 2)]
     texts = spark.createDataFrame([(1, "The New-York Yankees won; yankees!"), (2, "Newyork yankees")], "id long, t string")
     names = spark.createDataFrame([("new york yankees",), ("Yankees",)], "n string")
-    found = joins.mentions(texts, names, text="t", name="n", lengths=[1, 2, 3]).collect()
+    found = joins.mentions(texts, names, text="t", name="n").collect()
     assert sorted((r["id"], r["n"]) for r in found) == [(1, "Yankees"), (1, "new york yankees"), (2, "Yankees")]

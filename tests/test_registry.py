@@ -125,10 +125,20 @@ def test_transaction_teams(spark):
     assert [(r["canonical_name"], r["transaction_teams"]) for r in out] == [("Aaron Judge", "NYY|TB")]
 
 
+def test_transaction_names_of_any_length(spark):
+    lines = spark.createDataFrame([("Mets traded Juan Carlos De La Cruz to the Rays", "NYM")], "text string, team string")
+    long = spark.createDataFrame([("Juan Carlos De La Cruz",)], "canonical_name string")
+    out = registry.transaction_teams(lines, long, text="text", team="team").collect()
+    assert [(r["canonical_name"], r["transaction_teams"]) for r in out] == [("Juan Carlos De La Cruz", "NYM")]
+
+
 def test_factor_fallback(spark):
     rows = spark.createDataFrame([("COL",), ("XXX",)], "team string")
     small = spark.createDataFrame([("COL", 9.9)], "team string, f double")
-    out = {r["team"]: r["park_factor"] for r in registry.factor_or_default(rows, small, key="team", factor="f", constants={"COL": 1.35}).collect()}
-    assert out == {"COL": 1.35, "XXX": 1.0}
-    out = {r["team"]: r["park_factor"] for r in registry.factor_or_default(rows, small, key="team", factor="f", constants={}, minimum=1).collect()}
-    assert out == {"COL": 9.9, "XXX": 1.0}
+
+    def factors(**options):
+        return {r["team"]: r["park_factor"] for r in registry.factor_or_default(rows, small, key="team", factor="f", **options).collect()}
+
+    assert factors(constants={"COL": 1.35}, use_table=False) == {"COL": 1.35, "XXX": 1.0}
+    assert factors(constants={}) == {"COL": 9.9, "XXX": 1.0}
+    assert factors(constants={"COL": 1.35, "XXX": 1.1}) == {"COL": 9.9, "XXX": 1.1}

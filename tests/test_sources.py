@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from slatework.plans.refresh import refresh_table
@@ -14,6 +16,8 @@ def test_snapshot_fallback_and_dates(spark, tmp_path):
     out = tables.load_snapshot(spark, str(tmp_path / "none"), str(tmp_path / "f"), schema="name string, d string", date="d", clean="name")
     assert sorted((r["name"], r["d"]) for r in out.collect()) == [("Aaron Judge", DAYS[0]), ("X", None)]
     sinks.export(frame.limit(0), str(tmp_path / "empty"))
+    with pytest.raises(AnalysisException):
+        tables.load_snapshot(spark, str(tmp_path / "f"), str(tmp_path / "f"), schema="name strin, d string")
     assert tables.load_snapshot(spark, str(tmp_path / "empty"), str(tmp_path / "f"), schema="name string, d string").count() == 2
 
 
