@@ -108,17 +108,29 @@ def opposing(spark, folder):
 
 @query(
     "b7_pitch_matchup",
-    f"""WITH {DOMAIN_SQL}, ev AS (SELECT s_name AS p, CASE WHEN pl.inning_half LIKE 'Top%' THEN home_team ELSE away_team END AS team, CASE WHEN l_tax > 0.05 THEN 'SL' WHEN l_tax > 0.02 THEN 'SI' ELSE 'CU' END AS k, pl.pitcher, l_discount, pl.play_result,
-        rank() OVER (PARTITION BY pl.id ORDER BY l_partkey DESC, l_suppkey DESC) AS r FROM li JOIN pl ON pl.id = l_orderkey * 10 + l_linenumber JOIN go ON o_orderkey = l_orderkey),
-    cn AS (SELECT pitcher AS p, team, k, CAST(count(*) AS DOUBLE) AS n, avg(CASE WHEN l_discount > 0.05 THEN 1e0 ELSE 0 END) AS w, 2 AS src FROM ev GROUP BY ALL),
-    pb AS (SELECT s_name AS p, n_name AS team, CASE WHEN s_nationkey < 12 THEN 'SL' ELSE 'SI' END AS k, s_acctbal / 100 AS n, 0.3e0 AS w, 1 AS src FROM supplier JOIN nation ON n_nationkey = s_nationkey),
-    sh AS (SELECT p, team, k, w, src, n / nullif(sum(n) OVER (PARTITION BY p, team, src), 0) AS u FROM (SELECT * FROM pb UNION ALL SELECT * FROM cn)),
-    mx AS (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY p, team, k ORDER BY src) = 1),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY p, team ORDER BY u DESC, k) AS rn FROM mx WHERE u IS NOT NULL),
-    pf AS (SELECT p, team, max(k) FILTER (rn = 1) AS k1, max(u) FILTER (rn = 1) AS u1, max(k) FILTER (rn = 2) AS k2, max(u) FILTER (rn = 2) AS u2, sum(w * u) / nullif(sum(u), 0) AS ow FROM rk GROUP BY ALL),
-    gf AS (SELECT * FROM pf QUALIFY row_number() OVER (PARTITION BY p ORDER BY team) = 1),
-    m AS (SELECT s.game_id, s.player_name, CASE WHEN a.p IS NOT NULL THEN a.k1 ELSE b.k1 END AS k1, CASE WHEN a.p IS NOT NULL THEN a.u1 ELSE b.u1 END AS u1, CASE WHEN a.p IS NOT NULL THEN a.k2 ELSE b.k2 END AS k2, CASE WHEN a.p IS NOT NULL THEN a.u2 ELSE b.u2 END AS u2, CASE WHEN a.p IS NOT NULL THEN a.ow ELSE b.ow END AS ow
-      FROM sided s LEFT JOIN pf a ON a.p = s.pitcher_name AND a.team = s.opp_team LEFT JOIN gf b ON b.p = s.pitcher_name),
+    f"""WITH {DOMAIN_SQL}, ev AS (
+      SELECT pl.pitcher AS p, CASE WHEN pl.inning_half LIKE 'Top%' THEN home_team ELSE away_team END AS team, game_date AS day,
+        CASE WHEN l_tax > 0.05 THEN 'SL' WHEN l_tax > 0.02 THEN 'SI' ELSE 'CU' END AS k, l_discount
+      FROM li JOIN pl ON pl.id = l_orderkey * 10 + l_linenumber JOIN go ON o_orderkey = l_orderkey),
+    dy AS (SELECT p, team, k, day, count(*) AS n, count(*) FILTER (l_discount > 0.05) AS m FROM ev GROUP BY ALL),
+    ask AS (SELECT DISTINCT pitcher_name AS p, game_date AS d FROM sided WHERE pitcher_name IS NOT NULL),
+    cn AS (SELECT p, d, team, k, CAST(sum(n) AS DOUBLE) AS n, sum(m) / sum(n) AS w, 2 AS src FROM ask JOIN dy USING (p) WHERE day < d GROUP BY ALL),
+    pb AS (
+      SELECT p, d, n_name AS team, CASE WHEN s_nationkey < 12 THEN 'SL' ELSE 'SI' END AS k, s_acctbal / 100 AS n, 0.3e0 AS w, 1 AS src
+      FROM ask JOIN supplier ON s_name = p JOIN nation ON n_nationkey = s_nationkey),
+    sh AS (SELECT p, d, team, k, w, src, n / nullif(sum(n) OVER (PARTITION BY p, d, team, src), 0) AS u FROM (SELECT * FROM pb UNION ALL SELECT * FROM cn)),
+    mx AS (SELECT * FROM sh QUALIFY row_number() OVER (PARTITION BY p, d, team, k ORDER BY src) = 1),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY p, d, team ORDER BY u DESC, k) AS rn FROM mx WHERE u IS NOT NULL),
+    pf AS (
+      SELECT p, d, team, max(k) FILTER (rn = 1) AS k1, max(u) FILTER (rn = 1) AS u1, max(k) FILTER (rn = 2) AS k2, max(u) FILTER (rn = 2) AS u2,
+        sum(w * u) / nullif(sum(u), 0) AS ow FROM rk GROUP BY ALL),
+    gf AS (SELECT * FROM pf QUALIFY row_number() OVER (PARTITION BY p, d ORDER BY team) = 1),
+    m AS (
+      SELECT s.game_id, s.player_name, CASE WHEN a.p IS NOT NULL THEN a.k1 ELSE b.k1 END AS k1, CASE WHEN a.p IS NOT NULL THEN a.u1 ELSE b.u1 END AS u1,
+        CASE WHEN a.p IS NOT NULL THEN a.k2 ELSE b.k2 END AS k2, CASE WHEN a.p IS NOT NULL THEN a.u2 ELSE b.u2 END AS u2,
+        CASE WHEN a.p IS NOT NULL THEN a.ow ELSE b.ow END AS ow
+      FROM sided s LEFT JOIN pf a ON a.p = s.pitcher_name AND a.d = s.game_date AND a.team = s.opp_team
+      LEFT JOIN gf b ON b.p = s.pitcher_name AND b.d = s.game_date),
     ht AS (SELECT c_name AS player_name, CASE c_mktsegment WHEN 'BUILDING' THEN 'SL' WHEN 'MACHINERY' THEN 'CU' ELSE 'SI' END AS k, CASE WHEN c_nationkey > 0 THEN c_acctbal / 25000 END AS woba FROM customer)
     SELECT m.game_id, m.player_name, k1 AS primary_pitch_type, k2 AS secondary_pitch_type, round(u1, 8) AS primary_pitch_usage, round(ow, 8) AS overall_whiff_percent, round(h1.woba, 8) AS batter_woba_vs_primary_pitch,
       round((coalesce(CASE WHEN u1 > 0 THEN h1.woba * u1 END, 0) + coalesce(CASE WHEN u2 > 0 THEN h2.woba * u2 END, 0)) / nullif(CASE WHEN h1.woba IS NOT NULL AND u1 > 0 THEN u1 ELSE 0 END + CASE WHEN h2.woba IS NOT NULL AND u2 > 0 THEN u2 ELSE 0 END, 0), 8) AS batter_woba_vs_pitcher_arsenal

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slatework.functions.numeric import blend, col, flag, num, ratio, share, weighted_mean
 from slatework.operators.ordering import join_on, top_rows
@@ -64,12 +64,20 @@ def joined_values(df: DataFrame, *, keys: Sequence[str], value: str, separator:
 
 def mix_profile(pitches: DataFrame, *, entity: Sequence[str], kind: str, parent: str, order: Sequence[str], miss: Column, finish: Column) -> DataFrame:
     """Per entity and kind: usage, share of rows that miss, share that are the finishing last row of their parent."""
-    last = pitches.groupBy(parent).agg(F.max(F.struct(*order)).alias("__last"))
-    placed = pitches.join(last, parent).withColumn("__is_last", F.struct(*order) == F.col("__last"))
-    return placed.groupBy(*entity, kind).agg(
-        F.count(F.lit(1)).alias("usage_count"),
-        F.avg(F.when(miss, num(1)).otherwise(num(0))).alias("whiff_rate"),
-        F.avg(F.when(F.col("__is_last") & finish, num(1)).otherwise(num(0))).alias("finish_rate"),
+    counts = mix_counts(pitches, keys=[*entity, kind], parent=parent, order=order, miss=miss, finish=finish)
+    return counts.select(
+        *entity, kind, F.col("used").alias("usage_count"), (F.col("missed") / F.col("used")).alias("whiff_rate"), (F.col("finished") / F.col("used")).alias("finish_rate")
+    )
+
+
+def mix_counts(pitches: DataFrame, *, keys: Sequence[str], parent: str, order: Sequence[str], miss: Column, finish: Column) -> DataFrame:
+    """Per key: rows, rows that miss, and rows that are the finishing last row of their parent.
+
+    A parent is one play, so the window that finds its last row holds a few rows.
+    """
+    marked = pitches.withColumn("__is_last", F.struct(*order) == F.max(F.struct(*order)).over(Window.partitionBy(parent)))
+    return marked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("used"), F.count(F.when(miss, 1)).alias("missed"), F.count(F.when(F.col("__is_last") & finish, 1)).alias("finished")
     )
 
 

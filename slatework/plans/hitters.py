@@ -187,37 +187,50 @@ def attach_opposing_pitching(df: DataFrame, s: HitterSources, *, by: str = "team
     return history.prior_days(df, rows, keys=[key], date="game_date", days=days, parts=parts, result=result)
 
 
-def pitch_mix(s: HitterSources) -> DataFrame:
-    """Published arsenals plus arsenals counted from pitches, both as shares of the pitcher's pitches."""
-    plays = s.plays.where("pitcher is not null").join(s.games.select("game_id", "home_team", "away_team"), "game_id").select(
-        F.col("id").alias("play_id"), "pitcher", F.when(F.col("inning_half").like("Top%"), F.col("home_team")).otherwise(F.col("away_team")).alias("team"), "play_result"
+def pitch_mix(s: HitterSources, asked: DataFrame) -> DataFrame:
+    """Arsenals as they were known before each asked (pitcher_canonical, game_date), as shares of the pitches.
+
+    Pitches are counted per day, and only earlier days enter.  Published arsenals are undated; where one lists
+    a pitch, it replaces the counted one.
+    """
+    plays = s.plays.where("pitcher is not null").join(s.games.select("game_id", "game_date", "home_team", "away_team"), "game_id").select(
+        F.col("id").alias("play_id"), "pitcher", "game_date", F.when(F.col("inning_half").like("Top%"), F.col("home_team")).otherwise(F.col("away_team")).alias("team"), "play_result"
     )
+    plays = registry.with_canonical(plays, s.canonical, raw="pitcher", name="pitcher_canonical").withColumn("team", codes.team_code("team"))
     thrown = s.pitches.where("pitch_type is not null").select("play_id", "id", "pitch_number", codes.pitch_type("pitch_type").alias("pitch_type"), "result").join(plays, "play_id")
-    counted = aggregates.mix_profile(
-        thrown, entity=["pitcher", "team"], kind="pitch_type", parent="play_id", order=["pitch_number", "id"],
+    kind = ["pitcher_canonical", "team", "pitch_type"]
+    days = aggregates.mix_counts(
+        thrown, keys=[*kind, "game_date"], parent="play_id", order=["pitch_number", "id"],
         miss=F.coalesce("result", F.lit("")).ilike("%swing%strike%"), finish=F.col("play_result") == "Strikeout",
     )
-    fields = {"pitch_usage": F.col("usage_count").cast("double"), "whiff_percent": F.col("whiff_rate"), "k_percent": F.col("finish_rate"), "put_away": F.col("finish_rate")}
-    counted = counted.select("pitcher", "team", "pitch_type", *[c.alias(n) for n, c in fields.items()], F.lit(2).alias("__source"))
+    asked = asked.select("pitcher_canonical", "game_date").distinct()
+    # A pitcher throws a handful of kinds, so the asked dates are repeated a handful of times.
+    spine = join_on(asked, days.select(*kind).distinct(), ["pitcher_canonical"])
+    counted = history.prior_days(
+        spine, days, keys=kind, date="game_date", parts={"n": F.sum("used"), "m": F.sum("missed"), "f": F.sum("finished")},
+        result={"pitch_usage": F.col("n").cast("double"), "whiff_percent": ratio("m", "n"), "k_percent": ratio("f", "n"), "put_away": ratio("f", "n")},
+    ).where("pitch_usage > 0").withColumns({"__source": F.lit(2), "__raw": F.col("pitcher_canonical")})
+    fields = ["pitch_usage", "whiff_percent", "k_percent", "put_away"]
     listed = s.pitcher_arsenal.where("last_name_first_name is not null and pitch_type is not null").select(
-        names.first_last("last_name_first_name").alias("pitcher"), "team", "pitch_type", *fields, F.lit(1).alias("__source")
+        names.first_last("last_name_first_name").alias("__raw"), codes.team_code("team").alias("team"), "pitch_type", *fields, F.lit(1).alias("__source")
     )
-    both = registry.with_canonical(listed.unionByName(counted), s.canonical, raw="pitcher", name="pitcher_canonical").withColumn("team", codes.team_code("team"))
-    shares = aggregates.usage_share(both, entity=["pitcher_canonical", "team", "__source"], usage="pitch_usage", name="__share")
-    # Where a published row exists for a pitch it replaces the counted one.
-    best = top_rows(shares, ["pitcher_canonical", "team", "pitch_type"], [F.col("__source"), F.col("pitcher")])
-    return best.select("pitcher_canonical", "team", "pitch_type", F.col("__share").alias("pitch_usage"), "whiff_percent", "k_percent", "put_away")
+    listed = join_on(asked, registry.with_canonical(listed, s.canonical, raw="__raw", name="pitcher_canonical"), ["pitcher_canonical"])
+    entity = ["pitcher_canonical", "game_date", "team"]
+    shares = aggregates.usage_share(listed.unionByName(counted), entity=[*entity, "__source"], usage="pitch_usage", name="__share")
+    best = top_rows(shares, [*entity, "pitch_type"], [F.col("__source"), F.col("__raw")])
+    return best.select(*entity, "pitch_type", F.col("__share").alias("pitch_usage"), "whiff_percent", "k_percent", "put_away")
 
 
 def attach_pitch_matchup(df: DataFrame, s: HitterSources) -> DataFrame:
     """Pitcher's two main pitches (by name and team, else by name), and the batter's record against them."""
     metrics = ["whiff_percent", "k_percent"]
-    profile = aggregates.top_two(pitch_mix(s), entity=["pitcher_canonical", "team"], kind="pitch_type", usage="pitch_usage", metrics=metrics)
-    fields = [c for c in profile.columns if c not in ("pitcher_canonical", "team")]
-    specific = profile.withColumnRenamed("team", "opp_team")
-    general = top_rows(profile, ["pitcher_canonical"], [F.col("team").asc_nulls_last()])
     df = registry.with_canonical(df, s.canonical, raw="pitcher_name", name="pitcher_canonical").withColumn("opp_team", codes.team_code("opp_team"))
-    df = joins.priority_join(df, specific, general, on=["pitcher_canonical", "opp_team"], fallback_on=["pitcher_canonical"], values=fields)
+    known = ["pitcher_canonical", "game_date"]
+    profile = aggregates.top_two(pitch_mix(s, df), entity=[*known, "team"], kind="pitch_type", usage="pitch_usage", metrics=metrics)
+    fields = [c for c in profile.columns if c not in (*known, "team")]
+    specific = profile.withColumnRenamed("team", "opp_team")
+    general = top_rows(profile, known, [F.col("team").asc_nulls_last()])
+    df = joins.priority_join(df, specific, general, on=[*known, "opp_team"], fallback_on=known, values=fields)
 
     record = ["whiff_percent", "k_percent", "ba", "slg", "woba"]
     batters = registry.with_canonical(

@@ -136,12 +136,13 @@ def attach_season(df: DataFrame, s: StarterSources) -> DataFrame:
 def attach_arsenal(df: DataFrame, s: StarterSources) -> DataFrame:
     """Starter's two main pitches and how the opposing team has fared against them."""
     metrics = ["whiff_percent", "k_percent", "put_away"]
-    profile = aggregates.top_two(pitch_mix(s.base), entity=["pitcher_canonical", "team"], kind="pitch_type", usage="pitch_usage", metrics=metrics)
-    fields = [c for c in profile.columns if c not in ("pitcher_canonical", "team")]
     keyed = registry.with_canonical(df, s.base.canonical, raw="starter_name", name="pitcher_canonical").withColumn("__team", codes.team_code("team"))
+    known = ["pitcher_canonical", "game_date"]
+    profile = aggregates.top_two(pitch_mix(s.base, keyed), entity=[*known, "team"], kind="pitch_type", usage="pitch_usage", metrics=metrics)
+    fields = [c for c in profile.columns if c not in (*known, "team")]
     specific = profile.where("team is not null").withColumnRenamed("team", "__team")
     without_team = profile.where("team is null").drop("team")
-    out = joins.priority_join(keyed, specific, without_team, on=["pitcher_canonical", "__team"], fallback_on=["pitcher_canonical"], values=fields)
+    out = joins.priority_join(keyed, specific, without_team, on=[*known, "__team"], fallback_on=known, values=fields)
 
     team_record = aggregates.weighted_profile(
         s.base.hitter_arsenal.where("team is not null and pitch_type is not null").withColumn("__opponent", codes.team_code("team")),
