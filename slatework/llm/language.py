@@ -96,7 +96,8 @@ def train(texts: Sequence[str], labels: Sequence[str], *, epochs: int = 6, rate:
     coded = parts.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
     offsets = parts.offsets.to_numpy()
-    rows, counts = subwords(coded.dictionary.to_pylist())
+    found = [subwords(coded.dictionary.slice(i, 20_000).to_pylist()) for i in range(0, len(coded.dictionary), 20_000)]
+    rows, counts = np.concatenate([f[0].astype(np.int32) for f in found]), np.concatenate([f[1] for f in found])
     starts = np.cumsum(counts) - counts
     goal = np.array([number[x] for x in labels])
     held = draw.random(len(goal)) < 0.2
@@ -110,7 +111,7 @@ def train(texts: Sequence[str], labels: Sequence[str], *, epochs: int = 6, rate:
         begin, end = offsets[doc], offsets[doc + 1]
         n = int(min(end - begin, np.exp(draw.uniform(0, np.log(200)))) or 1)
         first = draw.integers(begin, max(begin, end - n) + 1)
-        return np.concatenate([rows[starts[c] : starts[c] + counts[c]] for c in codes[first : first + n]] or [np.empty(0, np.int64)])
+        return np.concatenate([rows[starts[c] : starts[c] + counts[c]] for c in codes[first : first + n]] or [np.empty(0, np.int32)])
 
     def forward(docs):
         taken = [passage(d) for d in docs]
@@ -159,7 +160,7 @@ def train(texts: Sequence[str], labels: Sequence[str], *, epochs: int = 6, rate:
     return Model(langs, (table @ weights).astype(np.float32), bias, temperature, threshold)
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_docs: int = 4000) -> Model | None:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_docs: int = 2000) -> Model | None:
     """Train on a hash sample of at most about ``fit_docs`` labelled rows, as many of each language as there are."""
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
     counts = {r["l"]: r["count"] for r in usable.groupBy("l").count().collect()}

@@ -1,6 +1,6 @@
 """Toxicity by a learned lexicon, Levenshtein automata and context windows.
 
-Lexicon: over a bounded sample of labelled documents, every word (and 5- or 6-letter word beginning) is tested for
+Lexicon: over a bounded sample of labelled documents (equal texts once), every word (and 5- or 6-letter word beginning) is tested for
 how much oftener toxic documents hold it; those beyond chance, given the number of words tested, enter with their
 log odds.  Matching: the terms form a trie, and the Levenshtein automata of all terms are run on it together, as one
 table of states, so one pass over a word's letters finds whether it is a term, begins like one, or is a misspelling
@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from slatework.llm.common import bounded_sample, free_of, written
@@ -37,6 +38,7 @@ _LOOKS = str.maketrans("013457@$", "oieastas")
 # Marks that open and close a quotation.
 _QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’"}
 _EDGE = "@$"
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Prior weights: bias, log1p of plain, misspelled and quoted hits.
 _PRIOR = np.array([-2.5, 4.0, 2.0, 0.5])
 
@@ -222,7 +224,8 @@ def _features(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: in how many toxic and other documents each word and word beginning occurs."""
+    """Per batch: in how many toxic and other documents each word and word beginning occurs, and, as rows of their own,
+    the pairs of neighbours it has in toxic documents."""
     for whole in batches:
         for batch in slices(whole, "text"):
             codes, offsets, words = _tokens(batch.column("text"))
@@ -237,10 +240,20 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = np.unique(np.repeat(doc, each) * len(units.dictionary) + unit[at])
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False) > 0
             hit, of = pairs % len(units.dictionary), toxic[pairs // len(units.dictionary)]
-            yield pa.RecordBatch.from_arrays(
-                [units.dictionary, pa.array(np.bincount(hit[of], minlength=len(units.dictionary))), pa.array(np.bincount(hit[~of], minlength=len(units.dictionary)))],
-                names=["word", "pos", "neg"],
-            )
+            counted = [np.bincount(hit[of], minlength=len(units.dictionary)), np.bincount(hit[~of], minlength=len(units.dictionary))]
+            names = ["word", "pos", "neg", "between"]
+            yield pa.RecordBatch.from_arrays([units.dictionary, *map(pa.array, counted), pa.nulls(len(units.dictionary), pa.int64())], names=names)
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in words), np.uint64, len(words))[codes]
+            left, right = np.zeros_like(hashes), np.zeros_like(hashes)
+            left[1:], right[:-1] = hashes[:-1], hashes[1:]
+            left[doc != np.roll(doc, 1)] = 0
+            right[doc != np.roll(doc, -1)] = 0
+            with np.errstate(over="ignore"):
+                between = (left * _STEP + right) ^ (right >> np.uint64(29))
+            bad = np.flatnonzero(np.repeat(toxic[doc], each))
+            places = np.repeat(np.arange(len(codes)), each)[bad]
+            rows = pa.array(np.zeros(len(bad), np.int64))
+            yield pa.RecordBatch.from_arrays([units.dictionary.take(pa.array(unit[at[bad]])), rows, rows, pa.array(between[places].view(np.int64))], names=names)
 
 
 def _near(model: Model):
@@ -262,8 +275,13 @@ def _feature_rows(model: Model):
     return run
 
 
-def _telling(counts: DataFrame, p: int, n: int, bound: int) -> list[str]:
-    """Units that toxic documents hold oftener than chance gives among so many units tested, most telling first."""
+def _telling(counts: DataFrame, tested: int, p: int, n: int, bound: int) -> list[str]:
+    """Units that toxic documents hold oftener than chance gives among so many units tested, most telling first.
+
+    Copies of one toxic document would make all its words telling.  A unit therefore counts no oftener than it has
+    different neighbours, and not at all where nearly all its documents put it in the same place.
+    """
+    counts = counts.where(F.col("places") >= 0.3 * F.col("pos")).withColumn("pos", F.least("pos", "places"))
     share = F.lit(p / (p + n))
     seen = F.col("pos") + F.col("neg")
     part = lambda count, expected: F.when(count > 0, count * F.log(count / expected)).otherwise(0.0)
@@ -272,7 +290,7 @@ def _telling(counts: DataFrame, p: int, n: int, bound: int) -> list[str]:
         + part(p - F.col("pos"), (p + n - seen) * share) + part(n - F.col("neg"), (p + n - seen) * (1 - share))
     )
     rate = ((F.col("pos") + 0.5) / (p + 1)) / ((F.col("neg") + 0.5) / (n + 1))
-    least = 2 * np.log(max(2, counts.count()))
+    least = 2 * np.log(max(2, tested))
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))
     good = counts.where((letters >= 4) & (rate >= 8) & (g2 >= float(least))).orderBy(F.desc(g2), "word").limit(bound)
     return [r["word"] for r in good.select("word").collect()]
@@ -295,7 +313,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     usable = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("k")).agg(F.max(toxic).cast("int").alias("toxic"))
     chosen = bounded_sample(usable, "k", fit_docs)
     # The sample has at most about fit_docs rows of two numbers: a proven bound.
-    rows = written(docs.select(F.col(doc_id).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select("text", "toxic"))
+    rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")
+    rows = written(rows.groupBy("text").agg(F.max("toxic").alias("toxic")))
     terms: dict[str, None] = {}
     model, first, rest = Model(automaton([])), None, rows
     # The later rounds look at the toxic documents that no term explains yet, which few labels of a kind need.
@@ -303,9 +322,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         p, n = rest.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1)) - F.coalesce(F.sum("toxic"), F.lit(0))).first()
         if not p or not n:
             break
-        counts = written(rest.mapInArrow(_word_counts, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+        counts = written(rest.mapInArrow(_word_counts, "word string, pos long, neg long, between long").groupBy("word", "between").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).groupBy("word").agg(
+            F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("between").alias("places")
+        ))
         first = first or counts
-        found = _telling(counts, p, n, max_terms - len(terms))
+        found = _telling(counts, counts.count(), p, n, max_terms - len(terms))
         if not set(found) - set(terms):
             break
         terms |= dict.fromkeys(found)
