@@ -270,6 +270,25 @@ def daily_refresh(spark, folder):
     return spark.read.parquet(path)
 
 
+@query(
+    "b16_refresh_moved_keys",
+    """WITH u AS (SELECT o_orderkey, CAST(date_trunc('month', max(l_shipdate)) AS DATE) AS slate, max(l_extendedprice) AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+      WHERE o_orderstatus = 'P' GROUP BY 1)
+    SELECT o.o_orderkey, coalesce(u.slate, CAST(date_trunc('month', o.o_orderdate) AS DATE)) AS slate, coalesce(u.p, o_totalprice) AS p FROM orders o LEFT JOIN u ON u.o_orderkey = o.o_orderkey""",
+)
+def refresh_moved_keys(spark, folder):
+    """Pending orders move to the month they arrive in."""
+    path = f"{scratch_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    orders = table(spark, folder, "orders")
+    sinks.write_snapshot(orders.select("o_orderkey", F.date_trunc("month", "o_orderdate").cast("date").alias("slate"), F.col("o_totalprice").alias("p")), path, partition="slate")
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.date_trunc("month", F.max("l_shipdate")).cast("date").alias("slate"), F.max("l_extendedprice").alias("p")
+    )
+    updates = lines.join(orders.where("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey")
+    refresh.refresh_table(spark, path, updates, keys=["o_orderkey"], order="p", partition="slate")
+    return spark.read.parquet(path)
+
+
 @query("b14_pick_features")
 def pick_features(spark, folder):
     s = hitter_sources(spark, folder)

@@ -93,17 +93,37 @@ def slots(spark, folder):
 
 @query(
     "p8_interactions",
-    f"""SELECT {LINE_SQL}, round(coalesce(CASE WHEN l_returnflag = 'R' THEN l_discount END, 0) * l_linenumber, 9) AS recent_hr_x_projected_pa,
-      round(coalesce(CASE WHEN l_returnflag = 'R' THEN l_discount END, 0) * coalesce(CASE WHEN l_linestatus = 'F' THEN l_tax END, 0), 9) AS recent_hr_x_platoon_advantage FROM lineitem""",
+    f"""WITH x AS (
+      SELECT *, CASE WHEN l_returnflag = 'R' THEN l_discount END AS hr, CASE WHEN l_returnflag = 'A' THEN l_tax END AS hit, CASE WHEN l_linenumber < 6 THEN l_linenumber END AS pa,
+        CASE WHEN l_linestatus = 'F' THEN l_tax END AS platoon, CASE WHEN l_quantity > 10 THEN l_quantity END AS top, CASE WHEN l_quantity < 40 THEN l_quantity END AS middle,
+        CASE WHEN l_discount > 0.02 THEN l_discount - 0.05 END AS hr_delta, CASE WHEN l_tax > 0.02 THEN l_tax - 0.05 END AS hit_delta,
+        CASE WHEN l_linenumber > 1 THEN 1 ELSE NULL END AS confirmed, CASE WHEN l_discount > 0.04 THEN l_discount * 2 END AS hr_shrunk, CASE WHEN l_tax > 0.04 THEN l_tax * 2 END AS hit_shrunk
+      FROM lineitem),
+    y AS (
+      SELECT *, coalesce(hr, 0) AS a, coalesce(hit, 0) AS b, coalesce(pa, 4.2e0) AS p, coalesce(platoon, 0) AS q, coalesce(hr_shrunk, hr, 0) AS c, coalesce(hit_shrunk, hit, 0) AS d FROM x)
+    SELECT {LINE_SQL}, round(a * p, 9) AS recent_hr_x_projected_pa, round(b * p, 9) AS recent_hit_x_projected_pa,
+      round(a * q, 9) AS recent_hr_x_platoon_advantage, round(b * q, 9) AS recent_hit_x_platoon_advantage,
+      round(a * coalesce(top, 0), 9) AS recent_hr_x_top_half_lineup, round(b * coalesce(top, 0), 9) AS recent_hit_x_top_half_lineup,
+      round(a * coalesce(middle, 0), 9) AS recent_hr_x_middle_lineup, round(b * coalesce(middle, 0), 9) AS recent_hit_x_middle_lineup,
+      round(coalesce(hr_delta, 0) * p, 9) AS hr_delta_x_projected_pa, round(coalesce(hit_delta, 0) * p, 9) AS hit_delta_x_projected_pa,
+      round(p * coalesce(confirmed, 0), 9) AS projected_pa_x_lineup_confirmed,
+      round(c * p, 9) AS shrunk_recent_hr_x_projected_pa, round(c * q, 9) AS shrunk_recent_hr_x_platoon_advantage,
+      round(d * p, 9) AS shrunk_recent_hit_x_projected_pa, round(d * q, 9) AS shrunk_recent_hit_x_platoon_advantage
+    FROM y""",
 )
 def interactions(spark, folder):
-    from slatework.plans.hitters import products
-
-    x = _lines(spark, folder).select(
-        *LINE, F.when(F.col("l_returnflag") == "R", F.col("l_discount")).alias("recent_hr"), F.col("l_linenumber").alias("projected_pa"), F.when(F.col("l_linestatus") == "F", F.col("l_tax")).alias("platoon_advantage")
-    )
-    out = products({"recent_hr_x_projected_pa": (("recent_hr", 0.0), ("projected_pa", 4.2)), "recent_hr_x_platoon_advantage": (("recent_hr", 0.0), ("platoon_advantage", 0.0))})
-    return x.select(*LINE, *[F.round(c, 9).alias(n) for n, c in out.items()])
+    from slatework.plans.hitters import attach_interactions
+
+    where = lambda test, value: F.when(test, value)
+    flag, disc, tax, qty, line = (F.col(c) for c in ("l_returnflag", "l_discount", "l_tax", "l_quantity", "l_linenumber"))
+    x = _lines(spark, folder).withColumns({
+        "recent_hr_rate_lookback": where(flag == "R", disc), "recent_hit_rate_lookback": where(flag == "A", tax), "projected_pa": where(line < 6, line),
+        "platoon_advantage": where(F.col("l_linestatus") == "F", tax), "top_half_lineup": where(qty > 10, qty), "middle_lineup": where(qty < 40, qty),
+        "recent_vs_season_hr_delta": where(disc > 0.02, disc - 0.05), "recent_vs_season_hit_delta": where(tax > 0.02, tax - 0.05), "lineup_confirmed": where(line > 1, F.lit(1)),
+        "shrunk_recent_hr_rate": where(disc > 0.04, disc * 2), "shrunk_recent_hit_rate": where(tax > 0.04, tax * 2),
+    })
+    made = attach_interactions(x)
+    return made.select(*LINE, *[F.round(c, 9).alias(c) for c in made.columns if c not in x.columns])
 
 
 @query(

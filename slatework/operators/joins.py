@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from slatework.operators.ordering import join_on, top_rows
+from slatework.operators.ordering import join_on, top_rows, with_positions
 
 
 def lookup_first(df: DataFrame, table: DataFrame, *, on: Sequence[str], order: Sequence[Column], defaults: Mapping[str, object] | None = None) -> DataFrame:
@@ -53,10 +53,12 @@ def either_side_join(rows: DataFrame, games: DataFrame, *, team: str, home: str,
 
 
 def sequence_join(left: DataFrame, right: DataFrame, *, on: Sequence[str], left_order: str, right_order: str, how: str = "left") -> DataFrame:
-    """Pair the i-th left row with the i-th right row of each key (double-headers)."""
-    left = left.withColumn("sequence", F.row_number().over(Window.partitionBy(*on).orderBy(left_order)))
-    right = right.withColumn("sequence", F.row_number().over(Window.partitionBy(*on).orderBy(right_order)))
-    return left.join(right, [*on, "sequence"], how)
+    """Pair the i-th left row with the i-th right row of each key (double-headers).
+
+    Rows are numbered over range-partitioned data, so a key of any size spreads over many tasks.
+    """
+    numbered = lambda df, order: with_positions(df, on, [F.col(order)], "__at", "__of").withColumn("sequence", (F.col("__at") + 1).cast("int")).drop("__at", "__of")
+    return numbered(left, left_order).join(numbered(right, right_order), [*on, "sequence"], how)
 
 
 def priority_join(df: DataFrame, specific: DataFrame, general: DataFrame, *, on: Sequence[str], fallback_on: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slatework.plans.hitters import HitterSources, build_hitter_features
 from slatework.plans.models import Settings, Stack, feature_columns, fit_stack, holdout_metrics
-from slatework.sources.sinks import overwrite_slices, upsert, write_snapshot
+from slatework.session import settle
+from slatework.sources.sinks import overwrite_slices, remove_folder, upsert, write_snapshot
 
 
 def refresh_table(spark: SparkSession, path: str, updates: DataFrame, *, keys: Sequence[str], order: str, partition: str) -> None:
     """Upsert rows into a date-partitioned table, rewriting only the dates the updates touch.
 
-    The rewritten dates are staged next to the table first, because a table cannot be overwritten while it
-    is being read.
+    A row whose key is updated under another date leaves its old date, so the old dates of all updated keys are
+    rewritten too, and a date that loses its last row is removed.  The rewritten dates are staged next to the
+    table first, because a table cannot be overwritten while it is being read; the stage is removed afterwards.
+    Dates are replaced one after the other: a reader may see some of them renewed and others not yet.
     """
-    touched = updates.select(partition).distinct()
-    current = spark.read.parquet(path).join(touched, partition, "left_semi")
-    staged = f"{path.rstrip('/')}__staged"
-    upsert(current, updates, keys=keys, order=[F.col(order)]).write.mode("overwrite").parquet(staged)
-    overwrite_slices(spark.read.parquet(staged), path, [partition])
+    table = spark.read.parquet(path)
+    moved = table.join(updates.select(*keys).distinct(), list(keys), "left_semi").select(partition)
+    touched = settle(updates.select(partition).union(moved).distinct())
+    staged = f"{path.rstrip('/')}__staged-{uuid.uuid4().hex}"
+    upsert(table.join(touched, partition, "left_semi"), updates, keys=keys, order=[F.col(order)]).write.parquet(staged)
+    renewed = spark.read.parquet(staged)
+    overwrite_slices(renewed, path, [partition])
+    # As many as dates that an update emptied.
+    for row in touched.join(renewed.select(partition).distinct(), partition, "left_anti").collect():
+        remove_folder(spark, f"{path.rstrip('/')}/{partition}={row[0]}")
+    remove_folder(spark, staged)
 
 
 def rebuild_and_train(sources: HitterSources, *, snapshot: str, label: str = "label", target: str = "hr", settings: Settings = Settings(), lookback: int = 20) -> tuple[Stack, DataFrame]:

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot join key is split even where that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Checkpoint files go when their frame does.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slatework.operators.ordering import top_rows
 
@@ -22,10 +22,12 @@ def write_snapshot(df: DataFrame, path: str, partition: str = "game_date") -> No
 def upsert(target: DataFrame, updates: DataFrame, *, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """Target with updates applied by key: updates replace target rows; of several updates the highest order wins.
 
+    Updates that tie in the order are told apart by a hash of the whole row, so one stays and always the same.
+
     Of each key only the winning row passes the shuffle of its map task, so a key repeated many times in
     the updates is reduced before it meets the others.
     """
-    newest = top_rows(updates, keys, [*[o.desc() for o in order], F.lit(1)]) if order else updates
+    newest = top_rows(updates, keys, [*[o.desc() for o in order], F.xxhash64(*updates.columns)])
     kept = target.join(newest.select(*keys), list(keys), "left_anti")
     return kept.unionByName(newest)
 
@@ -47,6 +49,12 @@ def overwrite_slices(df: DataFrame, path: str, partition: Sequence[str]) -> None
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whichever store the path names."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def export(df: DataFrame, path: str, fmt: str = "csv", files: int | None = None) -> None:
     """Review queue or slate as CSV (with header) or JSON lines; ``files`` caps the number of output files."""
     out = df if files is None else df.coalesce(files)

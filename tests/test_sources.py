@@ -45,6 +45,24 @@ def test_refresh_rewrites_touched_dates_only(spark, tmp_path):
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "B"), (3, "c")]
 
 
+def test_refresh_moves_rows_to_their_new_date(spark, tmp_path):
+    path, shape = str(tmp_path / "t"), "game_date date, k int, v string, o int"
+    sinks.write_snapshot(spark.createDataFrame([(DAYS[0], 1, "a", 0), (DAYS[1], 2, "b", 0), (DAYS[1], 4, "d", 0)], shape), path)
+    refresh_table(spark, path, spark.createDataFrame([(DAYS[1], 1, "A", 1), (DAYS[2], 2, "B", 1)], shape), keys=["k"], order="o", partition="game_date")
+    spark.catalog.refreshByPath(path)
+    rows = sorted((r["k"], r["v"], r["game_date"]) for r in spark.read.parquet(path).collect())
+    assert rows == [(1, "A", DAYS[1]), (2, "B", DAYS[2]), (4, "d", DAYS[1])]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["t"] and not (tmp_path / "t" / f"game_date={DAYS[0]}").exists()
+
+
+def test_upsert_ties_are_settled(spark):
+    target = spark.createDataFrame([(1, "old", 0)], "k int, v string, o int")
+    rows = [(1, "x", 5), (1, "y", 5), (2, "z", 5), (2, "z", 5)]
+    results = {tuple(sorted(tuple(r) for r in sinks.upsert(target, spark.createDataFrame(part, "k int, v string, o int"), keys=["k"], order=order).collect()))
+               for part in (rows, rows[::-1]) for order in ([F.col("o")], [])}
+    assert len(results) == 1 and len(results.pop()) == 2
+
+
 def test_weather_hours_with_missing_series(spark):
     payload = '{"hourly": {"time": ["2025-04-01T18:00", "2025-04-01T19:00"], "temperature_2m": [60.5, 61.0], "weather_code": [1]}}'
     out = tables.weather_hours(spark.createDataFrame([(1, payload), (2, None)], "id int, p string"), payload="p", keys=["id"]).collect()
