@@ -72,15 +72,21 @@ def _scored(spark, folder):
     )
 
 
+def _position_sql(column: str, default: float) -> str:
+    """Place in the slate's range of present values; 0.5 in a flat or empty one; missing values at the default's place."""
+    low, high = f"min({column}) OVER w", f"max({column}) OVER w"
+    place = f"least(1e0, greatest(0e0, (coalesce({column}, {default}e0) - {low}) / ({high} - {low})))"
+    return f"CASE WHEN {high} IS NULL OR {high} = {low} THEN 0.5e0 ELSE {place} END AS {column}"
+
+
 _SCORED_SQL = f"""{_ORDERS_SQL}, x AS (
-      SELECT l_orderkey AS o_orderkey, coalesce(max(l_discount), 0.32e0) AS xw, coalesce(max(l_tax) FILTER (l_returnflag = 'R'), 0.06e0) AS br, max(l_quantity) AS ev,
+      SELECT l_orderkey AS o_orderkey, coalesce(max(l_discount), 0.32e0) AS xw, max(l_tax) FILTER (l_returnflag = 'R') AS br, max(l_quantity) AS ev,
              min(l_tax) AS hr9, CAST(max(l_linenumber) AS DOUBLE) AS era, min(l_discount) AS fm,
-             greatest(coalesce(min(l_quantity) FILTER (l_linestatus = 'F'), 72e0), 40e0) AS tf, CAST(count(*) AS DOUBLE) AS fat
+             CASE WHEN count(*) FILTER (l_linestatus = 'F' AND l_quantity IS NOT NULL) > 0 THEN greatest(min(l_quantity) FILTER (l_linestatus = 'F'), 40e0) END AS tf, CAST(count(*) AS DOUBLE) AS fat
       FROM lineitem GROUP BY 1),
     s AS (SELECT o.*, x.* EXCLUDE (o_orderkey) FROM o JOIN x USING (o_orderkey)),
     n AS (SELECT slate, o_orderkey, """ + ", ".join(
-    f"CASE WHEN max({c}) OVER w = min({c}) OVER w THEN 0.5e0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END AS {c}"
-    for c in ("xw", "br", "ev", "hr9", "era", "fm", "tf", "fat")
+    _position_sql(c, default) for c, default in {"xw": 0.32, "br": 0.06, "ev": 88, "hr9": 1.2, "era": 4, "fm": 0.03, "tf": 72, "fat": 0}.items()
 ) + """, CASE WHEN max(o_totalprice) OVER w = min(o_totalprice) OVER w THEN 0.5e0 ELSE (o_totalprice - min(o_totalprice) OVER w) / (max(o_totalprice) OVER w - min(o_totalprice) OVER w) END AS wind,
              max(fat) OVER w = min(fat) OVER w AS flat FROM s WINDOW w AS (PARTITION BY slate)),
     c AS (SELECT *, xw * 0.45e0 + br * 0.35e0 + ev * 0.2e0 AS power, hr9 * 0.6e0 + era * 0.4e0 AS matchup, fm AS form,
@@ -111,17 +117,17 @@ def _starters(spark, folder):
     )
 
 
-_STARTERS = ("k9", "so", "ks", "wh", "ok", "pa", "ip")
+_STARTERS = {"k9": 8, "so": 4.5, "ks": 22, "wh": 24, "ok": 0.22, "pa": 38, "ip": 5}
 
 
 @query(
     "w15_starter_score",
     """WITH s AS (SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS slate, max(l_quantity) AS k9, CAST(count(*) AS DOUBLE) AS so,
-        coalesce(max(l_tax) FILTER (l_returnflag = 'R'), 22e0) AS ks, min(l_discount) AS wh, CAST(max(l_linenumber) AS DOUBLE) AS ok, min(l_quantity) AS pa, max(l_discount) AS ip
+        max(l_tax) FILTER (l_returnflag = 'R') AS ks, min(l_discount) AS wh, CAST(max(l_linenumber) AS DOUBLE) AS ok, min(l_quantity) AS pa, max(l_discount) AS ip
       FROM lineitem GROUP BY ALL),
     n AS (SELECT l_suppkey, slate, """
     + ", ".join(
-        f"CASE WHEN max({c}) OVER w = min({c}) OVER w THEN 0.5e0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END AS {c}" for c in _STARTERS
+        _position_sql(c, default) for c, default in _STARTERS.items()
     )
     + """ FROM s WINDOW w AS (PARTITION BY slate))
     SELECT l_suppkey, slate, round_even((k9 * 0.26e0 + so * 0.24e0 + ks * 0.16e0 + wh * 0.14e0 + ok * 0.12e0 + pa * 0.04e0 + ip * 0.04e0) * 1e0 * 100e0, 1) AS score FROM n""",

@@ -57,25 +57,28 @@ STARTER_SCORE = {
 
 
 def slate_score(df: DataFrame, *, slate: Sequence[str], components: Mapping[str, tuple[float, Sequence[Term]]], name: str = "score", keep_components: bool = False) -> DataFrame:
-    """0-100 score: weighted min-max positions of each term within the slate; a constant pool counts 0.5.
+    """0-100 score: weighted min-max positions of each term within the slate; a constant or empty pool counts 0.5.
 
-    The pools come from one grouped aggregate joined back, so no slate is gathered into one task.
+    Missing values stay out of a slate's minimum and maximum; they read as the term's default, at most at the ends
+    of the slate's range.  The pools come from one grouped aggregate joined back, so no slate is gathered into one task.
     """
     terms = [t for _, group in components.values() for t in group]
 
-    def value(t: Term) -> Column:
-        v = F.coalesce(F.col(t.column).cast("double"), num(t.default))
-        return v if t.floor is None else F.greatest(v, num(t.floor))
+    def present(t: Term) -> Column:
+        v = F.col(t.column).cast("double")
+        return v if t.floor is None else F.when(v.isNotNull(), F.greatest(v, num(t.floor)))
 
     pools = df.groupBy(*slate).agg(
-        *[F.min(value(t)).alias(f"__lo_{t.column}") for t in terms], *[F.max(value(t)).alias(f"__hi_{t.column}") for t in terms]
+        *[F.min(present(t)).alias(f"__lo_{t.column}") for t in terms], *[F.max(present(t)).alias(f"__hi_{t.column}") for t in terms]
     )
     scored = join_on(df, pools, slate)
 
     def place(t: Term) -> Column:
         low, high = F.col(f"__lo_{t.column}"), F.col(f"__hi_{t.column}")
-        at = F.when(high == low, num(0.5)).otherwise((value(t) - low) / F.nullif(high - low, num(0)))
-        return F.when(high == low, num(0.5)).otherwise(num(1) - at) if t.invert else at
+        flat = high.isNull() | (high == low)
+        at = (F.coalesce(present(t), num(t.default)) - low) / F.nullif(high - low, num(0))
+        at = F.least(num(1), F.greatest(num(0), at))
+        return F.when(flat, num(0.5)).otherwise(num(1) - at if t.invert else at)
 
     parts = {key: total([place(t) * num(t.weight) for t in group]) for key, (_, group) in components.items()}
     raw = total([parts[key] * num(weight) for key, (weight, _) in components.items()])

@@ -37,9 +37,11 @@ def test_fractional_rank(spark):
 def test_slate_score_constant_pool_and_single_row(spark):
     parts = {"c": (0.6, [slate.Term("x", 1.0, 5.0)]), "d": (0.4, [slate.Term("y", 1.0, 0.0, invert=True)])}
     rows = [("one", 1, 3.0, 2.0), ("flat", 2, 4.0, 1.0), ("flat", 3, 4.0, 1.0), ("two", 4, 0.0, 0.0), ("two", 5, None, 8.0)]
+    # Missing values stay out of the range; a default beyond it stands at its end.
+    rows += [("three", 6, 1.0, 1.0), ("three", 7, 3.0, 1.0), ("three", 8, None, 1.0)]
     out = slate.slate_score(spark.createDataFrame(rows, "s string, i long, x double, y double"), slate=["s"], components=parts).collect()
     got = {r["i"]: r["score"] for r in out}
-    assert got == {1: 50.0, 2: 50.0, 3: 50.0, 4: 40.0, 5: 60.0}
+    assert got == {1: 50.0, 2: 50.0, 3: 50.0, 4: 70.0, 5: 30.0, 6: 20.0, 7: 80.0, 8: 80.0}
 
 
 def test_rank_signal_shares(spark):
