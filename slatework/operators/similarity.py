@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from slatework.operators.ordering import top_rows
@@ -38,9 +38,9 @@ def sorted_tokens(value: Column | str) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(value, r"\s+"), lambda t: t != "")), " ")
 
 
-def _segments(text: Column, edits: Column) -> Column:
-    """Cut a text into edits + 1 near-equal segments: array<struct<i, at, piece>>."""
-    size, parts = F.length(text), edits + 1
+def _segments(text: Column, parts: Column) -> Column:
+    """Cut a text into near-equal segments: array<struct<i, at, piece>>."""
+    size = F.length(text)
     base = F.floor(size / parts).cast("int")
     longer = (size - base * parts).cast("int")
 
@@ -50,16 +50,18 @@ def _segments(text: Column, edits: Column) -> Column:
         width = base + F.when(i >= parts - longer, 1).otherwise(0)
         return F.struct(i.cast("int").alias("i"), at.cast("int").alias("at"), F.substr(text, (at + 1).cast("int"), width.cast("int")).alias("piece"))
 
-    return F.transform(F.sequence(F.lit(0), edits.cast("int")), segment)
+    return F.transform(F.sequence(F.lit(0), (parts - 1).cast("int")), segment)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, *, left_text: str, right_text: str, threshold: float, within: Sequence[str] = ()) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame, *, left_text: str, right_text: str, threshold: float, within: Sequence[str] = (), spare: int = 2) -> DataFrame:
     """All (left_text, right_text) pairs of distinct texts with token-sorted similarity >= threshold.
 
     A similarity of T allows at most k = (1 - T)(len + len) insertions and deletions.  If the left text is
-    cut into k + 1 segments, at least one of them survives unchanged in any such partner, shifted by at
-    most k.  So pairs are found by an equi join on (length, length, segment, piece) instead of comparing all
-    names with all names; nothing is missed, and only survivors are scored.  ``within`` adds equality keys.
+    cut into k + 1 + r segments, at most k of them are hurt, so of any k + 1 at least one survives unchanged in
+    every such partner, shifted by at most k.  Each left text therefore asks with its k + 1 rarest pieces only
+    (r is ``spare``), by an equi join on (length, length, segment, piece): common pieces, where everyone would meet
+    everyone, are left out, and nothing is missed.  What letters alone rule out goes before any pair is
+    scored.  ``within`` adds equality keys.
     """
     slack = (100.0 - threshold) / 100.0
     a = left.select(*within, left_text).distinct().withColumn("__a", sorted_tokens(left_text))
@@ -74,12 +76,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, *, left_text: str, right_te
     edits = F.floor((F.col("__la") + F.col("__lb")) * slack + 1e-9).cast("int")
     a_keys = (
         a.withColumn("__lb", F.explode(lengths_of(F.col("__la"))))
-        .withColumn("__s", F.explode(_segments(F.col("__a"), edits)))
+        .withColumn("__s", F.explode(_segments(F.col("__a"), edits + 1 + spare)))
         .select(*within, left_text, "__a", "__la", "__lb", F.col("__s.i").alias("__i"), F.col("__s.piece").alias("__piece"))
     )
 
     # Where segment i of a length-la text starts, and every place it may have moved to.
-    parts = edits + 1
+    parts = edits + 1 + spare
     base = F.floor(F.col("__la") / parts).cast("int")
     longer = (F.col("__la") - base * parts).cast("int")
     at = F.col("__i") * base + F.greatest(F.col("__i") - (parts - longer), F.lit(0))
@@ -90,17 +92,27 @@ def similar_pairs(left: DataFrame, right: DataFrame, *, left_text: str, right_te
     shifts = F.when(width == 0, F.array(F.lit(0))).when(final >= first, F.sequence(first.cast("int"), final.cast("int")))
     b_keys = (
         b.withColumn("__la", F.explode(lengths_of(F.col("__lb"))))
-        .withColumn("__i", F.explode(F.sequence(F.lit(0), edits)))
+        .withColumn("__i", F.explode(F.sequence(F.lit(0), edits + spare)))
         .withColumns({"__width": width, "__shifts": shifts})
         .withColumn("__at", F.explode("__shifts"))
         .select(*within, right_text, "__b", "__la", "__lb", "__i", F.substr("__b", (F.col("__at") + 1).cast("int"), F.col("__width").cast("int")).alias("__piece"))
         .distinct()
     )
+    piece = [*within, "__la", "__lb", "__i", "__piece"]
+    common = b_keys.groupBy(*piece).agg(F.count(F.lit(1)).alias("__holders"))
+    # One left text has a few dozen pieces per length.
+    rarest = Window.partitionBy(*within, left_text, "__lb").orderBy(F.coalesce("__holders", F.lit(0)), "__i")
+    a_keys = a_keys.join(common, piece, "left").withColumn("__rank", F.row_number().over(rarest))
+    a_keys = a_keys.where((F.col("__rank") <= edits + 1) & (F.col("__holders") > 0)).drop("__holders", "__rank")
     candidates = (
         a_keys.join(b_keys, [*within, "__la", "__lb", "__i", "__piece"])
         .select(*within, left_text, right_text, "__a", "__b")
         .distinct()
     )
+    # Letters that only one side has must be deleted or inserted.
+    letters = lambda c: F.sort_array(F.split(c, ""))
+    apart = F.size(F.array_except(letters("__a"), letters("__b"))) + F.size(F.array_except(letters("__b"), letters("__a")))
+    candidates = candidates.where(apart <= F.floor((F.length("__a") + F.length("__b")) * slack + 1e-9))
     scored = candidates.withColumn("similarity", indel_ratio("__a", "__b"))
     return scored.where(F.col("similarity") >= threshold - 1e-9).drop("__a", "__b")
 
