@@ -236,7 +236,7 @@ def apply_aliases(spark, folder):
     """WITH a AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'play_by_play_plays' ELSE 'players' END AS source_table, 'raw ' || o_orderkey AS raw_name, c_mktsegment AS alias_to_apply, 'N' || c_nationkey AS proposed_canonical_name, o_orderpriority AS proposed_match_type,
         CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'pending_review' ELSE 'approved' END AS review_status, CAST(c_nationkey AS VARCHAR) AS observed_teams, o_orderstatus AS team_validation, CAST(o_orderkey AS INT) AS candidate_count, o_totalprice > 250000 AS ambiguous FROM orders JOIN customer ON c_custkey = o_custkey)
     SELECT source_table, alias_to_apply, proposed_canonical_name, proposed_match_type, review_status, max(observed_teams) AS observed_teams, max(team_validation) AS team_validation, count(*) AS raw_variant_count,
-      string_agg(DISTINCT raw_name, ' || ' ORDER BY raw_name) AS raw_name_samples, max(candidate_count) AS candidate_count, max(CAST(ambiguous AS INT)) AS ambiguous_flag FROM a WHERE review_status IN ('pending', 'pending_review') GROUP BY 1, 2, 3, 4, 5""",
+      array_to_string(list_sort(list(DISTINCT raw_name))[1:20], ' || ') AS raw_name_samples, max(candidate_count) AS candidate_count, max(CAST(ambiguous AS INT)) AS ambiguous_flag FROM a WHERE review_status IN ('pending', 'pending_review') GROUP BY 1, 2, 3, 4, 5""",
 )
 def pending(spark, folder):
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey")
@@ -252,7 +252,7 @@ def pending(spark, folder):
 @query(
     "a11_team_gap_report",
     """WITH a AS (SELECT c_mktsegment AS alias, CASE o_orderstatus WHEN 'F' THEN 'team_mismatch' WHEN 'O' THEN 'no_player_team' ELSE 'no_observed_team' END AS validation, 'raw ' || o_custkey AS raw_name, o_orderpriority AS observed, o_totalprice > 250000 AS ambiguous FROM orders JOIN customer ON c_custkey = o_custkey),
-    g AS (SELECT alias, validation, max(observed) AS observed_teams, max(CAST(ambiguous AS INT)) AS ambiguous_flag, count(*) AS raw_variant_count, string_agg(DISTINCT raw_name, ' || ' ORDER BY raw_name) AS raw_name_samples FROM a GROUP BY ALL)
+    g AS (SELECT alias, validation, max(observed) AS observed_teams, max(CAST(ambiguous AS INT)) AS ambiguous_flag, count(*) AS raw_variant_count, array_to_string(list_sort(list(DISTINCT raw_name))[1:20], ' || ') AS raw_name_samples FROM a GROUP BY ALL)
     SELECT *, row_number() OVER (ORDER BY CASE validation WHEN 'team_mismatch' THEN 1 WHEN 'no_player_team' THEN 2 WHEN 'no_observed_team' THEN 3 ELSE 4 END, raw_variant_count DESC, alias) - 1 AS place FROM g""",
 )
 def gap_report(spark, folder):
@@ -262,7 +262,7 @@ def gap_report(spark, folder):
     grouped = rows.groupBy("alias", "validation").agg(
         F.max("o_orderpriority").alias("observed_teams"), F.max((F.col("o_totalprice") > 250000).cast("int")).alias("ambiguous_flag"), F.count(F.lit(1)).alias("raw_variant_count")
     )
-    samples = aggregates.joined_values(rows, keys=["alias", "validation"], value="raw_name", separator=" || ", name="raw_name_samples")
+    samples = aggregates.joined_values(rows, keys=["alias", "validation"], value="raw_name", separator=" || ", name="raw_name_samples", most=20)
     order = [registry.gap_priority("validation"), F.col("raw_variant_count").desc(), F.col("alias")]
     return with_positions(grouped.join(samples, ["alias", "validation"]), [], order, position="place").drop("group_rows")
 

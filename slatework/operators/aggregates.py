@@ -56,9 +56,14 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], columns: Mapping[str, st
     return long.groupBy(*keys).agg(*[count_if((F.col("c") == name) & F.col("v").isNotNull()).alias(name) for name in columns])
 
 
-def joined_values(df: DataFrame, *, keys: Sequence[str], value: str, separator: str = "|", name: str = "joined") -> DataFrame:
-    """Distinct values per key in ascending order, as one delimited string."""
+def joined_values(df: DataFrame, *, keys: Sequence[str], value: str, separator: str = "|", name: str = "joined", most: int | None = None) -> DataFrame:
+    """Distinct values per key in ascending order, as one delimited string; the first ``most`` of them where given.
+
+    Without ``most``, the caller knows that a key has few distinct values.
+    """
     unique = df.select(*keys, value).where(F.col(value).isNotNull()).distinct()
+    if most is not None:
+        unique = top_rows(unique, keys, [F.col(value)], most)
     return unique.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(value)), separator).alias(name))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from slatework.functions.names import clean_source_name, name_parts, normalize_name
 from slatework.operators.aggregates import joined_values
 from slatework.operators.joins import mentions
-from slatework.operators.ordering import top_rows
+from slatework.operators.ordering import join_on, top_rows
 from slatework.operators.similarity import similar_pairs
 from slatework.session import settle
 
@@ -273,19 +273,21 @@ def apply_aliases(registry: DataFrame, audit: DataFrame, *, alias: str = "alias_
     return grown.unionByName(inserted, allowMissingColumns=True)
 
 
-def pending_groups(aliases: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Pending alias rows grouped by proposal, with variant counts, samples and the resolution's evidence."""
+def pending_groups(aliases: DataFrame, resolutions: DataFrame, *, samples: int = 20) -> DataFrame:
+    """Pending alias rows grouped by proposal, with the count of all variants, the first ``samples`` of their distinct
+    raw names, and the resolution's evidence."""
     evidence = resolutions.select("source_table", "raw_name", "candidate_count", "ambiguous")
     rows = aliases.where(F.col("review_status").isin("pending", "pending_review")).join(evidence, ["source_table", "raw_name"], "left")
     keys = ["source_table", "alias_to_apply", "proposed_canonical_name", "proposed_match_type", "review_status"]
-    return rows.groupBy(*keys).agg(
+    names = joined_values(rows, keys=keys, value="raw_name", separator=" || ", name="raw_name_samples", most=samples)
+    grouped = rows.groupBy(*keys).agg(
         F.max("observed_teams").alias("observed_teams"),
         F.max("team_validation").alias("team_validation"),
         F.count(F.lit(1)).alias("raw_variant_count"),
-        F.array_join(F.sort_array(F.collect_set("raw_name")), " || ").alias("raw_name_samples"),
         F.max("candidate_count").alias("candidate_count"),
         F.max(F.col("ambiguous").cast("int")).alias("ambiguous_flag"),
     )
+    return join_on(grouped, names, keys, "left").withColumn("raw_name_samples", F.coalesce("raw_name_samples", F.lit("")))
 
 
 # Order in which team problems are listed.
