@@ -367,17 +367,23 @@ _GEO = {"lat1": "c_acctbal / 400", "lon1": "c_nationkey * 5.0e0 - 100", "lat2":
 
 @query(
     "f16_haversine_travel",
-    f"""WITH p AS (SELECT c_custkey, s_suppkey, {', '.join(f'radians({e}) AS {n}' for n, e in _GEO.items())}, s_nationkey FROM customer JOIN supplier ON s_nationkey = c_nationkey),
+    f"""WITH lead AS (SELECT l_orderkey, min(l_suppkey) AS s_suppkey FROM lineitem GROUP BY 1),
+    p AS (
+      SELECT o_orderkey, c_custkey, s_suppkey, {', '.join(f'radians({e}) AS {n}' for n, e in _GEO.items())}, s_nationkey
+      FROM orders JOIN customer ON c_custkey = o_custkey JOIN lead ON l_orderkey = o_orderkey JOIN supplier USING (s_suppkey)),
     a AS (SELECT *, pow(sin((lat2 - lat1) / 2), 2) + cos(lat1) * cos(lat2) * pow(sin((lon2 - lon1) / 2), 2) AS h FROM p), d AS (SELECT *, 3959e0 * 2 * atan2(sqrt(h), sqrt(1 - h)) AS miles FROM a)
-    SELECT c_custkey, s_suppkey, round(miles, 6) AS miles, round(least(greatest(miles / 3000 * 25 + CASE WHEN s_nationkey < 10 THEN 3 ELSE 1 END * 10, 0), 100), 6) AS fatigue FROM d""",
+    SELECT o_orderkey, c_custkey, s_suppkey, round(miles, 6) AS miles, round(least(greatest(miles / 3000 * 25 + CASE WHEN s_nationkey < 10 THEN 3 ELSE 1 END * 10, 0), 100), 6) AS fatigue FROM d""",
 )
 def haversine(spark, folder):
-    suppliers = table(spark, folder, "supplier").withColumn("c_nationkey", F.col("s_nationkey"))
-    joined = table(spark, folder, "customer").join(suppliers, "c_nationkey").withColumns({n: F.expr(e) for n, e in _GEO.items()})
+    """Distance between each order's customer and its first supplier."""
+    lead = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("s_suppkey"))
+    orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    joined = orders.join(table(spark, folder, "customer"), "c_custkey").join(lead, "o_orderkey").join(table(spark, folder, "supplier"), "s_suppkey")
+    joined = joined.withColumns({n: F.expr(e) for n, e in _GEO.items()})
     miles = geo.haversine_miles("lat1", "lon1", "lat2", "lon2")
     zone = F.when(F.col("s_nationkey") < 10, "America/Los_Angeles").otherwise("America/Chicago")
     return joined.select(
-        "c_custkey", "s_suppkey", F.round(miles, 6).alias("miles"), F.round(geo.travel_fatigue(miles, geo.zone_changes(zone, F.lit("America/New_York"))), 6).alias("fatigue")
+        "o_orderkey", "c_custkey", "s_suppkey", F.round(miles, 6).alias("miles"), F.round(geo.travel_fatigue(miles, geo.zone_changes(zone, F.lit("America/New_York"))), 6).alias("fatigue")
     )
 
 
