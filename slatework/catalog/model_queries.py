@@ -10,8 +10,9 @@ from slatework.operators import aggregates, slate, splits
 from slatework.plans import models, scoring
 from slatework.session import settle
 
-# Few rounds and folds: the queries show the jobs, not tuned models.
-QUICK = models.Settings(rounds=4, trees=6, folds=3, depth=3, step=0.1)
+# Model sizes, not cuts of the data: few boosting rounds and trees, every row, fold and threshold.
+SIZES = models.Settings(rounds=8, trees=12, step=0.1)
+SMALL = models.Settings(rounds=3, trees=6, depth=3, folds=3, step=0.1)
 FEATURES = ["lines", "quantity", "discount", "tax", "price", "balance"]
 KEY = ["o_orderkey"]
 
@@ -58,19 +59,19 @@ def base_models(spark, folder):
     rows = settle(splits.holdout_split(_training(spark, folder), date="game_date", key=KEY))
     scored = rows.where("is_holdout").withColumns({c: F.col(c).cast("double") for c in FEATURES})
     for kind in models.BASES:
-        scored = models.fit_base(kind, rows.where("not is_holdout"), FEATURES, "label", QUICK).transform(scored, kind)
+        scored = models.fit_base(kind, rows.where("not is_holdout"), FEATURES, "label", SIZES).transform(scored, kind)
     return models.holdout_metrics(scored, "label", models.BASES)
 
 
 @query("m4_stack")
 def stack(spark, folder):
-    _, scored = models.fit_stack(_training(spark, folder), features=FEATURES, label="label", date="game_date", key=KEY, settings=QUICK)
+    _, scored = models.fit_stack(_training(spark, folder), features=FEATURES, label="label", date="game_date", key=KEY, settings=SIZES)
     return models.holdout_metrics(scored, "label")
 
 
 @query("m5_threshold_family")
 def threshold_family(spark, folder):
-    fitted = models.fit_thresholds(_training(spark, folder), features={2: FEATURES, 4: FEATURES[:4]}, date="game_date", key=KEY, settings=models.Settings(rounds=2, trees=4, folds=2, depth=2, step=0.1))
+    fitted = models.fit_thresholds(_training(spark, folder), features=dict.fromkeys((1, 2, 3, 4), FEATURES), date="game_date", key=KEY, settings=SMALL)
     out = None
     for threshold, (_, scored) in fitted.items():
         one = models.holdout_metrics(scored, f"label_so_{threshold}_plus", ["proba"]).withColumn("threshold", F.lit(threshold))
@@ -114,8 +115,9 @@ def runtime_calibration(spark, folder):
 @query("m21_ablation")
 def ablation(spark, folder):
     rows = settle(_training(spark, folder))
-    quick = models.Settings(rounds=2, trees=4, folds=2, depth=2, step=0.1)
-    return models.ablation(rows, scenarios={"all": FEATURES, "no_lines": FEATURES[1:]}, label="label", date="game_date", key=KEY, settings=quick)
+    groups = {"counts": ("lines", "quantity"), "rates": ("discount", "tax"), "money": ("price", "balance")}
+    scenarios = {"all": FEATURES} | {f"no_{name}": [c for c in FEATURES if c not in group] for name, group in groups.items()}
+    return models.ablation(rows, scenarios=scenarios, label="label", date="game_date", key=KEY, settings=SMALL)
 
 
 @query("m22_drivers")
@@ -147,12 +149,12 @@ def proxy(spark, folder):
 @query("m25_importances")
 def importances(spark, folder):
     rows = _training(spark, folder)
-    return models.importances(spark, models.fit_base("forest", rows, FEATURES, "label", QUICK), FEATURES)
+    return models.importances(spark, models.fit_base("forest", rows, FEATURES, "label", SIZES), FEATURES)
 
 
 @query("m26_cross_validation")
 def cross_validation(spark, folder):
-    return models.cross_validate(_training(spark, folder), features=FEATURES, label="label", key=KEY, folds=3, settings=QUICK)
+    return models.cross_validate(_training(spark, folder), features=FEATURES, label="label", key=KEY, folds=5, settings=SIZES)
 
 
 @query(

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row, functions as F
 from slatework.functions.numeric import half_even, logistic, num
 from slatework.operators import metrics, splits
 from slatework.operators.aggregates import covered_columns
+from slatework.operators.ordering import running_totals
 from slatework.session import settle
 
 BASES = ("boost", "forest")
@@ -91,9 +92,18 @@ def with_weight(df: DataFrame, label: str, name: str = "__weight") -> DataFrame:
 
 
 def exact_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """Median per feature; 0 where a feature has no value.  Values are counted before they are ordered."""
-    found = {c: metrics.percentile_points(df, c, [0.5]).first() for c in features}
-    return {c: float(row["threshold"]) if row else 0.0 for c, row in found.items()}
+    """Median per feature; 0 where a feature has no value.
+
+    All features in one pass: values are counted before they are ordered, and two rows per feature come back.
+    """
+    pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features]))
+    counts = df.select(pairs).where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(counts, ["feature"], [F.col("v")], {"n": "n"})
+    spot = (F.col("all_n") - 1) * F.lit(0.5)
+    holds = lambda at: (F.col("before_n") <= at) & (at < F.col("before_n") + F.col("n"))
+    low, high = holds(F.floor(spot)), holds(F.ceil(spot))
+    ends = placed.where(low | high).groupBy("feature").agg(((F.max(F.when(low, F.col("v"))) + F.max(F.when(high, F.col("v")))) / 2).alias("median"))
+    return dict.fromkeys(features, 0.0) | {r["feature"]: float(r["median"]) for r in ends.collect()}
 
 
 def filled(df: DataFrame, medians: Mapping[str, float], prefix: str = "__f_") -> DataFrame:
