@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Texts with anything but printable ASCII, Latin letters, common punctuation, single spaces and line ends.
 _UNUSUAL = "[^\n\x20-\x7e¡-ɏ‐-‧‰-⁞€]|\n | \n|  |^[ \n]|[ \n]$|<\\|"
 _CACHE_WORDS = 300_000
-_CHUNK_BYTES = 4 << 20
+_CHUNK_BYTES = 2 << 20
 
 _encoders: dict[tuple, Encoder] = {}
 

@@ -65,7 +65,11 @@ class Model:
     threshold: float
 
     def of_words(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed logits and number of subwords of each word."""
+        """Summed logits and number of subwords of each word, a few thousand words at a time."""
+        parts = [self._of_few(words[i : i + 10_000]) for i in range(0, len(words), 10_000)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _of_few(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         rows, counts = subwords(words)
         sums = np.zeros((len(words), len(self.langs)))
         some = counts > 0
