@@ -10,9 +10,9 @@ from slatework.operators import aggregates, slate, splits
 from slatework.plans import models, scoring
 from slatework.session import settle
 
-# Model sizes, not cuts of the data: few boosting rounds and trees, every row, fold and threshold.
+# Model sizes: few boosting rounds and trees, over every row, threshold and feature group.
 SIZES = models.Settings(rounds=8, trees=12, step=0.1)
-SMALL = models.Settings(rounds=3, trees=6, depth=3, folds=3, step=0.1)
+SMALL = models.Settings(rounds=2, trees=4, depth=2, folds=2, step=0.1)
 FEATURES = ["lines", "quantity", "discount", "tax", "price", "balance"]
 KEY = ["o_orderkey"]
 
