@@ -102,34 +102,33 @@ def _compared(least: float):
     def run(key, table):
         table = table.combine_chunks()
         x = _unit(table, "vector")
-        node, rows = table.column("node").to_numpy(), table.column("rows").to_numpy()
+        node, rows = table.column("node").to_numpy(), table.column("rows").to_numpy().astype(np.float64)
         block = table.column("block").to_numpy()
         leaf, low, high = (k.as_py() for k in key)
         lists = table.column("leaves").to_pylist()
-        width = max(map(len, lists))
-        # Other leaves of each class that come before this one; padding differs by side, so that it never meets.
-        earlier = np.full((len(lists), width), np.iinfo(np.int64).max)
+        # Which earlier leaves each class lies in: pairs that meet in one of those are counted there.
+        earlier = sorted({v for own in lists for v in own if v < leaf})
+        number = {v: i for i, v in enumerate(earlier)}
+        inside = np.zeros((len(lists), max(1, len(earlier))), np.float32)
         for i, own in enumerate(lists):
-            own = [v for v in own if v < leaf]
-            earlier[i, : len(own)] = own
-        links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
+            inside[i, [number[v] for v in own if v < leaf]] = 1
+        links, parent = np.zeros(len(node)), np.arange(len(node))
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         for begin in range(0, len(left), 512):
             some = left[begin : begin + 512]
-            a, b = np.nonzero(x[some] @ x[right].T >= least)
-            a, b = some[a], right[b]
-            pick = a < b if low == high else np.ones(len(a), bool)
-            a, b = a[pick], b[pick]
-            _unite(parent, a, b)
-            for start in range(0, len(a), 50_000):
-                c, d = a[start : start + 50_000], b[start : start + 50_000]
-                met = np.zeros(len(c), bool)
-                for i in range(width):
-                    own = earlier[c, i][:, None]
-                    met |= ((own == earlier[d]) & (own != np.iinfo(np.int64).max)).any(axis=1)
-                c, d = c[~met], d[~met]
-                np.add.at(links, c, rows[d])
-                np.add.at(links, d, rows[c])
+            near = x[some] @ x[right].T >= least
+            if low == high:
+                near &= some[:, None] < right[None, :]
+            fresh = near & (inside[some] @ inside[right].T == 0)
+            links[some] += fresh @ rows[right]
+            links[right] += rows[some] @ fresh
+            while True:
+                apart = near & (parent[some][:, None] != parent[right][None, :])
+                asks = np.flatnonzero(apart.any(axis=1))
+                if not len(asks):
+                    break
+                _unite(parent, some[asks], right[apart[asks].argmax(axis=1)])
+        links = np.rint(links).astype(np.int64)
         partner = node[parent]
         keep = (links > 0) | (partner != node)
         return pa.table({"node": node[keep], "links": links[keep], "partner": partner[keep]})
