@@ -204,7 +204,7 @@ def estimate(rows: DataFrame, groups: Sequence[str], *, broad: Sequence[str], co
     return _factor(both).select(*groups, *_SHAPE)
 
 
-def judge(docs: DataFrame, *, text: str = "text", groups: Sequence[str] = ("lang", "source"), broad: Sequence[str] = ("lang",), tail: float = 1e-7, coverage: float = 0.6, steps: int = 4) -> DataFrame:
+def judge(docs: DataFrame, *, text: str = "text", groups: Sequence[str] = ("lang", "source"), broad: Sequence[str] = ("lang",), tail: float = 0.01, coverage: float = 0.6, steps: int = 4) -> DataFrame:
     """``docs`` without the text, with STATS, ``base_failed``, ``distance`` (squared; NULL where the base failed), ``kept``."""
     original = docs.columns
     docs, names = masked(docs)

@@ -75,3 +75,19 @@ def test_concentration_lowers_the_determinant(spark):
 
 def test_empty(spark):
     assert judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def test_moderate_outliers_go(spark):
+    """Documents with some symbols or some repeated lines, not made of them."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghijklm") for _ in range(draw.randrange(2, 9)))
+    rows = [(i, " ".join(word() for _ in range(draw.randrange(60, 400))), "en", "s1") for i in range(400)]
+    # Every third or fourth word carries symbols.
+    rows += [(i, " ".join(word() + ("#$%" if j % (3 + i % 2) == 0 else "") for j in range(200)), "en", "s1") for i in range(400, 412)]
+    # 11 to 13 lines are equal.
+    rows += [(i, "\nnote\n".join(" ".join(word() for _ in range(15)) for _ in range(12 + i % 3)), "en", "s1") for i in range(412, 424)]
+    got = judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    odd = [r for r in got if r["doc_id"] >= 400]
+    assert not any(r["base_failed"] for r in got) and max(r["distance"] for r in odd) < chi_square_cut(5, 1 - 1e-7)
+    assert not any(r["kept"] for r in odd)
+    assert sum(not r["kept"] for r in got if r["doc_id"] < 400) <= 4
