@@ -4,8 +4,9 @@ A labelled table teaches a naive Bayes classifier on coarse statistics of the te
 documents); every document gets posteriors over the domains.  Rates are then fitted by projected-gradient least
 squares: the expected tokens of each domain, summed over all documents with their rates, shall meet the targets, while
 rates stay near one.  A document's rate depends on its posteriors alone, so documents with equal posteriors are summed
-first, and a step is one aggregation that brings one number per domain to the driver.  Rates are nonnegative (and at
-most ``cap``, where given).  The whole number of copies is the rate rounded up or down by a hash of the id.
+first, and a step is one aggregation that brings one number per domain to the driver.  Where these steps end short of
+the targets (rare domains), Newton steps on one multiplier per domain follow.  Rates are nonnegative (and at
+most ``cap``, where given).  Targets that stay unmet are warned of.  The whole number of copies is the rate rounded up or down by a hash of the id.
 
 NULL and empty texts have no tokens; their posteriors come from the same statistics.  Rows with NULL labels or ids do
 not teach.  A domain without documents keeps its target, which then cannot be met.  With no labelled rows all
@@ -16,8 +17,10 @@ those named like an added one are replaced by it.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from slatework.llm.common import free_of, masked, words_of, written
@@ -83,7 +86,7 @@ def posteriors(rows: DataFrame, labelled: DataFrame, domains: Sequence[str]) ->
 
 
 def fit_rates(rows: DataFrame, weights: Sequence[float], *, total: float | None = None, cap: float | None = None, steps: int = 60, pull: float = 1e-3, close: float = 1e-4) -> DataFrame:
-    """One row per distinct posterior, with its rate.
+    """One row per distinct posterior, with its rate and ``residual``, the largest miss of a domain's share of the target.
 
     ``total`` is the target's tokens: all tokens where not given, or, with a ``cap``, as many as the scarcest
     domain allows at that rate.
@@ -96,13 +99,13 @@ def fit_rates(rows: DataFrame, weights: Sequence[float], *, total: float | None
     if total is None:
         total = sum(plain) if cap is None else min(cap * p / g for p, g in zip(plain, goal) if g > 0)
     if total <= 0:
-        return cells.select(*names, "rate")
+        return cells.select(*names, "rate", F.lit(None).cast("double").alias("residual"))
     step = min(1.0, total / max(sum(plain), 1.0))
     # Largest curvature is at most the tokens' sum over the target's, the step its inverse.
     rate = F.col("rate")
+    missed = lambda rate: [r / total - g for r, g in zip(cells.agg(*expected(rate)).first(), goal)]
     for turn in range(steps):
-        reached = list(cells.agg(*expected(rate)).first())
-        away = [r / total - g for r, g in zip(reached, goal)]
+        away = missed(rate)
         if max(map(abs, away)) <= close:
             break
         slope = sum((F.lit(a) * F.col(n) / _GRID for a, n in zip(away, names)), F.lit(0.0))
@@ -111,7 +114,49 @@ def fit_rates(rows: DataFrame, weights: Sequence[float], *, total: float | None
         if turn % 8 == 7:
             cells = written(cells.withColumn("rate", rate))
             rate = F.col("rate")
-    return written(cells.select(*names, rate.alias("rate")))
+    residual = max(map(abs, missed(rate)))
+    # The pull towards one alone leaves a miss of about its own size.
+    if residual > max(close, pull):
+        other, least = _multiplied(cells, names, goal, total, cap, close)
+        rate, residual = (other, least) if least < residual else (rate, residual)
+    if residual > close:
+        warnings.warn(f"a domain's share of the target's tokens is missed by {residual:.4f}", stacklevel=2)
+    return written(cells.select(*names, rate.alias("rate"), F.lit(float(residual)).alias("residual")))
+
+
+def _multiplied(cells: DataFrame, names: Sequence[str], goal: Sequence[float], total: float, cap: float | None, close: float, turns: int = 100) -> tuple[Column, float]:
+    """Rates 1 - sum(multiplier x posterior) between their bounds, which are the nearest to one that meet the targets, and the miss.
+
+    Newton steps, halved while they do not help, until the targets are met or no step helps.
+    """
+    k, p = len(names), [F.col(n) / _GRID for n in names]
+    raw = lambda m: F.lit(1.0) - sum((F.lit(float(x)) * y for x, y in zip(m, p)), F.lit(0.0))
+    bounded = lambda m: F.greatest(F.lit(0.0), raw(m) if cap is None else F.least(F.lit(float(cap)), raw(m)))
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+
+    def state(m):
+        free = (raw(m) >= 0) & (F.lit(True) if cap is None else raw(m) <= cap)
+        found = cells.agg(
+            *[F.sum(bounded(m) * F.col("tokens") * x) for x in p],
+            *[F.sum(F.when(free, F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i, j in pairs],
+        ).first()
+        curve = np.zeros((k, k))
+        for (i, j), x in zip(pairs, found[k:]):
+            curve[i, j] = curve[j, i] = x / total
+        return np.array(found[:k]) / total - goal, curve
+
+    at, (away, curve) = np.zeros(k), state(np.zeros(k))
+    size = 1.0
+    for _ in range(turns):
+        if np.abs(away).max() <= close or size < 1e-4:
+            break
+        after = at + size * np.linalg.solve(curve + 1e-9 * np.eye(k), away)
+        away_after, curve_after = state(after)
+        if np.linalg.norm(away_after) < np.linalg.norm(away) * (1 - 1e-4 * size):
+            at, away, curve, size = after, away_after, curve_after, min(1.0, size * 2)
+        else:
+            size /= 2
+    return bounded(at), float(np.abs(away).max())
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], *, domain: Column, doc_id: str = "doc_id", text: str = "text", cap: float | None = None, total: float | None = None) -> DataFrame:

@@ -35,6 +35,21 @@ def test_capped_rates_leave_documents_out(spark):
     assert rates[1000] == pytest.approx(1.0, abs=0.01) and rates[0] == pytest.approx(0.1, abs=0.01)
 
 
+@pytest.mark.parametrize("share, goal", [(0.01, 0.05), (0.005, 0.02)])
+def test_rare_domains_reach_their_targets(spark, share, goal):
+    rare = round(share * 100_000)
+    rows = [(1000, 0, rare // 2), (950, 50, rare - rare // 2), (20, 980, 40_000), (0, 1000, 60_000 - rare)]
+    got = {r["__p_0"]: r for r in fit_rates(spark.createDataFrame(rows, "__p_0 int, __p_1 int, n_tokens long"), [goal, 1 - goal]).collect()}
+    reached = [sum(got[r[0]]["rate"] * r[2] * r[i] / 1000 for r in rows) / 100_000 for i in (0, 1)]
+    assert reached == pytest.approx([goal, 1 - goal], abs=1.1e-4) and min(r["rate"] for r in got.values()) >= 0
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    rows = spark.createDataFrame([(0, 1000, 100)], "__p_0 int, __p_1 int, n_tokens long")
+    with pytest.warns(UserWarning, match="missed by"):
+        assert fit_rates(rows, [0.5, 0.5]).first()["residual"] > 0.1
+
+
 def test_mixture_of_documents(spark):
     draw, docs, labels = random.Random(2), [], []
     for i in range(800):
