@@ -1,7 +1,7 @@
 """The corpus pipeline: toxicity, language, near duplicates, mixture, packing.
 
 Every stage works on all documents its predecessor kept, takes (spark, docs, sf_dir), and all but the last return the
-columns of ``documents``.  Rows with a NULL id are judged by their texts and stay where a decision is tied to an id.
+columns of ``documents``.  Decisions are made for rows, so NULL and repeated ids do no harm.
 """
 
 from __future__ import annotations
@@ -27,16 +27,27 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return language.detect(docs, model, keep=docs.columns, prefix="__").where("NOT __rejected").select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs``, written with a key of their own for rows: ids may be NULL or repeated."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(written(others), "doc_id", "left_anti").select(*docs.columns)
+    """Exactly one row of each component stays, the one of the smallest id, also where ids are NULL or repeated."""
+    keyed = _keyed(docs)
+    found = minhash.near_duplicates(keyed, doc_id="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "__row")
+    first = found.join(keyed.select("__row", order.alias("order")), "__row").groupBy("component_id").agg(F.min("order").alias("order"))
+    return keyed.join(written(first.select("order.__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rates are at most one here: the mixture is reached by leaving documents out, none is repeated."""
-    mixed = mixing.mix(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), MIXTURE, domain=rated(), cap=1.0)
-    left_out = written(mixed.where("copies = 0").select("doc_id"))
-    return docs.join(left_out, "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    rows = keyed.select("__row", "doc_id", "text", F.xxhash64("text").alias("__content"))
+    mixed = mixing.mix(rows, table(spark, sf_dir, "labels"), MIXTURE, domain=rated(), cap=1.0, draw=("doc_id", "__content"))
+    left_out = written(mixed.where("copies = 0").select("__row"))
+    return keyed.join(left_out, "__row", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,10 +159,11 @@ def _multiplied(cells: DataFrame, names: Sequence[str], goal: Sequence[float], t
     return bounded(at), float(np.abs(away).max())
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], *, domain: Column, doc_id: str = "doc_id", text: str = "text", cap: float | None = None, total: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], *, domain: Column, doc_id: str = "doc_id", text: str = "text", cap: float | None = None, total: float | None = None, draw: Sequence[str] = ()) -> DataFrame:
     """``docs`` without the text, with n_tokens, a posterior column per domain (``p_<domain>``), rate and copies.
 
     ``domain`` is an expression over ``labels``; ``targets`` gives each domain's share of the tokens.
+    ``draw`` names the columns whose hash rounds a rate: the id where not given.
     """
     domains, original = list(targets), docs.columns
     docs, own = masked(docs)
@@ -175,9 +176,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], *, dom
     names = [f"__p_{i}" for i in range(len(domains))]
     rates = fit_rates(scored, list(targets.values()), total=total, cap=cap)
     mixed = scored.join(rates, names, "left")
-    draw = F.pmod(F.xxhash64(F.lit("copies"), own[doc_id]), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.pmod(F.xxhash64(F.lit("copies"), *[own[c] for c in draw or [doc_id]]), F.lit(1 << 30)) / float(1 << 30)
     rest = [c for c in free_of(original, [*ADDED, *[f"p_{d}" for d in domains]]) if c != text]
     return mixed.select(
         *[F.col(own[c]).alias(c) for c in rest], "n_tokens", *[(F.col(n) / _GRID).alias(f"p_{d}") for n, d in zip(names, domains)],
-        "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"),
+        "rate", F.floor(F.col("rate") + drawn).cast("int").alias("copies"),
     )

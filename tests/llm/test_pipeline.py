@@ -38,6 +38,21 @@ def test_planted_cases(spark, kept):
     assert kept[5].groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 1024").isEmpty()
 
 
+def test_one_row_of_each_component_stays(spark):
+    texts = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcd"}
+    rows = [(7, "a"), (7, "b"), (3, "a"), (None, "c"), (None, "c"), (9, "d"), (9, "d"), (None, "d")]
+    df = spark.createDataFrame([(i, texts[k]) for i, k in rows] + [(1, None)], "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, df, FOLDER).collect()
+    assert sorted((r["text"] or "", r["doc_id"]) for r in got) == sorted([("", 1), (texts["a"], 3), (texts["b"], 7), (texts["c"], None), (texts["d"], 9)])
+
+
+def test_mixing_leaves_out_rows_not_ids(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    hot = docs.selectExpr("CAST(777777 AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars")
+    after = corpus_pipeline.mix_to_targets(spark, docs.union(hot), "/root/testdata/sf0.001")
+    assert 0 < after.where("doc_id = 777777").count() < hot.count()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     folder = "/root/testdata/sf0.001"
