@@ -189,3 +189,97 @@ def token_matrices(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select(
         "sequence_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "cu_seqlens", F.crc32("positions").alias("positions_crc32"), "doc_ids", "starts"
     )
+
+
+RESAMPLING_SQL = r"""
+WITH bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)::BIGINT[]),
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+split AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+runs AS (
+  SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM split),
+crcs AS (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(range(octet_length(encode(feature))), lambda i: ('0x' || substr(hex(encode(feature)), 2 * i + 1, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM runs), bits),
+placed AS (SELECT side, id, bucket FROM runs JOIN crcs USING (feature)),
+counts AS (SELECT bucket, count(*) FILTER (side = 'd')::DOUBLE AS s, count(*) FILTER (side = 'b')::DOUBLE AS t FROM placed GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000) / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000)))) AS gain FROM counts),
+weights AS (SELECT id, count(*) AS n, floor(sum(gain) / count(*)) AS weight FROM placed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id),
+scored AS (
+  SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score
+  FROM (SELECT id AS doc_id, w FROM split WHERE side = 'd') LEFT JOIN weights ON doc_id = id),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS of FROM scored WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * of // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@query("op11_resampling", RESAMPLING_SQL)
+def resampling(spark: SparkSession, folder: str) -> DataFrame:
+    from slatework.llm.importance import resample
+
+    drawn = resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+FILL_IN_MIDDLE_SQL = r"""
+WITH given AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+         ('0x' || substr(h, 17, 8))::BIGINT % 100 AS p3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS p4 FROM given),
+cut AS (
+  SELECT doc_id, n, text, least(c1, c2) AS a, greatest(c1, c2) AS b,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR p3 >= 90 THEN 'plain'
+              WHEN p4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || substring(text, 1, a) || '<S>' || substring(text, b + 1) || '<M>' || substring(text, a + 1, b - a)
+                        ELSE '<S>' || substring(text, b + 1) || '<P>' || substring(text, 1, a) || '<M>' || substring(text, a + 1, b - a) END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+@query("op12_fill_in_middle", FILL_IN_MIDDLE_SQL)
+def filled_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    from slatework.llm.fim import fill_in_middle, restore
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    back = restore(fill_in_middle(docs))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+WARC_SQL = """
+WITH given AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+told AS (
+  SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM given),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM told WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM told LEFT JOIN firsts USING (payload_digest)
+"""
+
+
+@query("op13_warc", WARC_SQL)
+def warc(spark: SparkSession, folder: str) -> DataFrame:
+    import uuid
+
+    from slatework.llm.warc import read_records, with_full_payload, write_archives
+    from slatework.session import scratch_folder
+
+    pages = table(spark, folder, "pages")
+    archives = f"{scratch_folder(spark)}/warc-{uuid.uuid4().hex}"
+    index = write_archives(pages, archives)
+    values = {"payload_bytes": "CAST(octet_length(payload) AS LONG)", "digest": "sha2(payload, 256)"}
+    read = with_full_payload(read_records(index, archives), values)
+    kind = pages.schema["page_id"].dataType
+    ids = [F.col(c).cast(kind).alias(c) for c in ("page_id", "refers_to")]
+    return read.select(ids[0], "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", ids[1])
