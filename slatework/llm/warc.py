@@ -197,9 +197,13 @@ def read_records(index: DataFrame, folder: str, *, range_bytes: int = 8 << 20, g
     """The records of the index rows given, read from the archives: page_id, url (as in the header), record_type, refers_to,
     payload_digest and payload (NULL for revisits).
 
-    A task's reads are at most ``range_bytes`` long, or one record.
+    A read is at most ``range_bytes`` and a record long.  Ranges are dealt out by the bytes they stand for, a few to a task:
+    their rows say nothing of the work, so Spark must not put many into one task for being small.
     """
-    ranges = index.withColumn("range", F.floor(F.col("offset") / range_bytes)).groupBy("archive", "range").agg(
+    asked = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, -(-asked // (2 * range_bytes)), min(64, -(-asked // (1 << 20))))
+    placed = index.withColumn("range", F.floor(F.col("offset") / range_bytes)).repartition(tasks, "archive", "range")
+    ranges = placed.groupBy("archive", "range").agg(
         F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("spans")
     )
     return ranges.sortWithinPartitions("archive", "range").select("archive", "spans").mapInArrow(_read(f"{_uri(folder)}/archives", gap), RECORD)
