@@ -36,7 +36,7 @@ def _lines(spark, folder):
     return orders, lines
 
 
-def prepared_sources(spark, folder, fuzzy: bool = False) -> HitterSources:
+def prepared_sources(spark, folder, fuzzy: bool = True) -> HitterSources:
     """Hitter sources with the event tables written once (they stand for stored tables) and names resolved."""
     s = hitter_sources(spark, folder)
     stored = {name: settle(getattr(s, name)) for name in ("games", "plays", "pitches", "pitching_box", "lineups", "name_registry")}

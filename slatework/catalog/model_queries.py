@@ -10,9 +10,6 @@ from slatework.operators import aggregates, slate, splits
 from slatework.plans import models, scoring
 from slatework.session import settle
 
-# Model sizes: few boosting rounds and trees, over every row, threshold and feature group.
-SIZES = models.Settings(rounds=8, trees=12, step=0.1)
-SMALL = models.Settings(rounds=2, trees=4, depth=2, folds=2, step=0.1)
 FEATURES = ["lines", "quantity", "discount", "tax", "price", "balance"]
 KEY = ["o_orderkey"]
 
@@ -59,19 +56,19 @@ def base_models(spark, folder):
     rows = settle(splits.holdout_split(_training(spark, folder), date="game_date", key=KEY))
     scored = rows.where("is_holdout").withColumns({c: F.col(c).cast("double") for c in FEATURES})
     for kind in models.BASES:
-        scored = models.fit_base(kind, rows.where("not is_holdout"), FEATURES, "label", SIZES).transform(scored, kind)
+        scored = models.fit_base(kind, rows.where("not is_holdout"), FEATURES, "label", models.Settings()).transform(scored, kind)
     return models.holdout_metrics(scored, "label", models.BASES)
 
 
 @query("m4_stack")
 def stack(spark, folder):
-    _, scored = models.fit_stack(_training(spark, folder), features=FEATURES, label="label", date="game_date", key=KEY, settings=SIZES)
+    _, scored = models.fit_stack(_training(spark, folder), features=FEATURES, label="label", date="game_date", key=KEY)
     return models.holdout_metrics(scored, "label")
 
 
 @query("m5_threshold_family")
 def threshold_family(spark, folder):
-    fitted = models.fit_thresholds(_training(spark, folder), features=dict.fromkeys((1, 2, 3, 4), FEATURES), date="game_date", key=KEY, settings=SMALL)
+    fitted = models.fit_thresholds(_training(spark, folder), features=dict.fromkeys((1, 2, 3, 4), FEATURES), date="game_date", key=KEY)
     out = None
     for threshold, (_, scored) in fitted.items():
         one = models.holdout_metrics(scored, f"label_so_{threshold}_plus", ["proba"]).withColumn("threshold", F.lit(threshold))
@@ -117,13 +114,37 @@ def ablation(spark, folder):
     rows = settle(_training(spark, folder))
     groups = {"counts": ("lines", "quantity"), "rates": ("discount", "tax"), "money": ("price", "balance")}
     scenarios = {"all": FEATURES} | {f"no_{name}": [c for c in FEATURES if c not in group] for name, group in groups.items()}
-    return models.ablation(rows, scenarios=scenarios, label="label", date="game_date", key=KEY, settings=SMALL)
+    return models.ablation(rows, scenarios=scenarios, label="label", date="game_date", key=KEY)
 
 
-@query("m22_drivers")
+# A score with given numbers: what a stored model is scored and explained with.
+GIVEN = models.Linear(
+    FEATURES, [0.25, -0.03, 12.0, -9.0, 0.000004, -0.00005], -0.4,
+    {"lines": 4.0, "quantity": 25.5, "discount": 0.08, "tax": 0.06, "price": 140000.0, "balance": 4500.0},
+)
+_GIVEN_SQL = f"""{_TRAINING_SQL},
+    w AS (SELECT o_orderkey, game_date, label, returned, lines, quantity, max_discount AS discount, tax, price, c_acctbal AS balance FROM t JOIN (SELECT l_orderkey AS o_orderkey, max(l_discount) AS max_discount FROM lineitem GROUP BY 1) USING (o_orderkey)
+      JOIN orders USING (o_orderkey) JOIN customer ON c_custkey = o_custkey),
+    f AS (SELECT o_orderkey, label, returned, game_date, unnest({FEATURES}) AS feature, unnest([lines, quantity, discount, tax, price, balance]::DOUBLE[]) AS value, unnest({[float(c) for c in GIVEN.coefficients]}::DOUBLE[]) AS c,
+      unnest({[GIVEN.medians[x] for x in FEATURES]}::DOUBLE[]) AS m FROM w),
+    i AS (SELECT *, c * (coalesce(value, m) - m) AS impact FROM f),
+    b AS (SELECT {GIVEN.base()!r}::DOUBLE AS base)"""
+
+
+@query(
+    "m22_drivers",
+    f"""WITH {_GIVEN_SQL}, r AS (SELECT o_orderkey, CASE WHEN impact > 0 THEN 'up' ELSE 'down' END AS direction, feature, value, impact FROM i WHERE abs(impact) >= 1e-6),
+    n AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_orderkey, direction ORDER BY abs(impact) DESC, feature) AS INT) AS rank FROM r)
+    SELECT o_orderkey, direction, rank, feature, round(value, 6) AS value, round(impact, 9) AS impact, round_even((1 / (1 + exp(-(base + impact))) - 1 / (1 + exp(-base))) * 100, 1) AS delta_pct FROM n, b WHERE rank <= 3""",
+)
 def drivers(spark, folder):
+    return models.drivers(_training(spark, folder), GIVEN, key=KEY).withColumns({"value": F.round("value", 6), "impact": F.round("impact", 9)})
+
+
+@query("m22_drivers_fitted")
+def drivers_fitted(spark, folder):
     rows, scorer = _linear(spark, folder)
-    return models.drivers(rows, scorer, FEATURES, key=KEY)
+    return models.drivers(rows, scorer.linear(FEATURES), key=KEY)
 
 
 @query(
@@ -149,12 +170,12 @@ def proxy(spark, folder):
 @query("m25_importances")
 def importances(spark, folder):
     rows = _training(spark, folder)
-    return models.importances(spark, models.fit_base("forest", rows, FEATURES, "label", SIZES), FEATURES)
+    return models.importances(spark, models.fit_base("forest", rows, FEATURES, "label", models.Settings()), FEATURES)
 
 
 @query("m26_cross_validation")
 def cross_validation(spark, folder):
-    return models.cross_validate(_training(spark, folder), features=FEATURES, label="label", key=KEY, folds=5, settings=SIZES)
+    return models.cross_validate(_training(spark, folder), features=FEATURES, label="label", key=KEY, folds=5)
 
 
 @query(
@@ -171,7 +192,15 @@ def stratified(spark, folder):
     return split.groupBy("label", "is_holdout").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("m27_scored_dataset")
+@query(
+    "m27_scored_dataset",
+    f"WITH {_GIVEN_SQL} SELECT o_orderkey, label, round(1 / (1 + exp(-(base + s))), 9) AS proba FROM (SELECT o_orderkey, label, sum(impact) AS s FROM i GROUP BY ALL), b",
+)
 def scored_dataset(spark, folder):
+    return GIVEN.transform(_training(spark, folder)).select(*KEY, "label", F.round("proba", 9).alias("proba"))
+
+
+@query("m27_scored_fitted")
+def scored_fitted(spark, folder):
     rows, scorer = _linear(spark, folder)
     return scorer.transform(rows, "proba").select(*KEY, "label", "proba")

@@ -116,7 +116,7 @@ def seed(spark, folder):
 )
 def resolution_summary(spark, folder):
     raw = _raw_names(spark, folder)
-    resolved = registry.resolve_names(raw, _registry(spark, folder), raw="raw", fuzzy=False)
+    resolved = registry.resolve_names(raw, _registry(spark, folder), raw="raw")
     out = aggregates.resolution_summary(raw.join(resolved, "raw"), source="source", raw="raw", matched="matched", ambiguous="ambiguous", match_type="match_type")
     return out.select("source", *[F.col(c).cast("long").alias(c) for c in ("distinct_names", "matched", "unmatched", "ambiguous")], "by_type", "unmatched_samples")
 
@@ -133,7 +133,7 @@ _TEAMS_SQL = "pt AS (SELECT canonical_name, min(p.team_code) AS player_team FROM
 )
 def audit(spark, folder):
     out = registry.audit_source(
-        _raw_names(spark, folder), _registry(spark, folder), _people(spark, folder), source="players", raw="raw", person="full_name", team="team_code", fuzzy=False
+        _raw_names(spark, folder), _registry(spark, folder), _people(spark, folder), source="players", raw="raw", person="full_name", team="team_code"
     )
     return out.select("raw", "cleaned_name", "normalized_name", "canonical_name", "matched", "match_type", "team_validation", "review_status")
 
@@ -223,7 +223,7 @@ def dry_run(spark, folder):
 )
 def apply_aliases(spark, folder):
     people = _registry(spark, folder)
-    resolved = registry.resolve_names(_raw_names(spark, folder), people, raw="raw", fuzzy=False)
+    resolved = registry.resolve_names(_raw_names(spark, folder), people, raw="raw")
     ready = resolved.where("matched and match_type <> 'unique_last_name'").select(
         "canonical_name", F.col("raw").alias("alias_to_apply"), F.lit("approved").alias("review_status"), F.lit("not_available").alias("team_validation")
     )

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from slatework.functions.numeric import half_even, logistic, num
 from slatework.operators import metrics, splits
@@ -39,6 +42,8 @@ class Settings:
     holdout: float = 0.2
     tail: float = 0.15
     seed: int = 42
+    #: Fits that may run at the same time: one tree level is a short job, so a single fit leaves a cluster idle.
+    parallel: int = 8
 
 
 @dataclass(frozen=True)
@@ -58,12 +63,43 @@ class Stack:
         return self.meta.transform(df, name)
 
 
+@dataclass(frozen=True)
+class Linear:
+    """A logistic score by its numbers: coefficients in feature order, intercept and what missing values read as."""
+
+    features: Sequence[str]
+    coefficients: Sequence[float]
+    intercept: float
+    medians: Mapping[str, float]
+
+    def shifts(self) -> list[Column]:
+        """Per feature: coefficient x (value - median)."""
+        read = lambda f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")), num(self.medians[f]))
+        return [num(w) * (read(f) - num(self.medians[f])) for f, w in zip(self.features, self.coefficients)]
+
+    def base(self) -> float:
+        """The margin of a row whose features are all at their medians."""
+        return float(self.intercept + sum(w * self.medians[f] for f, w in zip(self.features, self.coefficients)))
+
+    def transform(self, df: DataFrame, name: str = "proba") -> DataFrame:
+        return df.withColumn(name, logistic(sum(self.shifts(), num(self.base()))))
+
+
 @dataclass(frozen=True)
 class Scorer:
     """A fitted pipeline, or a constant where training had one class only."""
 
     model: PipelineModel | None
     constant: float = 0.0
+    medians: Mapping[str, float] = field(default_factory=dict)
+
+    def linear(self, features: Sequence[str]) -> Linear:
+        """The numbers of a logistic model; a constant score has coefficients 0."""
+        if self.model is None:
+            margin = math.log(max(self.constant, 1e-12) / max(1 - self.constant, 1e-12))
+            return Linear(features, [0.0] * len(features), margin, dict.fromkeys(features, 0.0))
+        last = self.model.stages[-1]
+        return Linear(features, last.coefficients.toArray().tolist(), float(last.intercept), self.medians)
 
     def transform(self, df: DataFrame, name: str) -> DataFrame:
         if self.model is None:
@@ -112,9 +148,9 @@ def filled(df: DataFrame, medians: Mapping[str, float], prefix: str = "__f_") ->
     return df.withColumns({f"{prefix}{c}": F.when(value(c).isNull() | F.isnan(value(c)), num(m)).otherwise(value(c)) for c, m in medians.items()})
 
 
-def _prepared(df: DataFrame, features: Sequence[str]) -> list:
+def _prepared(features: Sequence[str], medians: Mapping[str, float]) -> list:
     """Stages that fill with the training rows' medians and assemble the vector."""
-    chosen = ", ".join(f"coalesce(nanvl(cast(`{c}` as double), CAST(NULL AS DOUBLE)), {m!r}D) AS `__f_{c}`" for c, m in exact_medians(df, features).items())
+    chosen = ", ".join(f"coalesce(nanvl(cast(`{c}` as double), CAST(NULL AS DOUBLE)), {medians[c]!r}D) AS `__f_{c}`" for c in features)
     return [
         SQLTransformer(statement=f"SELECT *, {chosen} FROM __THIS__"),
         VectorAssembler(inputCols=[f"__f_{c}" for c in features], outputCol="__vector", handleInvalid="keep"),
@@ -143,7 +179,14 @@ def fit_base(kind: str, train: DataFrame, features: Sequence[str], label: str, s
     else:
         learner = LogisticRegression(featuresCol="__vector", labelCol=label, weightCol="__weight")
     data = with_weight(_typed(train, features), label).withColumn(label, F.col(label).cast("double"))
-    return Scorer(Pipeline(stages=[*_prepared(data, features), learner]).fit(data))
+    medians = exact_medians(data, features)
+    return Scorer(Pipeline(stages=[*_prepared(features, medians), learner]).fit(data), medians=medians)
+
+
+def together(jobs: Iterable[Callable[[], object]], parallel: int) -> list:
+    """Results of the jobs in order, several running at a time."""
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(lambda job: job(), jobs))
 
 
 def fit_stack(df: DataFrame, *, features: Sequence[str], label: str, date: str, key: Sequence[str], settings: Settings = Settings()) -> tuple[Stack, DataFrame]:
@@ -159,20 +202,24 @@ def fit_stack(df: DataFrame, *, features: Sequence[str], label: str, date: str,
     rows = splits.holdout_split(rows, date=date, key=key, share=settings.holdout)
     train, holdout = rows.where("not is_holdout"), rows.where("is_holdout")
     folded = settle(splits.expanding_folds(train, date=date, key=key, folds=settings.folds))
+    tail = settle(splits.holdout_split(train, date=date, key=key, share=settings.tail, name="is_tail"))
+    # Fits of all folds and of the final models depend on written rows only, so they run side by side.
+    asked = [(fold, kind) for fold in range(1, settings.folds + 1) for kind in BASES]
+    jobs = [partial(fit_base, kind, folded.where(F.col("fold") < fold), features, label, settings) for fold, kind in asked]
+    jobs += [partial(fit_base, kind, tail, features, label, settings, validation="is_tail" if kind == "boost" else None) for kind in BASES]
+    fitted = together(jobs, settings.parallel)
+    of_fold, bases = dict(zip(asked, fitted)), dict(zip(BASES, fitted[len(asked) :]))
     out_of_fold, fold_rows = None, []
     for fold in range(1, settings.folds + 1):
-        past, now = folded.where(F.col("fold") < fold), _typed(folded.where(F.col("fold") == fold), features)
+        now = _typed(folded.where(F.col("fold") == fold), features)
         for kind in BASES:
-            now = fit_base(kind, past, features, label, settings).transform(now, kind)
+            now = of_fold[fold, kind].transform(now, kind)
         now = now.select(*key, label, "fold", *BASES)
         out_of_fold = now if out_of_fold is None else out_of_fold.unionByName(now)
     out_of_fold = settle(out_of_fold)
     for kind in BASES:
         fold_rows += metrics.ranking_metrics(out_of_fold, label=label, score=kind, groups=["fold"]).withColumn("model", F.lit(kind)).collect()
     meta = _fit_meta(out_of_fold, label)
-    tail = splits.holdout_split(train, date=date, key=key, share=settings.tail, name="is_tail")
-    tail = settle(tail)
-    bases = {kind: fit_base(kind, tail, features, label, settings, validation="is_tail" if kind == "boost" else None) for kind in BASES}
     stack = Stack(list(features), label, bases, meta, fold_rows)
     return stack, stack.transform(_typed(holdout, features))
 
@@ -220,21 +267,15 @@ def fit_linear(df: DataFrame, features: Sequence[str], label: str, settings: Set
     return fit_base("linear", df, features, label, settings)
 
 
-def drivers(scored: DataFrame, scorer: Scorer, features: Sequence[str], *, key: Sequence[str], top: int = 3) -> DataFrame:
+def drivers(scored: DataFrame, model: Linear, *, key: Sequence[str], top: int = 3) -> DataFrame:
     """Per row: the features that move a logistic score most, up and down.
 
     A feature's impact is coefficient x (value - training median); ``delta_pct`` is what it does to the
     probability at the base margin.  Rows with ``direction`` and ``rank`` 1..top.
     """
-    model = scorer.model
-    medians = model.stages[0].surrogateDF.first().asDict()
-    weights = model.stages[-1].coefficients.toArray()
-    base = float(model.stages[-1].intercept + sum(w * medians[f] for w, f in zip(weights, features)))
+    base = model.base()
     impacts = F.array(
-        *[
-            F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), (num(w) * (F.coalesce(F.col(f).cast("double"), num(medians[f])) - num(medians[f]))).alias("impact"))
-            for w, f in zip(weights, features)
-        ]
+        *[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), shift.alias("impact")) for f, shift in zip(model.features, model.shifts())]
     )
     # Ranked inside the row: no shuffle, however many rows there are.
     size = F.abs
@@ -258,9 +299,10 @@ def drivers(scored: DataFrame, scorer: Scorer, features: Sequence[str], *, key:
 def cross_validate(df: DataFrame, *, features: Sequence[str], label: str, key: Sequence[str], kind: str = "forest", folds: int = 5, settings: Settings = Settings()) -> DataFrame:
     """Mean and standard deviation of the AUC over hashed folds."""
     rows = settle(splits.hashed_folds(df.where(F.col(label).isNotNull()), key=key, folds=folds))
+    fitted = together([partial(fit_base, kind, rows.where(F.col("fold") != fold), features, label, settings) for fold in range(folds)], settings.parallel)
     out = None
-    for fold in range(folds):
-        scored = fit_base(kind, rows.where(F.col("fold") != fold), features, label, settings).transform(_typed(rows.where(F.col("fold") == fold), features), "proba")
+    for fold, model in enumerate(fitted):
+        scored = model.transform(_typed(rows.where(F.col("fold") == fold), features), "proba")
         scored = scored.select("fold", label, "proba")
         out = scored if out is None else out.unionByName(scored)
     per_fold = metrics.ranking_metrics(out, label=label, score="proba", groups=["fold"])
