@@ -82,3 +82,14 @@ GAMES_SQL = PLAYS_SQL + """, games AS (
          count(*) FILTER (l_returnflag = 'N') AS so_count,
          count(*) FILTER (l_quantity > 2) AS pa_count
   FROM plays GROUP BY ALL)"""
+
+
+def sorted_tokens_sql(text: str) -> str:
+    return f"array_to_string(list_sort(string_split({text}, ' ')), ' ')"
+
+
+def indel_sql(a: str, b: str) -> str:
+    """100 x 2 x (longest common subsequence) / (both lengths) of two non-empty texts: one row of the usual table per character of ``a``."""
+    matches = f"list_transform(string_split({a}, ''), lambda x: list_transform(string_split({b}, ''), lambda y: CASE WHEN x = y THEN 1 ELSE 0 END))"
+    step = "lambda p, m: list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN m[k] = 1 THEN coalesce(p[k - 1], 0) + 1 ELSE p[k] END)))"
+    return f"(200e0 * list_reduce(list_prepend(list_transform(range(length({b})), lambda i: 0), {matches}), {step})[-1] / (length({a}) + length({b})))"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slatework.catalog.base import PLAYS_SQL, plays, query, rounded, table
+from slatework.catalog.base import PLAYS_SQL, indel_sql, plays, query, rounded, sorted_tokens_sql, table
 from slatework.functions import names
 from slatework.operators import aggregates, registry, similarity
 from slatework.operators.ordering import top_rows, with_positions
@@ -93,7 +93,19 @@ def resolution(spark, folder):
     return registry.resolve_names(_raw_names(spark, folder), _registry(spark, folder), raw="raw", fuzzy=False)
 
 
-@query("e2_resolution_fuzzy")
+# The last tier: the closest spelling among entries of the surname, at 96 or more and 3 ahead of the next entry.
+_FUZZY_SQL = f"""{_RESOLVED_SQL},
+    spelled AS (SELECT key, canonical_name, last_name FROM registry UNION SELECT initial || 'z ' || last_name, canonical_name, last_name FROM registry),
+    open AS (SELECT DISTINCT normalized_name AS want, split_part(normalized_name, ' ', -1) AS last, {sorted_tokens_sql("normalized_name")} AS a FROM res WHERE match_type = 'ambiguous_last_name'),
+    near AS (SELECT want, canonical_name, max({indel_sql("a", "b")}) AS score FROM open JOIN (SELECT *, {sorted_tokens_sql("key")} AS b FROM spelled) ON last_name = last
+      WHERE 2 * least(length(a), length(b)) >= 0.93 * (length(a) + length(b)) GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY want ORDER BY score DESC, canonical_name DESC) AS r, lead(score) OVER (PARTITION BY want ORDER BY score DESC, canonical_name DESC) AS next FROM near),
+    clear AS (SELECT want, canonical_name AS c FROM ranked WHERE r = 1 AND score >= 96 - 1e-9 AND (next IS NULL OR score - next >= 3 - 1e-9)),
+    resolved_all AS (SELECT raw, normalized_name, coalesce(c, canonical_name) AS canonical_name, matched OR c IS NOT NULL AS matched, CASE WHEN c IS NOT NULL THEN 'fuzzy_same_last_name' ELSE match_type END AS match_type, ambiguous AND c IS NULL AS ambiguous, candidate_count
+      FROM resolved LEFT JOIN clear ON want = normalized_name AND ambiguous)"""
+
+
+@query("e2_resolution_fuzzy", f"WITH {_FUZZY_SQL} SELECT * FROM resolved_all")
 def resolution_fuzzy(spark, folder):
     return registry.resolve_names(_raw_names(spark, folder), _registry(spark, folder), raw="raw")
 
@@ -109,7 +121,7 @@ def seed(spark, folder):
 
 @query(
     "a29_resolution_summary",
-    f"""WITH {_RESOLVED_SQL}, d AS (SELECT DISTINCT r.source, r.raw, x.matched, x.ambiguous, x.match_type FROM raw_names r JOIN resolved x ON x.raw = r.raw),
+    f"""WITH {_FUZZY_SQL}, d AS (SELECT DISTINCT r.source, r.raw, x.matched, x.ambiguous, x.match_type FROM raw_names r JOIN resolved_all x ON x.raw = r.raw),
     t AS (SELECT source, match_type, count(*) AS n FROM d GROUP BY ALL), s AS (SELECT source, raw FROM d WHERE NOT matched QUALIFY row_number() OVER (PARTITION BY source ORDER BY raw) <= 5)
     SELECT d.source, count(*) AS distinct_names, count(*) FILTER (matched) AS matched, count(*) FILTER (NOT matched) AS unmatched, count(*) FILTER (ambiguous) AS ambiguous,
       (SELECT string_agg(match_type || '=' || n, ',' ORDER BY match_type || '=' || n) FROM t WHERE t.source = d.source) AS by_type, (SELECT string_agg(raw, '|' ORDER BY raw) FROM s WHERE s.source = d.source) AS unmatched_samples FROM d GROUP BY d.source""",
@@ -126,10 +138,10 @@ _TEAMS_SQL = "pt AS (SELECT canonical_name, min(p.team_code) AS player_team FROM
 
 @query(
     "e4_resolution_audit",
-    f"""WITH {_RESOLVED_SQL}, {_TEAMS_SQL}, n AS (SELECT DISTINCT raw, trim(raw) AS cleaned_name FROM raw_names)
+    f"""WITH {_FUZZY_SQL}, {_TEAMS_SQL}, n AS (SELECT DISTINCT raw, trim(raw) AS cleaned_name FROM raw_names)
     SELECT n.raw, n.cleaned_name, x.normalized_name, x.canonical_name, x.matched, x.match_type, 'not_available' AS team_validation,
       CASE WHEN NOT x.matched THEN 'pending' WHEN x.match_type IN ('fuzzy_same_last_name', 'first_initial_last', 'unique_last_name') THEN 'pending_review' WHEN NOT contains(n.cleaned_name, ' ') THEN 'pending_review' ELSE 'auto_matched' END AS review_status
-    FROM n JOIN resolved x ON x.raw = n.cleaned_name""",
+    FROM n JOIN resolved_all x ON x.raw = n.cleaned_name""",
 )
 def audit(spark, folder):
     out = registry.audit_source(
@@ -216,7 +228,7 @@ def dry_run(spark, folder):
 
 @query(
     "e9_apply_aliases",
-    f"""WITH {_RESOLVED_SQL}, ready AS (SELECT DISTINCT canonical_name, raw, normalized_name FROM resolved WHERE matched AND match_type <> 'unique_last_name'),
+    f"""WITH {_FUZZY_SQL}, ready AS (SELECT DISTINCT canonical_name, raw, normalized_name FROM resolved_all WHERE matched AND match_type <> 'unique_last_name'),
     one AS (SELECT canonical_name, normalized_name, min(raw) AS alias FROM ready GROUP BY ALL), held AS (SELECT canonical_name, initial || 'z ' || last_name AS normalized_name FROM registry),
     new AS (SELECT canonical_name, count(*) AS n, string_agg(alias, '|' ORDER BY alias) AS added FROM one WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.canonical_name = one.canonical_name AND h.normalized_name = one.normalized_name) GROUP BY 1)
     SELECT g.canonical_name, CAST(1 + coalesce(n, 0) AS INT) AS alias_count, coalesce(added, '') AS added FROM registry g LEFT JOIN new USING (canonical_name)""",
@@ -267,7 +279,11 @@ def gap_report(spark, folder):
     return with_positions(grouped.join(samples, ["alias", "validation"]), [], order, position="place").drop("group_rows")
 
 
-@query("f8_token_sort_ratio")
+@query(
+    "f8_token_sort_ratio",
+    f"""WITH {PEOPLE_SQL}, t AS (SELECT person_id, first_name || ' ' || last_name AS a, last_name || ' ' || first_name || ' ' || lower(team_code) AS b, {sorted_tokens_sql("first_name || ' ' || last_name")} AS x,
+      {sorted_tokens_sql("last_name || ' ' || first_name || ' ' || lower(team_code)")} AS y FROM people) SELECT person_id, a, b, {indel_sql("x", "y")} AS ratio FROM t""",
+)
 def token_sort_ratio(spark, folder):
     people = _people(spark, folder).select("person_id", names.normalize_name("full_name").alias("a"), F.reverse(F.split("full_name", " ")).alias("w"), "team_code")
     other = F.concat_ws(" ", F.array_join("w", " "), F.lower("team_code"))
