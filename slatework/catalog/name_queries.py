@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from slatework.catalog.base import PLAYS_SQL, indel_sql, plays, query, rounded, sorted_tokens_sql, table
 from slatework.functions import names
-from slatework.operators import aggregates, registry, similarity
+from slatework.operators import aggregates, registry, similarity, stints
 from slatework.operators.ordering import top_rows, with_positions
+from slatework.session import settle
 
 # People: one per customer, '<word> <word> <digits>' from a part's name and the customer's number.  First
 # names repeat, surnames repeat, and the alias is the 'Last, First' spelling of a shortened name.
@@ -243,22 +244,88 @@ def apply_aliases(spark, folder):
     return out.select("canonical_name", F.size("aliases").alias("alias_count"), F.array_join(F.slice("aliases", F.lit(2), F.size("aliases")), "|").alias("added"))
 
 
+# Teams over time: an order is an event seen with a team; finished orders list a customer on a team's yearly roster,
+# open ones are transactions whose text names the customer.
+_SEEN_TEAM = "CASE WHEN o_orderstatus = 'P' THEN '3-MEDIUM' ELSE o_orderpriority END"
+_HISTORY_SQL = f"""{PEOPLE_SQL}, named AS (SELECT person_id, first_name || ' ' || last_name AS full_name, upper(left(first_name, 1)) || substr(first_name, 2) || ' ' || upper(left(last_name, 1)) || substr(last_name, 2) AS canonical_name, team_code FROM people),
+    seen AS (SELECT upper(full_name) AS raw, canonical_name, CAST(o_orderdate AS DATE) AS d, {_SEEN_TEAM} AS observed FROM orders JOIN named ON person_id = o_custkey),
+    listed AS (SELECT DISTINCT canonical_name, o_orderpriority AS team, CAST(date_trunc('year', o_orderdate) AS DATE) AS d FROM orders JOIN named ON person_id = o_custkey WHERE o_orderstatus = 'F'),
+    days AS (SELECT team, d, row_number() OVER (PARTITION BY team ORDER BY d) AS n, coalesce(lead(d) OVER (PARTITION BY team ORDER BY d), DATE '9999-01-01') AS next FROM (SELECT DISTINCT team, d FROM listed)),
+    islands AS (SELECT canonical_name, l.team, l.d, next, n - row_number() OVER (PARTITION BY canonical_name, l.team ORDER BY l.d) AS g FROM listed l JOIN days y ON y.team = l.team AND y.d = l.d),
+    roster AS (SELECT canonical_name, team, min(d) AS s, max(next) AS e FROM islands GROUP BY canonical_name, team, g),
+    moved AS (SELECT canonical_name, CAST(o_orderdate AS DATE) AS d, max(o_orderpriority) AS team FROM orders JOIN named ON person_id = o_custkey WHERE o_orderstatus = 'O' GROUP BY ALL),
+    changed AS (SELECT *, lag(team) OVER (PARTITION BY canonical_name ORDER BY d) IS DISTINCT FROM team AS c FROM moved),
+    moves AS (SELECT canonical_name, team, d AS s, coalesce(lead(d) OVER (PARTITION BY canonical_name ORDER BY d), DATE '9999-01-01') AS e FROM changed WHERE c),
+    official AS (SELECT raw, (SELECT string_agg(DISTINCT team, '|' ORDER BY team) FROM roster r JOIN seen x ON r.canonical_name = x.canonical_name AND x.d >= r.s AND x.d < r.e WHERE x.raw = k.raw) AS roster_teams,
+        (SELECT string_agg(DISTINCT team, '|' ORDER BY team) FROM moves m JOIN seen x ON m.canonical_name = x.canonical_name AND x.d >= m.s AND x.d < m.e WHERE x.raw = k.raw) AS move_teams FROM (SELECT DISTINCT raw FROM seen) k),
+    audited AS (SELECT k.raw, k.canonical_name, k.teams, k.observed_teams, roster_teams, move_teams, CASE WHEN list_has_any(k.teams, coalesce(string_split(roster_teams, '|'), [])) THEN 'official_roster_match' WHEN list_has_any(k.teams, coalesce(string_split(move_teams, '|'), [])) THEN 'official_transaction_match'
+        WHEN roster_teams IS NOT NULL OR move_teams IS NOT NULL THEN 'official_history_mismatch' ELSE 'no_official_history' END AS historical
+      FROM (SELECT raw, min(canonical_name) AS canonical_name, list(DISTINCT observed) AS teams, string_agg(DISTINCT observed, '|' ORDER BY observed) AS observed_teams FROM seen GROUP BY raw) k JOIN official USING (raw))"""
+
+
+def _team_history(spark, folder):
+    """Audit of the names in the event table, with their official teams as of the days they were seen."""
+    people = _people(spark, folder)
+    known = _registry(spark, folder).withColumn("aliases", F.array().cast("array<string>"))
+    orders = table(spark, folder, "orders").join(people.withColumnRenamed("person_id", "o_custkey"), "o_custkey").withColumn("day", F.to_date("o_orderdate"))
+    priority = F.col("o_orderpriority")
+    events = orders.select(F.upper("full_name").alias("raw"), "day", F.lit("Top 1").alias("half"), F.lit("none").alias("home"), F.when(F.col("o_orderstatus") == "P", "3-MEDIUM").otherwise(priority).alias("away"))
+    snapshots = orders.where("o_orderstatus = 'F'").select(registry.title_name("full_name").alias("canonical_name"), priority.alias("team"), F.trunc("day", "year").alias("day"))
+    texts = orders.where("o_orderstatus = 'O'").select(F.concat(F.lit("Team signed free agent "), "full_name", F.lit(" to a contract.")).alias("text"), priority.alias("team"), "day")
+    roster = stints.roster_stints(snapshots, person="canonical_name", team="team", date="day")
+    moves = stints.move_stints(registry.transaction_moves(texts, known, text="text", team="team", date="day"), person="canonical_name", team="team", date="day")
+    seen = registry.observed_teams(events, raw="raw", half="half", home="home", away="away")
+    audit = registry.audit_source(events, known, people, source="play_by_play_plays", raw="raw", person="full_name", team="team_code", observed=seen)
+    return registry.with_team_history(audit, events, roster=roster, moves=moves, raw="raw", date="day")
+
+
+@query(
+    "e4_team_history",
+    f"WITH {_HISTORY_SQL} SELECT raw, canonical_name, observed_teams, roster_teams AS official_roster_teams, move_teams AS official_transaction_teams, historical AS historical_team_validation FROM audited",
+)
+def team_history(spark, folder):
+    return _team_history(spark, folder).select("raw", "canonical_name", "observed_teams", *registry.HISTORY)
+
+
+_PENDING_SQL = f"""{_HISTORY_SQL}, mapped AS (SELECT canonical_name, min(team_code) AS team_code FROM named GROUP BY 1),
+    pend AS (SELECT 'play_by_play_plays' AS source_table, a.raw AS raw_name, substr(a.historical, 10) AS alias_to_apply, m.team_code AS proposed_canonical_name, CASE WHEN contains(observed_teams, '|') THEN 'unique_last_name' ELSE 'exact_canonical' END AS proposed_match_type,
+        CASE WHEN contains(observed_teams, '4') THEN 'pending' WHEN contains(observed_teams, '1') THEN 'pending_review' ELSE 'auto_matched' END AS review_status, observed_teams, 'team_mismatch' AS team_validation, roster_teams, move_teams, historical,
+        lower(a.raw) AS normalized_name, CAST(length(a.raw) AS BIGINT) AS candidate_count, a.canonical_name AS candidates, contains(coalesce(roster_teams, ''), '|') AS ambiguous FROM audited a JOIN mapped m USING (canonical_name))"""
+
+
+def _pending(spark, folder):
+    """Alias rows with every review status, several to a proposal, and their resolutions."""
+    audit = settle(_team_history(spark, folder))
+    observed, roster = F.col("observed_teams"), F.coalesce("official_roster_teams", F.lit(""))
+    rows = audit.select(
+        F.lit("play_by_play_plays").alias("source_table"), F.col("raw").alias("raw_name"), F.substring("historical_team_validation", 10, 100).alias("alias_to_apply"), F.col("player_team").alias("proposed_canonical_name"),
+        F.when(observed.contains("|"), "unique_last_name").otherwise("exact_canonical").alias("proposed_match_type"),
+        F.when(observed.contains("4"), "pending").when(observed.contains("1"), "pending_review").otherwise("auto_matched").alias("review_status"),
+        "observed_teams", F.lit("team_mismatch").alias("team_validation"), *registry.HISTORY, "normalized_name", F.length("raw").cast("long").alias("candidate_count"), F.col("canonical_name").alias("candidates"), roster.contains("|").alias("ambiguous"),
+    )
+    own = ["normalized_name", "candidate_count", "candidates", "ambiguous"]
+    return rows.drop(*own), rows.select("source_table", "raw_name", *own)
+
+
 @query(
     "e10_pending_groups",
-    """WITH a AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'play_by_play_plays' ELSE 'players' END AS source_table, 'raw ' || o_orderkey AS raw_name, c_mktsegment AS alias_to_apply, 'N' || c_nationkey AS proposed_canonical_name, o_orderpriority AS proposed_match_type,
-        CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'pending_review' ELSE 'approved' END AS review_status, CAST(c_nationkey AS VARCHAR) AS observed_teams, o_orderstatus AS team_validation, CAST(o_orderkey AS INT) AS candidate_count, o_totalprice > 250000 AS ambiguous FROM orders JOIN customer ON c_custkey = o_custkey)
-    SELECT source_table, alias_to_apply, proposed_canonical_name, proposed_match_type, review_status, max(observed_teams) AS observed_teams, max(team_validation) AS team_validation, count(*) AS raw_variant_count,
-      array_to_string(list_sort(list(DISTINCT raw_name))[1:20], ' || ') AS raw_name_samples, max(candidate_count) AS candidate_count, max(CAST(ambiguous AS INT)) AS ambiguous_flag FROM a WHERE review_status IN ('pending', 'pending_review') GROUP BY 1, 2, 3, 4, 5""",
+    f"""WITH {_PENDING_SQL}, g AS (SELECT source_table, alias_to_apply, proposed_canonical_name, proposed_match_type, review_status, count(*) AS raw_variant_count, max(CAST(ambiguous AS INT)) AS ambiguous_flag, max(observed_teams) AS observed_teams, max(team_validation) AS team_validation, max(roster_teams) AS official_roster_teams,
+        max(move_teams) AS official_transaction_teams, max(historical) AS historical_team_validation, max(candidate_count) AS candidate_count, max(candidates) AS candidates, array_to_string(list_sort(list(DISTINCT raw_name))[1:20], ' || ') AS raw_name_samples FROM pend WHERE review_status IN ('pending', 'pending_review') GROUP BY 1, 2, 3, 4, 5),
+    p AS (SELECT team_code AS proposed_canonical_name, min(person_id) AS person_id FROM named GROUP BY 1)
+    SELECT g.*, person_id, row_number() OVER (ORDER BY source_table, raw_variant_count DESC, alias_to_apply, g.proposed_canonical_name, proposed_match_type, review_status) - 1 AS place FROM g LEFT JOIN p USING (proposed_canonical_name)""",
 )
 def pending(spark, folder):
-    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "c_nationkey")
-    rows = table(spark, folder, "orders").join(customers, "o_custkey").select(
-        F.when(F.col("o_orderstatus") == "F", "play_by_play_plays").otherwise("players").alias("source_table"), F.concat(F.lit("raw "), F.col("o_orderkey").cast("string")).alias("raw_name"),
-        F.col("c_mktsegment").alias("alias_to_apply"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("proposed_canonical_name"), F.col("o_orderpriority").alias("proposed_match_type"),
-        F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "F", "pending_review").otherwise("approved").alias("review_status"),
-        F.col("c_nationkey").cast("string").alias("observed_teams"), F.col("o_orderstatus").alias("team_validation"), F.col("o_orderkey").cast("int").alias("candidate_count"), (F.col("o_totalprice") > 250000).alias("ambiguous"),
-    )
-    return registry.pending_groups(rows.drop("candidate_count", "ambiguous"), rows)
+    aliases, resolutions = _pending(spark, folder)
+    return registry.pending_groups(aliases, resolutions, people=_people(spark, folder), person="team_code", details=["person_id"])
+
+
+@query(
+    "e10_pending_list",
+    f"""WITH {_PENDING_SQL} SELECT source_table, raw_name, alias_to_apply, proposed_canonical_name, proposed_match_type, review_status, normalized_name, candidate_count, candidates, ambiguous,
+      row_number() OVER (ORDER BY source_table, alias_to_apply, raw_name, proposed_canonical_name) - 1 AS place FROM pend WHERE review_status IN ('pending', 'pending_review')""",
+)
+def pending_rows(spark, folder):
+    return registry.pending_list(*_pending(spark, folder), source="play_by_play_plays")
 
 
 @query(

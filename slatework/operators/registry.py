@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from slatework.functions.names import clean_source_name, name_parts, normalize_name
 from slatework.operators.aggregates import joined_values
 from slatework.operators.joins import mentions
-from slatework.operators.ordering import join_on, top_rows
+from slatework.operators.ordering import join_on, top_rows, with_positions
 from slatework.operators.similarity import similar_pairs
+from slatework.operators.stints import known_teams
 from slatework.session import settle
 
 REVIEW_TYPES = ("fuzzy_same_last_name", "first_initial_last", "unique_last_name")
@@ -163,6 +164,13 @@ def transaction_teams(transactions: DataFrame, registry: DataFrame, *, text: str
     return joined_values(found.join(people, "__name"), keys=["canonical_name"], value=team, name="transaction_teams")
 
 
+def transaction_moves(transactions: DataFrame, registry: DataFrame, *, text: str, team: str, date: str) -> DataFrame:
+    """(canonical_name, team, date) for every registry entry that a dated transaction text names."""
+    lines = transactions.where(F.col(team).isNotNull() & F.col(text).isNotNull()).select(normalize_name(text).alias("__line"), team, date).distinct()
+    people = registry.select("canonical_name", normalize_name("canonical_name").alias("__name")).where("__name <> ''")
+    return mentions(lines, people, text="__line", name="__name").distinct().join(people, "__name").select("canonical_name", team, date)
+
+
 def _team_set(value: Column | str) -> Column:
     value = F.col(value) if isinstance(value, str) else value
     teams = F.transform(F.split(F.coalesce(value, F.lit("")), r"\|"), lambda x: F.trim(x))
@@ -237,6 +245,18 @@ def audit_source(names: DataFrame, registry: DataFrame, people: DataFrame, *, so
     )
 
 
+def with_team_history(audit: DataFrame, seen: DataFrame, *, roster: DataFrame, moves: DataFrame, raw: str, date: str, team: str = "team") -> DataFrame:
+    """Audit rows with the official teams of their proposed entry on the days the raw name was seen, and what they say.
+
+    ``seen`` holds (raw, date); ``roster`` and ``moves`` are stints by canonical name.
+    """
+    audit = settle(audit)
+    days = settle(seen.select(raw, date).distinct().join(audit.select(raw, "canonical_name"), raw))
+    for stints, name in ((roster, "official_roster_teams"), (moves, "official_transaction_teams")):
+        audit = audit.join(known_teams(days, stints, key=raw, person="canonical_name", team=team, date=date, name=name), raw, "left")
+    return audit.withColumn("historical_team_validation", historical_team_validation("observed_teams", "official_roster_teams", "official_transaction_teams"))
+
+
 def apply_decisions(audit: DataFrame, decisions: DataFrame, *, keys: Sequence[str], status: str = "review_status") -> DataFrame:
     """Audit with the status of each decided key replaced (bulk review)."""
     decided = decisions.select(*keys, F.col(status).alias("__status"))
@@ -273,21 +293,43 @@ def apply_aliases(registry: DataFrame, audit: DataFrame, *, alias: str = "alias_
     return grown.unionByName(inserted, allowMissingColumns=True)
 
 
-def pending_groups(aliases: DataFrame, resolutions: DataFrame, *, samples: int = 20) -> DataFrame:
+PENDING = ("pending", "pending_review")
+HISTORY = ("official_roster_teams", "official_transaction_teams", "historical_team_validation")
+
+
+def _evidence(resolutions: DataFrame) -> DataFrame:
+    return resolutions.select("source_table", "raw_name", *[c for c in ("normalized_name", "candidate_count", "candidates", "ambiguous") if c in resolutions.columns])
+
+
+def pending_list(aliases: DataFrame, resolutions: DataFrame, *, source: str | None = None) -> DataFrame:
+    """Every pending alias row with its resolution's evidence, in the order a reviewer's CSV lists them (``place`` from 0)."""
+    rows = aliases.where(F.col("review_status").isin(*PENDING))
+    if source is not None:
+        rows = rows.where(F.col("source_table") == source)
+    named = ["source_table", "raw_name", "alias_to_apply", "proposed_canonical_name", "proposed_match_type", "review_status"]
+    listed = rows.select(*named).join(_evidence(resolutions), ["source_table", "raw_name"], "left")
+    return with_positions(listed, [], [F.col("source_table"), F.col("alias_to_apply"), F.col("raw_name"), F.col("proposed_canonical_name")], position="place").drop("group_rows")
+
+
+def pending_groups(aliases: DataFrame, resolutions: DataFrame, *, samples: int = 20, people: DataFrame | None = None, person: str = "full_name", details: Sequence[str] = ("team_code",)) -> DataFrame:
     """Pending alias rows grouped by proposal, with the count of all variants, the first ``samples`` of their distinct
-    raw names, and the resolution's evidence."""
-    evidence = resolutions.select("source_table", "raw_name", "candidate_count", "ambiguous")
-    rows = aliases.where(F.col("review_status").isin("pending", "pending_review")).join(evidence, ["source_table", "raw_name"], "left")
+    raw names, the resolution's evidence, what is known of teams, and the proposed person's details.
+
+    Columns that ``aliases`` or ``resolutions`` lack are left out.  ``place`` is the order of the review list: by source, largest first.
+    """
+    rows = aliases.where(F.col("review_status").isin(*PENDING)).join(_evidence(resolutions), ["source_table", "raw_name"], "left")
     keys = ["source_table", "alias_to_apply", "proposed_canonical_name", "proposed_match_type", "review_status"]
     names = joined_values(rows, keys=keys, value="raw_name", separator=" || ", name="raw_name_samples", most=samples)
+    most = [c for c in ("observed_teams", "team_validation", *HISTORY, "candidate_count", "candidates") if c in rows.columns]
     grouped = rows.groupBy(*keys).agg(
-        F.max("observed_teams").alias("observed_teams"),
-        F.max("team_validation").alias("team_validation"),
-        F.count(F.lit(1)).alias("raw_variant_count"),
-        F.max("candidate_count").alias("candidate_count"),
-        F.max(F.col("ambiguous").cast("int")).alias("ambiguous_flag"),
+        F.count(F.lit(1)).alias("raw_variant_count"), F.max(F.col("ambiguous").cast("int")).alias("ambiguous_flag"), *[F.max(c).alias(c) for c in most]
     )
-    return join_on(grouped, names, keys, "left").withColumn("raw_name_samples", F.coalesce("raw_name_samples", F.lit("")))
+    out = join_on(grouped, names, keys, "left").withColumn("raw_name_samples", F.coalesce("raw_name_samples", F.lit("")))
+    if people is not None:
+        first = top_rows(people.where(F.col(person).isNotNull()).select(F.col(person).alias("proposed_canonical_name"), *details), ["proposed_canonical_name"], [F.col(d).asc_nulls_last() for d in details])
+        out = out.join(first, "proposed_canonical_name", "left")
+    order = [F.col("source_table"), F.col("raw_variant_count").desc(), *[F.col(c) for c in keys[1:]]]
+    return with_positions(out, [], order, position="place").drop("group_rows")
 
 
 # Order in which team problems are listed.

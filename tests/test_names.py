@@ -126,3 +126,32 @@ def test_pitcher_summary(spark):
 
 def test_action_pattern_is_case_insensitive():
     assert re.match(r"\(\?i\)", names._actions(names.ACTION_VERBS))
+
+
+def test_fuzzy_join_of_the_whole_table_equals_brute_force(spark):
+    """Every raw name against every person of the smallest tables."""
+    from slatework.catalog import QUERIES
+    from slatework.catalog.name_queries import _people, _raw_names
+    from slatework.functions.names import normalize_name
+    from slatework.operators.similarity import common_subsequence
+
+    folder = "/root/testdata/sf0.001"
+    people = {}
+    for r in _people(spark, folder).select(normalize_name("full_name").alias("key"), "person_id").collect():
+        people[r["key"]] = min(r["person_id"], people.get(r["key"], r["person_id"]))
+    raw = {r[0] for r in _raw_names(spark, folder).select(normalize_name("raw")).distinct().collect()}
+    ordered = lambda text: " ".join(sorted(text.split()))
+
+    def best(name):
+        if name in people:
+            return name, people[name], 100.0
+        scored = []
+        for key, person in people.items():
+            a, b = ordered(name), ordered(key)
+            score = 200.0 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 100.0
+            if score >= 85 - 1e-9:
+                scored.append((-score, person, key))
+        return (min(scored)[2], min(scored)[1], -min(scored)[0]) if scored else (None, None, None)
+
+    got = {r["wanted"]: (r["key"], r["person_id"], r["similarity"]) for r in QUERIES["j18_fuzzy_join"](spark, folder).collect()}
+    assert got == {name: best(name) for name in raw}
