@@ -12,6 +12,7 @@ from slatework.catalog.history_queries import FORM
 from slatework.functions.numeric import num
 from slatework.operators import history, slate
 from slatework.plans import hitters, metric_store, picks, refresh, starters
+from slatework.plans.weather import derive_game_weather
 from slatework.session import scratch_folder
 from slatework.sources import sinks
 
@@ -184,6 +185,57 @@ def weather(spark, folder):
     return out.select("game_id", "player_name", F.round("wind_speed_mph", 7).alias("wind_speed_mph"), "roof_closed_estimated", "batter_pull_wind_mph", "batter_pull_weather_boost")
 
 
+# Weather documents of (home team, day): an hour per part number, so days lack hours, some fall between two, and some days have none.
+_BEARINGS = "CAST(n_nationkey * 13 AS DOUBLE)"
+_WEATHER_SQL = f"""{DOMAIN_SQL}, nk AS (SELECT n_name, n_nationkey FROM nation),
+    gm AS (SELECT o_orderkey AS game_id, game_date, home_team, n_nationkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(game_date AS TIMESTAMP) + to_minutes(CAST(o_orderkey * 37 % 1440 AS INT)) END AS start_utc, 'Venue ' || n_nationkey AS venue,
+        CASE n_nationkey % 6 WHEN 0 THEN 'Retractable' WHEN 1 THEN 'retractable open' WHEN 2 THEN 'fixed' WHEN 3 THEN 'Open' END AS roof_type, CASE WHEN n_nationkey < 10 THEN 'America/Los_Angeles' ELSE 'America/New_York' END AS tz FROM go JOIN nk ON n_name = home_team),
+    hr AS (SELECT home_team, game_date, CAST(game_date AS TIMESTAMP) + to_hours(CAST(l_partkey % 24 AS INT)) AS t, round(avg(l_quantity), 6) * 2 AS temp, round(avg(l_tax), 6) * 900 AS hum, round(max(l_discount), 6) * 4 AS mm, round(max(l_extendedprice), 2) % 40 AS ws, CAST(max(l_suppkey) % 360 AS DOUBLE) AS wd
+      FROM lineitem JOIN gm ON game_id = l_orderkey WHERE l_returnflag <> 'N' GROUP BY 1, 2, 3),
+    lc AS (SELECT *, coalesce((start_utc AT TIME ZONE 'UTC') AT TIME ZONE tz, CAST(game_date AS TIMESTAMP) + INTERVAL 19 HOUR) AS local, coalesce(lower(roof_type) IN ('fixed', 'retractable'), false) OR venue = 'Venue 4' AS dome FROM gm),
+    nr AS (SELECT lc.*, t, temp, hum, mm, ws, wd FROM lc LEFT JOIN hr USING (home_team, game_date) QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY abs(epoch(t) - epoch(date_trunc('hour', local))), t) = 1),
+    rd AS (SELECT game_id, game_date, home_team, k, local, dome, roof_type, CASE WHEN dome THEN 'indoor' WHEN t IS NOT NULL THEN 'observed' ELSE 'missing' END AS src, CASE WHEN dome THEN local ELSE t END AS ot, CASE WHEN dome THEN 72e0 ELSE temp END AS temp, CASE WHEN NOT dome THEN hum END AS hum,
+        CASE WHEN dome THEN 0e0 ELSE mm END AS mm, CASE WHEN dome THEN 0e0 ELSE ws END AS ws, CASE WHEN NOT dome THEN wd END AS wd FROM nr),
+    dp AS (SELECT *, 17.27e0 * ((temp - 32) * 5 / 9) / (237.7e0 + (temp - 32) * 5 / 9) + CASE WHEN hum IS NOT NULL THEN ln(least(greatest(hum, 1e-6), 100) / 100) END AS al, coalesce(nullif(temp, 0), 72) AS tt,
+        CASE WHEN roof_type ILIKE '%fixed%' THEN 'closed' WHEN roof_type ILIKE '%retractable%' THEN CASE WHEN coalesce(mm, 0) > 0.2 OR coalesce(nullif(temp, 0), 72) < 58 OR coalesce(nullif(temp, 0), 72) > 94 OR coalesce(ws, 0) > 18 THEN 'closed' ELSE 'open' END ELSE 'open_air' END AS roof FROM rd),
+    dw AS (SELECT *, 237.7e0 * al / (17.27e0 - al) * 9 / 5 + 32 AS dew FROM dp),
+    cy AS (SELECT *, 1 + (tt - 70) * 0.0025e0 + (coalesce(nullif(dew, 0), 55) - 55) * 0.0015e0 AS boost, radians((coalesce(wd, 0) + 180 - k * 13 + 180 + 720) % 360 - 180) AS c, coalesce(ws, 0) AS sp FROM dw)"""
+
+
+@query(
+    "b10_weather_derived",
+    f"""WITH {_WEATHER_SQL} SELECT game_id, local AS local_game_time, ot AS observation_time, src AS weather_source, src <> 'missing' AS weather_available, dome AS is_dome, round(temp, 6) AS temp_f, round(dew, 6) AS dew_point_f, roof AS roof_status_estimated,
+      CASE WHEN src = 'observed' THEN CASE WHEN coalesce(wd, 0) BETWEEN 135 AND 225 THEN round_even(1 + least(coalesce(ws, 0), 20) * 0.01e0, 3) WHEN coalesce(wd, 0) >= 315 OR coalesce(wd, 0) <= 45 THEN round_even(greatest(0.85e0, 1 - least(coalesce(ws, 0), 20) * 0.01e0), 3) ELSE 1e0 END ELSE 1e0 END AS wind_out_factor,
+      round_even(least(greatest(CASE WHEN roof = 'closed' THEN (boost + 1) / 2 ELSE boost END, 0.92e0), 1.1e0), 3) AS air_carry_factor,
+      round_even(greatest(0, sp * cos(c)), 3) + 0e0 AS wind_out_to_center_mph, round_even(greatest(0, -sp * cos(c)), 3) + 0e0 AS wind_in_from_center_mph, round_even(abs(sp * sin(c)), 3) + 0e0 AS crosswind_mph FROM cy""",
+)
+def weather_derived(spark, folder):
+    s = hitter_sources(spark, folder)
+    nations = table(spark, folder, "nation").select(F.col("n_name").alias("home_team"), F.col("n_nationkey").alias("k"))
+    kind = F.col("k") % 6
+    games = s.games.join(nations, "home_team").select(
+        "game_id", "game_date", "home_team", F.concat(F.lit("Venue "), F.col("k").cast("string")).alias("venue"),
+        F.when(kind == 0, "Retractable").when(kind == 1, "retractable open").when(kind == 2, "fixed").when(kind == 3, "Open").alias("roof_type"),
+        F.when(F.col("game_id") % 5 != 0, F.timestamp_seconds(F.unix_timestamp(F.col("game_date").cast("timestamp")) + F.col("game_id") * 37 % 1440 * 60)).alias("start_utc"),
+    )
+    hours = table(spark, folder, "lineitem").where("l_returnflag <> 'N'").join(games.select(F.col("game_id").alias("l_orderkey"), F.col("home_team").alias("team"), F.col("game_date").alias("day")), "l_orderkey").groupBy(
+        "team", "day", (F.col("l_partkey") % 24).alias("hour")
+    ).agg(
+        (F.round(F.avg("l_quantity"), 6) * 2).alias("temperature_2m"), (F.round(F.avg("l_tax"), 6) * 900).alias("relative_humidity_2m"), (F.round(F.max("l_discount"), 6) * 4).alias("precipitation"),
+        (F.round(F.max("l_extendedprice"), 2) % 40).alias("wind_speed_10m"), (F.max("l_suppkey") % 360).cast("double").alias("wind_direction_10m"),
+    )
+    fields = ["temperature_2m", "relative_humidity_2m", "precipitation", "wind_speed_10m", "wind_direction_10m"]
+    listed = hours.groupBy("team", "day").agg(F.sort_array(F.collect_list(F.struct("hour", *fields))).alias("h"))
+    clock = F.transform("h", lambda x: F.concat(F.col("day").cast("string"), F.lit("T"), F.lpad(x["hour"].cast("string"), 2, "0"), F.lit(":00"))).alias("time")
+    landed = listed.select("team", "day", F.to_json(F.struct(F.struct(clock, *[F.col(f"h.{f}").alias(f) for f in fields]).alias("hourly"))).alias("payload"))
+    bearings = {r["home_team"]: r["k"] * 13.0 for r in nations.collect()}
+    out = derive_game_weather(games, s.parks, landed, domes=["Venue 4"], bearings=bearings)
+    return out.select(
+        "game_id", "local_game_time", "observation_time", "weather_source", "weather_available", "is_dome", F.round("temp_f", 6).alias("temp_f"), F.round("dew_point_f", 6).alias("dew_point_f"), "roof_status_estimated",
+        "wind_out_factor", "air_carry_factor", *[(F.col(c) + F.lit(0.0)).alias(c) for c in ("wind_out_to_center_mph", "wind_in_from_center_mph", "crosswind_mph")],
+    )
+
+
 @query("b_hitter_features")
 def hitter_features(spark, folder):
     return hitters.build_hitter_features(prepared_sources(spark, folder))

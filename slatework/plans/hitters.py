@@ -187,50 +187,81 @@ def attach_opposing_pitching(df: DataFrame, s: HitterSources, *, by: str = "team
     return history.prior_days(df, rows, keys=[key], date="game_date", days=days, parts=parts, result=result)
 
 
-def pitch_mix(s: HitterSources, asked: DataFrame) -> DataFrame:
-    """Arsenals as they were known before each asked (pitcher_canonical, game_date), as shares of the pitches.
+MIX = ("pitch_usage", "whiff_percent", "k_percent", "put_away")
 
-    Pitches are counted per day, and only earlier days enter.  Published arsenals are undated; where one lists
-    a pitch, it replaces the counted one.
-    """
+
+@dataclass(frozen=True)
+class Arsenals:
+    """Pitches counted per (pitcher, team, kind, day), and the undated published arsenals."""
+
+    days: DataFrame
+    listed: DataFrame
+
+
+def arsenals(s: HitterSources) -> Arsenals:
     plays = s.plays.where("pitcher is not null").join(s.games.select("game_id", "game_date", "home_team", "away_team"), "game_id").select(
         F.col("id").alias("play_id"), "pitcher", "game_date", F.when(F.col("inning_half").like("Top%"), F.col("home_team")).otherwise(F.col("away_team")).alias("team"), "play_result"
     )
     plays = registry.with_canonical(plays, s.canonical, raw="pitcher", name="pitcher_canonical").withColumn("team", codes.team_code("team"))
     thrown = s.pitches.where("pitch_type is not null").select("play_id", "id", "pitch_number", codes.pitch_type("pitch_type").alias("pitch_type"), "result").join(plays, "play_id")
-    kind = ["pitcher_canonical", "team", "pitch_type"]
     days = aggregates.mix_counts(
-        thrown, keys=[*kind, "game_date"], parent="play_id", order=["pitch_number", "id"],
+        thrown, keys=["pitcher_canonical", "team", "pitch_type", "game_date"], parent="play_id", order=["pitch_number", "id"],
         miss=F.coalesce("result", F.lit("")).ilike("%swing%strike%"), finish=F.col("play_result") == "Strikeout",
     )
-    asked = asked.select("pitcher_canonical", "game_date").distinct()
-    # A pitcher throws a handful of kinds, so the asked dates are repeated a handful of times.
-    spine = join_on(asked, days.select(*kind).distinct(), ["pitcher_canonical"])
-    counted = history.prior_days(
-        spine, days, keys=kind, date="game_date", parts={"n": F.sum("used"), "m": F.sum("missed"), "f": F.sum("finished")},
-        result={"pitch_usage": F.col("n").cast("double"), "whiff_percent": ratio("m", "n"), "k_percent": ratio("f", "n"), "put_away": ratio("f", "n")},
-    ).where("pitch_usage > 0").withColumns({"__source": F.lit(2), "__raw": F.col("pitcher_canonical")})
-    fields = ["pitch_usage", "whiff_percent", "k_percent", "put_away"]
     listed = s.pitcher_arsenal.where("last_name_first_name is not null and pitch_type is not null").select(
-        names.first_last("last_name_first_name").alias("__raw"), codes.team_code("team").alias("team"), "pitch_type", *fields, F.lit(1).alias("__source")
+        names.first_last("last_name_first_name").alias("__raw"), codes.team_code("team").alias("team"), "pitch_type", *MIX
     )
-    listed = join_on(asked, registry.with_canonical(listed, s.canonical, raw="__raw", name="pitcher_canonical"), ["pitcher_canonical"])
+    return Arsenals(settle(days), settle(registry.with_canonical(listed, s.canonical, raw="__raw", name="pitcher_canonical")))
+
+
+def pitch_mix(known: Arsenals, asked: DataFrame) -> DataFrame:
+    """Arsenals as they were known before each asked (pitcher_canonical, game_date, team), as shares of the pitches.
+
+    Only earlier days enter.  Published arsenals are undated; where one lists a pitch, it replaces the counted one.  An asked
+    row meets the kinds its pitcher threw for that one team: a handful, however many teams and dates there are.
+    """
     entity = ["pitcher_canonical", "game_date", "team"]
+    asked = asked.select(*entity).distinct()
+    kinds = known.days.select("pitcher_canonical", "team", "pitch_type").distinct()
+    counted = history.prior_days(
+        join_on(asked, kinds, ["pitcher_canonical", "team"]), known.days, keys=["pitcher_canonical", "team", "pitch_type"], date="game_date",
+        parts={"n": F.sum("used"), "m": F.sum("missed"), "f": F.sum("finished")},
+        result={"pitch_usage": F.col("n").cast("double"), "whiff_percent": ratio("m", "n"), "k_percent": ratio("f", "n"), "put_away": ratio("f", "n")},
+    ).where("pitch_usage > 0").withColumns({"__source": F.lit(2), "__raw": F.col("pitcher_canonical")})
+    listed = join_on(asked, known.listed, ["pitcher_canonical", "team"]).withColumn("__source", F.lit(1))
     shares = aggregates.usage_share(listed.unionByName(counted), entity=[*entity, "__source"], usage="pitch_usage", name="__share")
     best = top_rows(shares, [*entity, "pitch_type"], [F.col("__source"), F.col("__raw")])
     return best.select(*entity, "pitch_type", F.col("__share").alias("pitch_usage"), "whiff_percent", "k_percent", "put_away")
 
 
+def arsenal_team(known: Arsenals, asked: DataFrame) -> DataFrame:
+    """(pitcher_canonical, game_date, opp_team) with ``team``: the asked team where the pitcher has an arsenal with it by
+    then, else the first team in order that he has one with."""
+    pitcher = ["pitcher_canonical"]
+    asked = asked.select(*pitcher, "game_date", "opp_team").where("pitcher_canonical is not null").distinct()
+    since = known.days.groupBy(*pitcher, "team").agg(F.min("game_date").alias("game_date"))
+    listed = known.listed.groupBy(*pitcher, "team").agg(F.sum("pitch_usage").alias("u")).where("u <> 0")
+    first = history.prior_days(
+        asked.select(*pitcher, "game_date").distinct(), since, keys=pitcher, date="game_date", parts={"min_team": F.min("team")}, result={"__counted": F.col("min_team")}
+    )
+    always = listed.groupBy(*pitcher).agg(F.min("team").alias("__listed"))
+    out = asked.join(first, [*pitcher, "game_date"]).join(always, pitcher, "left")
+    out = out.join(since.select(*pitcher, F.col("team").alias("opp_team"), F.col("game_date").alias("__since")), [*pitcher, "opp_team"], "left")
+    out = out.join(listed.select(*pitcher, F.col("team").alias("opp_team"), F.lit(True).alias("__is_listed")), [*pitcher, "opp_team"], "left")
+    own = F.coalesce(F.col("__since") < F.col("game_date"), F.lit(False)) | F.coalesce("__is_listed", F.lit(False))
+    return out.select(*pitcher, "game_date", "opp_team", F.when(own, F.col("opp_team")).otherwise(F.least("__counted", "__listed")).alias("team"))
+
+
 def attach_pitch_matchup(df: DataFrame, s: HitterSources) -> DataFrame:
     """Pitcher's two main pitches (by name and team, else by name), and the batter's record against them."""
     metrics = ["whiff_percent", "k_percent"]
     df = registry.with_canonical(df, s.canonical, raw="pitcher_name", name="pitcher_canonical").withColumn("opp_team", codes.team_code("opp_team"))
-    known = ["pitcher_canonical", "game_date"]
-    profile = aggregates.top_two(pitch_mix(s, df), entity=[*known, "team"], kind="pitch_type", usage="pitch_usage", metrics=metrics)
-    fields = [c for c in profile.columns if c not in (*known, "team")]
-    specific = profile.withColumnRenamed("team", "opp_team")
-    general = top_rows(profile, known, [F.col("team").asc_nulls_last()])
-    df = joins.priority_join(df, specific, general, on=[*known, "opp_team"], fallback_on=known, values=fields)
+    known = arsenals(s)
+    entity = ["pitcher_canonical", "game_date", "team"]
+    meant = settle(arsenal_team(known, df))
+    profile = aggregates.top_two(pitch_mix(known, meant), entity=entity, kind="pitch_type", usage="pitch_usage", metrics=metrics)
+    profile = join_on(meant, profile, entity).drop("team")
+    df = join_on(df, profile, ["pitcher_canonical", "game_date", "opp_team"], "left")
 
     record = ["whiff_percent", "k_percent", "ba", "slg", "woba"]
     batters = registry.with_canonical(
@@ -347,6 +378,35 @@ def _with_context(df: DataFrame, s: HitterSources, park_constants: Mapping[str,
     return composite_features(attach_interactions(df))
 
 
+PAIR_COUNTS = {"hit": "hit_count", "hr": "hr_count", "so": "so_count"}
+
+
+def override_starters(served: DataFrame, overrides: DataFrame, s: HitterSources) -> DataFrame:
+    """What-if: rows facing another pitcher than announced, with everything that depends on the pitcher asked anew.
+
+    ``served`` comes from ``enrich_for_serving``; ``overrides`` holds game_date, team (the pitcher's) and pitcher_name, the first
+    name in order where a team has several.  Only swapped rows ask the 30-day rollups, the arsenal, hands and the pair history
+    again; what does not depend on the pitcher is kept, and all other rows pass by.
+    """
+    s = s if s.canonical is not None else prepared(s)
+    named = overrides.select("game_date", codes.team_code("team").alias("__opp"), F.nullif(F.trim("pitcher_name"), F.lit("")).alias("__new")).where("__new is not null")
+    new = top_rows(named, ["game_date", "__opp"], [F.col("__new")])
+    marked = join_on(served.withColumn("__opp", codes.team_code("opp_team")), new, ["game_date", "__opp"], "left").drop("__opp")
+    swap = F.col("__new").isNotNull() & ~F.col("__new").eqNullSafe(F.col("pitcher_name"))
+    kept = marked.where(~swap).select(*served.columns, F.col("__new").isNotNull().alias("starter_override_applied"))
+    changed = marked.where(swap).withColumn("pitcher_name", F.col("__new"))
+    probe = settle(changed.select(*KEY, "game_date", "team", "opp_team", "pitcher_name", "batter_canonical"))
+    played = registry.with_canonical(load_spine(s), s.canonical, raw="player_name", name="batter_canonical")
+    met = history.pair_history(
+        probe, played, pair=["batter_canonical", "pitcher_name"], date="game_date", game="game_id", weight="pa_count", counts=PAIR_COUNTS, suffix="vs_pitcher"
+    )
+    asked = [attach_opposing_pitching(probe, s, by="pitcher"), attach_pitch_matchup(probe, s), attach_hands(probe, s), met]
+    anew = {c for part in asked for c in part.columns} - set(probe.columns)
+    fresh = _joined(changed.select(*[c for c in served.columns if c not in anew]), asked)
+    fresh = composite_features(attach_interactions(fresh.withColumn("starter_override_applied", F.lit(True))))
+    return kept.unionByName(fresh.select(*kept.columns))
+
+
 def enrich_for_serving(rows: DataFrame, s: HitterSources, *, lookback: int = 20, park_constants: Mapping[str, float] = PARK_FACTORS) -> DataFrame:
     """Point-in-time features for scheduled (game, batter, pitcher) rows, any number of dates in one job.
 
@@ -358,7 +418,7 @@ def enrich_for_serving(rows: DataFrame, s: HitterSources, *, lookback: int = 20,
     base = settle(registry.with_canonical(rows, s.canonical, raw="player_name", name="batter_canonical"))
     met = history.pair_history(
         base, played, pair=["batter_canonical", "pitcher_name"], date="game_date", game="game_id", weight="pa_count",
-        counts={"hit": "hit_count", "hr": "hr_count", "so": "so_count"}, suffix="vs_pitcher",
+        counts=PAIR_COUNTS, suffix="vs_pitcher",
     )
     parts = [attach_form(base, s, lookback), attach_opposing_pitching(base, s, by="pitcher"), attach_pitch_matchup(base, s), met]
     return _with_context(_joined(base, parts), s, park_constants)

@@ -11,7 +11,7 @@ from slatework.functions import codes, names, numeric, text
 from slatework.functions.numeric import num, ratio
 from slatework.operators import aggregates, history, joins, registry
 from slatework.operators.ordering import join_on, top_rows
-from slatework.plans.hitters import HITS, HitterSources, pitch_mix, prepared
+from slatework.plans.hitters import HITS, HitterSources, arsenals, pitch_mix, prepared
 from slatework.session import settle
 
 THRESHOLDS = (3, 4, 5, 6)
@@ -138,7 +138,9 @@ def attach_arsenal(df: DataFrame, s: StarterSources) -> DataFrame:
     metrics = ["whiff_percent", "k_percent", "put_away"]
     keyed = registry.with_canonical(df, s.base.canonical, raw="starter_name", name="pitcher_canonical").withColumn("__team", codes.team_code("team"))
     known = ["pitcher_canonical", "game_date"]
-    profile = aggregates.top_two(pitch_mix(s.base, keyed), entity=[*known, "team"], kind="pitch_type", usage="pitch_usage", metrics=metrics)
+    meant = keyed.select(*known, F.col("__team").alias("team")).where("pitcher_canonical is not null")
+    meant = meant.unionByName(meant.withColumn("team", F.lit(None).cast("string"))).distinct()
+    profile = aggregates.top_two(pitch_mix(arsenals(s.base), meant), entity=[*known, "team"], kind="pitch_type", usage="pitch_usage", metrics=metrics)
     fields = [c for c in profile.columns if c not in (*known, "team")]
     specific = profile.where("team is not null").withColumnRenamed("team", "__team")
     without_team = profile.where("team is null").drop("team")
