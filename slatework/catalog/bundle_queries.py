@@ -13,7 +13,7 @@ from slatework.functions.numeric import num
 from slatework.operators import history, slate
 from slatework.plans import hitters, metric_store, picks, refresh, starters
 from slatework.plans.weather import derive_game_weather
-from slatework.session import scratch_folder
+from slatework.session import scratch_folder, settle
 from slatework.sources import sinks
 
 
@@ -133,15 +133,15 @@ def opposing(spark, folder):
       FROM sided s LEFT JOIN pf a ON a.p = s.pitcher_name AND a.d = s.game_date AND a.team = s.opp_team
       LEFT JOIN gf b ON b.p = s.pitcher_name AND b.d = s.game_date),
     ht AS (SELECT c_name AS player_name, CASE c_mktsegment WHEN 'BUILDING' THEN 'SL' WHEN 'MACHINERY' THEN 'CU' ELSE 'SI' END AS k, CASE WHEN c_nationkey > 0 THEN c_acctbal / 25000 END AS woba FROM customer)
-    SELECT m.game_id, m.player_name, k1 AS primary_pitch_type, k2 AS secondary_pitch_type, round(u1, 8) AS primary_pitch_usage, round(ow, 8) AS overall_whiff_percent, round(h1.woba, 8) AS batter_woba_vs_primary_pitch,
-      round((coalesce(CASE WHEN u1 > 0 THEN h1.woba * u1 END, 0) + coalesce(CASE WHEN u2 > 0 THEN h2.woba * u2 END, 0)) / nullif(CASE WHEN h1.woba IS NOT NULL AND u1 > 0 THEN u1 ELSE 0 END + CASE WHEN h2.woba IS NOT NULL AND u2 > 0 THEN u2 ELSE 0 END, 0), 8) AS batter_woba_vs_pitcher_arsenal
+    SELECT m.game_id, m.player_name, k1 AS primary_pitch_type, k2 AS secondary_pitch_type, round(u1, 10) AS primary_pitch_usage, round(ow, 10) AS overall_whiff_percent, round(h1.woba, 10) AS batter_woba_vs_primary_pitch,
+      round((coalesce(CASE WHEN u1 > 0 THEN h1.woba * u1 END, 0) + coalesce(CASE WHEN u2 > 0 THEN h2.woba * u2 END, 0)) / nullif(CASE WHEN h1.woba IS NOT NULL AND u1 > 0 THEN u1 ELSE 0 END + CASE WHEN h2.woba IS NOT NULL AND u2 > 0 THEN u2 ELSE 0 END, 0), 10) AS batter_woba_vs_pitcher_arsenal
     FROM m LEFT JOIN ht h1 ON h1.player_name = m.player_name AND h1.k = k1 LEFT JOIN ht h2 ON h2.player_name = m.player_name AND h2.k = k2""",
 )
 def pitch_matchup(spark, folder):
     s = prepared_sources(spark, folder)
     out = hitters.attach_pitch_matchup(_spine(s), s)
     numbers = ["primary_pitch_usage", "overall_whiff_percent", "batter_woba_vs_primary_pitch", "batter_woba_vs_pitcher_arsenal"]
-    return out.select("game_id", "player_name", "primary_pitch_type", "secondary_pitch_type", *[F.round(c, 8).alias(c) for c in numbers])
+    return out.select("game_id", "player_name", "primary_pitch_type", "secondary_pitch_type", *[F.round(c, 10).alias(c) for c in numbers])
 
 
 @query(
@@ -267,6 +267,29 @@ def serving(spark, folder):
     return hitters.enrich_for_serving(scheduled, s)
 
 
+# Teams in every third day's games send the first supplier of their nation in name order instead.
+@query(
+    "m19_override_recompute",
+    f"""WITH {DOMAIN_SQL}, alt AS (SELECT n_name AS team, min(s_name) AS pitcher FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1),
+    ov AS (SELECT DISTINCT game_date, opp_team, pitcher FROM sided JOIN alt ON alt.team = opp_team WHERE date_diff('day', DATE '1992-01-01', game_date) % 3 = 0),
+    sw AS (SELECT s.game_id, s.player_name, s.game_date, coalesce(o.pitcher, s.pitcher_name) AS pitcher_name, o.pitcher IS NOT NULL AS applied FROM sided s LEFT JOIN ov o ON o.game_date = s.game_date AND o.opp_team = s.opp_team),
+    bd AS (SELECT player_name, game_date AS day, sum(earned_runs / nullif(innings_pitched, 0) * 9) AS e, count(earned_runs / nullif(innings_pitched, 0)) AS n FROM bx JOIN go ON o_orderkey = game_id WHERE innings_pitched > 0 GROUP BY ALL),
+    era AS (SELECT w.pitcher_name, w.game_date, sum(e) / nullif(sum(n), 0) AS era FROM (SELECT DISTINCT pitcher_name, game_date FROM sw) w JOIN bd ON bd.player_name = w.pitcher_name AND bd.day < w.game_date AND bd.day >= w.game_date - 30 GROUP BY ALL),
+    met AS (SELECT w.game_id, w.player_name, count(h.game_id) AS met FROM sw w LEFT JOIN sided h ON h.player_name = w.player_name AND h.pitcher_name = w.pitcher_name AND h.game_date < w.game_date GROUP BY ALL)
+    SELECT w.game_id, w.player_name, w.pitcher_name, applied AS starter_override_applied, round(era, 7) AS pitcher_era_30d, met AS prior_games_vs_pitcher
+    FROM sw w JOIN met USING (game_id, player_name) LEFT JOIN era ON era.pitcher_name = w.pitcher_name AND era.game_date = w.game_date""",
+)
+def override_recompute(spark, folder):
+    s = prepared_sources(spark, folder)
+    scheduled = hitters.load_spine(s).select("game_id", "game_date", "player_name", "team", "opp_team", "home_team", "pitcher_name")
+    served = settle(hitters.enrich_for_serving(scheduled, s))
+    names = table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("team")).agg(F.min("s_name").alias("pitcher_name"))
+    teams = table(spark, folder, "nation").select("n_name").collect()
+    dates = served.select("game_date").distinct().where(F.datediff("game_date", F.lit("1992-01-01").cast("date")) % 3 == 0)
+    out = hitters.override_starters(served, dates.withColumn("team", F.explode(F.array(*[F.lit(r[0]) for r in teams]))).join(names, "team"), s)
+    return out.select("game_id", "player_name", "pitcher_name", "starter_override_applied", F.round("pitcher_era_30d", 7).alias("pitcher_era_30d"), "prior_games_vs_pitcher")
+
+
 def _picks(spark, folder):
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("pick_id"), "o_custkey", F.to_date("o_orderdate").alias("analysis_date"))
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("player_name"), F.col("c_nationkey").alias("n_nationkey"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slatework.catalog.base import query, rounded, table
+from slatework.catalog.base import GAMES_SQL, form_games, query, rounded, table
 from slatework.functions.numeric import flag
-from slatework.operators import aggregates, slate, splits
+from slatework.operators import aggregates, history, slate, splits
 from slatework.plans import models, scoring
 from slatework.session import settle
 
@@ -131,6 +131,36 @@ _GIVEN_SQL = f"""{_TRAINING_SQL},
     b AS (SELECT {GIVEN.base()!r}::DOUBLE AS base)"""
 
 
+# Games of a customer with the form over the last N of them, for every N of the sweep.
+LOOKBACKS = (3, 5, 10)
+
+
+def _swept(spark, folder):
+    games = form_games(spark, folder).where("pa_count >= 1")
+    form = history.recent_form(
+        games, games, entity=["o_custkey"], date="game_date", game="l_orderkey", flags={"hr": "hr_game", "so": "so_game"}, weight="pa_count", windows=LOOKBACKS
+    )
+    return form.withColumn("label", F.col("hr_game"))
+
+
+@query(
+    "m21_lookback_counts",
+    f"""WITH {GAMES_SQL}, f AS (SELECT *, CAST(hr_count > 0 AS INT) AS hr, CAST(so_count > 0 AS INT) AS so FROM games WHERE pa_count >= 1),
+    p AS (SELECT a.l_orderkey, f.hr, f.so, row_number() OVER (PARTITION BY a.l_orderkey ORDER BY f.game_date DESC, f.l_orderkey DESC) AS rn FROM f a JOIN f ON f.o_custkey = a.o_custkey AND f.game_date < a.game_date),
+    n AS (SELECT unnest([3, 5, 10]) AS lookback), u AS (SELECT l_orderkey, lookback, count(*) AS used, avg(hr) AS hr, avg(so) AS so FROM p, n WHERE rn <= lookback GROUP BY ALL)
+    SELECT lookback, (SELECT count(*) FROM f) AS rows, count(*) AS rows_with_form, count(*) FILTER (used = lookback) AS rows_with_all, round(avg(hr), 8) AS mean_hr_rate, round(avg(so), 8) AS mean_so_rate FROM u GROUP BY 1""",
+)
+def lookback_counts(spark, folder):
+    return rounded(models.lookback_rows(_swept(spark, folder), lookbacks=LOOKBACKS, stems=["hr", "so"]), 8)
+
+
+@query("m21_lookback_sweep")
+def lookback_sweep(spark, folder):
+    return models.lookback_sweep(
+        settle(_swept(spark, folder)), lookbacks=LOOKBACKS, stems=["hr", "so"], features=["season_hr_rate_to_date", "days_since_last_game"], label="label", date="game_date", key=["o_custkey", "l_orderkey"]
+    )
+
+
 @query(
     "m22_drivers",
     f"""WITH {_GIVEN_SQL}, r AS (SELECT o_orderkey, CASE WHEN impact > 0 THEN 'up' ELSE 'down' END AS direction, feature, value, impact FROM i WHERE abs(impact) >= 1e-6),
@@ -158,8 +188,8 @@ def details(spark, folder):
 
 @query(
     "m24_proxy_distribution",
-    f"""WITH {_TRAINING_SQL}, l AS (SELECT label, unnest(['quantity', 'tax']) AS feature, unnest([quantity, tax]) AS v FROM t)
-    SELECT feature, round(avg(v), 9) AS mean_all, round(avg(v) FILTER (label = 1), 9) AS mean_positive, round(avg(v) FILTER (label = 0), 9) AS mean_negative, round(count(v) / count(*) * 100, 7) AS present_pct FROM l GROUP BY 1""",
+    f"""WITH {_TRAINING_SQL}, l AS (SELECT label, unnest(['quantity', 'tax']) AS feature, unnest([quantity, tax]::DOUBLE[]) AS v FROM t)
+    SELECT feature, round(avg(v), 9) AS mean_all, round(avg(v) FILTER (label = 1), 9) AS mean_positive, round(avg(v) FILTER (label = 0), 9) AS mean_negative, round(quantile_cont(v, 0.5), 9) AS median_all, round(quantile_cont(v, 0.5) FILTER (label = 1), 9) AS median_positive, round(quantile_cont(v, 0.5) FILTER (label = 0), 9) AS median_negative, round(count(v) / count(*) * 100, 7) AS present_pct FROM l GROUP BY 1""",
 )
 def proxy(spark, folder):
     rows = models.proxy_label(_training(spark, folder), "returned", 1)
@@ -186,10 +216,21 @@ def positional(spark, folder):
     return splits.positional_split(_training(spark, folder), date="game_date", key=KEY).select("o_orderkey", "is_holdout")
 
 
-@query("m26_stratified_split")
+@query(
+    "m26_stratified_split",
+    f"WITH {_TRAINING_SQL} SELECT o_orderkey, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(o_orderkey AS VARCHAR))) <= floor(count(*) OVER (PARTITION BY label) * 0.2e0 + 0.5e0) AS is_holdout FROM t",
+)
 def stratified(spark, folder):
-    split = splits.stratified_split(_training(spark, folder), label="label", key=KEY)
-    return split.groupBy("label", "is_holdout").agg(F.count(F.lit(1)).alias("n"))
+    return splits.stratified_split(_training(spark, folder), label="label", key=KEY).select(*KEY, "label", "is_holdout")
+
+
+@query(
+    "m26_balanced_folds",
+    f"""WITH {_TRAINING_SQL}, r AS (SELECT o_orderkey, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(o_orderkey AS VARCHAR))) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM t)
+    SELECT o_orderkey, label, CAST(len(list_filter([1, 2, 3, 4], lambda k: i >= k * n // 5)) AS INT) AS fold FROM r""",
+)
+def balanced_folds(spark, folder):
+    return splits.hashed_folds(_training(spark, folder), key=KEY, folds=5, label="label").select(*KEY, "label", "fold")
 
 
 @query(

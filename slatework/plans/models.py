@@ -127,19 +127,25 @@ def with_weight(df: DataFrame, label: str, name: str = "__weight") -> DataFrame:
     return df.withColumn(name, F.when(F.col(label) == 1, num(weight or 1.0)).otherwise(num(1)))
 
 
-def exact_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """Median per feature; 0 where a feature has no value.
+def grouped_medians(df: DataFrame, features: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, feature, median) for many features and groups in one pass.
 
-    All features in one pass: values are counted before they are ordered, and two rows per feature come back.
+    Values are counted per group before they are ordered, so a group or a value with most of the rows is one count.
+    NULL and NaN do not enter; a group without any value of a feature has no row.
     """
     pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features]))
-    counts = df.select(pairs).where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_totals(counts, ["feature"], [F.col("v")], {"n": "n"})
+    keys = [*groups, "feature"]
+    counts = df.select(*groups, pairs).where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_totals(counts, keys, [F.col("v")], {"n": "n"})
     spot = (F.col("all_n") - 1) * F.lit(0.5)
     holds = lambda at: (F.col("before_n") <= at) & (at < F.col("before_n") + F.col("n"))
     low, high = holds(F.floor(spot)), holds(F.ceil(spot))
-    ends = placed.where(low | high).groupBy("feature").agg(((F.max(F.when(low, F.col("v"))) + F.max(F.when(high, F.col("v")))) / 2).alias("median"))
-    return dict.fromkeys(features, 0.0) | {r["feature"]: float(r["median"]) for r in ends.collect()}
+    return placed.where(low | high).groupBy(*keys).agg(((F.max(F.when(low, F.col("v"))) + F.max(F.when(high, F.col("v")))) / 2).alias("median"))
+
+
+def exact_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """Median per feature; 0 where a feature has no value."""
+    return dict.fromkeys(features, 0.0) | {r["feature"]: float(r["median"]) for r in grouped_medians(df, features).collect()}
 
 
 def filled(df: DataFrame, medians: Mapping[str, float], prefix: str = "__f_") -> DataFrame:
@@ -161,10 +167,10 @@ def _typed(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in features})
 
 
-def fit_base(kind: str, train: DataFrame, features: Sequence[str], label: str, settings: Settings, validation: str | None = None) -> Scorer:
+def fit_base(kind: str, train: DataFrame, features: Sequence[str], label: str, settings: Settings, validation: str | None = None, medians: Mapping[str, float] | None = None) -> Scorer:
     """Median imputation and one weighted tree model; a constant when the label has one class.
 
-    ``validation`` names a boolean column of rows the boosting rounds are stopped on.
+    ``validation`` names a boolean column of rows the boosting rounds are stopped on; ``medians`` are the training rows', where known.
     """
     classes = {r[0] for r in train.select(F.col(label).cast("int")).distinct().collect()}
     if len(classes) < 2:
@@ -179,7 +185,7 @@ def fit_base(kind: str, train: DataFrame, features: Sequence[str], label: str, s
     else:
         learner = LogisticRegression(featuresCol="__vector", labelCol=label, weightCol="__weight")
     data = with_weight(_typed(train, features), label).withColumn(label, F.col(label).cast("double"))
-    medians = exact_medians(data, features)
+    medians = exact_medians(data, features) if medians is None else {c: medians[c] for c in features}
     return Scorer(Pipeline(stages=[*_prepared(features, medians), learner]).fit(data), medians=medians)
 
 
@@ -189,24 +195,51 @@ def together(jobs: Iterable[Callable[[], object]], parallel: int) -> list:
         return list(pool.map(lambda job: job(), jobs))
 
 
-def fit_stack(df: DataFrame, *, features: Sequence[str], label: str, date: str, key: Sequence[str], settings: Settings = Settings()) -> tuple[Stack, DataFrame]:
-    """Train on the earlier dates, return the stack and the scored hold-out rows.
+@dataclass(frozen=True)
+class Prepared:
+    """Written training rows with their folds, the rows the final models are fitted on, the hold-out rows and all fills.
 
-    Base models are fitted on expanding folds; their out-of-fold probabilities train the logistic meta
-    model, so it never sees a prediction made on training rows.  The final base models are fitted on all
-    training rows with the last dates as the stopping set.
+    Fills are by fold (those of its earlier folds) and, under ``"tail"``, of all training rows.
     """
+
+    folded: DataFrame
+    tail: DataFrame
+    holdout: DataFrame
+    fills: Mapping[object, Mapping[str, float]]
+
+
+def prepare(df: DataFrame, *, features: Sequence[str], label: str, date: str, key: Sequence[str], settings: Settings = Settings()) -> Prepared:
+    """What every fit on these rows shares: splits by date and the fills of every fold, for all features together."""
     rows = settle(df.where(F.col(label).isNotNull()).select(*key, date, label, *features))
-    # A feature without any value cannot be imputed.
-    features = covered_columns(rows, features, 1e-9)
     rows = splits.holdout_split(rows, date=date, key=key, share=settings.holdout)
     train, holdout = rows.where("not is_holdout"), rows.where("is_holdout")
     folded = settle(splits.expanding_folds(train, date=date, key=key, folds=settings.folds))
     tail = settle(splits.holdout_split(train, date=date, key=key, share=settings.tail, name="is_tail"))
-    # Fits of all folds and of the final models depend on written rows only, so they run side by side.
+    folds = range(1, settings.folds + 1)
+    jobs = [partial(exact_medians, folded.where(F.col("fold") < fold), features) for fold in folds] + [partial(exact_medians, tail, features)]
+    fills = together(jobs, settings.parallel)
+    return Prepared(folded, tail, holdout, dict(zip([*folds, "tail"], fills)))
+
+
+def fit_stack(df: DataFrame, *, features: Sequence[str], label: str, date: str, key: Sequence[str], settings: Settings = Settings()) -> tuple[Stack, DataFrame]:
+    """Train on the earlier dates, return the stack and the scored hold-out rows."""
+    return fit_prepared(prepare(df, features=features, label=label, date=date, key=key, settings=settings), features=features, label=label, key=key, settings=settings)
+
+
+def fit_prepared(rows: Prepared, *, features: Sequence[str], label: str, key: Sequence[str], settings: Settings = Settings()) -> tuple[Stack, DataFrame]:
+    """The stack on some of the prepared features.
+
+    Base models are fitted on expanding folds; their out-of-fold probabilities train the logistic meta
+    model, so it never sees a prediction made on training rows.  The final base models are fitted on all
+    training rows with the last dates as the stopping set.  Fits of all folds and of the final models depend on written
+    rows only, so they run side by side.
+    """
+    # A feature without any value cannot be imputed.
+    features = covered_columns(rows.tail.unionByName(rows.holdout, allowMissingColumns=True), features, 1e-9)
+    folded = rows.folded
     asked = [(fold, kind) for fold in range(1, settings.folds + 1) for kind in BASES]
-    jobs = [partial(fit_base, kind, folded.where(F.col("fold") < fold), features, label, settings) for fold, kind in asked]
-    jobs += [partial(fit_base, kind, tail, features, label, settings, validation="is_tail" if kind == "boost" else None) for kind in BASES]
+    jobs = [partial(fit_base, kind, folded.where(F.col("fold") < fold), features, label, settings, medians=rows.fills[fold]) for fold, kind in asked]
+    jobs += [partial(fit_base, kind, rows.tail, features, label, settings, validation="is_tail" if kind == "boost" else None, medians=rows.fills["tail"]) for kind in BASES]
     fitted = together(jobs, settings.parallel)
     of_fold, bases = dict(zip(asked, fitted)), dict(zip(BASES, fitted[len(asked) :]))
     out_of_fold, fold_rows = None, []
@@ -221,7 +254,7 @@ def fit_stack(df: DataFrame, *, features: Sequence[str], label: str, date: str,
         fold_rows += metrics.ranking_metrics(out_of_fold, label=label, score=kind, groups=["fold"]).withColumn("model", F.lit(kind)).collect()
     meta = _fit_meta(out_of_fold, label)
     stack = Stack(list(features), label, bases, meta, fold_rows)
-    return stack, stack.transform(_typed(holdout, features))
+    return stack, stack.transform(_typed(rows.holdout, features))
 
 
 def _fit_meta(rows: DataFrame, label: str) -> Scorer:
@@ -247,15 +280,41 @@ def fit_thresholds(df: DataFrame, *, features: Mapping[int, Sequence[str]], date
 
 
 def ablation(df: DataFrame, *, scenarios: Mapping[str, Sequence[str]], label: str, date: str, key: Sequence[str], settings: Settings = Settings()) -> DataFrame:
-    """Hold-out metrics of the stack for each named feature set."""
+    """Hold-out metrics of the stack for each named feature set; splits and fills are made once."""
+    rows = prepare(df, features=list(dict.fromkeys(c for columns in scenarios.values() for c in columns)), label=label, date=date, key=key, settings=settings)
     out = None
     for name, columns in scenarios.items():
-        _, scored = fit_stack(df, features=columns, label=label, date=date, key=key, settings=settings)
+        _, scored = fit_prepared(rows, features=columns, label=label, key=key, settings=settings)
         one = holdout_metrics(scored, label, ["proba"]).withColumns({"scenario": F.lit(name), "features": F.lit(len(columns))})
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def lookback_sweep(df: DataFrame, *, lookbacks: Sequence[int], stems: Sequence[str], features: Sequence[str], label: str, date: str, key: Sequence[str], settings: Settings = Settings()) -> DataFrame:
+    """Hold-out metrics of the stack for each number of last games.
+
+    ``df`` holds the form over every N at once, as ``history.recent_form`` gives it with ``windows=lookbacks``; each fit takes
+    the columns of its N.
+    """
+    own = {str(n): [*features, *[f"recent_{stem}_rate_g{n}" for stem in stems], f"recent_weight_used_g{n}"] for n in lookbacks}
+    return ablation(df, scenarios=own, label=label, date=date, key=key, settings=settings).withColumn("lookback", F.col("scenario").cast("int")).drop("scenario")
+
+
+def lookback_rows(df: DataFrame, *, lookbacks: Sequence[int], stems: Sequence[str]) -> DataFrame:
+    """Per number of last games: rows, rows with any earlier game, rows with all N, and the mean rates.
+
+    The frame is read once: a row hands out one small struct per N, which partial aggregation folds up before any shuffle.
+    """
+    each = [
+        F.struct(F.lit(n).alias("lookback"), F.col(f"recent_games_used_g{n}").alias("used"), *[F.col(f"recent_{stem}_rate_g{n}").alias(f"{stem}_rate") for stem in stems])
+        for n in lookbacks
+    ]
+    return df.select(F.inline(F.array(*each))).groupBy("lookback").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("used").alias("rows_with_form"), F.count(F.when(F.col("used") == F.col("lookback"), 1)).alias("rows_with_all"),
+        *[F.avg(f"{stem}_rate").alias(f"mean_{stem}_rate") for stem in stems],
+    )
+
+
 def importances(spark, scorer: Scorer, features: Sequence[str]) -> DataFrame:
     """Feature importance of a tree model, largest first."""
     values = [] if scorer.model is None else scorer.model.stages[-1].featureImportances.toArray()
@@ -314,10 +373,17 @@ def proxy_label(df: DataFrame, score: str = "confidence_score", cut: float = 70,
 
 
 def outcome_distribution(df: DataFrame, *, outcome: str, features: Sequence[str]) -> DataFrame:
-    """Per feature: mean over all rows, over positives and over negatives, and the share of rows that have it."""
+    """Per feature: mean and median over all rows, over positives and over negatives, and the share of rows that have it."""
+    y = F.coalesce(F.col(outcome) == 1, F.lit(False)).alias("__y")
+    rows = df.select(y, *features)
     long = F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))
-    y = F.col(outcome) == 1
-    return df.select(outcome, long).groupBy("feature").agg(
-        F.avg("value").alias("mean_all"), F.avg(F.when(y, F.col("value"))).alias("mean_positive"), F.avg(F.when(~y, F.col("value"))).alias("mean_negative"),
+    means = rows.select("__y", long).groupBy("feature").agg(
+        F.avg("value").alias("mean_all"), F.avg(F.when(F.col("__y"), F.col("value"))).alias("mean_positive"), F.avg(F.when(~F.col("__y"), F.col("value"))).alias("mean_negative"),
         (F.count("value") / F.count(F.lit(1)) * num(100)).alias("present_pct"),
     )
+    # A row belongs to its class and to the whole.
+    parts = rows.withColumn("class_part", F.explode(F.array(F.lit("all"), F.when(F.col("__y"), F.lit("positive")).otherwise(F.lit("negative")))))
+    medians = grouped_medians(parts, features, ["class_part"]).groupBy("feature").agg(
+        *[F.max(F.when(F.col("class_part") == part, F.col("median"))).alias(f"median_{part}") for part in ("all", "positive", "negative")]
+    )
+    return means.join(medians, "feature", "left")
