@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from slatework.catalog.base import GAMES_SQL, form_games, query, table
+from slatework.catalog.base import GAMES_SQL, ORACLES, form_games, query, table
 from slatework.catalog.domain import DOMAIN_SQL, hitter_sources, prepared_sources, starter_sources
 from slatework.catalog.history_queries import FORM
 from slatework.functions.numeric import num
@@ -14,7 +14,7 @@ from slatework.operators import history, slate
 from slatework.plans import hitters, metric_store, picks, refresh, starters
 from slatework.plans.weather import derive_game_weather
 from slatework.session import scratch_folder, settle
-from slatework.sources import sinks
+from slatework.sources import sinks, versioned
 
 
 @query(
@@ -364,6 +364,23 @@ def refresh_moved_keys(spark, folder):
     return spark.read.parquet(path)
 
 
+# The same moves, published as one version after another: first the orders of even numbers, then all, some of them again.
+@query("b16_atomic_refresh", ORACLES["b16_refresh_moved_keys"])
+def atomic_refresh(spark, folder):
+    path = f"{scratch_folder(spark)}/versioned-{uuid.uuid4().hex}"
+    orders = table(spark, folder, "orders")
+    options = {"keys": ["o_orderkey"], "partition": "slate"}
+    versioned.create_table(orders.select("o_orderkey", F.date_trunc("month", "o_orderdate").cast("date").alias("slate"), F.col("o_totalprice").alias("p")), path, **options)
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.date_trunc("month", F.max("l_shipdate")).cast("date").alias("slate"), F.max("l_extendedprice").alias("p")
+    )
+    updates = settle(lines.join(orders.where("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey"))
+    first = updates.where("o_orderkey % 2 = 0").withColumns({"slate": F.add_months("slate", 1), "p": F.col("p") + 1})
+    versioned.refresh_table(spark, path, first, order="p", **options)
+    versioned.refresh_table(spark, path, updates, order="p", **options)
+    return versioned.read_table(spark, path, partition="slate")
+
+
 @query("b14_pick_features")
 def pick_features(spark, folder):
     s = hitter_sources(spark, folder)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from slatework.functions.numeric import num
 from slatework.operators.registry import seed_registry
 from slatework.plans.hitters import HitterSources, prepared
 from slatework.plans.starters import StarterSources
-from slatework.session import settle
+from slatework.session import settle, together
 
 
 def _renamed(df, **names):
@@ -38,13 +39,16 @@ def _lines(spark, folder):
 
 def prepared_sources(spark, folder, fuzzy: bool = True) -> HitterSources:
     """Hitter sources with the event tables written once (they stand for stored tables) and names resolved."""
-    s = hitter_sources(spark, folder)
-    stored = {name: settle(getattr(s, name)) for name in ("games", "plays", "pitches", "pitching_box", "lineups", "name_registry")}
-    return prepared(replace(s, **stored), fuzzy=fuzzy)
+    s = hitter_sources(spark, folder, keep=settle)
+    tables = ("games", "plays", "pitches", "pitching_box", "lineups", "name_registry")
+    written = together([partial(settle, getattr(s, name)) for name in tables], len(tables))
+    return prepared(replace(s, **dict(zip(tables, written))), fuzzy=fuzzy)
 
 
-def hitter_sources(spark, folder) -> HitterSources:
+def hitter_sources(spark, folder, keep=None) -> HitterSources:
+    """The library's sources as views of the driver tables; ``keep`` may write the orders that most of them start from."""
     orders, lines = _lines(spark, folder)
+    orders = keep(orders) if keep else orders
     games = orders.select(F.col("o_orderkey").alias("game_id"), "game_date", "home_team", "away_team")
     flag, deep = F.col("l_returnflag"), F.col("l_discount") > 0.05
     result = F.when((flag == "R") & deep, "Home Run").when(flag == "R", "Single").when((flag == "A") & deep, "Strikeout").when(flag == "A", "Walk").otherwise(F.when(deep, "Other").otherwise("Groundout"))

@@ -267,12 +267,10 @@ _TIE = "confidence_score DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, o
 def scenario_family(spark, folder):
     bets = backtest.usable_bets(_scored(spark, folder), confidence="confidence_score", odds="odds", label="label")
     bets = bets.withColumn("confidence_edge", F.col("confidence_score") / num(100) - num(1) / F.col("odds"))
-    tagged = backtest.scenarios(
-        bets, day="game_date", confidence="confidence_score", edge="confidence_edge", tie=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "odds"]
-    ).drop("confidence_edge")
-    # The tagged bets are read for the counts and for the settlement.
-    staked = backtest.with_stakes(settle(tagged), confidence="confidence_score", odds="odds", groups=["scenario"])
-    return _settled(backtest.settle_schemes(staked, label="label", odds="odds", groups=["scenario"]))
+    out = backtest.settle_scenarios(
+        bets, day="game_date", confidence="confidence_score", edge="confidence_edge", label="label", odds="odds", tie=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "odds"]
+    )
+    return _settled(out)
 
 
 @query(

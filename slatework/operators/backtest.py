@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slatework.functions.numeric import num, ratio, share
 from slatework.operators.ordering import join_on, running_totals, top_rows
+from slatework.session import settle
 
 STAKES = ("flat_unit", "confidence_linear", "confidence_tiered")
 
@@ -54,14 +55,10 @@ def recommendations(df: DataFrame, *, probability: str, odds: str, minimum_edge:
     return priced.where(F.col("edge") >= minimum_edge).orderBy(F.col("edge").desc())
 
 
-def with_stakes(df: DataFrame, *, confidence: str, odds: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Flat, confidence-linear (0.5-2.0) and confidence-tiered stakes, each with mean 1 within its group.
-
-    A stake depends on the confidence alone, so ranks, scales and means come from the counts of distinct
-    confidences; the bets are only counted once and joined once.
-    """
+def stake_table(counts: DataFrame, *, confidence: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Stakes per (groups, confidence) from the bets counted by it (``__n``): ``__linear`` from 0.5 to 2.0 and ``__tiered`` by rank,
+    each with mean 1 over the group's bets."""
     c = F.col(confidence).cast("double")
-    counts = df.where(F.col(confidence).isNotNull()).groupBy(*groups, confidence).agg(F.count(F.lit(1)).alias("__n"))
     placed = running_totals(counts, groups, [F.col(confidence)], {"n": "__n"}, "__below_", "__of_")
     rank = (F.col("__below_n") + (F.col("__n") + 1) / num(2)) / F.col("__of_n")
     tiered = F.when(rank >= 0.9, num(1.75)).when(rank >= 0.75, num(1.25)).when(rank >= 0.5, num(1.0)).otherwise(num(0.5))
@@ -71,14 +68,24 @@ def with_stakes(df: DataFrame, *, confidence: str, odds: str, groups: Sequence[s
     )
     mean = lambda stake: F.sum(F.col(stake) * F.col("__n")) / F.sum("__n")
     means = scaled.groupBy(*groups).agg(mean("__linear").alias("__linear_mean"), mean("__tiered").alias("__tiered_mean"))
-    stakes = _with_row(scaled, means, groups).select(
-        *groups, confidence, (F.col("__linear") / F.col("__linear_mean")).alias("__l"), (F.col("__tiered") / F.col("__tiered_mean")).alias("__t")
+    return _with_row(scaled, means, groups).select(
+        *groups, confidence, (F.col("__linear") / F.col("__linear_mean")).alias("__linear"), (F.col("__tiered") / F.col("__tiered_mean")).alias("__tiered")
     )
-    return join_on(df, stakes, [*groups, confidence], "left").select(
+
+
+def with_stakes(df: DataFrame, *, confidence: str, odds: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Flat, confidence-linear (0.5-2.0) and confidence-tiered stakes, each with mean 1 within its group.
+
+    A stake depends on the confidence alone, so ranks, scales and means come from the counts of distinct
+    confidences; the bets are only counted once and joined once.
+    """
+    c = F.col(confidence).cast("double")
+    counts = df.where(F.col(confidence).isNotNull()).groupBy(*groups, confidence).agg(F.count(F.lit(1)).alias("__n"))
+    return join_on(df, stake_table(counts, confidence=confidence, groups=groups), [*groups, confidence], "left").select(
         *df.columns,
         num(1).alias("flat_unit"),
-        F.col("__l").alias("confidence_linear"),
-        F.col("__t").alias("confidence_tiered"),
+        F.col("__linear").alias("confidence_linear"),
+        F.col("__tiered").alias("confidence_tiered"),
         (num(1) / F.col(odds)).alias("implied_probability"),
         (c / num(100)).alias("confidence_probability"),
         (c / num(100) - num(1) / F.col(odds)).alias("confidence_edge"),
@@ -130,28 +137,48 @@ def profitable_days(daily: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def scenarios(df: DataFrame, *, day: str, confidence: str, edge: str, tie: Sequence[str], cuts: Mapping[str, Column] | None = None, tops: Sequence[int] = (5, 10)) -> DataFrame:
-    """Copy each bet into every scenario it belongs to (column ``scenario``).
+# The pools whose best bets of a day are scenarios of their own, and what they add to the name.
+RANKED_IN = {"all_picks": "", "confidence_70_plus": "_conf70", "edge_5_plus": "_edge5"}
 
-    Base scenarios are predicates; ``top_<n>_per_day`` ranks a day within a base scenario.  All of them
-    come out of one frame, to be grouped by ``scenario`` in one job.
+
+def scenario_cuts(confidence: str, edge: str) -> dict[str, Column]:
+    c, e = F.col(confidence), F.col(edge)
+    return {"all_picks": F.lit(True), "confidence_70_plus": c >= 70, "confidence_80_plus": c >= 80, "edge_5_plus": e >= 0.05, "edge_10_plus": e >= 0.10}
+
+
+def settle_scenarios(df: DataFrame, *, day: str, confidence: str, edge: str, label: str, odds: str, tie: Sequence[str], tops: Sequence[int] = (5, 10)) -> DataFrame:
+    """Settlement of every stake scheme in every scenario, one row each.
+
+    Within a scenario a stake depends on the confidence alone, so a bet enters as part of three numbers per (scenario,
+    confidence): bets, hits and the wins' odds less 1.  Those of the plain scenarios are conditional sums of one
+    aggregate; only the best bets of a day, a few per day and pool, are handed on as rows.
     """
-    base = cuts or {
-        "all_picks": F.lit(True),
-        "confidence_70_plus": F.col(confidence) >= 70,
-        "confidence_80_plus": F.col(confidence) >= 80,
-        "edge_5_plus": F.col(edge) >= 0.05,
-        "edge_10_plus": F.col(edge) >= 0.10,
-    }
-    ranked_in = {"all_picks": "", "confidence_70_plus": "_conf70", "edge_5_plus": "_edge5"}
-    tags = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in base.items()]), lambda t: t.isNotNull())
-    tagged = df.withColumn("scenario", F.explode(tags))
-    pools = tagged.where(F.col("scenario").isin(*ranked_in))
-    best = top_rows(pools, ["scenario", day], [F.col(confidence).desc(), *[F.col(t) for t in tie]], max(tops), rank="__r")
-    suffix = F.create_map(*[F.lit(x) for pair in ranked_in.items() for x in pair])
+    won = F.coalesce(F.col(label) == 1, F.lit(False))
+    gain = F.when(won, F.col(odds) - num(1)).otherwise(num(0))
+    cuts = scenario_cuts(confidence, edge)
+    sums = {"__n": F.lit(1), "__hits": won.cast("long"), "__gain": gain}
+    plain = df.groupBy(confidence).agg(*[F.sum(F.when(cut, value)).alias(f"{name}{s}") for name, cut in cuts.items() for s, value in sums.items()])
+    each = [F.struct(F.lit(name).alias("scenario"), *[F.col(f"{name}{s}").alias(s) for s in sums]) for name in cuts]
+    plain = plain.select(confidence, F.inline(F.array(*each))).where("__n > 0")
+
+    pools = F.filter(F.array(*[F.when(cuts[name], F.lit(name)) for name in RANKED_IN]), lambda t: t.isNotNull())
+    narrow = df.select(day, confidence, odds, label, *[t for t in tie if t not in (odds, confidence, day)], F.explode(pools).alias("scenario"))
+    best = top_rows(narrow, ["scenario", day], [F.col(confidence).desc(), *[F.col(t) for t in tie]], max(tops), rank="__r")
+    suffix = F.create_map(*[F.lit(x) for pair in RANKED_IN.items() for x in pair])
     names = [F.when(F.col("__r") <= n, F.concat(F.lit(f"top_{n}_per_day"), F.try_element_at(suffix, F.col("scenario")))) for n in tops]
-    best = best.withColumn("scenario", F.explode(F.filter(F.array(*names), lambda t: t.isNotNull()))).drop("__r")
-    return tagged.unionByName(best)
+    best = best.withColumn("scenario", F.explode(F.filter(F.array(*names), lambda t: t.isNotNull())))
+    best = best.groupBy(confidence, "scenario").agg(*[F.sum(value).alias(s) for s, value in sums.items()])
+
+    counted = settle(plain.unionByName(best))
+    stakes = stake_table(counted, confidence=confidence, groups=["scenario"]).withColumn("__flat", num(1))
+    staked = join_on(counted, stakes, ["scenario", confidence])
+    schemes = dict(zip(STAKES, ("__flat", "__linear", "__tiered")))
+    rows = F.inline(F.array(*[F.struct(F.lit(s).alias("scheme"), F.col(c).alias("__stake")) for s, c in schemes.items()]))
+    settled = staked.select("scenario", *sums, rows).groupBy("scenario", "scheme").agg(
+        F.sum("__n").alias("bets"), F.sum(F.col("__stake") * F.col("__n")).alias("stake"),
+        F.sum(F.col("__stake") * (F.col("__gain") - (F.col("__n") - F.col("__hits")))).alias("profit"), F.sum("__hits").alias("__hits"),
+    )
+    return _settled(settled, ["scenario", "scheme"])
 
 
 def kelly_growth(probability: Column | str, odds: Column | str, label: Column | str, fraction: float = 0.25, cap: float = 0.25) -> Column:

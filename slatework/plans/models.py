@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -18,7 +17,7 @@ from slatework.functions.numeric import half_even, logistic, num
 from slatework.operators import metrics, splits
 from slatework.operators.aggregates import covered_columns
 from slatework.operators.ordering import running_totals
-from slatework.session import settle
+from slatework.session import settle, together
 
 BASES = ("boost", "forest")
 
@@ -189,12 +188,6 @@ def fit_base(kind: str, train: DataFrame, features: Sequence[str], label: str, s
     return Scorer(Pipeline(stages=[*_prepared(features, medians), learner]).fit(data), medians=medians)
 
 
-def together(jobs: Iterable[Callable[[], object]], parallel: int) -> list:
-    """Results of the jobs in order, several running at a time."""
-    with ThreadPoolExecutor(parallel) as pool:
-        return list(pool.map(lambda job: job(), jobs))
-
-
 @dataclass(frozen=True)
 class Prepared:
     """Written training rows with their folds, the rows the final models are fitted on, the hold-out rows and all fills.

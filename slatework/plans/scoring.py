@@ -18,6 +18,7 @@ SERVING_DEFAULTS = {
     "recent_hr_rate_lookback": 0.03, "recent_hit_rate_lookback": 0.25, "recent_so_rate_lookback": 0.20,
 }
 
+# What the components of a score are called.
 COMPONENT_LABELS = {
     "power_component": "Power quality", "matchup_component": "Pitcher matchup", "form_component": "Recent form",
     "environment_component": "Park and environment", "freshness_component": "Freshness",
@@ -68,7 +69,7 @@ def score_slate(
     if len(components) > 1:
         ranked = ranked.withColumn("summary", slate.score_summary(F.col("components")))
     if hit:
-        text = F.when(F.col(hit) > 0, F.concat(F.lit("Outcome matched the prediction with "), F.col(hit).cast("string"), F.lit(" recorded event(s)."))).otherwise("Outcome missed.")
+        text = F.when(F.col(hit) > 0, F.concat_ws(" ", F.lit("Came true:"), F.col(hit).cast("string"), F.lit("counted"))).otherwise("Did not come true")
         ranked = ranked.withColumn("result_summary", text)
     return ranked.drop(*labels)
 

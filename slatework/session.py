@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,9 @@ def settle(df: DataFrame) -> DataFrame:
     """
     scratch_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def together(jobs: Iterable[Callable[[], object]], parallel: int) -> list:
+    """Results of the jobs in order, several running at a time: short jobs leave a cluster idle one by one."""
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(lambda job: job(), jobs))
