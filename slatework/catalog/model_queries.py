@@ -109,14 +109,6 @@ def runtime_calibration(spark, folder):
     return scoring.runtime_calibration(ranked, label="label", probability="proba", signal="STRONG_BUY")
 
 
-@query("m21_ablation")
-def ablation(spark, folder):
-    rows = settle(_training(spark, folder))
-    groups = {"counts": ("lines", "quantity"), "rates": ("discount", "tax"), "money": ("price", "balance")}
-    scenarios = {"all": FEATURES} | {f"no_{name}": [c for c in FEATURES if c not in group] for name, group in groups.items()}
-    return models.ablation(rows, scenarios=scenarios, label="label", date="game_date", key=KEY)
-
-
 # A score with given numbers: what a stored model is scored and explained with.
 GIVEN = models.Linear(
     FEATURES, [0.25, -0.03, 12.0, -9.0, 0.000004, -0.00005], -0.4,
@@ -161,6 +153,77 @@ def lookback_sweep(spark, folder):
     )
 
 
+# Two targets scored with given numbers over all months, in one job: a customer's best order per month and target.
+_JOB_SQL = f"""{_GIVEN_SQL},
+    pr AS (SELECT o_orderkey, label, returned, game_date, sum(impact) AS s FROM i GROUP BY ALL),
+    cand AS (SELECT o_orderkey, CAST(date_trunc('month', game_date) AS DATE) AS slate, unnest(['hr', 'so']) AS target, unnest([1 / (1 + exp(-(base + s))), 1 / (1 + exp(-(0.5e0 - 0.8e0 * (base + s))))]) AS proba, unnest([returned, lines0 - returned]) AS hits
+      FROM pr JOIN (SELECT o_orderkey, lines AS lines0 FROM w) USING (o_orderkey), b),
+    cal AS (SELECT target, quantile_cont(proba, 0.9) AS q1, quantile_cont(proba, 0.75) AS q2, quantile_cont(proba, 0.5) AS q3, quantile_cont(proba, 0.25) AS q4 FROM cand GROUP BY 1),
+    abs AS (SELECT c.*, o_custkey, o_orderpriority AS team, o_clerk_team AS opponent, o_totalprice / 100000 AS odds, CASE WHEN proba >= q1 THEN 'STRONG_BUY' WHEN proba >= q2 THEN 'BUY' WHEN proba >= q3 THEN 'MODERATE' WHEN proba >= q4 THEN 'AVOID' ELSE 'STRONG_SELL' END AS absolute_signal
+      FROM cand c JOIN cal USING (target) JOIN (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN '1-URGENT' ELSE '2-HIGH' END AS o_clerk_team FROM orders) USING (o_orderkey)),
+    one AS (SELECT * FROM abs WHERE absolute_signal <> 'STRONG_SELL' QUALIFY row_number() OVER (PARTITION BY slate, target, o_custkey ORDER BY proba DESC, o_orderkey) = 1),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY slate, target ORDER BY proba DESC, o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY slate, target) AS n FROM one),
+    cx AS (SELECT c_custkey AS o_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN '' WHEN 'MACHINERY' THEN '1-URGENT' ELSE '2-HIGH' END AS cur, (SELECT list(DISTINCT o_orderpriority) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AS past FROM customer)"""
+
+
+def _job(spark, folder):
+    hr = GIVEN.transform(_training(spark, folder))
+    margin = F.log(F.col("proba") / (1 - F.col("proba")))
+    so = 1 / (1 + F.exp(-(F.lit(0.5) - F.lit(0.8) * margin)))
+    both = F.inline(F.array(
+        F.struct(F.lit("hr").alias("target"), F.col("proba").alias("p"), F.col("returned").alias("hits")), F.struct(F.lit("so").alias("target"), so.alias("p"), (F.col("lines") - F.col("returned")).alias("hits"))
+    ))
+    rows = settle(hr.select(
+        "o_orderkey", "o_custkey", F.trunc("game_date", "month").alias("slate"), F.col("o_orderpriority").alias("team"), F.when(F.col("o_orderkey") % 3 == 0, "1-URGENT").otherwise("2-HIGH").alias("opponent"),
+        (F.col("price") / 100000).alias("odds"), "quantity", both,
+    ).withColumnRenamed("p", "proba"))
+    orders = table(spark, folder, "orders")
+    past = aggregates.joined_values(orders.where("o_orderstatus = 'P'"), keys=["o_custkey"], value="o_orderpriority", name="transaction_teams")
+    context = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_mktsegment") == "BUILDING", "").when(F.col("c_mktsegment") == "MACHINERY", "1-URGENT").otherwise("2-HIGH").alias("current_team"), F.lit(None).cast("string").alias("roster_teams")
+    ).join(past, "o_custkey", "left")
+    return scoring.slate_job(
+        rows, scoring.calibrate(rows, probability="proba"), context, slate_keys=["slate"], probability="proba", key=KEY, dedupe=["o_custkey"], player="o_custkey", team="team", opponent="opponent", hit="hits", odds="odds",
+        components={"size": (1.0, [slate.Term("quantity", 1.0)])},
+    )
+
+
+@query(
+    "m18_slate_job",
+    f"""WITH {_JOB_SQL}, st AS (SELECT rk.*, CASE WHEN cur <> '' AND team = cur THEN 'current_team_match' WHEN list_contains(coalesce(past, []), team) THEN 'historical_team_match' WHEN cur <> '' THEN 'possible_team_mismatch' ELSE 'unknown' END AS team_status FROM rk JOIN cx USING (o_custkey))
+    SELECT slate, target, o_orderkey, o_custkey, absolute_signal, CASE WHEN place / n < 0.1e0 THEN 'STRONG_BUY' WHEN place / n < 0.25e0 THEN 'BUY' WHEN place / n < 0.5e0 THEN 'MODERATE' WHEN place / n < 0.75e0 THEN 'AVOID' ELSE 'STRONG_SELL' END AS signal, place AS slate_position,
+      team_status, team_status = 'possible_team_mismatch' AS team_warning, o_custkey || ' vs ' || opponent AS title, CASE WHEN team_status = 'possible_team_mismatch' THEN 'Team may be out of date' END AS warning,
+      CASE WHEN hits > 0 THEN 'Came true: ' || hits || ' counted' ELSE 'Did not come true' END AS result_summary, round(proba, 9) AS proba FROM st""",
+)
+def slate_predictions(spark, folder):
+    out = _job(spark, folder)["predictions"]
+    return out.select(
+        "slate", "target", "o_orderkey", "o_custkey", "absolute_signal", "signal", "slate_position", "team_status", "team_warning", F.col("card.title").alias("title"), F.col("card.warning").alias("warning"), "result_summary", F.round("proba", 9).alias("proba")
+    )
+
+
+@query(
+    "m18_slate_report",
+    f"""WITH {_JOB_SQL}, stat AS (SELECT slate, target, count(*) AS total_picks, CAST(sum(CAST(hits > 0 AS INT)) AS BIGINT) AS total_hits, round_even(avg(CAST(hits > 0 AS INT)) * 100, 1) AS hit_rate FROM rk GROUP BY ALL),
+    tm AS (SELECT slate, target, string_agg(DISTINCT team, '|' ORDER BY team) AS teams FROM rk GROUP BY ALL), mu AS (SELECT slate, target, string_agg(DISTINCT least(team, opponent) || ' vs ' || greatest(team, opponent), '|' ORDER BY least(team, opponent) || ' vs ' || greatest(team, opponent)) AS matchups FROM rk GROUP BY ALL)
+    SELECT * FROM stat JOIN tm USING (slate, target) JOIN mu USING (slate, target)""",
+)
+def slate_report(spark, folder):
+    job = _job(spark, folder)
+    keys = ["slate", "target"]
+    teams = aggregates.joined_values(job["teams"], keys=keys, value="team", name="teams")
+    matchups = aggregates.joined_values(job["matchups"], keys=keys, value="matchup", name="matchups")
+    return job["stats"].join(teams, keys).join(matchups, keys)
+
+
+@query("m21_ablation")
+def ablation(spark, folder):
+    rows = settle(_training(spark, folder))
+    groups = {"counts": ("lines", "quantity"), "rates": ("discount", "tax"), "money": ("price", "balance")}
+    scenarios = {"all": FEATURES} | {f"no_{name}": [c for c in FEATURES if c not in group] for name, group in groups.items()}
+    return models.ablation(rows, scenarios=scenarios, label="label", date="game_date", key=KEY)
+
+
 @query(
     "m22_drivers",
     f"""WITH {_GIVEN_SQL}, r AS (SELECT o_orderkey, CASE WHEN impact > 0 THEN 'up' ELSE 'down' END AS direction, feature, value, impact FROM i WHERE abs(impact) >= 1e-6),

@@ -149,14 +149,14 @@ def calibration_summary(df: DataFrame, *, label: str, score: str, bins: int = 10
     )
 
 
-def percentile_points(df: DataFrame, score: str, points: Sequence[float]) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per point.
+def percentile_points(df: DataFrame, score: str, points: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
+    """Exact percentiles with linear interpolation, one row per group and point.
 
     Scores are counted before they are ordered, and only the two order statistics around each point are
     kept, so no task holds all scores.
     """
-    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
-    placed = running_totals(counts, [], [F.col("__s")], {"n": "__n"})
+    counts = df.where(F.col(score).isNotNull()).groupBy(*groups, F.col(score).cast("double").alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    placed = running_totals(counts, groups, [F.col("__s")], {"n": "__n"})
     wanted = F.explode(F.array(*[num(p) for p in points])).alias("point")
     spot = (F.col("all_n") - 1) * F.col("point")
     low, high = F.floor(spot), F.ceil(spot)
@@ -164,21 +164,21 @@ def percentile_points(df: DataFrame, score: str, points: Sequence[float]) -> Dat
     def holds(at: Column) -> Column:
         return (F.col("before_n") <= at) & (at < F.col("before_n") + F.col("__n"))
 
-    near = placed.select("__s", "__n", "before_n", "all_n", wanted).where(holds(low) | holds(high))
-    ends = near.groupBy("point").agg(
+    near = placed.select(*groups, "__s", "__n", "before_n", "all_n", wanted).where(holds(low) | holds(high))
+    ends = near.groupBy(*groups, "point").agg(
         F.max(F.when(holds(low), F.col("__s"))).alias("__lo"), F.max(F.when(holds(high), F.col("__s"))).alias("__hi"), F.max(spot - low).alias("__w")
     )
-    return ends.select("point", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__w")).alias("threshold"))
+    return ends.select(*groups, "point", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__w")).alias("threshold"))
 
 
 # Percentile each signal tier starts at.
 TIER_POINTS = {"STRONG_BUY": 0.90, "BUY": 0.75, "MODERATE": 0.50, "AVOID": 0.25}
 
 
-def tier_thresholds(df: DataFrame, score: str) -> DataFrame:
-    """One row with the score each tier starts at."""
-    rows = percentile_points(df, score, list(TIER_POINTS.values()))
-    return rows.agg(*[F.max(F.when(F.col("point") == p, F.col("threshold"))).alias(t) for t, p in TIER_POINTS.items()])
+def tier_thresholds(df: DataFrame, score: str, groups: Sequence[str] = ()) -> DataFrame:
+    """One row (per group) with the score each tier starts at."""
+    rows = percentile_points(df, score, list(TIER_POINTS.values()), groups)
+    return rows.groupBy(*groups).agg(*[F.max(F.when(F.col("point") == p, F.col("threshold"))).alias(t) for t, p in TIER_POINTS.items()])
 
 
 def tier_summary(df: DataFrame, *, label: str, score: str, thresholds: dict[str, float] | None = None) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from slatework.functions import codes, numeric
 from slatework.functions.numeric import half_even, num
 from slatework.operators import metrics, slate
+from slatework.operators.ordering import join_on
 from slatework.operators.registry import slate_team_validation
+from slatework.session import settle
 
 # Neutral inputs for features a scheduled row may lack.
 SERVING_DEFAULTS = {
@@ -43,20 +45,29 @@ def details(fields: Mapping[str, tuple[str, int, float]] = DETAILS) -> Column:
 
 def score_slate(
     rows: DataFrame, *, slate_keys: Sequence[str], probability: str, key: Sequence[str], dedupe: Sequence[str], hit: str | None = None,
-    odds: str | None = None, components=slate.HITTER_SCORE, thresholds: Mapping[str, float] | None = None, drop_lowest: bool = False,
+    odds: str | None = None, components=slate.HITTER_SCORE, thresholds: Mapping[str, float] | None = None, drop_lowest: bool = False, calibration: DataFrame | None = None, target: str = "target",
 ) -> DataFrame:
     """Scored candidates -> one ranked row per player with signal, price edge, composite score and explanation.
 
+    Absolute signals compare the probability with fixed ``thresholds``, or with those that ``calibration`` holds for the row's
+    ``target`` (see ``calibrate``), so one job scores slates of many dates and targets; a target without calibration has none.
     With ``drop_lowest`` rows below the lowest absolute threshold leave before the slate is ranked.
     """
     present = {c: d for c, d in SERVING_DEFAULTS.items() if c in rows.columns}
     df = rows.withColumns(numeric.with_defaults(present))
     scored = slate.slate_score(df, slate=slate_keys, components=components, keep_components=True)
-    if thresholds:
-        cuts = sorted(((v, k) for k, v in thresholds.items()), reverse=True)
-        scored = scored.withColumn("absolute_signal", numeric.tier(probability, cuts, "STRONG_SELL"))
+    signal = None
+    if calibration is not None:
+        held = calibration.select(F.col(target), *[F.col(t).alias(f"__{t}") for t in metrics.TIER_POINTS])
+        scored = join_on(scored, held, [target], "left")
+        cuts = [(F.col(f"__{t}"), t) for t in metrics.TIER_POINTS]
+        signal = F.when(cuts[-1][0].isNotNull(), numeric.tier(probability, cuts, "STRONG_SELL"))
+    elif thresholds:
+        signal = numeric.tier(probability, sorted(((v, k) for k, v in thresholds.items()), reverse=True), "STRONG_SELL")
+    if signal is not None:
+        scored = scored.withColumn("absolute_signal", signal).drop(*[f"__{t}" for t in metrics.TIER_POINTS])
         if drop_lowest:
-            scored = scored.where("absolute_signal <> 'STRONG_SELL'")
+            scored = scored.where(~F.col("absolute_signal").eqNullSafe("STRONG_SELL"))
     price = F.col(odds).cast("double") if odds else F.lit(None).cast("double")
     priced = F.coalesce(numeric.edge(probability, price), num(0))
     scored = scored.withColumns({"implied_probability": F.coalesce(numeric.implied_probability(price), num(0)), "edge": priced, "edge_pct": priced * num(100)})
@@ -74,6 +85,21 @@ def score_slate(
     return ranked.drop(*labels)
 
 
+def calibrate(scored: DataFrame, *, probability: str, target: str = "target") -> DataFrame:
+    """Per target the probability each absolute signal starts at: the table that slates of later dates are scored with."""
+    return metrics.tier_thresholds(scored, probability, [target])
+
+
+def cards(ranked: DataFrame, *, title: Column, probability: str) -> DataFrame:
+    """The card a reader sees of each row: title, signals, percent, what drives it, its detail lines, and any warning."""
+    parts = {
+        "title": title, "signal": F.col("signal"), "absolute_signal": F.col("absolute_signal"), "probability_pct": half_even(F.col(probability) * num(100), 1),
+        "summary": F.col("summary") if "summary" in ranked.columns else F.lit(None).cast("string"),
+        "warning": F.when(F.col("team_warning"), F.lit("Team may be out of date")) if "team_warning" in ranked.columns else F.lit(None).cast("string"),
+    }
+    return ranked.withColumn("card", F.struct(*[c.alias(n) for n, c in parts.items()]))
+
+
 def attach_team_validation(predictions: DataFrame, context: DataFrame, *, player: str, team: str) -> DataFrame:
     """Status and warning from the player's current, roster and transaction teams."""
     joined = predictions.join(context, player, "left").withColumn("__team", codes.team_code(team))
@@ -90,6 +116,24 @@ def daily_report(predictions: DataFrame, *, slate_keys: Sequence[str], hit: str,
     }
 
 
+def slate_job(
+    rows: DataFrame, calibration: DataFrame, context: DataFrame, *, slate_keys: Sequence[str], probability: str, key: Sequence[str], dedupe: Sequence[str], player: str, team: str, opponent: str, hit: str,
+    target: str = "target", odds: str | None = None, components=slate.HITTER_SCORE, drop_lowest: bool = True,
+) -> dict[str, DataFrame]:
+    """Scored candidates of many dates and targets -> predictions with cards and team warnings, and the report on them.
+
+    The predictions are written once; statistics, teams and matchups read that copy.
+    """
+    keys = [*slate_keys, target]
+    ranked = score_slate(
+        rows, slate_keys=keys, probability=probability, key=key, dedupe=dedupe, hit=hit, odds=odds, components=components, drop_lowest=drop_lowest, calibration=calibration, target=target
+    )
+    told = attach_team_validation(ranked, context, player=player, team=team)
+    title = F.concat_ws(" vs ", F.col(player).cast("string"), F.col(opponent).cast("string"))
+    predictions = settle(cards(told, title=title, probability=probability))
+    return {"predictions": predictions, **daily_report(predictions, slate_keys=keys, hit=hit, team=team, opponent=opponent)}
+
+
 def runtime_calibration(predictions: DataFrame, *, label: str, probability: str, signal: str | None = None) -> DataFrame:
     """Calibration of all scored rows, or of one rank signal's."""
     rows = predictions if signal is None else predictions.where(F.col("signal") == signal)
