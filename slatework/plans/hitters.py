@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slatework.functions import codes, geo, names, numeric, text, weather
 from slatework.functions.numeric import num, ratio
@@ -371,6 +372,59 @@ def build_hitter_features(s: HitterSources, *, lookback: int = 20, park_constant
     return _with_context(_joined(base, parts), s, park_constants)
 
 
+def _canonical_spine(s: HitterSources) -> DataFrame:
+    return registry.with_canonical(load_spine(s), s.canonical, raw="player_name", name="batter_canonical")
+
+
+def reached_rows(spine: DataFrame, before: HitterSources, after: HitterSources, changed: DataFrame, *, days: int = 30) -> DataFrame:
+    """(game_id, player_name) of the rows whose features can differ after the events of the ``changed`` games (game_id) did.
+
+    Those are the games' own rows, all later rows of their batters and pitchers, rows within ``days`` days against their teams,
+    and each team's next game.  Every condition is an equi join with a table as small as the change.
+    """
+    rows, thrown, stops = [], [], []
+    for s in (before, after):
+        games = s.games.join(changed, "game_id", "left_semi")
+        plays = s.plays.join(games.select("game_id", "game_date"), "game_id")
+        rows.append(registry.with_canonical(plays.select(names.strip_action("batter").alias("player_name"), "game_date"), s.canonical, raw="player_name", name="batter_canonical"))
+        thrown.append(registry.with_canonical(plays.select("pitcher", "game_date"), s.canonical, raw="pitcher", name="pitcher_canonical"))
+        stops.append(joins.sides(games.select("game_id", "game_date", "home_team", "away_team"), home="home_team", away="away_team").select("team", "game_date"))
+    both = lambda pair: pair[0].unionByName(pair[1])
+    since = lambda df, key: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("game_date").alias("__since"))
+    teams = settle(both(stops).distinct())
+    windows = teams.select(F.col("team").alias("opp_team"), F.explode(F.sequence(F.date_add("game_date", 1), F.date_add("game_date", days))).alias("game_date")).distinct()
+    schedule = both([joins.sides(s.games.select("game_id", "game_date", "home_team", "away_team"), home="home_team", away="away_team").select("team", "game_date") for s in (before, after)]).distinct()
+    following = schedule.withColumn("__next", F.lead("game_date").over(Window.partitionBy("team").orderBy("game_date")))
+    following = teams.join(following, ["team", "game_date"]).select("team", F.col("__next").alias("game_date")).where("game_date is not null").distinct()
+
+    keyed = registry.with_canonical(spine, after.canonical, raw="pitcher_name", name="pitcher_canonical")
+    later = lambda df, firsts, key: df.join(firsts, key).where(F.col("game_date") > F.col("__since"))
+    reached = [
+        keyed.join(changed, "game_id", "left_semi"), later(keyed, since(both(rows), "batter_canonical"), "batter_canonical"), later(keyed, since(both(thrown), "pitcher_canonical"), "pitcher_canonical"),
+        keyed.join(windows, ["opp_team", "game_date"], "left_semi"), keyed.join(following, ["team", "game_date"], "left_semi"),
+    ]
+    return reduce(DataFrame.unionByName, [r.select(*KEY) for r in reached]).distinct()
+
+
+def rebuild_changed(features: DataFrame, before: HitterSources, after: HitterSources, changed: DataFrame, *, lookback: int = 20, park_constants: Mapping[str, float] = PARK_FACTORS) -> DataFrame:
+    """The training table after the events of some games changed: rows the change reaches built anew, all others as they were.
+
+    ``features`` is the table of ``before``; both sources hold resolved names.  Rosters, season and weather tables are taken
+    to be the same.
+    """
+    changed = settle(changed.select("game_id").distinct())
+    spine = settle(_canonical_spine(after))
+    reached = settle(reached_rows(spine, before, after, changed))
+    base = settle(spine.join(reached, list(KEY), "left_semi"))
+    met = history.pair_history(
+        base, spine, pair=["batter_canonical", "pitcher_name"], date="game_date", game="game_id", weight="pa_count", counts=PAIR_COUNTS, suffix="vs_pitcher"
+    )
+    parts = [attach_form(base, after, lookback), attach_opposing_pitching(base, after), attach_pitch_matchup(base, after), met]
+    anew = _with_context(_joined(base, parts), after, park_constants)
+    kept = features.join(changed, "game_id", "left_anti").join(reached, list(KEY), "left_anti")
+    return kept.unionByName(anew.select(*features.columns))
+
+
 def _with_context(df: DataFrame, s: HitterSources, park_constants: Mapping[str, float]) -> DataFrame:
     """Steps that only join dimension-like tables onto the rows."""
     df = attach_lineup(attach_hands(attach_season_quality(df, s), s), s)

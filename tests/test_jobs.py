@@ -107,3 +107,27 @@ def test_absolute_signals_by_target(spark):
     signals = Counter((r["target"], r["absolute_signal"]) for r in ranked.collect())
     assert signals[("hr", "STRONG_BUY")] == signals[("so", "STRONG_BUY")] == 11 and signals[("new", None)] == 101
     assert not any(s == "STRONG_SELL" for _, s in signals) and signals[("hr", "AVOID")] == 25
+
+
+def test_incremental_rebuild_equals_a_full_one(spark):
+    """Plays of a few games vanish, change or appear; only reached rows are built anew."""
+    before = prepared_sources(spark, FOLDER)
+    full = settle(hitters.build_hitter_features(before))
+    dates = [r[0] for r in before.games.select("game_date").distinct().orderBy(F.desc("game_date")).limit(60).collect()]
+    changed = [r[0] for r in before.games.where(F.col("game_date").isin(dates)).orderBy(F.xxhash64("game_id")).limit(6).select("game_id").collect()]
+    picked = F.col("game_id").isin(changed)
+    fate = F.pmod(F.xxhash64("id"), F.lit(3))
+    plays = before.plays.where(~(picked & (fate == 0))).withColumn("play_result", F.when(picked & (fate == 1), "Home Run").otherwise(F.col("play_result")))
+    box = before.pitching_box.withColumn("earned_runs", F.when(picked, F.col("earned_runs") + 3).otherwise(F.col("earned_runs")))
+    from dataclasses import replace
+
+    after = replace(before, plays=settle(plays), pitching_box=settle(box))
+    games = spark.createDataFrame([(g,) for g in changed], before.games.select("game_id").schema)
+    got = hitters.rebuild_changed(full, before, after, games)
+    want = hitters.build_hitter_features(after)
+    columns = sorted(full.columns)
+    rows = lambda df: Counter(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect())
+    wanted = rows(want)
+    assert rows(got) == wanted and rows(full) != wanted
+    spine = hitters._canonical_spine(after)
+    assert 0 < hitters.reached_rows(spine, before, after, games).count() < spine.count()
