@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -290,6 +291,18 @@ def override_recompute(spark, folder):
     return out.select("game_id", "player_name", "pitcher_name", "starter_override_applied", F.round("pitcher_era_30d", 7).alias("pitcher_era_30d"), "prior_games_vs_pitcher")
 
 
+# Games from the last month on: strikeouts turn into walks, then the table built before is brought up to date.
+@query("b16_incremental_rebuild")
+def incremental_rebuild(spark, folder):
+    before = prepared_sources(spark, folder)
+    built = settle(hitters.build_hitter_features(before))
+    last = before.games.agg(F.date_sub(F.max("game_date"), 30)).first()[0]
+    changed = settle(before.games.where(F.col("game_date") >= F.lit(last)).select("game_id"))
+    result = F.when((F.col("play_result") == "Strikeout") & F.col("__changed").isNotNull(), "Walk").otherwise(F.col("play_result"))
+    plays = before.plays.join(changed.withColumn("__changed", F.lit(True)), "game_id", "left").withColumn("play_result", result).drop("__changed")
+    return hitters.rebuild_changed(built, before, replace(before, plays=settle(plays.select(*before.plays.columns))), changed)
+
+
 def _picks(spark, folder):
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("pick_id"), "o_custkey", F.to_date("o_orderdate").alias("analysis_date"))
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("player_name"), F.col("c_nationkey").alias("n_nationkey"))
