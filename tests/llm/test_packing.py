@@ -133,3 +133,25 @@ def test_matrices_round_trip(spark, tokenizer):
         for start in range(0, len(ids), 64):
             back[(i, start, tuple(ids[start : start + 64]))] += 1
     assert back == collections.Counter((d, s, p) for d, x in pieces.items() for s, p in x)
+
+
+def test_written_matrices_give_every_text_back(spark, tokenizer, tmp_path):
+    """Files are read without Spark: ids, segment lengths and positions of all rows, and the texts they hold."""
+    import pyarrow.parquet as pq
+
+    from slatework.llm.packing_ids import write_matrices
+
+    texts = {i: f"word{i} " * (i % 40) + "end é" for i in range(150)} | {900: None, 901: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    path = str(tmp_path / "matrices")
+    write_matrices(pack_ids(df, **vocabulary(), capacity=64), path)
+    parts: dict[int, list] = {}
+    for row in pq.read_table(path).to_pylist():
+        ids, positions = np.frombuffer(row["ids"], "<u2"), np.frombuffer(row["positions"], "<u2")
+        cuts = row["cu_seqlens"]
+        assert len(ids) == len(positions) == 64 and cuts[0] == 0 and cuts[-1] == row["n_tokens"] <= 64
+        for begin, end, doc, start in zip(cuts, cuts[1:], row["doc_ids"], row["starts"]):
+            assert positions[begin:end].tolist() == list(range(end - begin))
+            parts.setdefault(doc, []).append((start, ids[begin:end].tolist()))
+    whole = {doc: [i for _, ids in sorted(own) for i in ids] for doc, own in parts.items()}
+    assert whole == {doc: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 50256] for doc, text in texts.items()}
