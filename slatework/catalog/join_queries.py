@@ -230,7 +230,7 @@ def side_unpivot(spark, folder):
 def custom_order(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     urgency = F.when(F.col("o_orderpriority") == "1-URGENT", 1).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(3)
-    return with_positions(orders, [], [urgency, F.col("o_totalprice").desc(), F.col("o_orderkey")], position="place").drop("group_rows")
+    return with_positions(orders, [], [urgency, F.col("o_totalprice").desc(), F.col("o_orderkey")], position="place", using=["o_orderpriority", "o_totalprice", "o_orderkey"]).drop("group_rows")
 
 
 @query("o2_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")

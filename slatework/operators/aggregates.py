@@ -22,13 +22,30 @@ def rate_if(condition: Column) -> Column:
 def entity_games(events: DataFrame, *, keys: Sequence[str], counts: Mapping[str, Column], modes: Mapping[str, str] | None = None) -> DataFrame:
     """Event rows -> one row per entity and game with conditional counts and most frequent values.
 
-    A mode is found from per-value counts (ties to the smallest value), so that a game with many rows is
-    counted before it is shuffled instead of being collected into a frequency map.
+    Modes are found from per-value counts (ties to the smallest value), so that a game with many rows is
+    counted before it is shuffled instead of being collected into a frequency map.  The events are read once: a row
+    stands once per mode, under that mode's value, and the conditional counts travel with the first of them.
     """
-    spine = events.groupBy(*keys).agg(*[count_if(c).alias(name) for name, c in counts.items()])
-    for name, value in (modes or {}).items():
-        spine = join_on(spine, most_frequent(events, keys=keys, value=value, name=name), keys, "left")
-    return spine
+    if not modes:
+        return events.groupBy(*keys).agg(*[count_if(c).alias(name) for name, c in counts.items()])
+    held = [F.when(c, 1).otherwise(0).alias(f"__c{i}") for i, c in enumerate(counts.values())]
+    kinds = [events.schema[value].dataType for value in modes.values()]
+
+    def under(i: int, value: str) -> Column:
+        return F.struct(F.lit(i).alias("__mode"), *[(F.col(value) if i == j else F.lit(None).cast(kind)).alias(f"__v{j}") for j, kind in enumerate(kinds)])
+
+    marked = F.explode(F.array(*[under(i, value) for i, value in enumerate(modes.values())])).alias("__m")
+    rows = events.select(*keys, *held, marked).select(*keys, *[f"__c{i}" for i in range(len(held))], "__m.*")
+    first = F.col("__mode") == 0
+    counted = rows.groupBy(*keys, "__mode", *[f"__v{j}" for j in range(len(kinds))]).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.sum(F.when(first, F.col(f"__c{i}")).otherwise(0)).alias(f"__c{i}") for i in range(len(held))]
+    )
+
+    def best(j: int) -> Column:
+        mine = (F.col("__mode") == j) & F.col(f"__v{j}").isNotNull()
+        return F.min(F.when(mine, F.struct((-F.col("__n")).alias("n"), F.col(f"__v{j}").alias("v"))))["v"]
+
+    return counted.groupBy(*keys).agg(*[F.sum(f"__c{i}").alias(name) for i, name in enumerate(counts)], *[best(j).alias(name) for j, name in enumerate(modes)])
 
 
 def most_frequent(df: DataFrame, *, keys: Sequence[str], value: str, name: str) -> DataFrame:

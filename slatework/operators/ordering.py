@@ -48,19 +48,33 @@ def _pieces(laid: DataFrame, groups: Sequence[str], sums: Mapping[str, str | Col
     return pieces.drop(*names)
 
 
-def with_positions(df: DataFrame, groups: Sequence[str], order: Sequence[Column], position: str = "position", size: str = "group_rows") -> DataFrame:
+def with_positions(df: DataFrame, groups: Sequence[str], order: Sequence[Column], position: str = "position", size: str = "group_rows", using: Sequence[str] | None = None) -> DataFrame:
     """0-based position of each row in its group and the group's row count.
 
-    ``order`` should end in a unique key, which makes the positions reproducible and lets ties spread.
+    ``order`` should end in a unique key, which makes the positions reproducible and lets ties spread.  ``using`` names the
+    columns that ``order`` reads: then those and the group are counted, sorted and written, and the positions joined back, so
+    wide rows are shuffled once and never written.  Rows equal in all of them follow each other in any order.
     """
-    laid = _laid_out(df, groups, order)
-    pieces = _pieces(laid, groups, {})
-    joined = join_on(laid, pieces, [*groups, "__part"])
-    return joined.select(
-        *df.columns,
-        (F.col("__rows_before") + F.col("__index") - F.col("__first")).alias(position),
-        F.col("__group_rows").alias(size),
-    )
+    narrow = None if using is None else list(dict.fromkeys([*groups, *using]))
+    if narrow is None or set(df.columns) <= set(narrow):
+        laid = _laid_out(df, groups, order)
+        pieces = _pieces(laid, groups, {})
+        joined = join_on(laid, pieces, [*groups, "__part"])
+        return joined.select(
+            *df.columns,
+            (F.col("__rows_before") + F.col("__index") - F.col("__first")).alias(position),
+            F.col("__group_rows").alias(size),
+        )
+    counts = df.groupBy(*narrow).agg(F.count(F.lit(1)).alias("__n"))
+    places = settle(running_totals(counts, groups, order, {"n": "__n"}, "__before_", "__all_"))
+    joined = join_on(df, places, narrow)
+    named = [F.col("__before_n").alias(position), F.col("__all_n").alias(size)]
+    if places.where("__n > 1").isEmpty():
+        return joined.select(*df.columns, *named)
+    # Repeated rows may be many: they are spread and numbered like any other group.
+    again = with_positions(joined.where("__n > 1"), narrow, [F.col(c) for c in narrow], "__copy", "__copies")
+    repeated = again.select(*df.columns, (F.col("__before_n") + F.col("__copy")).alias(position), F.col("__all_n").alias(size))
+    return joined.where("__n = 1").select(*df.columns, *named).unionByName(repeated)
 
 
 def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: Mapping[str, str], prefix: str = "before_", whole: str = "all_") -> DataFrame:

@@ -23,7 +23,7 @@ def signal_of(position: Column, rows: Column, cuts: Sequence[tuple[float, str]]
 
 def rank_signal(df: DataFrame, *, slate: Sequence[str], score: str, tie: Sequence[str], cuts: Sequence[tuple[float, str]] = RANK_CUTS, name: str = "signal") -> DataFrame:
     """Signal by 0-based rank share within the slate, highest score first, ties by ``tie`` ascending."""
-    placed = with_positions(df, slate, [F.col(score).desc(), *[F.col(c) for c in tie]], "slate_position", "slate_rows")
+    placed = with_positions(df, slate, [F.col(score).desc(), *[F.col(c) for c in tie]], "slate_position", "slate_rows", using=[score, *tie])
     return placed.withColumn(name, signal_of(F.col("slate_position"), F.col("slate_rows"), cuts))
 
 

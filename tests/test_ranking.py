@@ -159,3 +159,58 @@ def test_join_helpers(spark):
     names = spark.createDataFrame([("new york yankees",), ("Yankees",)], "n string")
     found = joins.mentions(texts, names, text="t", name="n").collect()
     assert sorted((r["id"], r["n"]) for r in found) == [(1, "Yankees"), (1, "new york yankees"), (2, "Yankees")]
+
+
+def test_wide_rows_are_never_written(spark, monkeypatch):
+    """Only group, order and key columns reach a checkpoint, and repeated rows keep places of their own."""
+    written = []
+    for module in (ordering, splits):
+        real = module.settle
+        monkeypatch.setattr(module, "settle", lambda df, real=real: written.append(df.columns) or real(df))
+    rows = [("hot" if i % 3 else None, float(i % 7), i % 400, f"text {i}") for i in range(2400)]
+    frame = spark.createDataFrame(rows, "s string, p double, k long, wide string")
+    ranked = slate.rank_signal(frame, slate=["s"], score="p", tie=["k"])
+    places = {}
+    for r in ranked.collect():
+        places.setdefault(r["s"], []).append((r["slate_position"], -r["p"], r["k"]))
+    for own in places.values():
+        own.sort()
+        assert [p for p, _, _ in own] == list(range(len(own))) and [o[1:] for o in own] == sorted(o[1:] for o in own)
+    assert sorted(r["wide"] for r in ranked.select("wide").collect()) == sorted(r[3] for r in rows)
+    unique = frame.withColumn("k", F.monotonically_increasing_id())
+    written.clear()
+    slate.rank_signal(unique, slate=["s"], score="p", tie=["k"]).count()
+    splits.expanding_folds(unique.withColumn("d", F.col("p")), date="d", key=["k"]).count()
+    splits.positional_split(unique.withColumn("d", F.col("p")), date="d", key=["k"]).count()
+    assert written and not any("wide" in columns for columns in written)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 6, 7, 100])
+def test_folds_and_split_by_position(spark, n):
+    """Most rows share one date, some have none; the blocks are cut exactly."""
+    rows = [(None if i % 9 == 4 else 3 if i % 4 else i % 6, (i * 37) % 101, "x") for i in range(n)]
+    frame = spark.createDataFrame(rows, "d int, k int, wide string").repartition(3)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    block, first = n // 6, max(math.floor(n * 0.8), 1)
+    fold = {r[1]: 0 if not block or i < n - 5 * block else (i - (n - 5 * block)) // block + 1 for i, r in enumerate(order)}
+    late = {r[1]: i >= first for i, r in enumerate(order)}
+    assert {r["k"]: r["fold"] for r in splits.expanding_folds(frame, date="d", key=["k"]).collect()} == fold
+    assert {r["k"]: r["is_holdout"] for r in splits.positional_split(frame, date="d", key=["k"]).collect()} == late
+
+
+def test_entity_games_reads_events_once(spark):
+    from slatework.operators.aggregates import entity_games
+
+    random.seed(4)
+    rows = [(random.choice(["hot", "hot", "x", None]), random.choice(["a", "b", None]), random.choice([1, 2, 3, None])) for _ in range(400)] + [("none", None, None)]
+    frame = spark.createDataFrame(rows, "g string, side string, who long")
+    out = entity_games(frame, keys=["g"], counts={"n": F.lit(True), "a": F.col("side") == "a"}, modes={"usual": "side", "most": "who"})
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+    def mode(values):
+        values = [v for v in values if v is not None]
+        return min(set(values), key=lambda v: (-values.count(v), v)) if values else None
+
+    for r in out.collect():
+        own = [x for x in rows if x[0] == r["g"]]
+        assert tuple(r) == (r["g"], len(own), sum(x[1] == "a" for x in own), mode([x[1] for x in own]), mode([x[2] for x in own]))
