@@ -151,17 +151,30 @@ def audit(spark, folder):
     return out.select("raw", "cleaned_name", "normalized_name", "canonical_name", "matched", "match_type", "team_validation", "review_status")
 
 
+def _batted(spark, folder):
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("raw"))
+    rows = plays(spark, folder).join(customers, "o_custkey").select(
+        "raw", F.when(F.col("l_linestatus") == "F", "Bottom 3").otherwise("Top 3").alias("half"), F.col("l_suppkey").cast("string").alias("home"), F.col("l_linenumber").cast("string").alias("away")
+    )
+    return {"events": rows, "raw": "raw", "half": "half", "home": "home", "away": "away"}
+
+
 @query(
     "e5_observed_teams",
     f"""WITH {PLAYS_SQL} SELECT c_name AS raw, string_agg(DISTINCT CAST(CASE WHEN l_linestatus = 'F' THEN l_suppkey ELSE l_linenumber END AS VARCHAR), '|' ORDER BY CAST(CASE WHEN l_linestatus = 'F' THEN l_suppkey ELSE l_linenumber END AS VARCHAR)) AS observed_teams
     FROM plays JOIN customer ON c_custkey = o_custkey GROUP BY 1""",
 )
 def observed(spark, folder):
-    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("raw"))
-    rows = plays(spark, folder).join(customers, "o_custkey").select(
-        "raw", F.when(F.col("l_linestatus") == "F", "Bottom 3").otherwise("Top 3").alias("half"), F.col("l_suppkey").cast("string").alias("home"), F.col("l_linenumber").cast("string").alias("away")
-    )
-    return registry.observed_teams(rows, raw="raw", half="half", home="home", away="away")
+    return registry.observed_teams(**_batted(spark, folder))
+
+
+@query(
+    "e5_observed_team_rows",
+    f"""WITH {PLAYS_SQL} SELECT c_name AS raw, CAST(CASE WHEN l_linestatus = 'F' THEN l_suppkey ELSE l_linenumber END AS VARCHAR) AS team, count(*) AS events
+    FROM plays JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2""",
+)
+def observed_rows(spark, folder):
+    return registry.observed_team_rows(**_batted(spark, folder))
 
 
 def _sets(spark, folder):

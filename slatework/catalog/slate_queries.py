@@ -326,14 +326,14 @@ def starter_override(spark, folder):
 
 @query(
     "m19_starter_options",
-    """WITH names AS (SELECT s_nationkey AS team, list_sort(list(DISTINCT s_name)) AS names FROM supplier GROUP BY 1),
-    now AS (SELECT n_nationkey AS team, CASE WHEN n_regionkey <= 2 THEN n_name ELSE '' END AS pitcher FROM nation)
-    SELECT now.team, now.pitcher, array_to_string(CASE WHEN pitcher <> '' THEN list_prepend(pitcher, coalesce(names, [])) ELSE coalesce(names, []) END, '|') AS candidates
-    FROM now LEFT JOIN names USING (team)""",
+    """WITH now AS (SELECT n_nationkey AS team, CASE WHEN n_regionkey <= 2 THEN n_name ELSE '' END AS pitcher FROM nation),
+    rows AS (SELECT DISTINCT team, pitcher, s_name AS candidate, 1 AS listed FROM now JOIN supplier ON s_nationkey = team
+      UNION ALL SELECT team, pitcher, pitcher, 0 FROM now WHERE pitcher <> '' AND (team, pitcher) NOT IN (SELECT (s_nationkey, s_name) FROM supplier))
+    SELECT team, pitcher, row_number() OVER (PARTITION BY team ORDER BY listed, candidate) - 1 AS place, candidate, count(*) OVER (PARTITION BY team) AS candidates FROM rows""",
 )
 def starter_options(spark, folder):
     current = table(spark, folder, "nation").select(
         F.col("n_nationkey").alias("team"), F.when(F.col("n_regionkey") <= 2, F.col("n_name")).otherwise("").alias("pitcher")
     )
     roster = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("team"), F.col("s_name").alias("pitcher"))
-    return slate.starter_options(current, roster, team="team", pitcher="pitcher").withColumn("candidates", F.array_join("candidates", "|"))
+    return slate.starter_options(current, roster, team="team", pitcher="pitcher")

@@ -149,11 +149,16 @@ def with_canonical(df: DataFrame, canonical: DataFrame, *, raw: str, name: str)
     return df.join(canonical.select(F.col("raw_name").alias(raw), F.col("canonical_name").alias(name)), raw, "left")
 
 
-def observed_teams(events: DataFrame, *, raw: str, half: str, home: str, away: str) -> DataFrame:
-    """Teams a raw name batted for, as 'A|B'."""
+def observed_team_rows(events: DataFrame, *, raw: str, half: str, home: str, away: str) -> DataFrame:
+    """(raw, team, events): one row for every team a raw name batted for, however many those are."""
     team = F.when(F.col(half).ilike("Bottom%"), F.col(home)).otherwise(F.col(away))
-    seen = events.where(F.coalesce(F.col(raw), F.lit("")) != "").withColumn("__team", team)
-    return joined_values(seen, keys=[raw], value="__team", name="observed_teams")
+    seen = events.where(F.coalesce(F.col(raw), F.lit("")) != "").select(raw, team.alias("team"))
+    return seen.where("team is not null").groupBy(raw, "team").agg(F.count(F.lit(1)).alias("events"))
+
+
+def observed_teams(events: DataFrame, *, raw: str, half: str, home: str, away: str) -> DataFrame:
+    """Teams a raw name batted for, as 'A|B', where a name has few teams; ``observed_team_rows`` has no such bound."""
+    return joined_values(observed_team_rows(events, raw=raw, half=half, home=home, away=away), keys=[raw], value="team", name="observed_teams")
 
 
 def transaction_teams(transactions: DataFrame, registry: DataFrame, *, text: str, team: str) -> DataFrame:

@@ -173,13 +173,13 @@ def override_starters(df: DataFrame, overrides: DataFrame, *, opponent: str, pit
 
 
 def starter_options(current: DataFrame, roster: DataFrame, *, team: str, pitcher: str) -> DataFrame:
-    """Candidate pitchers per team, by name, the one currently listed first if the roster lacks it."""
-    names = roster.select(team, F.trim(pitcher).alias("__name")).where("__name <> ''").distinct()
-    listed = names.groupBy(team).agg(F.sort_array(F.collect_list("__name")).alias("__names"))
-    joined = join_on(current, listed, [team], "left")
-    known = F.coalesce("__names", F.array().cast("array<string>"))
-    now = F.nullif(F.trim(pitcher), F.lit(""))
-    missing = now.isNotNull() & ~F.array_contains(known, now)
-    return joined.select(
-        *current.columns, F.when(missing, F.concat(F.array(now), known)).otherwise(known).alias("candidates")
-    )
+    """Candidate pitchers, one row each with its ``place`` from 0: by name, the one currently listed first if the roster lacks it.
+
+    A roster may be of any length.  A team without a candidate has no row; blank names are none.
+    """
+    names = roster.select(team, F.trim(pitcher).alias("candidate")).where("candidate <> ''").distinct().withColumn("__listed", F.lit(1))
+    now = current.withColumn("candidate", F.trim(pitcher)).where("candidate <> ''")
+    missing = join_on(now, names.select(team, "candidate"), [team, "candidate"], "left_anti").withColumn("__listed", F.lit(0))
+    rows = join_on(current, names, [team]).unionByName(missing)
+    placed = with_positions(rows, current.columns, [F.col("__listed"), F.col("candidate")], "place", "candidates")
+    return placed.select(*current.columns, "place", "candidate", "candidates")
