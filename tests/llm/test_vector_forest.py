@@ -65,6 +65,35 @@ def test_leaves_shrink(spark, clusters):
     assert sizes.agg(F.min("count")).first()[0] < 40 and sizes.count() > 16
 
 
+def test_small_labels_are_split_too(spark):
+    from pyspark.sql import functions as F
+
+    apart = np.random.default_rng(6).normal(size=(90, 32)).tolist()
+    classes = spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(apart)], "node long, root long, vector array<double>")
+    leaves = leaves_of(classes, trees=5, leaf_rows=512, spill=0.1, seed=1)
+    assert leaves.select("leaf").distinct().count() >= 3 * 5 * 4 and leaves.groupBy("leaf").count().agg(F.max("count")).first()[0] < 20
+
+
+def test_recall_in_one_large_label(spark):
+    """20,000 rows of one label whose noise lies around the threshold; copies stay few."""
+    from pyspark.sql import functions as F
+
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=(5000, 48))
+    x = np.repeat(base, 4, axis=0) + draw.normal(size=(20000, 48)) * draw.choice([0.04, 0.09, 0.12], size=(20000, 1))
+    x = x.astype(np.float32).astype(float)
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    true = np.zeros(len(x), int)
+    for begin in range(0, len(x), 2000):
+        true[begin : begin + 2000] = (unit[begin : begin + 2000] @ unit.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(8)
+    found = {r["vec_id"]: r["n_links"] for r in near_vectors(df).collect()}
+    assert all(found[i] <= true[i] for i in range(len(x)))
+    assert true.sum() > 10000 and sum(found.values()) >= 0.98 * true.sum()
+    classes = df.select(F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("root"), F.col("embedding").alias("vector"))
+    assert leaves_of(classes, trees=5, leaf_rows=512, spill=0.1, seed=5).count() < 12 * len(x)
+
+
 def test_corner_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
