@@ -3,8 +3,8 @@
 Pass one scatters the records by seeded hashes: the shard is decided by the record's key and the number of shards
 alone (the shard with the greatest hash of key and shard number wins, so one more shard takes records only into
 itself), and inside a shard a hash of the key and of the record's place in the input picks one of the shard's
-buckets.  The number of buckets follows the measured bytes, so that a bucket fits in memory however large or hot
-the shard is.  Pass two brings each bucket together, puts it in the order of its input places, and draws a
+buckets.  Each shard has buckets by its own measured bytes, so that a bucket fits in memory however large or hot
+the shard is; a record larger than a bucket lies in one alone or with few others.  Pass two brings each bucket together, puts it in the order of its input places, and draws a
 Fisher-Yates permutation with Spark's seeded ``shuffle``.  A record's slot is its position there behind the
 shard's earlier buckets.
 
@@ -28,17 +28,26 @@ def winning_shard(key: Column, shards: int, seed: int) -> Column:
     return (F.greatest(*draws) if shards > 1 else draws[0])["shard"]
 
 
+def scatter(docs: DataFrame, *, key: str, size: Column, shards: int, seed: int, bucket_bytes: int) -> tuple[DataFrame, int]:
+    """``docs`` with ``__row``, ``shard`` and ``__bucket``, and the number of buckets of all shards."""
+    own = winning_shard(F.col(key), shards, seed).alias("shard")
+    # One number per shard.
+    held = {r["shard"]: r["bytes"] for r in docs.select(own, size.alias("bytes")).groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}
+    buckets = [max(1, -(-(held.get(s) or 0) // bucket_bytes)) for s in range(shards)]
+    place = F.xxhash64(F.lit(seed + 1), key, "__row")
+    marked = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("shard", own)
+    of_shard = F.element_at(F.array(*[F.lit(n) for n in buckets]), F.col("shard") + 1)
+    return marked.withColumn("__bucket", F.pmod(place, of_shard.cast("long"))), sum(buckets)
+
+
 def shard(docs: DataFrame, *, key: str = "doc_id", size: Column, shards: int = 16, seed: int = 17, bucket_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard)."""
     docs = docs.select(*free_of(docs.columns, [*ADDED, "__row", "__bucket"]))
-    total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // (shards * bucket_bytes)))
-    place = F.xxhash64(F.lit(seed + 1), key, "__row")
-    scattered = docs.withColumn("__row", F.monotonically_increasing_id()).withColumns(
-        {"shard": winning_shard(F.col(key), shards, seed), "__bucket": F.pmod(place, F.lit(buckets))}
-    )
+    scattered, buckets = scatter(docs, key=key, size=size, shards=shards, seed=seed, bucket_bytes=bucket_bytes)
     record = F.struct("__row", *docs.columns)
-    gathered = scattered.groupBy("shard", "__bucket").agg(F.collect_list(record).alias("records"))
+    # About one bucket per task, and none collected before the shuffle.
+    together = scattered.repartition(buckets, "shard", "__bucket")
+    gathered = together.groupBy("shard", "__bucket").agg(F.collect_list(record).alias("records"))
     # Buckets in a fixed order per task and records in a fixed order per bucket: a rerun task draws the same permutations.
     fixed = gathered.sortWithinPartitions("shard", "__bucket").withColumn("records", F.sort_array("records"))
     drawn = fixed.withColumn("records", F.shuffle("records", F.lit(seed + 2)))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from slatework.llm.sharding import shard, winning_shard, write_shards
+from slatework.llm.sharding import scatter, shard, winning_shard, write_shards
 
 
 
@@ -45,6 +45,16 @@ def test_a_new_shard_only_takes_rows(spark):
     assert all(1000 < sum(v for (a, _), v in counts.items() if a == s) < 1500 for s in range(16))
 
 
+def test_hot_key_fills_no_bucket(spark):
+    """One id on a third of all rows: its shard has as many more buckets, all of about the size asked for."""
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("x" * 80).alias("text")).repartition(6)
+    scattered, buckets = scatter(df, key="doc_id", size=F.octet_length("text").cast("long") + 1, shards=16, seed=17, bucket_bytes=64 << 10)
+    sizes = [r["count"] * 81 for r in scattered.groupBy("shard", "__bucket").count().collect()]
+    assert len(sizes) == buckets and max(sizes) < 1.4 * (64 << 10)
+    out = parts(df, bucket_bytes=64 << 10).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert sum(r["n"] for r in out) == 60_000 and all(r["n"] == r["d"] == r["m"] + 1 for r in out)
+
+
 def test_empty_and_written(spark, tmp_path):
     assert parts(make(spark, [])).count() == 0
     write_shards(parts(make(spark, rows()[:200])), str(tmp_path / "out"))
