@@ -10,7 +10,7 @@ candidate link per pair of components leaves it, and it is confirmed on the full
 
 A document with fewer words than a shingle has one shingle, its whole sequence.  NULL, empty and blank texts have
 empty sets and are linked with nothing.  Repeated rows fall into one class.  Rows with
-a NULL id are linked through equal sets only, and their component_id is NULL where no row of their set has an id.  An empty table
+a NULL id are linked like all others; their component_id is NULL where no row of their component has an id.  An empty table
 gives an empty result.  Extra columns are not carried; join the result on the id.
 """
 
@@ -217,9 +217,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     if members.isEmpty():
         groups = classes.select("node", F.col("rep").alias("component_id"))
     else:
-        wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
+        wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id")).where("doc_id is not null")
         # The class is worked out from the text again, so ids that occur with different texts do no harm.
-        by_class = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets_of(shingle), "node long, hashes array<long>, short array<int>")
+        # Rows without an id cannot be asked for by it: their texts are all read.
+        held = texts.where("doc_id is not null").join(wanted, "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
+        by_class = held.mapInArrow(_sets_of(shingle), "node long, hashes array<long>, short array<int>")
         sets = written(by_class.where(F.col("node").isNotNull()).dropDuplicates(["node"]))
         labels = star_links(members, sets, percent, 100)
         labelled = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -71,6 +71,17 @@ def test_components_equal_brute_force(spark, families, size):
     assert result(spark, families, shingle=size) == sorted(brute(families, size), key=str)
 
 
+def test_rows_without_id_are_linked(spark):
+    """NULL ids by near copies: between ids, among themselves, and as the only bridge of a chain."""
+    draw = random.Random(9)
+    rows = []
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in range(120)]
+        rows += [(None if group % 2 else 10 * group + 5, " ".join(base)), (None, " ".join(edited(draw, base, 0.02))), (None, " ".join(base[:110]))]
+        rows.append((10 * group + 1 if group < 4 else None, " ".join(base[:100])))
+    assert result(spark, rows, shingle=4) == sorted(brute(rows, 4), key=str)
+
+
 def test_corner_cases(spark):
     long_text = " ".join(f"l{i % 7000}" for i in range(30_000))
     rows = [
