@@ -2,11 +2,12 @@
 
 A labelled table teaches a naive Bayes classifier on coarse statistics of the text (one grouped count over all labelled
 documents); every document gets posteriors over the domains.  Rates are then fitted by projected-gradient least
-squares: the expected tokens of each domain, summed over all documents with their rates, shall meet the targets, while
-rates stay near one.  A document's rate depends on its posteriors alone, so documents with equal posteriors are summed
-first, and a step is one aggregation that brings one number per domain to the driver.  Where these steps end short of
-the targets (rare domains), Newton steps on one multiplier per domain follow.  Rates are nonnegative (and at
-most ``cap``, where given).  Targets that stay unmet are warned of.  The whole number of copies is the rate rounded up or down by a hash of the id.
+squares: the expected tokens of each domain, summed over all documents with their rates, shall meet the targets.
+Steps start from rates of one, weigh the domains' misses by their overlap and carry momentum that is dropped where it
+leads upwards.  A document's rate depends on its posteriors alone, so documents with equal posteriors are summed
+first, and a step is one aggregation that brings one number per domain to the driver.  Rates are nonnegative (and at
+most ``cap``, where given).  Targets that stay unmet are warned of.  The whole number of copies is the rate rounded up
+or down by a hash of id and text, so that rows of one id are drawn apart.
 
 NULL and empty texts have no tokens; their posteriors come from the same statistics.  Rows with NULL labels or ids do
 not teach.  A domain without documents keeps its target, which then cannot be met.  With no labelled rows all
@@ -85,89 +86,68 @@ def posteriors(rows: DataFrame, labelled: DataFrame, domains: Sequence[str]) ->
     return rows.withColumn("__p_0", (_GRID - rest).cast("int")).drop(*[f"__{x}{i}" for x in "le" for i in range(len(domains))])
 
 
-def fit_rates(rows: DataFrame, weights: Sequence[float], *, total: float | None = None, cap: float | None = None, steps: int = 60, pull: float = 1e-3, close: float = 1e-4) -> DataFrame:
+def fit_rates(rows: DataFrame, weights: Sequence[float], *, total: float | None = None, cap: float | None = None, steps: int = 300, close: float = 1e-4, patience: int = 25) -> DataFrame:
     """One row per distinct posterior, with its rate and ``residual``, the largest miss of a domain's share of the target.
 
     ``total`` is the target's tokens: all tokens where not given, or, with a ``cap``, as many as the scarcest
-    domain allows at that rate.
+    domain allows at that rate.  Steps end when every miss is at most ``close``, or when ``patience`` steps have not
+    lessened the largest miss by a hundredth.
     """
-    k, goal = len(weights), [w / sum(weights) for w in weights]
+    k, goal = len(weights), np.array(weights, float) / sum(weights)
     names = [f"__p_{i}" for i in range(k)]
-    cells = written(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")).withColumn("rate", F.lit(1.0)))
-    expected = lambda rate: [F.coalesce(F.sum(rate * F.col("tokens") * F.col(n) / _GRID), F.lit(0.0)) for n in names]
-    plain = list(cells.agg(*expected(F.lit(1.0))).first())
+    p = [F.col(n) / _GRID for n in names]
+    cells = written(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")).withColumns({"before": F.lit(1.0), "rate": F.lit(1.0)}))
+    summed = lambda x: F.coalesce(F.sum(x * F.col("tokens")), F.lit(0.0))
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    found = list(cells.agg(*map(summed, p), *[summed(p[i] * p[j]) for i, j in pairs]).first())
+    plain = found[:k]
     if total is None:
-        total = sum(plain) if cap is None else min(cap * p / g for p, g in zip(plain, goal) if g > 0)
+        total = sum(plain) if cap is None else min(cap * x / g for x, g in zip(plain, goal) if g > 0)
     if total <= 0:
         return cells.select(*names, "rate", F.lit(None).cast("double").alias("residual"))
-    step = min(1.0, total / max(sum(plain), 1.0))
-    # Largest curvature is at most the tokens' sum over the target's, the step its inverse.
-    rate = F.col("rate")
-    missed = lambda rate: [r / total - g for r, g in zip(cells.agg(*expected(rate)).first(), goal)]
+    overlap = np.zeros((k, k))
+    for (i, j), x in zip(pairs, found[k:]):
+        overlap[i, j] = overlap[j, i] = x / total
+    # Misses are weighted by the inverse of the domains' overlap, so that rare domains move as fast as common ones
+    # and the largest curvature is one: so is the step.
+    weight = np.linalg.inv(overlap + 1e-9 * max(np.trace(overlap), 1e-300) * np.eye(k))
+    away = np.array(plain) / total - goal
+    before, value, speed = away, away @ weight @ away, 1.0
+    best, since = np.abs(away).max(), 0
     for turn in range(steps):
-        away = missed(rate)
-        if max(map(abs, away)) <= close:
+        if np.abs(away).max() <= close or since >= patience:
             break
-        slope = sum((F.lit(a) * F.col(n) / _GRID for a, n in zip(away, names)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate * (1 - step * pull) + step * (pull - slope))
-        rate = rate if cap is None else F.least(F.lit(float(cap)), rate)
+        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+        momentum, speed = (speed - 1) / faster, faster
+        # Expected tokens are linear in the rates, so the miss at the point ahead needs no aggregation of its own.
+        push = weight @ (away + momentum * (away - before))
+        slope = sum((F.lit(float(x)) * y for x, y in zip(push, p)), F.lit(0.0))
+        moved = F.greatest(F.lit(0.0), F.col("rate") + momentum * (F.col("rate") - F.col("before")) - slope)
+        moved = moved if cap is None else F.least(F.lit(float(cap)), moved)
+        cells = cells.select(*names, "tokens", F.col("rate").alias("before"), moved.alias("rate"))
         if turn % 8 == 7:
-            cells = written(cells.withColumn("rate", rate))
-            rate = F.col("rate")
-    residual = max(map(abs, missed(rate)))
-    # The pull towards one alone leaves a miss of about its own size.
-    if residual > max(close, pull):
-        other, least = _multiplied(cells, names, goal, total, cap, close)
-        rate, residual = (other, least) if least < residual else (rate, residual)
+            cells = written(cells)
+        before, away = away, np.array(cells.agg(*[summed(F.col("rate") * x) for x in p]).first()) / total - goal
+        after = away @ weight @ away
+        # A step that led upwards ends the momentum.
+        speed, value = (1.0 if after > value else speed), after
+        since = 0 if np.abs(away).max() < 0.99 * best else since + 1
+        best = min(best, np.abs(away).max())
+    residual = float(np.abs(away).max())
     if residual > close:
         warnings.warn(f"a domain's share of the target's tokens is missed by {residual:.4f}", stacklevel=2)
-    return written(cells.select(*names, rate.alias("rate"), F.lit(float(residual)).alias("residual")))
-
-
-def _multiplied(cells: DataFrame, names: Sequence[str], goal: Sequence[float], total: float, cap: float | None, close: float, turns: int = 100) -> tuple[Column, float]:
-    """Rates 1 - sum(multiplier x posterior) between their bounds, which are the nearest to one that meet the targets, and the miss.
-
-    Newton steps, halved while they do not help, until the targets are met or no step helps.
-    """
-    k, p = len(names), [F.col(n) / _GRID for n in names]
-    raw = lambda m: F.lit(1.0) - sum((F.lit(float(x)) * y for x, y in zip(m, p)), F.lit(0.0))
-    bounded = lambda m: F.greatest(F.lit(0.0), raw(m) if cap is None else F.least(F.lit(float(cap)), raw(m)))
-    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
-
-    def state(m):
-        free = (raw(m) >= 0) & (F.lit(True) if cap is None else raw(m) <= cap)
-        found = cells.agg(
-            *[F.sum(bounded(m) * F.col("tokens") * x) for x in p],
-            *[F.sum(F.when(free, F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i, j in pairs],
-        ).first()
-        curve = np.zeros((k, k))
-        for (i, j), x in zip(pairs, found[k:]):
-            curve[i, j] = curve[j, i] = x / total
-        return np.array(found[:k]) / total - goal, curve
-
-    at, (away, curve) = np.zeros(k), state(np.zeros(k))
-    size = 1.0
-    for _ in range(turns):
-        if np.abs(away).max() <= close or size < 1e-4:
-            break
-        after = at + size * np.linalg.solve(curve + 1e-9 * np.eye(k), away)
-        away_after, curve_after = state(after)
-        if np.linalg.norm(away_after) < np.linalg.norm(away) * (1 - 1e-4 * size):
-            at, away, curve, size = after, away_after, curve_after, min(1.0, size * 2)
-        else:
-            size /= 2
-    return bounded(at), float(np.abs(away).max())
+    return written(cells.select(*names, "rate", F.lit(residual).alias("residual")))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], *, domain: Column, doc_id: str = "doc_id", text: str = "text", cap: float | None = None, total: float | None = None, draw: Sequence[str] = ()) -> DataFrame:
     """``docs`` without the text, with n_tokens, a posterior column per domain (``p_<domain>``), rate and copies.
 
     ``domain`` is an expression over ``labels``; ``targets`` gives each domain's share of the tokens.
-    ``draw`` names the columns whose hash rounds a rate: the id where not given.
+    ``draw`` names the columns whose hash rounds a rate: id and text where not given.
     """
     domains, original = list(targets), docs.columns
     docs, own = masked(docs)
-    rows = written(described(docs, own[text]))
+    rows = written(described(docs.withColumn("__hash", F.xxhash64(own[text])), own[text]))
     known = labels.select(F.col(doc_id).alias("__key"), domain.alias("domain")).where(F.col("domain").isNotNull() & F.col("__key").isNotNull())
     # One label per document: the smallest where a document has several.
     known = known.groupBy("__key").agg(F.min("domain").alias("domain"))
@@ -176,7 +156,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], *, dom
     names = [f"__p_{i}" for i in range(len(domains))]
     rates = fit_rates(scored, list(targets.values()), total=total, cap=cap)
     mixed = scored.join(rates, names, "left")
-    drawn = F.pmod(F.xxhash64(F.lit("copies"), *[own[c] for c in draw or [doc_id]]), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.pmod(F.xxhash64(F.lit("copies"), *([own[c] for c in draw] or [own[doc_id], "__hash"])), F.lit(1 << 30)) / float(1 << 30)
     rest = [c for c in free_of(original, [*ADDED, *[f"p_{d}" for d in domains]]) if c != text]
     return mixed.select(
         *[F.col(own[c]).alias(c) for c in rest], "n_tokens", *[(F.col(n) / _GRID).alias(f"p_{d}") for n, d in zip(names, domains)],

@@ -18,15 +18,46 @@ def test_rates_reach_the_targets(spark):
     rates = {r["__p_0"]: r["rate"] for r in fit_rates(df, [0.3, 0.7]).collect()}
     total = sum(t for *_, t in rows)
     expected = [sum(rates[r[0]] * r[2] * r[i] / 1000 for r in rows) / total for i in (0, 1)]
-    assert expected == pytest.approx([0.3, 0.7], abs=1e-3) and min(rates.values()) >= 0
-    # The same steps in numpy.
-    p, t, rate = np.array([r[:2] for r in rows]) / 1000, np.array([r[2] for r in rows]), np.ones(len(rows))
-    for _ in range(60):
-        away = (p * (rate * t)[:, None]).sum(axis=0) / total - np.array([0.3, 0.7])
-        if np.abs(away).max() <= 1e-4:
+    assert expected == pytest.approx([0.3, 0.7], abs=1.1e-4) and min(rates.values()) >= 0
+    # No other rates that meet the targets lie nearer to one: with all rates free they are one minus a combination of the posteriors.
+    p = np.array([[x, 1000 - x] for x in rates]) / 1000
+    assert np.abs(p @ np.linalg.lstsq(p, 1 - np.array(list(rates.values())), rcond=None)[0] - (1 - np.array(list(rates.values())))).max() < 1e-6
+
+
+@pytest.mark.parametrize("cap, total", [(None, None), (1.0, 20_000.0), (1.5, None)])
+def test_steps_equal_a_replay_in_numpy(spark, cap, total):
+    draw = random.Random(5)
+    rows = []
+    for _ in range(300):
+        a = draw.choice([0, 5, 30, 900])
+        b = draw.randrange(0, 1001 - a)
+        rows.append((a, b, 1000 - a - b, draw.randrange(1, 400)))
+    goal = np.array([0.15, 0.45, 0.4])
+    df = spark.createDataFrame(rows, "__p_0 int, __p_1 int, __p_2 int, n_tokens long")
+    out = fit_rates(df, goal, cap=cap, total=total)
+    got = {tuple(r[:3]): r["rate"] for r in out.collect()}
+    p, t = np.array([r[:3] for r in rows]) / 1000, np.array([r[3] for r in rows], float)
+    plain = p.T @ t
+    total = total or (plain.sum() if cap is None else min(cap * plain / goal))
+    overlap = (p * t[:, None]).T @ p / total
+    weight = np.linalg.inv(overlap + 1e-9 * np.trace(overlap) * np.eye(3))
+    high = np.inf if cap is None else cap
+    rate = old = np.ones(len(rows))
+    speed, value, best, since = 1.0, np.inf, np.inf, 0
+    for turn in range(301):
+        away = p.T @ (rate * t) / total - goal
+        worst, now = np.abs(away).max(), away @ weight @ away
+        speed = 1.0 if now > value else speed
+        since = 0 if worst < 0.99 * best else since + 1
+        value, best = now, min(best, worst)
+        if worst <= 1e-4 or since >= 25 or turn == 300:
             break
-        rate = np.maximum(0, rate * (1 - 1e-3) + 1e-3 - p @ away)
-    assert rate == pytest.approx([rates[r[0]] for r in rows], abs=1e-9)
+        faster = (1 + np.sqrt(1 + 4 * speed**2)) / 2
+        ahead = rate + (speed - 1) / faster * (rate - old)
+        speed, old = faster, rate
+        rate = np.clip(ahead - p @ weight @ (p.T @ (ahead * t) / total - goal), 0, high)
+    assert out.first()["residual"] == pytest.approx(worst, abs=1e-9)
+    assert rate == pytest.approx([got[r[:3]] for r in rows], abs=1e-6)
 
 
 def test_capped_rates_leave_documents_out(spark):
@@ -71,6 +102,18 @@ def test_mixture_of_documents(spark):
     assert all(r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in got.values())
 
 
+def test_rows_of_one_id_are_drawn_apart(spark):
+    """A third of the rows share an id, another third has none: neither comes or goes as a whole."""
+    docs = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"w{i} " + "a b c d " * 20) for i in range(900)]
+    docs += [(7, docs[0][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame([(2, 1), (5, 0)], "doc_id long, quality int")
+    out = mix(df, known, {"good": 0.5, "poor": 0.5}, domain=rated(), total=36_000.0, cap=1.0)
+    shares = {r["k"]: r["share"] for r in out.groupBy(F.when(F.col("doc_id").isNull(), -1).otherwise(F.least("doc_id", F.lit(8))).alias("k")).agg(F.avg("copies").alias("share")).collect()}
+    rate = out.agg(F.avg("rate")).first()[0]
+    assert 0.3 < rate < 0.7 and all(abs(shares[k] - rate) < 0.12 for k in (7, -1))
+
+
 def test_mixing_without_rows_or_labels(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
