@@ -2,8 +2,8 @@
 
 A text's vector is the mean of the embeddings of the character 1- to 4-grams of its words (hashed to a fixed
 number of rows), a linear softmax on it gives the language.  Both are trained by stochastic gradient descent in
-numpy on a sample of at most ``fit_docs`` labelled documents, spread evenly over the languages and cut into
-passages of random length, so that short texts are learnt too.  On held-out passages a temperature calibrates the
+numpy on a sample of about ``fit_docs`` different labelled texts at most, spread evenly over the languages and cut
+into passages of random length, so that short texts are learnt too.  On held-out passages a temperature calibrates the
 probabilities, and the least probability is found at which the accepted passages are right as often as
 ``precision`` asks (never less than one half): texts below it are rejected.
 
@@ -164,19 +164,26 @@ def train(texts: Sequence[str], labels: Sequence[str], *, epochs: int = 6, rate:
     return Model(langs, (table @ weights).astype(np.float32), bias, temperature, threshold)
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_docs: int = 2000) -> Model | None:
-    """Train on a hash sample of at most about ``fit_docs`` labelled rows, as many of each language as there are."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    counts = {r["l"]: r["count"] for r in usable.groupBy("l").count().collect()}
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", fit_docs: int = 2000, fit_chars: int = 20_000) -> Model | None:
+    """Train on about ``fit_docs`` labelled texts at most, as many of each language as there are.
+
+    Texts are drawn by their hash, so ids play no part, and equal texts of a language count once, however many rows
+    hold them.  Of a longer text a run of ``fit_chars`` characters is taken where it lies, from a place its hash
+    names, so the driver gets ``fit_docs`` x ``fit_chars`` characters at most.  Distinct texts are counted by a
+    sketch that errs by a few per cent.
+    """
+    usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.lit("language"), text).alias("h"))
+    counts = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return None
     each = fit_docs / len(counts)
     share = F.lit(0.0)
-    for name, rows in counts.items():
-        share = F.when(F.col("l") == name, F.lit(min(1.0, each / rows))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit("language"), "k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = usable.where(draw < share).select("l", "t", "k").collect()
-    rows = sorted(rows, key=lambda r: (str(r["k"]), r["l"], r["t"]))
+    for name, texts in counts.items():
+        share = F.when(F.col("l") == name, F.lit(min(1.0, each / max(texts, 1)))).otherwise(share)
+    drawn = usable.where(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
+    begin = F.pmod(F.shiftright("h", 30), F.greatest(F.length("t") - fit_chars, F.lit(0)) + 1) + 1
+    rows = drawn.select("l", "h", F.substring("t", begin.cast("int"), F.lit(fit_chars)).alias("t")).dropDuplicates(["l", "h"]).select("l", "t").collect()
+    rows = sorted(rows, key=lambda r: (r["l"], r["t"]))
     return train([r["t"] for r in rows], [r["l"] for r in rows]) if rows else None
 
 

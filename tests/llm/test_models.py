@@ -119,6 +119,25 @@ def test_language_corner_cases(spark):
     assert {r["lang_pred"] for r in kept.collect()} == {"z"} and "new_rejected" in kept.columns
 
 
+def test_language_sample_is_bounded_under_hot_ids_and_texts(spark, monkeypatch):
+    """One id on a third of the rows, none on another third, one text on half of them, and very long texts."""
+    draw, rows = random.Random(6), []
+    for i in range(3000):
+        lang = draw.choice(["de", "en"])
+        words = ["der", "die", "und", "nicht"] if lang == "de" else ["the", "and", "with", "of"]
+        text = "the same words of all" if i % 2 == 0 else " ".join(draw.choice(words) for _ in range(20)) + f" {i}"
+        rows.append((7 if i % 3 == 0 else None if i % 3 == 1 else i, text, "en" if i % 2 == 0 else lang))
+    rows += [(i, f"{i} " + "the and with of " * 20_000, "en") for i in range(20)]
+    taken = {}
+    monkeypatch.setattr(language, "train", lambda texts, langs: taken.update(texts=texts, langs=langs))
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), fit_docs=400, fit_chars=5_000)
+    assert 300 < len(taken["texts"]) < 480 and taken["texts"].count("the same words of all") <= 1
+    assert max(map(len, taken["texts"])) <= 5_000 and 120 < taken["langs"].count("de") < 280
+    again = dict(taken)
+    language.fit(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string"), fit_docs=400, fit_chars=5_000)
+    assert again == taken
+
+
 def test_language_without_rows(spark):
     df = spark.createDataFrame([(1, "word", None)], "doc_id long, text string, lang string")
     assert language.fit(df) is None
