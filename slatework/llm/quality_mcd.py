@@ -33,8 +33,8 @@ _P = len(TOLERANCE)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 
 
-def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text column, with the counts in STATS."""
+def text_stats(docs: DataFrame, text: str = "text", hash_digits: int = 64) -> DataFrame:
+    """``docs`` without the text column, with the counts in STATS, exact however few ``hash_digits`` a window's hash keeps."""
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
     base = docs.withColumns({
@@ -47,18 +47,25 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_words": F.size("__words").cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         # Binary digits that hold a word's position: the rest of 64 bits holds the window's hash.
-        "__bits": F.length(F.bin(F.size("__words"))),
+        "__bits": F.greatest(F.length(F.bin(F.size("__words"))), F.lit(64 - hash_digits)),
     }).drop("__lines")
     word = lambda i: F.get("__words", i)
     key = lambda i: F.call_function("shiftleft", F.xxhash64(word(i), word(i + 1), word(i + 2)), F.col("__bits")).bitwiseOR(i.cast("long"))
     windows = F.when(F.col("n_words") >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("__words") - 3), key)))
-    base = base.withColumn("__windows", F.coalesce(windows, F.array().cast("array<bigint>"))).drop("__words")
+    base = base.withColumn("__windows", F.coalesce(windows, F.array().cast("array<bigint>")))
     hashed = lambda x: F.call_function("shiftright", x, F.col("__bits"))
-    # Equal windows are neighbours in the sorted keys.
+    # Equal windows are neighbours in the sorted keys.  Different ones may share the digits that are left of a hash,
+    # so the words of the windows found decide.
     meets = lambda x, i: hashed(x).eqNullSafe(hashed(F.get("__windows", i)))
-    repeated = F.filter("__windows", lambda x, i: meets(x, i - 1) | meets(x, i + 1))
+    maybe = F.filter("__windows", lambda x, i: meets(x, i - 1) | meets(x, i + 1))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bits")) - 1
-    base = base.withColumn("__at", F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(mask)))).drop("__windows")
+    base = base.withColumn("__maybe", F.transform(maybe, lambda x: x.bitwiseAND(mask))).drop("__windows")
+    window = lambda x: F.concat_ws(" ", word(x.cast("int")), word(x.cast("int") + 1), word(x.cast("int") + 2))
+    told = F.when(F.size("__maybe") > 0, F.sort_array(F.transform("__maybe", lambda x: F.struct(window(x).alias("w"), x.alias("at")))))
+    base = base.withColumn("__told", told).drop("__words", "__maybe")
+    same = lambda x, i: x["w"].eqNullSafe(F.get("__told", i)["w"])
+    repeated = F.filter("__told", lambda x, i: same(x, i - 1) | same(x, i + 1))
+    base = base.withColumn("__at", F.coalesce(F.sort_array(F.transform(repeated, lambda x: x["at"])), F.array().cast("array<bigint>"))).drop("__told")
     covered = F.aggregate(
         "__at",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")),

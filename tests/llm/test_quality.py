@@ -30,6 +30,15 @@ def test_counts(spark):
         assert tuple(r[s] for s in STATS) == brute(texts[r["doc_id"]]), texts[r["doc_id"]]
 
 
+def test_windows_that_share_a_hash_are_told_apart(spark):
+    draw = random.Random(3)
+    texts = [None, "", "a b c d", "a b c a b c", "w " * 3000] + [" ".join(draw.choice("abcdefghijkl") for _ in range(n)) for n in (5, 40, 200, 900, 3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for digits in (2, 12):
+        for r in text_stats(df, hash_digits=digits).collect():
+            assert tuple(r[s] for s in STATS) == brute(texts[r["doc_id"]])
+
+
 def test_chi_square():
     assert chi_square_cut(2, 0.95) == pytest.approx(5.991465, abs=1e-5)
     assert chi_square_share(5, 11.0705) == pytest.approx(0.95, abs=1e-5)
