@@ -241,7 +241,7 @@ def _bets(spark, folder):
 def kelly(spark, folder):
     rules = {"all": F.lit(True), "edge_5": F.col("p") - 1 / F.col("odds") > 0.05, "confident": F.col("p") > 0.36}
     out = backtest.kelly_results(_bets(spark, folder), rules=rules, probability="p", odds="odds", label="y")
-    return out.select("rule", "bets", F.round("win_rate", 9).alias("win_rate"), F.round(F.log(F.col("final_bankroll") / 1000.0), 5).alias("log_growth"))
+    return out.select("rule", "bets", F.round("win_rate", 9).alias("win_rate"), (F.round("log_growth", 5) + F.lit(0.0)).alias("log_growth"))
 
 
 @query(

@@ -191,10 +191,11 @@ def kelly_growth(probability: Column | str, odds: Column | str, label: Column |
 
 
 def kelly_results(df: DataFrame, *, rules: Mapping[str, Column], probability: str, odds: str, label: str, bankroll: float = 1000.0) -> DataFrame:
-    """Final bankroll, ROI, bets and win rate per betting rule.
+    """Final bankroll, its log growth, ROI, bets and win rate per betting rule.
 
     Each bet stakes a share of the running bankroll, so the final bankroll is a product over the bets and
-    does not depend on their order: a sum of logarithms, with no sequential pass.
+    does not depend on their order: a sum of logarithms, with no sequential pass.  ``log_growth`` stays finite
+    where millions of bets carry the bankroll past the largest double.
     """
     tags = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in rules.items()]), lambda t: t.isNotNull())
     bets = df.withColumn("__growth", kelly_growth(probability, odds, label)).where("__growth is not null").withColumn("rule", F.explode(tags))
@@ -202,7 +203,7 @@ def kelly_results(df: DataFrame, *, rules: Mapping[str, Column], probability: st
         F.count(F.lit(1)).alias("bets"), F.sum(F.col(label).cast("long")).alias("__wins"), F.sum("__growth").alias("__log")
     )
     return sums.select(
-        "rule", "bets", ratio("__wins", "bets").alias("win_rate"),
+        "rule", "bets", ratio("__wins", "bets").alias("win_rate"), F.col("__log").alias("log_growth"),
         (num(bankroll) * F.exp("__log")).alias("final_bankroll"), ((F.exp("__log") - num(1)) * num(100)).alias("roi_pct"),
     )
 

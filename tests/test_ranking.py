@@ -214,3 +214,11 @@ def test_entity_games_reads_events_once(spark):
     for r in out.collect():
         own = [x for x in rows if x[0] == r["g"]]
         assert tuple(r) == (r["g"], len(own), sum(x[1] == "a" for x in own), mode([x[1] for x in own]), mode([x[2] for x in own]))
+
+
+def test_kelly_growth_outlives_the_largest_bankroll(spark):
+    """60,000 won bets: the bankroll overflows, its logarithm does not."""
+    bets = spark.range(60000).select(F.lit(0.5).alias("p"), F.lit(2.5).alias("o"), F.lit(1).alias("y"))
+    out = backtest.kelly_results(bets, rules={"all": F.lit(True)}, probability="p", odds="o", label="y").first()
+    assert out["final_bankroll"] == float("inf")
+    assert out["log_growth"] == pytest.approx(60000 * math.log1p(0.25 * (0.5 - 1 / 2.5)))
