@@ -251,7 +251,7 @@ def kelly(spark, folder):
 )
 def kelly_curve(spark, folder):
     out = backtest.kelly_curve(_bets(spark, folder), day="game_date", probability="p", odds="odds", label="y")
-    return out.select("game_date", "bets", (F.round(F.log(F.col("bankroll") / 1000.0), 5) + F.lit(0.0)).alias("log_growth"))
+    return out.select("game_date", "bets", (F.round("log_growth", 5) + F.lit(0.0)).alias("log_growth"))
 
 
 @query(

@@ -209,8 +209,9 @@ def kelly_results(df: DataFrame, *, rules: Mapping[str, Column], probability: st
 
 
 def kelly_curve(df: DataFrame, *, day: str, probability: str, odds: str, label: str, groups: Sequence[str] = (), bankroll: float = 1000.0) -> DataFrame:
-    """Bankroll at the end of each day: growth is summed per day, then accumulated over the calendar."""
+    """Bankroll and its log growth at the end of each day: growth is summed per day, then accumulated over the calendar."""
     bets = df.withColumn("__growth", kelly_growth(probability, odds, label)).where("__growth is not null")
     daily = bets.groupBy(*groups, day).agg(F.count(F.lit(1)).alias("bets"), F.sum("__growth").alias("__log"))
     upto = Window.partitionBy(*groups).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    return daily.withColumn("bankroll", num(bankroll) * F.exp(F.sum("__log").over(upto))).drop("__log")
+    daily = daily.withColumn("log_growth", F.sum("__log").over(upto))
+    return daily.withColumn("bankroll", num(bankroll) * F.exp("log_growth")).drop("__log")

@@ -222,3 +222,9 @@ def test_kelly_growth_outlives_the_largest_bankroll(spark):
     out = backtest.kelly_results(bets, rules={"all": F.lit(True)}, probability="p", odds="o", label="y").first()
     assert out["final_bankroll"] == float("inf")
     assert out["log_growth"] == pytest.approx(60000 * math.log1p(0.25 * (0.5 - 1 / 2.5)))
+
+
+def test_kelly_curve_outlives_the_largest_bankroll(spark):
+    bets = spark.range(60000).select((F.col("id") % 3).alias("d"), F.lit(0.5).alias("p"), F.lit(2.5).alias("o"), F.lit(1).alias("y"))
+    out = backtest.kelly_curve(bets, day="d", probability="p", odds="o", label="y").orderBy("d").collect()
+    assert [r["log_growth"] for r in out] == [pytest.approx(n * 20000 * math.log1p(0.25 * (0.5 - 1 / 2.5))) for n in (1, 2, 3)]
