@@ -228,3 +228,11 @@ def test_kelly_curve_outlives_the_largest_bankroll(spark):
     bets = spark.range(60000).select((F.col("id") % 3).alias("d"), F.lit(0.5).alias("p"), F.lit(2.5).alias("o"), F.lit(1).alias("y"))
     out = backtest.kelly_curve(bets, day="d", probability="p", odds="o", label="y").orderBy("d").collect()
     assert [r["log_growth"] for r in out] == [pytest.approx(n * 20000 * math.log1p(0.25 * (0.5 - 1 / 2.5))) for n in (1, 2, 3)]
+
+
+def test_score_one_bit_past_a_tie_is_a_tie(spark):
+    """60.650000000000006 is what a weighted sum makes of 60.65."""
+    from slatework.functions.numeric import half_even
+
+    got = spark.createDataFrame([(60.650000000000006,), (60.65,), (60.75,), (58.05,)], "v double").select(half_even("v", 1).alias("r")).collect()
+    assert [r["r"] for r in got] == [60.6, 60.6, 60.8, 58.0]
