@@ -131,3 +131,17 @@ def test_incremental_rebuild_equals_a_full_one(spark):
     assert rows(got) == wanted and rows(full) != wanted
     spine = hitters._canonical_spine(after)
     assert 0 < hitters.reached_rows(spine, before, after, games).count() < spine.count()
+
+
+def test_details_of_small_negatives_read_as_in_sql(spark):
+    from slatework.catalog import ORACLES
+    from slatework.plans import scoring
+    from slatework.verify import duckdb
+
+    values = [-0.04, -0.05, 0.0, 0.04, 1.25, -1.25, None]
+    shown = scoring.details({"Balance": ("v", 1, 1.0)})[0]["value"]
+    got = [r["t"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(shown.alias("t")).collect()]
+    assert got == ["-0.0", "-0.0", "0.0", "0.0", "1.2", "-1.2", "Unavailable"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE customer AS SELECT unnest(range(7)) AS c_custkey, 'X' AS c_mktsegment, unnest([-0.04, -0.05, 0.0, 0.04, 1.25, -1.25, NULL]::DOUBLE[]) AS c_acctbal")
+    assert got == [r[1] for r in sorted(con.execute(ORACLES["m23_details"]).fetchall())]
