@@ -168,8 +168,7 @@ _JOB_SQL = f"""{_GIVEN_SQL},
 
 def _job(spark, folder):
     hr = GIVEN.transform(_training(spark, folder))
-    margin = F.log(F.col("proba") / (1 - F.col("proba")))
-    so = 1 / (1 + F.exp(-(F.lit(0.5) - F.lit(0.8) * margin)))
+    so = 1 / (1 + F.exp(-(F.lit(0.5) - F.lit(0.8) * GIVEN.margin())))
     both = F.inline(F.array(
         F.struct(F.lit("hr").alias("target"), F.col("proba").alias("p"), F.col("returned").alias("hits")), F.struct(F.lit("so").alias("target"), so.alias("p"), (F.col("lines") - F.col("returned")).alias("hits"))
     ))

@@ -80,8 +80,13 @@ class Linear:
         """The margin of a row whose features are all at their medians."""
         return float(self.intercept + sum(w * self.medians[f] for f, w in zip(self.features, self.coefficients)))
 
+    def margin(self) -> Column:
+        """The log odds: equal features have equal margins, to the last bit."""
+        shifts = self.shifts()
+        return num(self.base()) + sum(shifts[1:], shifts[0])
+
     def transform(self, df: DataFrame, name: str = "proba") -> DataFrame:
-        return df.withColumn(name, logistic(sum(self.shifts(), num(self.base()))))
+        return df.withColumn(name, logistic(self.margin()))
 
 
 @dataclass(frozen=True)

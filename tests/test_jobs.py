@@ -145,3 +145,12 @@ def test_details_of_small_negatives_read_as_in_sql(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE customer AS SELECT unnest(range(7)) AS c_custkey, 'X' AS c_mktsegment, unnest([-0.04, -0.05, 0.0, 0.04, 1.25, -1.25, NULL]::DOUBLE[]) AS c_acctbal")
     assert got == [r[1] for r in sorted(con.execute(ORACLES["m23_details"]).fetchall())]
+
+
+def test_margin_adds_the_shifts_first(spark):
+    """As the SQL does, so equal scores tie in both; beginning with the base rounds otherwise."""
+    from slatework.plans import models
+
+    model = models.Linear(["a", "b"], [0.2, 0.3], 0.1, {"a": 0.0, "b": 0.0})
+    got = spark.createDataFrame([(1.0, 1.0)], "a double, b double").select(model.margin().alias("m")).first()["m"]
+    assert got == 0.1 + (0.2 + 0.3) and got != 0.1 + 0.2 + 0.3
