@@ -15,10 +15,11 @@ def lookup_first(df: DataFrame, table: DataFrame, *, on: Sequence[str], order: S
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in (defaults or {}).items()})
 
 
-def either_order_join(left: DataFrame, right: DataFrame, *, left_pair: tuple[Column, Column], right_pair: tuple[str, str], on: Sequence[str] = (), how: str = "left") -> DataFrame:
+def either_order_join(left: DataFrame, right: DataFrame, *, left_pair: tuple[Column, Column], right_pair: tuple[str, str], on: Sequence[str] = (), how: str = "left", first: Sequence[Column] | None = None) -> DataFrame:
     """Join where the left pair equals the right pair in either order.
 
-    'A @ B' or 'B @ A' is one equality once both sides are sorted, so the OR needs no nested loop.
+    'A @ B' or 'B @ A' is one equality once both sides are sorted, so the OR needs no nested loop.  With ``first``, an order,
+    a pair meets only its first right row, chosen before the join.
     """
     a, b = left_pair
     c, d = (F.col(x) for x in right_pair)
@@ -27,6 +28,8 @@ def either_order_join(left: DataFrame, right: DataFrame, *, left_pair: tuple[Col
     # least/greatest skip NULLs; a pair with a NULL side must not match.
     keyed = keyed.withColumn("__lo", F.when(a.isNotNull() & b.isNotNull(), F.col("__lo")))
     other = other.where(c.isNotNull() & d.isNotNull())
+    if first is not None:
+        other = top_rows(other, [*on, "__lo", "__hi"], first)
     return keyed.join(other, [*on, "__lo", "__hi"], how).drop("__lo", "__hi")
 
 
@@ -46,9 +49,14 @@ def sides(games: DataFrame, *, home: str, away: str, team: str = "team", opponen
     return games.select(*keep, F.inline(both))
 
 
-def either_side_join(rows: DataFrame, games: DataFrame, *, team: str, home: str, away: str, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a team's rows to games where it is either side: each game offers one key per distinct side."""
+def either_side_join(rows: DataFrame, games: DataFrame, *, team: str, home: str, away: str, on: Sequence[str], how: str = "left", first: Sequence[Column] | None = None) -> DataFrame:
+    """Join a team's rows to games where it is either side: each game offers one key per distinct side.
+
+    With ``first``, an order, a side meets only its first game, chosen before the join.
+    """
     offered = games.withColumn("__side", F.explode(F.array_distinct(F.array(home, away))))
+    if first is not None:
+        offered = top_rows(offered, [*on, "__side"], first)
     return rows.withColumn("__side", F.col(team)).join(offered, [*on, "__side"], how).drop("__side")
 
 

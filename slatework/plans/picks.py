@@ -54,16 +54,18 @@ def label_picks(picks: DataFrame, games: DataFrame, plays: DataFrame, box: DataF
     """Picks with their game (same date), the outcome label and the opposing team's leading pitcher.
 
     The game is found by team on either side, or by the 'A @ B' text in either order.  Of two games of one
-    pairing on a date the first is taken, so a pick is never repeated.
+    pairing on a date the first is taken, so a pick is never repeated; it is taken before the join, so a pick never
+    meets all games of its team on a date.
     """
+    first = [F.col("game_id").asc_nulls_last()]
     schedule = games.select("game_id", F.col("game_date").alias("analysis_date"), "home_team", "away_team")
     if by_description:
         joined = joins.either_order_join(
-            picks, schedule, left_pair=joins.split_matchup("game_description"), right_pair=("home_team", "away_team"), on=["analysis_date"]
+            picks, schedule, left_pair=joins.split_matchup("game_description"), right_pair=("home_team", "away_team"), on=["analysis_date"], first=first
         )
     else:
-        joined = joins.either_side_join(picks, schedule, team="team", home="home_team", away="away_team", on=["analysis_date"])
-    joined = top_rows(joined, ["pick_id"], [F.col("game_id").asc_nulls_last()])
+        joined = joins.either_side_join(picks, schedule, team="team", home="home_team", away="away_team", on=["analysis_date"], first=first)
+    joined = top_rows(joined, ["pick_id"], first)
     joined = joined.withColumn("player_key", F.lower(F.trim("player_name"))).join(results_per_game(plays, results), ["game_id", "player_key"], "left")
     leading = top_rows(pitcher_totals(box, ["game_id", "team", "player_name"]), ["game_id", "team"], [F.col("total_ip").desc(), F.col("player_name")])
     leading = leading.select("game_id", F.col("team").alias("__opponent"), F.col("player_name").alias("leading_pitcher"), "pitcher_era", "pitcher_hr_per_9", "pitcher_k_per_9", "pitcher_whip")
