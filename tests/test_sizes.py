@@ -4,6 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from slatework.functions import text
 from slatework.operators import joins
 from slatework.plans import picks
 
@@ -27,3 +28,10 @@ def test_picks_take_the_first_game_of_their_date(spark):
     box = spark.createDataFrame([(4, "B", "Zed", 3.0, 1, 0, 2, 1, 0)], "game_id int, team string, player_name string, innings_pitched double, earned_runs int, home_runs int, strikeouts int, hits int, walks int")
     rows = {r["pick_id"]: (r["game_id"], r["label"], r["leading_pitcher"]) for r in picks.label_picks(asked, games, plays, box).collect()}
     assert rows == {1: (4, 1, "Zed"), 2: (9, 0, None), 3: (None, 0, None), 4: (None, 0, None)}
+
+
+def test_plain_names_of_a_lineup_are_not_parsed(spark):
+    documents = ['{"batting_order": ["A {B", "{\\"name\\": \\"X\\"}", {"name": null, "player": "P"}, "Q", 3, null]}', None]
+    out = spark.createDataFrame([(d,) for d in documents], "v string").select(text.batting_order("v").alias("o"))
+    assert [[e["name"] for e in r["o"]] for r in out.collect()] == [["A {B", "X", "P", "Q", "3"], []]
+    assert "contains(" in out._jdf.queryExecution().analyzed().toString().lower()
