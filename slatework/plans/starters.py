@@ -140,7 +140,7 @@ def attach_arsenal(df: DataFrame, s: StarterSources) -> DataFrame:
     known = ["pitcher_canonical", "game_date"]
     meant = keyed.select(*known, F.col("__team").alias("team")).where("pitcher_canonical is not null")
     meant = meant.unionByName(meant.withColumn("team", F.lit(None).cast("string"))).distinct()
-    profile = aggregates.top_two(pitch_mix(arsenals(s.base), meant), entity=[*known, "team"], kind="pitch_type", usage="pitch_usage", metrics=metrics)
+    profile = aggregates.top_two(pitch_mix(arsenals(s.base), meant), entity=[*known, "team"], kind="pitch_type", usage="pitch_usage", metrics=metrics, few_kinds=True)
     fields = [c for c in profile.columns if c not in (*known, "team")]
     specific = profile.where("team is not null").withColumnRenamed("team", "__team")
     without_team = profile.where("team is null").drop("team")

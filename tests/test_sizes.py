@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from slatework.functions import text
-from slatework.operators import joins
+from slatework.operators import aggregates, history, joins
 from slatework.plans import picks
 
 DAY = date(2024, 6, 1)
@@ -35,3 +35,33 @@ def test_plain_names_of_a_lineup_are_not_parsed(spark):
     out = spark.createDataFrame([(d,) for d in documents], "v string").select(text.batting_order("v").alias("o"))
     assert [[e["name"] for e in r["o"]] for r in out.collect()] == [["A {B", "X", "P", "Q", "3"], []]
     assert "contains(" in out._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_history_of_asked_rows_reads_them_once(spark):
+    seen = spark.createDataFrame([("a", date(2024, 5, 30), 2), ("a", DAY, 9), (None, date(2024, 5, 1), 5)], "k string, d date, n int")
+    rows = [("a", DAY, "x"), ("a", DAY, "y"), ("b", DAY, "x"), (None, DAY, "z")]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    asked = spark.createDataFrame(rows, "k string, d date, t string").mapInArrow(counted, "k string, d date, t string")
+    out = history.known_before(asked, seen, keys=["k"], date="d", parts={"s": F.sum("n")}, result={"total": F.col("s")})
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(((*r, {"a": 2, "b": None, None: 5}[r[0]]) for r in rows), key=str)
+    assert reads.value == len(rows)
+
+
+def test_top_two_reads_the_profile_once(spark):
+    profile = spark.createDataFrame([("a", "SL", 3.0, 1.0), ("a", "CU", 5.0, 0.0), ("a", "SI", 3.0, None), ("b", "SI", None, 1.0)], "e string, k string, u double, m double")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    out = aggregates.top_two(profile.mapInArrow(counted, profile.schema), entity=["e"], kind="k", usage="u", metrics=["m"], few_kinds=True).collect()
+    assert [(r["e"], r["primary_k"], r["secondary_k"], r["secondary_u"]) for r in out] == [("a", "CU", "SI", 3.0)]
+    assert reads.value == 4
