@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slatework.functions import text
 from slatework.operators import aggregates, history, joins
-from slatework.plans import picks
+from slatework.plans import models, picks
 
 DAY = date(2024, 6, 1)
 
@@ -65,3 +65,21 @@ def test_top_two_reads_the_profile_once(spark):
     out = aggregates.top_two(profile.mapInArrow(counted, profile.schema), entity=["e"], kind="k", usage="u", metrics=["m"], few_kinds=True).collect()
     assert [(r["e"], r["primary_k"], r["secondary_k"], r["secondary_u"]) for r in out] == [("a", "CU", "SI", 3.0)]
     assert reads.value == 4
+
+
+def test_fits_of_several_stacks_share_one_pool(spark, monkeypatch):
+    days = F.date_add(F.lit(DAY), (F.col("id") % 20).cast("int"))
+    rows = spark.range(200).select("id", days.alias("d"), (F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b"), (F.col("id") % 3 % 2).cast("int").alias("y"))
+    pools, plain = [], models.together
+
+    def counted(jobs, parallel):
+        jobs = list(jobs)
+        pools.append(len(jobs))
+        return plain(jobs, parallel)
+
+    monkeypatch.setattr(models, "together", counted)
+    settings = models.Settings(depth=1, rounds=1, trees=1, folds=1)
+    out = models.ablation(rows, scenarios={"both": ["a", "b"], "one": ["a"]}, label="y", date="d", key=["id"], settings=settings)
+    assert {(r["scenario"], r["features"], r["rows"]) for r in out.collect()} == {("both", 2, 40), ("one", 1, 40)}
+    # Per stack: a fold and the final models, two kinds each.
+    assert max(pools) == 8
