@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from slatework.catalog.base import GAMES_SQL, PLAYS_SQL, form_games, games, plays, query, rounded, table
+from slatework.catalog.base import GAMES_SQL, PLAYS_SQL, form_games, game_plays, games, plays, query, rounded, table
 from slatework.functions.numeric import flag, num, ratio
 from slatework.operators import history
 from slatework.operators.aggregates import entity_games
@@ -32,7 +32,7 @@ FORM = dict(
 )
 def spine(spark, folder):
     spine = entity_games(
-        plays(spark, folder),
+        game_plays(spark, folder),
         keys=["o_custkey", "l_orderkey", "game_date"],
         counts={
             "hr_count": F.col("l_returnflag") == "R",
@@ -214,7 +214,7 @@ def opponent_form(spark, folder):
 
 def _pair_games(spark, folder):
     return entity_games(
-        plays(spark, folder),
+        game_plays(spark, folder),
         keys=["o_custkey", "l_suppkey", "l_orderkey", "game_date"],
         counts={"pa_count": F.lit(True), "hr_count": F.col("l_returnflag") == "R", "so_count": F.col("l_returnflag") == "N"},
     )
@@ -266,7 +266,7 @@ def prior_pairs(spark, folder):
 )
 def prior_pairs_same_day(spark, folder):
     base = entity_games(
-        plays(spark, folder),
+        game_plays(spark, folder),
         keys=["l_suppkey", "l_returnflag", "l_orderkey", "game_date"],
         counts={"pa_count": F.lit(True), "hr_count": F.col("l_linestatus") == "F"},
     )
@@ -292,10 +292,12 @@ def prior_pairs_same_day(spark, folder):
 )
 def starter_vs_opponent(spark, folder):
     teams = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("opponent"))
-    lines = plays(spark, folder).join(teams, "o_custkey").groupBy("l_suppkey", "opponent", "l_orderkey", "game_date").agg(
+    lines = game_plays(spark, folder).groupBy("l_suppkey", "o_custkey", "l_orderkey", "game_date").agg(
         F.sum("l_quantity").alias("ip"), F.sum("l_linenumber").alias("so")
     )
-    starts = top_rows(lines, ["l_orderkey"], [F.col("ip").desc(), F.col("so").desc(), F.col("l_suppkey")])
+    # An order has one customer, so the opponent is looked up for its leading row only.
+    leading = top_rows(lines, ["l_orderkey"], [F.col("ip").desc(), F.col("so").desc(), F.col("l_suppkey")])
+    starts = leading.join(teams, "o_custkey").select("l_suppkey", "opponent", "l_orderkey", "game_date", "ip", "so")
     out = history.prior_days(
         starts, starts, keys=["l_suppkey", "opponent"], date="game_date",
         parts={"day_ip": F.sum("ip"), "day_so": F.sum("so")},

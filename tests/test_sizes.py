@@ -4,6 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from slatework.catalog import base, history_queries
 from slatework.functions import text
 from slatework.operators import aggregates, history, joins
 from slatework.plans import models, picks
@@ -83,3 +84,13 @@ def test_fits_of_several_stacks_share_one_pool(spark, monkeypatch):
     assert {(r["scenario"], r["features"], r["rows"]) for r in out.collect()} == {("both", 2, 40), ("one", 1, 40)}
     # Per stack: a fold and the final models, two kinds each.
     assert max(pools) == 8
+
+
+def test_game_spines_are_grouped_in_parts_of_bounded_size(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    whole = sorted(history_queries.spine(spark, folder).collect())
+    lines = base.table(spark, folder, "lineitem").count()
+    monkeypatch.setattr(base, "LINES_PER_TASK", 500)
+    dealt = history_queries.spine(spark, folder)
+    assert sorted(dealt.collect()) == whole
+    assert dealt.rdd.getNumPartitions() == -(-lines // 500)
