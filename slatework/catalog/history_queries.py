@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from slatework.catalog.base import GAMES_SQL, PLAYS_SQL, form_games, game_plays, games, plays, query, rounded, table
+from slatework.catalog.base import GAMES_SQL, PLAYS_SQL, form_games, game_plays, games, line_parts, plays, query, rounded, table
 from slatework.functions.numeric import flag, num, ratio
 from slatework.operators import history
 from slatework.operators.aggregates import entity_games
@@ -244,7 +244,7 @@ def prior_pairs(spark, folder):
     return rounded(
         history.pair_history(
             base, base, pair=["o_custkey", "l_suppkey"], date="game_date", game="l_orderkey", weight="pa_count",
-            counts={"hr": "hr_count", "so": "so_count"},
+            counts={"hr": "hr_count", "so": "so_count"}, dealt=line_parts(spark, folder),
         )
     )
 
@@ -273,7 +273,7 @@ def prior_pairs_same_day(spark, folder):
     return rounded(
         history.pair_history(
             base, base, pair=["l_suppkey", "l_returnflag"], date="game_date", game="l_orderkey", weight="pa_count",
-            counts={"hr": "hr_count"}, same_day=True,
+            counts={"hr": "hr_count"}, same_day=True, dealt=line_parts(spark, folder),
         )
     )
 

@@ -94,3 +94,16 @@ def test_game_spines_are_grouped_in_parts_of_bounded_size(spark, monkeypatch):
     dealt = history_queries.spine(spark, folder)
     assert sorted(dealt.collect()) == whole
     assert dealt.rdd.getNumPartitions() == -(-lines // 500)
+
+
+def test_dealt_pairs_carry_their_history(spark):
+    rows = [("a", "p", date(2024, 5, 1 + g // 2), g, g % 3 + 1, g % 2) for g in range(12)] + [("a", None, DAY, 20, 2, 1), ("a", None, date(2024, 5, 1), 21, 4, 0), (None, "p", None, 22, 1, 1)]
+    games = spark.createDataFrame(rows, "b string, p string, d date, g int, w int, h int")
+    options = dict(pair=["b", "p"], date="d", game="g", weight="w", counts={"h": "h"})
+    for same_day in (False, True):
+        plain = history.pair_history(games, games, same_day=same_day, **options)
+        dealt = history.pair_history(games, games, same_day=same_day, dealt=5, **options)
+        assert dealt.columns == plain.columns
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+        assert dealt.rdd.getNumPartitions() == 5
+        assert "Join" not in dealt._jdf.queryExecution().optimizedPlan().toString()
