@@ -298,7 +298,9 @@ def starter_vs_opponent(spark, folder):
     # An order has one customer, so the opponent is looked up for its leading row only.
     leading = top_rows(lines, ["l_orderkey"], [F.col("ip").desc(), F.col("so").desc(), F.col("l_suppkey")])
     starts = leading.join(teams, "o_custkey").select("l_suppkey", "opponent", "l_orderkey", "game_date", "ip", "so")
-    out = history.prior_days(
+    # A pair has few starts a day, so they carry their history.
+    starts = starts.repartition(line_parts(spark, folder), "l_suppkey", "opponent")
+    out = history.known_before(
         starts, starts, keys=["l_suppkey", "opponent"], date="game_date",
         parts={"day_ip": F.sum("ip"), "day_so": F.sum("so")},
         result={
@@ -369,7 +371,7 @@ def previous_location(spark, folder):
 def pair_summary(spark, folder):
     return rounded(
         history.pair_summary_on(
-            _pair_games(spark, folder), F.lit("1999-06-01").cast("date"), pair=["o_custkey", "l_suppkey"], date="game_date",
+            _pair_games(spark, folder).repartition(line_parts(spark, folder), "o_custkey", "l_suppkey"), F.lit("1999-06-01").cast("date"), pair=["o_custkey", "l_suppkey"], date="game_date",
             game="l_orderkey", weight="pa_count", counts={"hr": "hr_count", "so": "so_count"},
         )
     )

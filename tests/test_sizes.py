@@ -107,3 +107,10 @@ def test_dealt_pairs_carry_their_history(spark):
         assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
         assert dealt.rdd.getNumPartitions() == 5
         assert "Join" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pair_queries_end_in_parts_of_bounded_size(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(base, "LINES_PER_TASK", 900)
+    for run in (history_queries.pair_summary, history_queries.starter_vs_opponent):
+        assert run(spark, folder).rdd.getNumPartitions() == base.line_parts(spark, folder) > 5
