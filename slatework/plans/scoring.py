@@ -34,12 +34,19 @@ DETAILS = {
 }
 
 
+def plain_text(value: Column, places: int) -> Column:
+    """A rounded number as text in plain digits from ten million on too, where a cast writes an exponent."""
+    size = F.abs(value)
+    digits = value.try_cast(f"decimal(38,{max(places, 1)})").cast("string")
+    return F.when((size >= num(1e7)) & (size < num(1e16)), F.regexp_replace(digits, r"(\.\d+?)0+$", "$1")).otherwise(value.cast("string"))
+
+
 def details(fields: Mapping[str, tuple[str, int, float]] = DETAILS) -> Column:
     """array<struct<label, value>>; a missing value reads 'Unavailable'."""
     rows = []
     for label, (column, places, scale) in fields.items():
         value = half_even(F.col(column).cast("double") * num(scale), places)
-        rows.append(F.struct(F.lit(label).alias("label"), F.coalesce(value.cast("string"), F.lit("Unavailable")).alias("value")))
+        rows.append(F.struct(F.lit(label).alias("label"), F.coalesce(plain_text(value, places), F.lit("Unavailable")).alias("value")))
     return F.array(*rows)
 
 

@@ -147,6 +147,22 @@ def test_details_of_small_negatives_read_as_in_sql(spark):
     assert got == [r[1] for r in sorted(con.execute(ORACLES["m23_details"]).fetchall())]
 
 
+def test_details_of_large_numbers_read_in_plain_digits_as_in_sql(spark):
+    from slatework.catalog import ORACLES
+    from slatework.plans import scoring
+    from slatework.verify import duckdb
+
+    values = [9999999.94, 9999999.96, 10000000.0, -12345678.25, 9e15, float("nan")]
+    shown = scoring.details({"Balance": ("v", 1, 1.0), "Two": ("v", 2, 1.0)})
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(shown[0]["value"].alias("t"), shown[1]["value"].alias("two")).collect()
+    got = [r["t"] for r in rows][:-1]
+    assert got == ["9999999.9", "10000000.0", "10000000.0", "-12345678.2", "9000000000000000.0"]
+    assert [r["two"] for r in rows][1:4] == ["9999999.96", "10000000.0", "-12345678.25"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE customer AS SELECT unnest(range(5)) AS c_custkey, 'X' AS c_mktsegment, unnest([9999999.94, 9999999.96, 10000000.0, -12345678.25, 9e15]::DOUBLE[]) AS c_acctbal")
+    assert got == [r[1] for r in sorted(con.execute(ORACLES["m23_details"]).fetchall())]
+
+
 def test_margin_adds_the_shifts_first(spark):
     """As the SQL does, so equal scores tie in both; beginning with the base rounds otherwise."""
     from slatework.plans import models
