@@ -4,9 +4,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from slatework.catalog import base, history_queries
+from slatework.catalog import base, bundle_queries, domain, history_queries
 from slatework.functions import text
-from slatework.operators import aggregates, history, joins
+from slatework.operators import aggregates, history, joins, registry
 from slatework.plans import models, picks
 
 DAY = date(2024, 6, 1)
@@ -114,3 +114,16 @@ def test_pair_queries_end_in_parts_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(base, "LINES_PER_TASK", 900)
     for run in (history_queries.pair_summary, history_queries.starter_vs_opponent):
         assert run(spark, folder).rdd.getNumPartitions() == base.line_parts(spark, folder) > 5
+
+
+def test_the_hitter_spine_is_built_in_parts_of_bounded_size(spark, monkeypatch):
+    from slatework.plans import hitters
+
+    folder = "/root/testdata/sf0.001"
+    whole = sorted(map(str, bundle_queries.spine(spark, folder).collect()))
+    monkeypatch.setattr(base, "LINES_PER_TASK", 500)
+    parts = base.line_parts(spark, folder)
+    for sources in (domain.hitter_sources(spark, folder), domain.prepared_sources(spark, folder)):
+        dealt = hitters.load_spine(sources)
+        assert sorted(map(str, dealt.collect())) == whole
+        assert dealt.rdd.getNumPartitions() == parts > 10
