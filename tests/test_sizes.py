@@ -127,3 +127,13 @@ def test_the_hitter_spine_is_built_in_parts_of_bounded_size(spark, monkeypatch):
         dealt = hitters.load_spine(sources)
         assert sorted(map(str, dealt.collect())) == whole
         assert dealt.rdd.getNumPartitions() == parts > 10
+
+
+def test_names_of_all_sources_are_held_once(spark, monkeypatch):
+    plans, plain = [], registry.settle
+    monkeypatch.setattr(registry, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    sources = [(spark.createDataFrame([(n,), (None,), ("Ann Lee",)], "x string"), "x") for n in ("Ann Lee", "Bob Ray", "Cy Day")]
+    people = spark.createDataFrame([("Ann Lee", 1), ("Bob Ray", 2)], "full_name string, person_id int")
+    out = registry.canonical_names(sources, registry.seed_registry(people, name="full_name", person_id="person_id"))
+    assert sorted(map(tuple, out.collect())) == [("Ann Lee", "Ann Lee"), ("Bob Ray", "Bob Ray"), ("Cy Day", "cy day")]
+    assert plans[0].count("Aggregate") == 1
