@@ -34,25 +34,21 @@ def starter_spine(s: StarterSources) -> DataFrame:
     away_is = {"home": ("home", "away"), "away": ("away", "home")}
     side = lambda me, other, flag: F.struct(
         F.col(f"{me}_team").alias("team"), F.col(f"{other}_team").alias("opponent_team"), F.col(f"{me}_name").alias("starter_name"),
-        F.col(f"{me}_lineup").alias("lineup"), F.lit(flag).alias("is_home"),
+        F.col(f"{me}_confirmed").alias("lineup_confirmed"), F.col(f"{me}_size").alias("opponent_lineup_size"), F.lit(flag).alias("is_home"),
     )
     rows = paired.select("game_date", "game_id", "lineup_game_id", F.inline(F.array(*[side(*away_is[k], k == "home") for k in away_is])))
-    return rows.withColumns(
-        {
-            "starter_key": names.initial_key("starter_name"),
-            "lineup_confirmed": text.lineup_confirmed("lineup"),
-            "opponent_lineup_size": F.size(text.batting_order("lineup")),
-        }
-    ).drop("lineup")
+    return rows.withColumn("starter_key", names.initial_key("starter_name"))
 
 
 def _paired_lineups(s: StarterSources) -> DataFrame:
+    """Lineups with the game they belong to.  Documents are read before the rows are put in order, which looks at every row twice."""
+    told = {f"{side}_confirmed": text.lineup_confirmed(f"{side}_lineup") for side in ("home", "away")} | {f"{side}_size": F.size(text.batting_order(f"{side}_lineup")) for side in ("home", "away")}
     listed = s.base.lineups.where("home_pitcher is not null and away_pitcher is not null").select(
         "game_date", "home_team", "away_team", F.col("game_id").alias("lineup_game_id"), text.json_name("home_pitcher").alias("home_name"),
-        text.json_name("away_pitcher").alias("away_name"), "home_lineup", "away_lineup",
+        text.json_name("away_pitcher").alias("away_name"), *[c.alias(n) for n, c in told.items()],
     )
     games = s.base.games.select("game_date", "home_team", "away_team", "game_id")
-    return joins.sequence_join(listed, games, on=["game_date", "home_team", "away_team"], left_order="lineup_game_id", right_order="game_id")
+    return joins.sequence_join(settle(listed), games, on=["game_date", "home_team", "away_team"], left_order="lineup_game_id", right_order="game_id")
 
 
 def unmatched_lineups(s: StarterSources) -> DataFrame:

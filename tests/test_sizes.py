@@ -137,3 +137,14 @@ def test_names_of_all_sources_are_held_once(spark, monkeypatch):
     out = registry.canonical_names(sources, registry.seed_registry(people, name="full_name", person_id="person_id"))
     assert sorted(map(tuple, out.collect())) == [("Ann Lee", "Ann Lee"), ("Bob Ray", "Bob Ray"), ("Cy Day", "cy day")]
     assert plans[0].count("Aggregate") == 1
+
+
+def test_lineup_documents_are_read_before_rows_are_put_in_order(spark, monkeypatch):
+    from slatework.plans import starters
+
+    written, plain = [], starters.settle
+    monkeypatch.setattr(starters, "settle", lambda df: written.append(df.columns) or plain(df))
+    out = bundle_queries.starter_spine(spark, "/root/testdata/sf0.001")
+    assert len(written) == 1 and not {"home_lineup", "away_lineup"} & set(written[0])
+    assert {tuple(r) for r in out.select("is_home", "opponent_lineup_size").distinct().collect()} == {(True, 1), (False, 3)}
+    assert "get_json_object" not in out._jdf.queryExecution().optimizedPlan().toString()
