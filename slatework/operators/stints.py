@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from slatework.operators.aggregates import joined_values
-from slatework.operators.ordering import join_on
 
 
 def roster_stints(snapshots: DataFrame, *, person: str, team: str, date: str) -> DataFrame:
@@ -35,24 +34,30 @@ def move_stints(moves: DataFrame, *, person: str, team: str, date: str) -> DataF
     return changed.select(person, team, F.col(date).alias("starts"), F.lead(date).over(own).alias("ends"))
 
 
-def teams_on(asked: DataFrame, stints: DataFrame, *, person: str, team: str, date: str) -> DataFrame:
-    """(person, date, team) for the stints that hold on each asked day.
+def _held(days: DataFrame, stints: DataFrame, *, person: str, date: str) -> DataFrame:
+    """``days`` (without NULL persons or dates) joined to the stints that hold on them.
 
     Stints are cut into the months they share with the asked days, and days meet them on (person, month): an equi join that
     a long stint enters once per month, not once per day or as a pair with every day.
     """
-    days = asked.select(person, date).dropna().distinct()
     span = days.agg(F.min(date).alias("first"), F.max(date).alias("last")).first()
     first, last = (F.lit(span[x]).cast("date") for x in ("first", "last"))
     begin, end = F.greatest("starts", first), F.least(F.date_sub(F.coalesce("ends", F.date_add(last, 1)), 1), last)
     cut = stints.where(begin <= end).withColumn("__month", F.explode(F.sequence(F.trunc(begin, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))))
     held = days.withColumn("__month", F.trunc(date, "month")).join(cut, [person, "__month"])
-    holds = (F.col("starts") <= F.col(date)) & (F.col("ends").isNull() | (F.col(date) < F.col("ends")))
-    return held.where(holds).select(person, date, team).distinct()
+    return held.where((F.col("starts") <= F.col(date)) & (F.col("ends").isNull() | (F.col(date) < F.col("ends"))))
+
+
+def teams_on(asked: DataFrame, stints: DataFrame, *, person: str, team: str, date: str) -> DataFrame:
+    """(person, date, team) for the stints that hold on each asked day."""
+    return _held(asked.select(person, date).dropna().distinct(), stints, person=person, date=date).select(person, date, team).distinct()
 
 
 def known_teams(seen: DataFrame, stints: DataFrame, *, key: str, person: str, team: str, date: str, name: str) -> DataFrame:
-    """Per key: the distinct teams its person belonged to on the days the key was seen, as 'A|B'."""
-    days = seen.select(key, person, date).distinct()
-    held = join_on(days, teams_on(days, stints, person=person, team=team, date=date), [person, date])
-    return joined_values(held, keys=[key], value=team, name=name)
+    """Per key: the distinct teams its person belonged to on the days the key was seen, as 'A|B'.
+
+    The days carry their key into the join, so they are neither made distinct nor joined to again: a task folds its pairs of
+    key and team up before they are shuffled.
+    """
+    days = seen.select(key, person, date).dropna(subset=[person, date])
+    return joined_values(_held(days, stints, person=person, date=date), keys=[key], value=team, name=name)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slatework.catalog import base, bundle_queries, domain, history_queries
 from slatework.functions import text
-from slatework.operators import aggregates, history, joins, registry
+from slatework.operators import aggregates, history, joins, registry, stints
 from slatework.plans import models, picks
 
 DAY = date(2024, 6, 1)
@@ -148,3 +148,24 @@ def test_lineup_documents_are_read_before_rows_are_put_in_order(spark, monkeypat
     assert len(written) == 1 and not {"home_lineup", "away_lineup"} & set(written[0])
     assert {tuple(r) for r in out.select("is_home", "opponent_lineup_size").distinct().collect()} == {(True, 1), (False, 3)}
     assert "get_json_object" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_and_texts_are_written_before_they_are_read(spark, monkeypatch):
+    plans, plain = [], registry.settle
+    monkeypatch.setattr(registry, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    people = spark.createDataFrame([("Ann Lee", 1, "X"), ("Bob Ray", 2, "Y")], "full_name string, person_id int, team string")
+    known = registry.seed_registry(people, name="full_name", person_id="person_id")
+    texts = spark.createDataFrame([("Team signed Ann Lee today", "X", DAY), ("Team signed Ann Lee today", "Y", date(2024, 6, 2)), ("Nobody", "X", DAY), ("Bob Ray", None, DAY)], "text string, team string, d date")
+    moves = registry.transaction_moves(texts, known, text="text", team="team", date="d")
+    assert sorted(map(tuple, moves.collect())) == [("Ann Lee", "X", DAY), ("Ann Lee", "Y", date(2024, 6, 2))]
+    audit = registry.audit_source(people.unionByName(people), known, people, source="players", raw="full_name", person="full_name", team="team")
+    assert sorted(r["canonical_name"] for r in audit.collect()) == ["Ann Lee", "Bob Ray"]
+    assert len(plans) == 2 and not any("regexp" in p or "translate" in p for p in plans)
+
+
+def test_known_teams_carry_their_key(spark):
+    days = spark.createDataFrame([("K", "Ann", DAY), ("K", "Ann", date(2024, 7, 3)), ("L", "Ann", DAY), ("M", None, DAY), ("N", "Bob", None)], "raw string, person string, d date")
+    held = spark.createDataFrame([("Ann", "T", DAY, date(2024, 6, 20)), ("Ann", "U", date(2024, 7, 1), None), ("Bob", "V", DAY, None)], "person string, team string, starts date, ends date")
+    out = stints.known_teams(days, held, key="raw", person="person", team="team", date="d", name="teams")
+    assert sorted(map(tuple, out.collect())) == [("K", "T|U"), ("L", "T")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
