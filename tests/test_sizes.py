@@ -169,3 +169,20 @@ def test_known_teams_carry_their_key(spark):
     out = stints.known_teams(days, held, key="raw", person="person", team="team", date="d", name="teams")
     assert sorted(map(tuple, out.collect())) == [("K", "T|U"), ("L", "T")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_medians_of_all_folds_are_found_in_one_pass(spark, monkeypatch):
+    rows = [(i % 4, float(i * 7 % 11), None if i % 3 else float(-i)) for i in range(23)] + [(0, float("nan"), None), (9, 1.5, None)]
+    df = spark.createDataFrame(rows, "fold int, a double, b double")
+    sets = {k: F.col("fold") < k for k in range(5)} | {"all": F.lit(True), "odd": F.col("fold") == 9}
+    passes, plain = [], models.running_totals
+    monkeypatch.setattr(models, "running_totals", lambda *args: passes.append(1) or plain(*args))
+    got = models.medians_of_sets(df, ["a", "b"], sets)
+    assert len(passes) == 1
+    assert got == {name: models.exact_medians(df.where(chosen), ["a", "b"]) for name, chosen in sets.items()}
+    del passes[:]
+    tables = spark.range(120).select("id", F.date_add(F.lit(DAY), (F.col("id") % 20).cast("int")).alias("d"), (F.col("id") % 7).alias("a"), (F.col("id") % 3 % 2).cast("int").alias("y"))
+    settings = models.Settings(depth=1, trees=1)
+    models.cross_validate(tables, features=["a"], label="y", key=["id"], folds=3, settings=settings)
+    models.prepare(tables, features=["a"], label="y", date="d", key=["id"], settings=settings)
+    assert len(passes) == 2
