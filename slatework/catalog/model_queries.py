@@ -55,10 +55,13 @@ def class_weight(spark, folder):
 
 @query("m3_base_models")
 def base_models(spark, folder):
-    rows = settle(splits.holdout_split(_training(spark, folder), date="game_date", key=KEY))
-    scored = rows.where("is_holdout").withColumns({c: F.col(c).cast("double") for c in FEATURES})
-    for kind in models.BASES:
-        scored = models.fit_base(kind, rows.where("not is_holdout"), FEATURES, "label", models.Settings()).transform(scored, kind)
+    written = settle(_training(spark, folder).select(*KEY, "game_date", "label", *FEATURES))
+    rows = splits.holdout_split(written, date="game_date", key=KEY)
+    train, scored = rows.where("not is_holdout"), rows.where("is_holdout").withColumns({c: F.col(c).cast("double") for c in FEATURES})
+    medians, settings = models.exact_medians(train, FEATURES), models.Settings()
+    fitted = together([partial(models.fit_base, kind, train, FEATURES, "label", settings, medians=medians) for kind in models.BASES], settings.parallel)
+    for kind, model in zip(models.BASES, fitted):
+        scored = model.transform(scored, kind)
     return models.holdout_metrics(scored, "label", models.BASES)
 
 
