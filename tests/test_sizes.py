@@ -1,9 +1,11 @@
 """Steps that must not grow faster than their input."""
 
+import time
 from datetime import date
 
 from pyspark.sql import functions as F
 
+from slatework import session
 from slatework.catalog import base, bundle_queries, domain, history_queries
 from slatework.functions import text
 from slatework.operators import aggregates, history, joins, registry, stints
@@ -186,3 +188,34 @@ def test_medians_of_all_folds_are_found_in_one_pass(spark, monkeypatch):
     models.cross_validate(tables, features=["a"], label="y", key=["id"], folds=3, settings=settings)
     models.prepare(tables, features=["a"], label="y", date="d", key=["id"], settings=settings)
     assert len(passes) == 2
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split(" ")
+    return {f.rsplit("/", 1)[-1] for f in files if "shuffle_" in f}
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for write in (session.settle, session.stored):
+        before, setting = shuffle_files(spark), spark.conf.get(name)
+        out = write(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+        # Files are removed in the background.
+        for _ in range(100):
+            left = shuffle_files(spark) - before
+            if not left:
+                break
+            time.sleep(0.1)
+        assert not left and spark.conf.get(name) == setting
+        assert sorted(map(tuple, out.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
+
+
+def test_hitter_rows_meet_their_features_by_one_key(spark):
+    """Nothing of a feature group is left to do once rows are wide."""
+    plan = bundle_queries.hitter_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 4 and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_starter_rows_meet_their_features_by_one_key(spark):
+    plan = bundle_queries.starter_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 4 and "Window" not in plan and "Aggregate" not in plan
