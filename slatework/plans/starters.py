@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slatework.functions import codes, names, numeric, text
 from slatework.functions.numeric import num, ratio
 from slatework.operators import aggregates, history, joins, registry
 from slatework.operators.ordering import join_on, top_rows
-from slatework.plans.hitters import HITS, HitterSources, arsenals, pitch_mix, prepared
-from slatework.session import settle
+from slatework.plans.hitters import HITS, HitterSources, arsenals, by_game, pitch_mix, prepared
+from slatework.session import settle, stored
 
 THRESHOLDS = (3, 4, 5, 6)
 
@@ -68,11 +68,14 @@ def actual_starters(s: StarterSources) -> DataFrame:
 
 
 def pitching_history(s: StarterSources) -> DataFrame:
-    """Every appearance with date, opponent, starter flag, pitches thrown and batters faced."""
-    box = s.base.pitching_box.join(s.base.games.select("game_id", "game_date", "home_team", "away_team"), "game_id")
-    box = box.withColumn("opponent_team", F.when(F.col("team") == F.col("home_team"), F.col("away_team")).otherwise(F.col("home_team")))
-    starters = top_rows(s.base.pitching_box, ["game_id", "team"], _starter_order()).select("game_id", "team", "id", F.lit(True).alias("is_starter"))
-    box = box.join(starters, ["game_id", "team", "id"], "left").withColumn("is_starter", F.coalesce("is_starter", F.lit(False)))
+    """Every appearance with date, opponent, starter flag, pitches thrown and batters faced.
+
+    A game's few appearances tell its starters among themselves: rows are dealt out by game once and joined with none of their own.
+    """
+    listed = by_game(s.base, s.base.pitching_box).withColumn("__first", F.first("id").over(Window.partitionBy("game_id", "team").orderBy(*_starter_order())))
+    listed = listed.withColumn("is_starter", F.coalesce(F.col("team").isNotNull() & (F.col("id") == F.col("__first")), F.lit(False))).drop("__first")
+    box = listed.join(by_game(s.base, s.base.games.select("game_id", "game_date", "home_team", "away_team")), "game_id")
+    box = box.withColumn("opponent_team", F.when(F.col("team") == F.col("home_team"), F.col("away_team")).otherwise(F.col("home_team"))).drop("home_team", "away_team")
     box = box.withColumns({"starter_key": names.initial_key("player_name"), "team": codes.team_code("team"), "opponent_team": codes.team_code("opponent_team")})
     parents = s.base.plays.where("pitcher is not null").select(F.col("id").alias("play_id"), "game_id", names.initial_key("pitcher").alias("starter_key"))
     load = aggregates.workload(parents, s.base.pitches, parent="play_id", keys=["game_id", "starter_key"])
@@ -136,7 +139,8 @@ def attach_arsenal(df: DataFrame, s: StarterSources) -> DataFrame:
     known = ["pitcher_canonical", "game_date"]
     meant = keyed.select(*known, F.col("__team").alias("team")).where("pitcher_canonical is not null")
     meant = meant.unionByName(meant.withColumn("team", F.lit(None).cast("string"))).distinct()
-    profile = aggregates.top_two(pitch_mix(arsenals(s.base), meant), entity=[*known, "team"], kind="pitch_type", usage="pitch_usage", metrics=metrics, few_kinds=True)
+    # Read twice below: for the team and, where that has none, without one.
+    profile = stored(aggregates.top_two(pitch_mix(arsenals(s.base), meant), entity=[*known, "team"], kind="pitch_type", usage="pitch_usage", metrics=metrics, few_kinds=True))
     fields = [c for c in profile.columns if c not in (*known, "team")]
     specific = profile.where("team is not null").withColumnRenamed("team", "__team")
     without_team = profile.where("team is null").drop("team")
@@ -180,18 +184,21 @@ def attach_opponent_form(df: DataFrame, s: StarterSources, days: int = 14) -> Da
 def build_starter_features(s: StarterSources, *, thresholds: Sequence[int] = THRESHOLDS, starts_only: bool = False) -> DataFrame:
     """One row per starter and game, with every feature and the strikeout labels.
 
-    The spine and the appearances are written once; each group of features is computed from them on its
-    own and joined by (game, team, starter).
+    The spine and the appearances are written once; each group of features is computed from them on its own, written, and
+    joined by (game, lineup, side), so what a group shuffles does not lie on disk beside the others.
     """
     if s.base.canonical is None:
         s = replace(s, base=prepared(s.base))
-    appearances = settle(pitching_history(s))
-    base = settle(join_on(starter_spine(s), actual_starters(s), ["game_id", "team"], "left"))
+    appearances = stored(pitching_history(s))
+    base = stored(join_on(starter_spine(s), actual_starters(s), ["game_id", "team"], "left"))
     key = ["game_id", "lineup_game_id", "is_home"]
+    # Season metrics are met by another key, so they come before the rows are wide.
+    around = attach_season(base.select(*key, *[c for c in base.columns if c not in key]), s)
     parts = [attach_rolling(base, appearances, starts_only=starts_only), attach_versus_opponent(base, appearances), attach_arsenal(base, s), attach_opponent_form(base, s)]
-    df = base
+    df = stored(around)
     for part in parts:
-        df = df.join(part.select(*key, *[c for c in part.columns if c not in df.columns]), key)
-    df = attach_season(df, s)
+        df = df.join(stored(part.select(*key, *[c for c in part.columns if c not in df.columns])), key)
+    own = [c for c in around.columns if c in base.columns]
+    df = df.select(*own, *[c for c in df.columns if c not in around.columns], *[c for c in around.columns if c not in own])
     count = F.coalesce("actual_strikeouts", F.lit(0)).cast("int")
     return df.withColumn("actual_strikeouts", count).withColumns({f"label_so_{t}_plus": numeric.flag(F.col("actual_strikeouts") >= t) for t in thresholds})
