@@ -1,6 +1,8 @@
 """Steps that must not grow faster than their input."""
 
+import random
 import time
+from collections import Counter
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from slatework import session
 from slatework.catalog import base, bundle_queries, domain, history_queries
 from slatework.functions import text
-from slatework.operators import aggregates, history, joins, registry, stints
+from slatework.operators import aggregates, history, joins, registry, similarity, stints
 from slatework.plans import models, picks
 
 DAY = date(2024, 6, 1)
@@ -219,3 +221,21 @@ def test_hitter_rows_meet_their_features_by_one_key(spark):
 def test_starter_rows_meet_their_features_by_one_key(spark):
     plan = bundle_queries.starter_features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 4 and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_similar_names_meet_in_blocks_and_leave_one_pair_each(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
+    keys = sorted({word(rng.choice([4, 9, 14, 17, 30, 40, 70])) for _ in range(150)})
+    wanted = {k[:-1] + "é" for k in keys[::2]} | {word(9) for _ in range(40)} | {"", "  "}
+    people = [(k, (i * 37) % 60 if i % 11 else None) for i, k in enumerate(keys)] + [(keys[3], 200)]
+    left, right = spark.createDataFrame([(w,) for w in [*wanted, None]], "w string"), spark.createDataFrame(people, "k string, p int")
+    monkeypatch.setattr(similarity, "LEFT_BLOCK", 40)
+    monkeypatch.setattr(similarity, "RIGHT_BLOCK", 30)
+    options = dict(left_text="w", right_text="k", threshold=75.0)
+    found = similarity.best_pairs(left, right, right_order="p", **options).collect()
+    every = similarity.similar_pairs(left, right, **options).collect()
+    lowest = lambda k: (min((p for t, p in people if t == k and p is not None), default=0) if (k, None) not in people else -1, k)
+    best = lambda rows: {w: min(((-r["similarity"], *lowest(r["k"])) for r in rows if r["w"] == w)) for w in {r["w"] for r in rows}}
+    assert best(found) == best(every) and len(best(found)) > 30
+    assert len(found) < len(every) and max(Counter(r["w"] for r in found).values()) <= -(-len(keys) // 30)
